@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,34 +49,41 @@ class PerfectHash:
         for i, h in enumerate(hashes):
             members[h % self.buckets].append(i)
         self.shift = [0] * self.buckets
-        self.slots: list[int] = [-1] * n
-        order = sorted(range(self.buckets), key=lambda b: -len(members[b]))
+        slots = np.full(n, -1, dtype=np.int64)
+        base, step = (np.array([f(h) % max(n, 1) for h in hashes], dtype=np.int64) for f in (lambda h: h >> 20, lambda h: h >> 40 | 1))
+        order = sorted((b for b in range(self.buckets) if members[b]), key=lambda b: -len(members[b]))
         free = None
         for b in order:
             own = members[b]
-            if len(own) > 1:
-                d = 0
-                while True:
-                    at = [((hashes[i] >> 20) + d * ((hashes[i] >> 40) | 1)) % n for i in own]
-                    if len(set(at)) == len(at) and all(self.slots[s] < 0 for s in at):
-                        break
-                    d += 1
-                    if d > 50_000_000:
-                        raise ValueError("two keys share a hash")
-                self.shift[b] = d
-                for i, s in zip(own, at, strict=True):
-                    self.slots[s] = i
-            elif own:
-                free = free if free is not None else iter([s for s in range(n) if self.slots[s] < 0])
+            if len(own) == 1:
+                free = iter(np.flatnonzero(slots < 0).tolist()) if free is None else free
                 s = next(free)
                 self.shift[b] = -s - 1
-                self.slots[s] = own[0]
+                slots[s] = own[0]
+                continue
+            first = 0
+            while first < n:
+                tried = np.arange(first, min(n, first + 512))
+                at = (base[own][:, None] + step[own][:, None] * tried) % n
+                fits = (slots[at] < 0).all(axis=0)
+                if fits.any():
+                    ordered = np.sort(at[:, fits], axis=0)
+                    apart = (np.diff(ordered, axis=0) > 0).all(axis=0)
+                    if apart.any():
+                        d = tried[fits][apart.argmax()]
+                        self.shift[b] = int(d)
+                        slots[(base[own] + step[own] * d) % n] = own
+                        break
+                first += 512
+            else:
+                raise ValueError("no displacement separates these keys")
+        self.slots = slots.tolist()
 
     def __call__(self, key: bytes) -> int:
         """The number of the only key that ``key`` can be; the caller compares."""
         h = xxhash.xxh64_intdigest(key)
         d = self.shift[h % self.buckets]
-        return self.slots[-d - 1 if d < 0 else ((h >> 20) + d * ((h >> 40) | 1)) % self.size]
+        return self.slots[-d - 1 if d < 0 else ((h >> 20) + d * (h >> 40 | 1)) % self.size]
 
 
 class Vocabulary:
@@ -90,6 +96,7 @@ class Vocabulary:
         self.keys = list(self.rank)
         self.ids = list(self.rank.values())
         self.hash = PerfectHash(self.keys)
+        self.pattern = pattern
         self.general = regex.compile(pattern)
         by_id = [b""] * (max(self.ids, default=-1) + 1)
         for k, i in self.rank.items():
@@ -167,32 +174,19 @@ def merged(raw: bytes, rank: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(out)
 
 
-_LOADED: dict[tuple[str, str], Vocabulary] = {}
-
-
-def _vocabulary(name: str, pattern: str) -> Vocabulary:
-    """Loaded once for each Python worker."""
-    key = (name, pattern)
-    if key not in _LOADED:
-        _LOADED[key] = Vocabulary(SparkFiles.get(name), pattern)
-    return _LOADED[key]
-
-
 class Tokenizer:
-    """Column functions over one vocabulary file, which Spark hands to every executor."""
+    """Column functions over one vocabulary, built on the driver and broadcast; its file bounds its size."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
-        self.pattern = pattern
-        self.name = path.rpartition("/")[2]
-        spark.sparkContext.addFile(path)
+        self.vocabulary = spark.sparkContext.broadcast(Vocabulary(path, pattern))
 
     def encode(self, text: Column) -> Column:
         """``array<int>`` of ids; empty for null and empty texts."""
-        name, pattern = self.name, self.pattern
+        shared = self.vocabulary
 
         @F.arrow_udf("array<int>")
         def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            vocabulary = _vocabulary(name, pattern)
+            vocabulary = shared.value
             none = np.zeros(0, dtype=np.int32)
             for batch in batches:
                 rows = [vocabulary.encode(x) if (x := t.as_py()) else none for t in batch]
@@ -203,11 +197,11 @@ class Tokenizer:
 
     def decode(self, ids: Column) -> Column:
         """``binary`` of the bytes that the ids stand for."""
-        name, pattern = self.name, self.pattern
+        shared = self.vocabulary
 
         @F.arrow_udf("binary")
         def raw(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            v = _vocabulary(name, pattern)
+            v = shared.value
             for batch in batches:
                 out = []
                 for row in batch:
