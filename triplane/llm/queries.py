@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from triplane.llm import bpe_twotier
+from triplane.llm import bpe_twotier, flac_media
 from triplane.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,8 +18,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_twotier.digest(table(spark, sf_dir, "documents"), tokenizer)
 
 
+def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac_media.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op7_bpe": op7_bpe,
+    "op10_flac": op10_flac,
 }
 
 ORACLE_SQL: dict[str, str] = {}
