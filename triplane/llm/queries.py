@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from triplane.llm import bpe_twotier, flac_media
+from triplane.llm import bpe_twotier, flac_media, simhash_trie
 from triplane.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_trie.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = bpe_twotier.Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe_twotier.digest(table(spark, sf_dir, "documents"), tokenizer)
@@ -23,6 +27,7 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_simhash": op3_simhash,
     "op7_bpe": op7_bpe,
     "op10_flac": op10_flac,
 }
