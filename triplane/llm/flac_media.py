@@ -17,7 +17,7 @@ null payloads encode like empty ones, a stream of no frames. Equal payloads have
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -26,9 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 4096
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: The decoder gains from more frames in step, and needs less for each sample.
-DECODE_SLICE = 3 << 20
+DECODE_SLICE = 1 << 20
 RATE = 8000
 #: Each frame's residuals are coded in 2 ** this many partitions, where its length allows.
 PARTITION_ORDER = 2
@@ -323,7 +323,7 @@ def _predicted(bits: _Bits, pos: np.ndarray, kind: np.ndarray, length: np.ndarra
     # Rice codes, all frames in step: falling lengths leave a prefix of frames in play
     live = np.searchsorted(-length, -np.arange(longest), side="left").tolist()
     late = np.flatnonzero(depth)
-    e = np.zeros((longest, n), dtype=np.int64)
+    e = np.zeros((longest, n), dtype=np.int32)
     k, rest = np.zeros(n, dtype=np.int64), np.full(n, 63, dtype=np.uint64)
     one, u48 = np.uint64(1), np.uint64(48)
     words, deepest = bits.words, int(depth.max())
@@ -351,8 +351,7 @@ def _predicted(bits: _Bits, pos: np.ndarray, kind: np.ndarray, length: np.ndarra
             w <<= (z + 1).view(np.uint64)
         w >>= one
         w >>= rest[:m]
-        np.left_shift(z, k[:m], out=e[i, :m])
-        e[i, :m] |= w.view(np.int64)
+        e[i, :m] = (z << k[:m]) | w.view(np.int64)
         z += k[:m]
         z += 1
         if i < deepest:  # warm-up samples have no code
@@ -363,7 +362,10 @@ def _predicted(bits: _Bits, pos: np.ndarray, kind: np.ndarray, length: np.ndarra
         if i & 255 == 0:
             _need(int(here.max()) <= limit, "residuals run past the end")
     _need(int(pos.max()) <= limit, "residuals run past the end")
-    e = ((e >> 1) ^ -(e & 1)).astype(np.int32)
+    odd = e & 1
+    e >>= 1
+    e ^= np.negative(odd, out=odd)
+    del odd
 
     s = np.zeros((reach + longest, n), dtype=np.int32)
     coef = coef[::-1].copy()  # the oldest sample first, as rows stand in s
@@ -450,7 +452,7 @@ def _decode_slice(streams: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
     return result
 
 
-def _slices(values: list[bytes | None], weight, most: int) -> Iterator[list[bytes | None]]:
+def _slices(values: Iterable[bytes | None], weight, most: int) -> Iterator[list[bytes | None]]:
     """Runs of values of about ``most`` samples."""
     own, size = [], 0
     for v in values:
@@ -469,10 +471,9 @@ def encode(payload: Column) -> Column:
     @F.arrow_udf("binary")
     def flac(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out: list[bytes] = []
-            for own in _slices(batch.to_pylist(), lambda v: len(v or b"") + 64, SLICE):
-                out += _encode_slice([v or b"" for v in own])
-            yield pa.array(out, type=pa.binary())
+            values = (v.as_py() or b"" for v in batch)
+            parts = [pa.array(_encode_slice(own), type=pa.binary()) for own in _slices(values, lambda v: len(v) + 64, SLICE)]
+            yield pa.concat_arrays(parts or [pa.array([], type=pa.binary())])
 
     return flac(payload)
 
@@ -494,22 +495,33 @@ def feature(pcm: bytes) -> str:
     return f"n={len(x)};mean={x.sum() / n:.6f};power={(x * x).sum() / n:.6f};crossings={crossings}"
 
 
+def _samples(stream: bytes | None) -> int:
+    """What a stream announces."""
+    return 64 if stream is None else 64 + (int.from_bytes(stream[21:26], "big") & (1 << 36) - 1)
+
+
+def _read(streams: list[bytes | None]) -> pa.Array:
+    read = iter(_decode_slice([v for v in streams if v is not None]))
+    out = []
+    for v in streams:
+        if v is None:
+            out.append(None)
+            continue
+        raw, table = next(read)
+        blocks = [{"first_sample": a, "byte_offset": b, "samples": c} for a, b, c in table.tolist()]
+        out.append({"pcm": raw, "blocks": blocks, "feature": feature(raw)})
+    return pa.array(out, type=DECODED)
+
+
 def decode(media: Column) -> Column:
     """Struct of ``pcm`` (unsigned bytes), ``blocks`` (seek points) and ``feature``; raises on any wrong checksum."""
 
     @F.arrow_udf("struct<pcm:binary,blocks:array<struct<first_sample:bigint,byte_offset:bigint,samples:int>>,feature:string>")
     def pcm(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = []
-            for own in _slices(batch.to_pylist(), lambda v: 64 if v is None else int.from_bytes(v[21:26], "big") & (1 << 36) - 1, DECODE_SLICE):
-                read = iter(_decode_slice([v for v in own if v is not None]))
-                for v in own:
-                    if v is None:
-                        out.append(None)
-                        continue
-                    raw, table = next(read)
-                    out.append({"pcm": raw, "blocks": [{"first_sample": a, "byte_offset": b, "samples": c} for a, b, c in table.tolist()], "feature": feature(raw)})
-            yield pa.array(out, type=DECODED)
+            values = (v.as_py() for v in batch)
+            parts = [_read(own) for own in _slices(values, _samples, DECODE_SLICE)]
+            yield pa.concat_arrays(parts or [pa.array([], type=DECODED)])
 
     return pcm(media)
 
