@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from triplane.llm import bpe_twotier, flac_media, line_templates, simhash_trie
+from triplane.llm import bpe_twotier, flac_media, line_templates, mixing, simhash_trie
 from triplane.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = bpe_twotier.Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe_twotier.digest(table(spark, sf_dir, "documents"), tokenizer)
@@ -33,10 +37,12 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_simhash": op3_simhash,
     "op4_line_templates": op4_line_templates,
+    "op6_mixing": op6_mixing,
     "op7_bpe": op7_bpe,
     "op10_flac": op10_flac,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_templates": line_templates.SQL,
+    "op6_mixing": mixing.SQL,
 }
