@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from triplane.llm import bpe_twotier, flac_media, line_templates, mixing, simhash_trie
+from triplane.llm import bpe_twotier, flac_media, line_templates, mixing, quality_mil, simhash_trie
 from triplane.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.digest(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality": op1_quality,
     "op3_simhash": op3_simhash,
     "op4_line_templates": op4_line_templates,
     "op6_mixing": op6_mixing,
