@@ -7,7 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from triplane.llm import bpe_twotier, flac_media, line_templates, mixing, quality_mil, simhash_trie
+from triplane.llm import (
+    bpe_twotier,
+    flac_media,
+    html_tagpath,
+    line_templates,
+    mixing,
+    quality_mil,
+    simhash_trie,
+    url_rank,
+)
 from triplane.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +26,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tagpath.digest(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.digest(table(spark, sf_dir, "documents"))
 
@@ -34,16 +47,22 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_twotier.digest(table(spark, sf_dir, "documents"), tokenizer)
 
 
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rank.verdicts(table(spark, sf_dir, "pages"))
+
+
 def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac_media.digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
+    "op2_html": op2_html,
     "op3_simhash": op3_simhash,
     "op4_line_templates": op4_line_templates,
     "op6_mixing": op6_mixing,
     "op7_bpe": op7_bpe,
+    "op9_urls": op9_urls,
     "op10_flac": op10_flac,
 }
 
