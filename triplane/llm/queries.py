@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from triplane.llm import (
     bpe_twotier,
+    embed_passes,
     flac_media,
     html_tagpath,
     line_templates,
@@ -47,6 +48,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_twotier.digest(table(spark, sf_dir, "documents"), tokenizer)
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_passes.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rank.verdicts(table(spark, sf_dir, "pages"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op4_line_templates": op4_line_templates,
     "op6_mixing": op6_mixing,
     "op7_bpe": op7_bpe,
+    "op8_embeddings": op8_embeddings,
     "op9_urls": op9_urls,
     "op10_flac": op10_flac,
 }
