@@ -16,6 +16,7 @@ from triplane.llm import (
     mixing,
     quality_mil,
     simhash_trie,
+    suffix_sparse,
     url_rank,
 )
 from triplane.shared import table
@@ -39,6 +40,10 @@ def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_sparse.passages(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op2_html": op2_html,
     "op3_simhash": op3_simhash,
     "op4_line_templates": op4_line_templates,
+    "op5_suffixes": op5_suffixes,
     "op6_mixing": op6_mixing,
     "op7_bpe": op7_bpe,
     "op8_embeddings": op8_embeddings,
