@@ -1 +1 @@
-
+"""Column expressions and their fixed values."""

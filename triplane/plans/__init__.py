@@ -1 +1 @@
-
+"""Derived tables, registered queries and the SQL that checks them."""

@@ -1 +1 @@
-
+"""The same operators on unbounded input."""
