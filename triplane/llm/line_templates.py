@@ -9,12 +9,12 @@ A template that stands in :data:`MIN_DOCS` documents or more recurs. Its first l
 position, stays; all others are dropped. Blank lines and lines of fewer than :data:`MIN_TOKENS` tokens have no template
 and stay, for short lines are equal by chance.
 
-Only leaves with that many documents can hold such a template. So leaves are counted first, each document once, with
-sums before the shuffle, and just the lines of crowded leaves go on. Nothing is gathered per leaf or template but
+Only leaves with that many lines can hold such a template. So leaves are counted first, with sums before the shuffle,
+and just the lines of crowded leaves go on. Nothing is gathered per leaf or template but
 counts, and the positions to drop are gathered per document.
 
-A null text stays null and has no lines; an empty one has one blank line. Rows that repeat a doc_id count as so many
-documents; where they repeat the text as well, they keep the same lines. Rows without a doc_id keep their lines, and
+A null text stays null and has no lines; an empty one has one blank line. Rows that repeat a doc_id count as one
+document; where they repeat the text as well, they keep the same lines. Rows without a doc_id keep their lines and do not
 count.
 """
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triplane.shared import materialise
+from triplane.shared import fresh, materialise
 
 LEADING = 3
 MIN_DOCS = 10
@@ -36,8 +36,10 @@ def lines_of(text: Column) -> Column:
 
 
 def form(line: Column) -> Column:
-    """Tokens joined by one space, those with a digit as ``<*>``."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, "[ \\t\\r\\f\\x0B]+", " ")), "[^ ]*[0-9][^ ]*", WILD)
+    """Tokens joined by one space, those with a digit as ``<*>``; most lines need neither replacement."""
+    spaced = F.when(line.rlike("[\\t\\r\\f\\x0B]|  "), F.regexp_replace(line, "[ \\t\\r\\f\\x0B]+", " ")).otherwise(line)
+    spaced = F.trim(spaced)
+    return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, "[^ ]*[0-9][^ ]*", WILD)).otherwise(spaced)
 
 
 def n_tokens(of_form: Column) -> Column:
@@ -49,14 +51,20 @@ def leaf(of_form: Column) -> Column:
     return F.xxhash64(n_tokens(of_form), F.substring_index(of_form, " ", LEADING))
 
 
-def templates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(form, template, docs)`` of each form in a crowded leaf whose template recurs."""
-    forms = F.array_distinct(F.transform(lines_of(F.col(text)), form))
-    forms = docs.select(F.explode(forms).alias("form")).where(n_tokens(F.col("form")) >= MIN_TOKENS)
-    leaves = docs.select(F.explode(F.array_distinct(F.transform(F.filter(F.transform(lines_of(F.col(text)), form), lambda f: n_tokens(f) >= MIN_TOKENS), leaf))).alias("leaf"))
-    crowded = materialise(leaves.groupBy("leaf").agg(F.count("*").alias("leaf_docs")).where(F.col("leaf_docs") >= MIN_DOCS))
-    inside = forms.withColumn("leaf", leaf(F.col("form"))).join(crowded, "leaf")
-    counted = materialise(inside.groupBy("leaf", "form").agg(F.first("leaf_docs").alias("leaf_docs"), F.count("*").alias("docs")))
+def crowded_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, hash, at, leaf, form)`` of the lines in leaves with enough lines; hash: of the text."""
+    own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    forms = own.select("key", F.xxhash64("text").alias("hash"), F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
+    forms = forms.select("key", "hash", "at", form(F.col("line")).alias("form")).where(n_tokens(F.col("form")) >= MIN_TOKENS)
+    forms = forms.withColumn("leaf", leaf(F.col("form")))
+    crowded = materialise(forms.groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= MIN_DOCS).select("leaf"))
+    return forms.join(crowded, "leaf", "left_semi")
+
+
+def templates(lines: DataFrame) -> DataFrame:
+    """``(leaf, form, template)`` of each form whose template recurs; ``lines``: :func:`crowded_lines`."""
+    leaves = lines.groupBy("leaf").agg(F.count_distinct("key").alias("leaf_docs")).where(F.col("leaf_docs") >= MIN_DOCS)
+    counted = materialise(lines.groupBy("leaf", "form").agg(F.count_distinct("key").alias("docs")).join(leaves, "leaf"))
     tokens = counted.select("leaf", "form", "leaf_docs", "docs", F.posexplode(F.split("form", " ")).alias("at", "token"))
     constant = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("seen"), F.first("leaf_docs").alias("leaf_docs")).where(F.col("seen") * 2 >= F.col("leaf_docs"))
     kept = tokens.join(constant.select("leaf", "at", "token", F.lit(True).alias("constant")), ["leaf", "at", "token"], "left")
@@ -67,18 +75,16 @@ def templates(docs: DataFrame, text: str = "text") -> DataFrame:
         F.count_if(shown != WILD).alias("words"),
     )
     general = F.array_join(F.transform("parts", lambda p: p["token"]), " ")
-    rows = rows.select("form", "docs", F.when(F.col("words") * 2 >= F.size("parts"), general).otherwise(F.col("form")).alias("template"))
+    rows = rows.select("leaf", "form", "docs", F.when(F.col("words") * 2 >= F.size("parts"), general).otherwise(F.col("form")).alias("template"))
     total = rows.groupBy("template").agg(F.sum("docs").alias("total")).where(F.col("total") >= MIN_DOCS)
-    return rows.join(total, "template").select("form", "template", F.col("total").alias("docs"))
+    return rows.join(total, "template").select("leaf", "form", "template")
 
 
 def dropped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, hash, drop)``: positions of the lines that go, for documents that lose any; hash: of the text."""
-    known = materialise(templates(docs, text))
-    own = docs.where(F.col(key).isNotNull())
-    lines = own.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.posexplode(lines_of(F.col(text))).alias("at", "line"))
-    hits = lines.select("key", "hash", "at", form(F.col("line")).alias("form")).join(known, "form")
-    hits = materialise(hits.select("key", "hash", "at", F.xxhash64("template").alias("template")))
+    """``(key, hash, drop)``: positions of the lines that go, for documents that lose any."""
+    lines = materialise(crowded_lines(docs, key, text))
+    hits = lines.join(templates(lines), ["leaf", "form"]).select("key", "hash", "at", F.xxhash64("template").alias("template"))
+    hits = materialise(hits)
     first = hits.groupBy("template").agg(F.min(F.struct("key", "at", "hash")).alias("first"))
     gone = hits.join(first, "template").where(F.struct("key", "at", "hash") != F.col("first"))
     return gone.groupBy("key", "hash").agg(F.collect_set("at").alias("drop"))
@@ -86,11 +92,12 @@ def dropped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def without_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the lines of recurring templates; all rows and columns stay."""
-    prefix = "line_templates_"
-    gone = materialise(dropped(docs, key, text).select(*[F.col(c).alias(prefix + c) for c in ("key", "hash", "drop")]))
-    both = docs.join(gone, (F.col(key) == F.col(prefix + "key")) & (F.xxhash64(text) == F.col(prefix + "hash")), "left")
-    rest = F.filter(lines_of(F.col(text)), lambda line, at: ~F.array_contains(prefix + "drop", at))
-    clean = F.when(F.col(prefix + "drop").isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
+    k, h, d = (fresh(docs, f"line_{c}") for c in ("key", "hash", "drop"))
+    gone = materialise(dropped(docs, key, text).select(F.col("key").alias(k), F.col("hash").alias(h), F.col("drop").alias(d)))
+    # as many rows as documents: never small enough to broadcast for long
+    both = docs.join(gone.hint("merge"), (F.col(key) == F.col(k)) & (F.xxhash64(text) == F.col(h)), "left")
+    rest = F.filter(lines_of(F.col(text)), lambda line, at: ~F.array_contains(d, at))
+    clean = F.when(F.col(d).isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
     return both.withColumn(text, clean).select(*docs.columns)
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from triplane.shared import materialise
+from triplane.shared import fresh, materialise
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -81,17 +81,18 @@ def mix(docs: DataFrame, **kinds) -> DataFrame:
     lined = plan(docs, **kinds).select("doc_id", "source", "size", "copies")
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size"))
     lined = materialise(lined.withColumn("nth", nth))
-    again = lined.where("nth > 1").select(F.col("doc_id").alias("mix_again")).distinct()
-    is_again = F.col("doc_id").eqNullSafe(F.col("mix_again"))
-    taken = lined.where("copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("nth").alias("mix_taken"), F.col("copies").alias("mix_copies"))
+    key, own, at, times, copy = (fresh(docs, f"mix_{c}") for c in ("key", "own", "at", "times", "copy"))
+    again = lined.where("nth > 1").select(F.col("doc_id").alias(key)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(key))
+    numbered = docs.withColumn(own, F.lit(1))
     if again.limit(1).count():
-        own = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", size_of(F.col("text"))))
-        once = docs.join(again, is_again, "left_anti").withColumn("mix_nth", F.lit(1))
-        docs_nth = once.unionByName(docs.join(again, is_again, "left_semi").withColumn("mix_nth", own))
-    else:
-        docs_nth = docs.withColumn("mix_nth", F.lit(1))
-    met = docs_nth.join(taken, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("mix_nth") == F.col("mix_taken")))
-    every = met.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
+        count = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", size_of(F.col("text"))))
+        once = docs.join(again, same, "left_anti").withColumn(own, F.lit(1))
+        numbered = once.unionByName(docs.join(again, same, "left_semi").withColumn(own, count))
+    taken = lined.where("copies > 0").select(F.col("doc_id").alias(key), F.col("nth").alias(at), F.col("copies").alias(times))
+    # as many rows as documents: never small enough to broadcast for long
+    met = numbered.join(taken.hint("merge"), same & (F.col(own) == F.col(at)))
+    every = met.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
     return every.select(*docs.columns)
 
 

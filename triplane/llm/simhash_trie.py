@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triplane.llm.components import components
-from triplane.shared import materialise
+from triplane.shared import fresh, materialise
 
 #: Words in a task before it is split, and trie levels by which it is.
 LIMIT = 50_000
@@ -290,12 +290,12 @@ def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     Rows that repeat a doc_id are one document, of which one row stays; so are the rows without one.
     """
     found = materialise(similar(docs, "doc_id", "text", shingle, similarity))
-    same = F.col("doc_id").eqNullSafe(F.col("component"))
-    gone = found.where(~same).select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-    again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    name, same = fresh(docs, "gone"), F.col("doc_id").eqNullSafe(F.col("component"))
+    matches = F.col("doc_id").eqNullSafe(F.col(name))
+    # as many rows as documents: never small enough to broadcast for long
+    gone = found.where(~same).select(F.col("doc_id").alias(name)).distinct().hint("merge")
+    kept = docs.join(gone, matches, "left_anti")
+    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name))
     if again.limit(1).count():
-        again = again.select(F.col("doc_id").alias("again"))
-        twice = F.col("doc_id").eqNullSafe(F.col("again"))
-        kept = kept.join(again, twice, "left_anti").unionByName(kept.join(again, twice, "left_semi").dropDuplicates(["doc_id"]))
+        kept = kept.join(again, matches, "left_anti").unionByName(kept.join(again, matches, "left_semi").dropDuplicates(["doc_id"]))
     return kept
