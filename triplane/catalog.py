@@ -1,10 +1,6 @@
 """All registered queries of the knowledge-graph part, with the SQL that checks them."""
 
-from __future__ import annotations
+from triplane.plans.queries import QUERIES
+from triplane.plans.queries import SQL as ORACLE_SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

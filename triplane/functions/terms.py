@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,18 +24,26 @@ def is_uri(value: Column) -> Column:
     return value.rlike(C.URI)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def compact_term(value: Column, prefixes=C.PREFIXES) -> Column:
     """Short form of a URI; anything else only loses white space at its ends."""
-    v = strip(value)
-    out = F.when(v.contains("#"), F.substring_index(v, "#", -1)).otherwise(F.substring_index(F.regexp_replace(v, "/+$", ""), "/", -1))
-    for prefix, short in reversed(prefixes):
-        out = F.when(v.startswith(prefix), F.concat(F.lit(short), F.substr(v, F.lit(len(prefix) + 1)))).otherwise(out)
-    return F.when(v.startswith("http://") | v.startswith("https://"), out).otherwise(v)
+
+    def short(v: Column) -> Column:
+        out = F.when(v.contains("#"), F.substring_index(v, "#", -1)).otherwise(F.substring_index(F.regexp_replace(v, "/+$", ""), "/", -1))
+        for prefix, name in reversed(prefixes):
+            out = F.when(v.startswith(prefix), F.concat(F.lit(name), F.substr(v, F.lit(len(prefix) + 1)))).otherwise(out)
+        return F.when(v.startswith("http://") | v.startswith("https://"), out).otherwise(v)
+
+    return let(strip(value), short)
 
 
 def after_colon(compact: Column) -> Column:
     """What follows the first colon of a compact term."""
-    return F.when(compact.contains(":"), F.substr(compact, F.instr(compact, ":") + 1)).otherwise(compact)
+    return let(compact, lambda c: F.when(c.contains(":"), F.substr(c, F.instr(c, ":") + 1)).otherwise(c))
 
 
 def local_name(value: Column) -> Column:
@@ -43,21 +52,24 @@ def local_name(value: Column) -> Column:
 
 def family(entity: Column) -> Column:
     """The entity's family by its name: the first rule that holds."""
-    token = local_name(entity)
-    suffixed = reduce(Column.__or__, (token.endswith(s) for s in C.COMPANY_SUFFIXES))
-    rules = [(token.rlike("^\\p{Nd}+$"), F.lit("NumericId"))]
-    rules += [(token.startswith(f + "_"), F.lit(f)) for f in C.FAMILY_PREFIXES]
-    rules += [
-        (token.startswith("HGNC:") | entity.startswith("HGNC:"), F.lit("HGNC")),
-        (starts_with_any(entity, C.ONTOLOGY_PREFIXES), F.lit("Disease")),
-        (starts_with_any(token, C.DISEASE_PREFIXES), F.lit("Disease")),
-        (token.isin(*C.AGENCIES) | suffixed, F.lit("Organisation")),
-        (token.contains("_"), F.substring_index(token, "_", 1)),
-    ]
-    out = token
-    for test, value in reversed(rules):
-        out = F.when(test, value).otherwise(out)
-    return out
+
+    def by_rule(token: Column) -> Column:
+        suffixed = reduce(Column.__or__, (token.endswith(s) for s in C.COMPANY_SUFFIXES))
+        rules = [(token.rlike("^\\p{Nd}+$"), F.lit("NumericId"))]
+        rules += [(token.startswith(f + "_"), F.lit(f)) for f in C.FAMILY_PREFIXES]
+        rules += [
+            (token.startswith("HGNC:") | entity.startswith("HGNC:"), F.lit("HGNC")),
+            (starts_with_any(entity, C.ONTOLOGY_PREFIXES), F.lit("Disease")),
+            (starts_with_any(token, C.DISEASE_PREFIXES), F.lit("Disease")),
+            (token.isin(*C.AGENCIES) | suffixed, F.lit("Organisation")),
+            (token.contains("_"), F.substring_index(token, "_", 1)),
+        ]
+        out = token
+        for test, value in reversed(rules):
+            out = F.when(test, value).otherwise(out)
+        return out
+
+    return let(local_name(entity), by_rule)
 
 
 def coarse_category(entity: Column, of_family: Column, primary_type: Column, types: Column) -> Column:

@@ -66,12 +66,12 @@ def primary_types(entities: DataFrame, types: DataFrame, labels: DataFrame) -> D
     """``(entity, family, types, primary_type)``: the first type in order that names a generic category, else the first
     with a telling label, else the family."""
     each = types.select("entity", F.explode("types").alias("type")).join(labels.select(F.col("subject").alias("type"), F.col("value").alias("label")), "type", "left")
-    local = T.local_name(F.col("type"))
+    each = each.withColumn("local", T.local_name(F.col("type")))
+    local = F.col("local")
     generic = F.when(F.col("label").isin(*C.GENERIC_CATEGORIES), F.col("label")).when(local.isin(*C.GENERIC_CATEGORIES), local)
     telling = F.when((F.col("label") != "") & ~F.col("label").isin(*C.NO_CATEGORY), F.col("label"))
-    found = F.coalesce(generic, telling)
-    order = F.when(found.isNotNull(), F.struct(F.when(generic.isNotNull(), 0).otherwise(1), F.col("type")))
-    best = each.groupBy("entity").agg(F.min_by(found, order).alias("named"))
+    named = each.select("entity", "type", generic.alias("generic"), telling.alias("telling")).withColumn("found", F.coalesce("generic", "telling"))
+    best = named.where("found IS NOT NULL").groupBy("entity").agg(F.min_by("found", F.struct(F.col("generic").isNull(), "type")).alias("named"))
     all_ = entities.join(types, "entity", "left").join(best, "entity", "left").withColumn("family", T.family(F.col("entity")))
     return all_.select("entity", "family", "types", F.coalesce("named", "family").alias("primary_type"))
 
