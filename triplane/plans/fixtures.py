@@ -282,5 +282,5 @@ RDF = f"""once AS (SELECT p_partkey, {_sql_pos(0, 'p_partkey')} AS pos, p_partke
 VECTORS = "vectors AS (SELECT vec_id AS id, list_transform(embedding, lambda x: round(x::DOUBLE * 1000)::BIGINT) AS vec FROM embeddings), tests AS (SELECT vec_id AS head_id, label::BIGINT AS relation_id, (vec_id * 7 + label) % (SELECT max(vec_id) + 1 FROM embeddings) AS tail_id, vec_id AS pos FROM embeddings)"
 EDGES = "edges AS (SELECT DISTINCT l_orderkey::BIGINT AS head_id, 0::BIGINT AS relation_id, l_partkey::BIGINT AS tail_id FROM lineitem UNION ALL SELECT DISTINCT l_partkey::BIGINT, 1::BIGINT, l_suppkey::BIGINT FROM lineitem), placed AS (SELECT *, relation_id * 10000000000000 + head_id * 1000000 + tail_id AS pos FROM edges)"
 LINKS = f"""members AS (SELECT 'imgt:mAb_' || c_custkey AS entity FROM customer), links AS (SELECT 'imgt:mAb_' || c_custkey AS entity, (c_custkey % 1200)::VARCHAR AS key FROM customer WHERE c_custkey % 6 <> 0),
-sequences AS (SELECT (doc_id % 900)::VARCHAR AS key, arg_max(upper(regexp_replace(substr(text, 1, (40 + doc_id % 30)::INT), '^\\s+|\\s+$', '', 'g')), doc_id) AS heavy,
-  arg_max(upper(regexp_replace(CASE WHEN doc_id % 11 = 0 THEN '' ELSE substr(text, 20, 40) END, '^\\s+|\\s+$', '', 'g')), doc_id) AS light FROM documents GROUP BY 1)"""
+sequences AS (SELECT (doc_id % 900)::VARCHAR AS key, arg_max(upper(replace(regexp_replace(substr(text, 1, (40 + doc_id % 30)::INT), '^\\s+|\\s+$', '', 'g'), 'ß', 'ss')), doc_id) AS heavy,
+  arg_max(upper(replace(regexp_replace(CASE WHEN doc_id % 11 = 0 THEN '' ELSE substr(text, 20, 40) END, '^\\s+|\\s+$', '', 'g'), 'ß', 'ss')), doc_id) AS light FROM documents GROUP BY 1)"""

@@ -349,7 +349,7 @@ def prior_links(spark, sf):
 
 
 def _sample_sql(test: str, what: str) -> str:
-    return f"array_to_string(list_slice(list_sort(list_distinct(list({what}) FILTER ({test}))), 1, 10), '|')"
+    return f"coalesce(array_to_string(list_slice(list_sort(list_distinct(list({what}) FILTER ({test}))), 1, 10), '|'), '')"
 
 
 @query(f"""WITH {_QUALIFIED} SELECT count(*) AS members, count(*) FILTER (status = 'ok') AS with_prior, count(*) FILTER (status <> 'ok') AS fallback, count(*) FILTER (status = 'missing link') AS missing_link,
