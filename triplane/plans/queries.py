@@ -392,10 +392,10 @@ def vector_override(spark, sf):
 # ---- vectors ----
 
 
-@query(f"WITH c AS (SELECT c_custkey::BIGINT AS id, unnest(range(8)) AS i FROM customer) SELECT id, i::INT AS i, round(((({_H('0:entity', 'id', 'i')} / 4294967296.0::DOUBLE) * 2 - 1) * 0.01::DOUBLE)::FLOAT::DOUBLE, 6) AS x FROM c")
+@query(f"WITH c AS (SELECT c_custkey::BIGINT AS id, unnest(range(8)) AS i FROM customer) SELECT id, i::INT AS i, round(((({_H('0:entity', 'id', 'i')} / 4294967296.0::DOUBLE) * 2 - 1) * 0.01::DOUBLE)::FLOAT::DOUBLE, 6) + 0.0::DOUBLE AS x FROM c")
 def random_vectors(spark, sf):
     ids = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").cast("long").alias("id"))
-    return ids.select("id", F.posexplode(V.random_vector("entity", F.col("id"), 8)).alias("i", "x")).select("id", "i", F.round(F.col("x").cast("double"), 6).alias("x"))
+    return ids.select("id", F.posexplode(V.random_vector("entity", F.col("id"), 8)).alias("i", "x")).select("id", "i", (F.round(F.col("x").cast("double"), 6) + 0.0).alias("x"))  # no negative zero
 
 
 @query("SELECT count(*) AS n_rows, count(DISTINCT vec_id) AS n_ids, min(len(embedding)) AS least_dim, max(len(embedding)) AS most_dim, true AS fits FROM embeddings")
