@@ -21,11 +21,14 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Distinct pre-tokens whose ids a Python worker remembers; beyond it the memory is emptied and filled anew.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 150_000
+#: Texts whose ids or bytes are Python objects at once.
+SLICE = 500
 
 # The letters of the Latin blocks below U+0250, all of whose characters this module's fast pattern
 # treats as the general pattern does.
@@ -133,6 +136,15 @@ class Vocabulary:
                 memo.clear()
             return ids
 
+    def bytes_of(self, ids: pa.Array | None) -> bytes:
+        if ids is None or not len(ids):
+            return b""
+        ids = ids.to_numpy(zero_copy_only=False)
+        sizes = self.lengths[ids]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(self.starts[ids] - (ends - sizes), sizes)
+        return self.flat[at].tobytes()
+
 
 def merged(raw: bytes, rank: dict[bytes, int]) -> tuple[int, ...]:
     """Merge linked bytes, always the pair of lowest rank and of those the leftmost."""
@@ -175,10 +187,18 @@ def merged(raw: bytes, rank: dict[bytes, int]) -> tuple[int, ...]:
 
 
 class Tokenizer:
-    """Column functions over one vocabulary, built on the driver and broadcast; its file bounds its size."""
+    """Column functions over one vocabulary, built on the driver and broadcast; its file bounds its size.
+
+    An application broadcasts a vocabulary once, so workers that live on hold one copy and one memory of it.
+    """
+
+    _shared: dict[tuple[str, str, str], Broadcast] = {}
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
-        self.vocabulary = spark.sparkContext.broadcast(Vocabulary(path, pattern))
+        key = (spark.sparkContext.applicationId, path, pattern)
+        if key not in self._shared:
+            self._shared[key] = spark.sparkContext.broadcast(Vocabulary(path, pattern))
+        self.vocabulary = self._shared[key]
 
     def encode(self, text: Column) -> Column:
         """``array<int>`` of ids; empty for null and empty texts."""
@@ -189,9 +209,12 @@ class Tokenizer:
             vocabulary = shared.value
             none = np.zeros(0, dtype=np.int32)
             for batch in batches:
-                rows = [vocabulary.encode(x) if (x := t.as_py()) else none for t in batch]
-                ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else none))
+                parts = []
+                for at in range(0, len(batch), SLICE):
+                    rows = [vocabulary.encode(x) if (x := t.as_py()) else none for t in batch.slice(at, SLICE)]
+                    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+                    parts.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows))))
+                yield pa.concat_arrays(parts or [pa.array([], type=pa.list_(pa.int32()))])
 
         return ids(text)
 
@@ -203,18 +226,8 @@ class Tokenizer:
         def raw(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             v = shared.value
             for batch in batches:
-                out = []
-                for row in batch:
-                    own = row.values
-                    if own is None or not len(own):
-                        out.append(b"")
-                        continue
-                    own = own.to_numpy(zero_copy_only=False)
-                    sizes = v.lengths[own]
-                    ends = np.cumsum(sizes)
-                    at = np.arange(ends[-1]) + np.repeat(v.starts[own] - (ends - sizes), sizes)
-                    out.append(v.flat[at].tobytes())
-                yield pa.array(out, type=pa.binary())
+                parts = [pa.array([v.bytes_of(row.values) for row in batch.slice(at, SLICE)], type=pa.binary()) for at in range(0, len(batch), SLICE)]
+                yield pa.concat_arrays(parts or [pa.array([], type=pa.binary())])
 
         return raw(ids)
 
