@@ -35,11 +35,13 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def form(line: Column) -> Column:
-    """Tokens joined by one space, those with a digit as ``<*>``; most lines need neither replacement."""
-    spaced = F.when(line.rlike("[\\t\\r\\f\\x0B]|  "), F.regexp_replace(line, "[ \\t\\r\\f\\x0B]+", " ")).otherwise(line)
-    spaced = F.trim(spaced)
-    return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, "[^ ]*[0-9][^ ]*", WILD)).otherwise(spaced)
+def forms_of(text: Column) -> Column:
+    """Of each line, the tokens joined by one space, those with a digit as ``<*>``.
+
+    Most lines need neither replacement. Each step binds its line, so nothing is computed twice.
+    """
+    spaced = F.transform(lines_of(text), lambda x: F.trim(F.when(x.rlike("[\\t\\r\\f\\x0B]|  "), F.regexp_replace(x, "[ \\t\\r\\f\\x0B]+", " ")).otherwise(x)))
+    return F.transform(spaced, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, "[^ ]*[0-9][^ ]*", WILD)).otherwise(x))
 
 
 def n_tokens(of_form: Column) -> Column:
@@ -54,8 +56,7 @@ def leaf(of_form: Column) -> Column:
 def crowded_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, hash, at, leaf, form)`` of the lines in leaves with enough lines; hash: of the text."""
     own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    forms = own.select("key", F.xxhash64("text").alias("hash"), F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
-    forms = forms.select("key", "hash", "at", form(F.col("line")).alias("form")).where(n_tokens(F.col("form")) >= MIN_TOKENS)
+    forms = own.select("key", F.xxhash64("text").alias("hash"), F.posexplode(forms_of(F.col("text"))).alias("at", "form")).where(n_tokens(F.col("form")) >= MIN_TOKENS)
     forms = forms.withColumn("leaf", leaf(F.col("form")))
     crowded = materialise(forms.groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= MIN_DOCS).select("leaf"))
     return forms.join(crowded, "leaf", "left_semi")
