@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Distinct pre-tokens whose ids a Python worker remembers; beyond it the memory is emptied and filled anew.
-MEMO_ENTRIES = 150_000
+MEMO_ENTRIES = 250_000
 #: Texts whose ids or bytes are Python objects at once.
 SLICE = 500
 
