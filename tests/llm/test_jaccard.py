@@ -1,0 +1,58 @@
+import random
+
+from triplane.llm import jaccard_prefix as J
+from triplane.llm import simhash_trie as S
+
+
+def shingles(text, k=5):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def brute(rows):
+    """The smallest id each text is connected with by pairs of a similarity of exactly 0.8 or more."""
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    return {i: top(i) for i in sets}
+
+
+def test_exactly_the_similar_texts_link(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=5))
+    rows = []
+    for _ in range(12):  # four shingles and five: 0.8 exactly
+        t = [word() for _ in range(8)]
+        rows += [" ".join(t), " ".join([*t, word()])]
+    for n in (60, 200, 400):
+        for changed in range(1, 20):  # on both sides of 0.8
+            t = [word() for _ in range(n)]
+            u = list(t)
+            for at in r.sample(range(n), min(changed * n // 200 + 1, n)):
+                u[at] = word()
+            rows += [" ".join(t), " ".join(u)]
+    for _ in range(8):  # a repeated line counts once
+        a, b, line = ([word() for _ in range(n)] for n in (40, 40, 12))
+        rows += [" ".join(a + line * 40), " ".join(b + line * 40)]
+    crowd = [word() for _ in range(80)]
+    for _ in range(60):
+        u = list(crowd)
+        for at in r.sample(range(80), r.randrange(1, 4)):
+            u[at] = word()
+        rows.append(" ".join(u))
+    rows += ["", None, "  ", "one", "one two", "One  two"]
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert {x.doc_id: x.component for x in J.similar(docs).collect()} == want
+    assert sorted(x.doc_id for x in S.drop_similar(docs).collect()) == sorted(set(want.values()))

@@ -1,0 +1,163 @@
+"""Near duplicates by exact Jaccard similarity of word shingles, through prefixes.
+
+All shingles have one order, the rare ones first. Two sets of similarity s share an element among the first
+``n - ceil(s * n) + 1`` of each, n being its own size, whatever the order is; so texts that share such an element are all
+that have to be compared, and no similar pair is missed. The order only decides how many pairs that are: it comes from the
+counts in a sample of the texts, and shingles unknown there are rare.
+
+A comparison takes the distinct shingles of both texts. A crowd of similar texts is not compared all with all: each group
+of texts with a common element is first compared with one of its texts, and then only texts that are not yet connected are.
+
+Sets hold 64-bit hashes. Words are runs without ASCII white space, A-Z count as a-z; a text with no more words than a
+shingle is one shingle, and all texts without words are equal. Nulls count as empty texts.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from triplane.llm.components import components
+from triplane.shared import materialise
+
+#: Texts in the sample that orders the shingles, times that a shingle has to be in it to be known, and most known ones.
+SAMPLE, KNOWN, MOST_KNOWN = 20_000, 3, 1_000_000
+#: Rounds in which the groups are compared with one of their texts: first the same one for many groups, then one drawn by each.
+STARS = 2
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return np.zeros(0, dtype=np.uint64)
+    if len(tokens) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(tokens), 42)], dtype=np.uint64)
+    words = np.fromiter(map(xxhash.xxh64_intdigest, tokens), dtype=np.uint64, count=len(tokens))
+    n = len(tokens) - shingle + 1
+    h = np.zeros(n, dtype=np.uint64)
+    for j in range(shingle):
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + words[j : j + n]
+    return np.unique((h ^ h >> np.uint64(32)) * np.uint64(0x94D049BB133111EB))
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def shingle_sets(text: Column, shingle: int) -> Column:
+    """``array<bigint>``: :func:`shingle_set` of each text."""
+
+    @F.arrow_udf("array<bigint>")
+    def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([shingle_set(t.as_py(), shingle).view(np.int64) for t in batch], type=pa.list_(pa.int64()))
+
+    return sets(text)
+
+
+def _known(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are not rare in the sample, sorted, and their counts there; at most :data:`MOST_KNOWN`."""
+    every = max(1, docs.count() // SAMPLE)
+    some = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+    each = some.select(F.explode(shingle_sets(F.col("text"), shingle)).alias("s")).groupBy("s").agg(F.count("*").cast("int").alias("seen"))
+    top = each.where(F.col("seen") >= KNOWN).orderBy(F.desc("seen"), "s").limit(MOST_KNOWN).toArrow()
+    s, seen = (top[c].to_numpy() for c in ("s", "seen"))
+    order = np.argsort(s.view(np.uint64))
+    return s.view(np.uint64)[order], seen[order]
+
+
+def _prefixes(docs: DataFrame, key: str, text: str, shingle: int, similarity: float) -> DataFrame:
+    """``(key, hash, node, n, prefix)``: the hash of the text, that of its set, the set's size and first elements."""
+    known = docs.sparkSession.sparkContext.broadcast(_known(docs, text, shingle))
+
+    @F.arrow_udf("struct<node:bigint,n:int,prefix:array<bigint>>")
+    def first_elements(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        s, seen = known.value
+        for batch in batches:
+            nodes, sizes, prefixes = [], [], []
+            for t in batch:
+                own = shingle_set(t.as_py(), shingle)
+                rank = np.zeros(len(own), dtype=np.int64)
+                if len(s):
+                    at = np.minimum(np.searchsorted(s, own), len(s) - 1)
+                    rank = np.where(s[at] == own, seen[at], 0)
+                first = np.lexsort((own, rank))[: prefix_length(len(own), similarity)]
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
+                sizes.append(len(own))
+                prefixes.append(own[first].view(np.int64))
+            columns = [pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, type=pa.int32()), pa.array(prefixes, type=pa.list_(pa.int64()))]
+            yield pa.StructArray.from_arrays(columns, names=["node", "n", "prefix"])
+
+    each = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("hash"), first_elements(F.col(text)).alias("f"))
+    return each.select("key", "hash", "f.*")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``(a, b)`` whose sets are that similar; side a is taken to be the less repeated one."""
+    left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
+    # as many rows as near duplicates: never small enough to broadcast for long
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    return both.where(common / (F.size("set_a") + F.size("set_b") - common) >= similarity).select("a", "b")
+
+
+def links(docs: DataFrame, rows: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """``(a, b)``: pairs of similar nodes that connect all that similar pairs connect; ``rows``: :func:`_prefixes`."""
+    nodes = rows.groupBy("node").agg(F.min("hash").alias("hash"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    entries = materialise(nodes.select("node", "hash", "n", F.posexplode("prefix").alias("at", "s")))
+    # written first: Spark deals a crowded side of a join anew only where no sum shares its stage
+    shared = materialise(entries.groupBy("s").agg(F.count("*").alias("members")).where("members > 1").select("s"))
+    live = materialise(entries.join(shared.hint("merge"), "s"))
+    wanted = live.select("node", F.col("hash").alias("of")).distinct()
+    texts = docs.select(F.xxhash64(F.col(text)).alias("of"), F.col(text).alias("text")).join(wanted.hint("merge"), "of").dropDuplicates(["node"])
+    sets = materialise(texts.select("node", shingle_sets(F.col("text"), shingle).alias("set")))
+
+    fits = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
+    live = live.select("s", "node", "n", "at")
+    found = None
+    for star in range(STARS + 1):
+        if found is None:
+            named = live.withColumn("c", F.col("node"))
+        else:
+            reach = components(found, "a", "b")
+            named = live.join(reach.hint("merge"), "node", "left").select("s", "node", "n", "at", F.coalesce("root", "node").alias("c"))
+        draw = F.xxhash64("node", "s", F.lit(star)) if star else F.col("node")
+        sizes = named.groupBy("s", "c").agg(F.count("*").alias("members"), F.min(F.struct(draw.alias("draw"), "node", "n")).alias("least"))
+        apart = sizes.groupBy("s").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("members", "c")).alias("main"), F.min("least").alias("centre"), F.min_by("c", "least").alias("own"))
+        apart = materialise(apart.where("parts > 1"))
+        inside = materialise(named.join(apart.hint("merge"), "s"))
+        if star < STARS:
+            rays = inside.where((F.col("c") != F.col("own")) & fits(F.col("n"), F.col("centre.n")))
+            pairs = rays.select(F.col("node").alias("a"), F.col("centre.node").alias("b"))
+        else:
+            # all that is not connected yet, less pairs within the largest part of a group
+            other = inside.where("c != main").select("s", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("c").alias("c_a"))
+            ends = inside.select("s", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("c").alias("c_b"), "main")
+            met = other.join(ends, "s").where((F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b"))))
+            met = met.where(fits(F.col("n_a"), F.col("n_b")))
+            # nothing before the first common element is common, so what follows it is all that can be
+            first = met.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b"))
+            left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+            pairs = first.where(left >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b")
+        near = _similar(materialise(pairs.distinct()), sets, similarity)
+        found = materialise(near if found is None else found.unionByName(near))
+    return found
+
+
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(key, component)`` of each document: texts link whose distinct shingles have that Jaccard similarity or more."""
+    rows = materialise(_prefixes(docs, key, text, shingle, similarity))
+    reach = components(links(docs, rows, text, shingle, similarity), "a", "b")
+    nodes = rows.groupBy("node").agg(F.min("key").alias("least"))
+    named = materialise(nodes.join(reach.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    smallest = named.groupBy("root").agg(F.min("least").alias("component"))
+    each = named.join(smallest.hint("merge"), "root").select("node", "component")
+    return rows.join(each.hint("merge"), "node").select(F.col("key").alias(key), "component")

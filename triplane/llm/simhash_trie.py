@@ -17,7 +17,6 @@ of the trie. Repeated and null ids keep their rows; a component of null ids alon
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triplane.llm.components import components
+from triplane.llm.jaccard_prefix import similar
 from triplane.shared import fresh, materialise
 
 #: Words in a task before it is split, and trie levels by which it is.
@@ -246,44 +246,6 @@ def digest(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", word.alias("fingerprint"), "component_id")
 
 
-#: For similar texts: so many 64-bit words, cut into tries of so many bits, each with an error budget of two.
-WORDS, TABLE_BITS, TABLE_BUDGET = 8, 26, 2
-#: Words of such a trie in a task; they carry a sketch each.
-SIMILAR_LIMIT = 400_000
-
-
-def most_bits(similarity: float, bits: int) -> int:
-    """Differing bits of sets of such a Jaccard similarity, at the angle that SimHash sees between equal-sized sets."""
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
-def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(key, component)`` of each document: texts whose shingle sets are that similar link.
-
-    The 512 bits of a text's SimHash estimate the similarity, with a standard error of about 0.03 at 0.8. Every 26 bits
-    of them are a trie of their own, and a pair that agrees in all but two bits of any is compared: at a similarity of
-    0.8 that finds 99 of 100 pairs, above it more.
-    """
-    sketches = materialise(docs.select(F.col(key).alias("key"), fingerprint(F.col(text), shingle, WORDS).alias("sketch")))
-    nodes = materialise(sketches.groupBy("sketch").agg(F.min("key").alias("least"), F.count("*").alias("n")))
-    nodes = nodes.withColumn("node", F.xxhash64("sketch"))
-    bits = 64 * WORDS
-    cut = []
-    for t in range(bits // TABLE_BITS):
-        word, shift = divmod(t * TABLE_BITS, 64)
-        part = F.shiftleft(F.col("sketch")[word], shift)
-        if shift + TABLE_BITS > 64:
-            part = part.bitwiseOR(F.shiftrightunsigned(F.col("sketch")[word + 1], 64 - shift))
-        cut.append(F.shiftleft(F.shiftrightunsigned(part, 64 - TABLE_BITS), 64 - TABLE_BITS))
-    spread = nodes.select("node", "sketch", F.posexplode(F.array(*cut)).alias("tbl", "word"))
-    found = links(spread, TABLE_BITS, TABLE_BUDGET, most_bits(similarity, bits), SIMILAR_LIMIT)
-    reach = components(materialise(found), "a", "b")
-    named = nodes.join(reach, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component"))
-    each = named.join(smallest, "root").select("sketch", "component")
-    return sketches.join(each, "sketch").select(F.col("key").alias(key), "component")
-
-
 def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents of least doc_id of each group of similar ones, with all columns as they are.
 
