@@ -5,14 +5,14 @@ choice depends on nothing but the words themselves, and every passage of 50 word
 therefore goes on equally for 25 words at least in each copy. So:
 
 1. each kept suffix gets the hash of its first 25 words, and hashes of one document alone go;
-2. the suffixes that are left are sorted by their words, over range partitions, and each is compared with its nearest
-   neighbours: words in common to the right, and to the left of the suffix;
-3. a match of 50 words or more marks its words; the marks of one document that overlap are one passage.
+2. the suffixes that are left are told apart by their contexts, the 25 words before and 50 from them on, and each distinct
+   context stands for all its places, with the least and greatest doc_id it is found in;
+3. each run of 50 words belongs to the one kept suffix that its first 26 places choose, so every context lists its runs by
+   hash, and runs of two documents or more are found with one sum per run;
+4. the words of such runs are marked at all places of the context; the marks of one document that overlap are one passage.
 
-Groups of equal beginnings stay in one range, unless they are larger than :data:`CROWDED`: those are cut by the words that
-follow and by document, so that a passage in a third of all documents spreads over many tasks. Nothing is gathered per
-group; a task holds one Arrow batch and a few rows before it. Words are compared by 16-bit hashes, after 64-bit ones agree on
-25 of them.
+So each run meets every other one like it, however many there are and whatever stands around them. All steps are sums that
+combine before the shuffle, and joins with one row per key on one side. Words and runs are compared by 64-bit hashes.
 
 Words are runs without ASCII white space, and case counts. Documents are told apart by doc_id; rows that repeat one are one
 document. Rows without a doc_id cannot be reported and are skipped, null texts have no words. An empty table has no
@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -36,8 +35,7 @@ LENGTH = 50
 GRAM, WINDOW = 10, 26
 #: Words that a match goes on for from its first kept suffix: LENGTH - WINDOW + 1.
 AHEAD = LENGTH - WINDOW + 1
-#: Neighbours on either side that a suffix is compared with.
-NEIGHBOURS = 8
+#: Not read any more: no group is cut, whatever its size.
 CROWDED = 1000
 
 _BASE = 0x9E3779B97F4A7C15
@@ -69,26 +67,31 @@ def _runs(h: np.ndarray, width: int) -> np.ndarray:
     return z ^ z >> np.uint64(32)
 
 
-def kept_suffixes(h: np.ndarray) -> np.ndarray:
-    """Positions of the least run of each window."""
+def chosen(h: np.ndarray) -> np.ndarray:
+    """For each place, that of the least run of the window that begins there."""
     grams = _runs(h, GRAM)
     if len(grams) < WINDOW:
         return np.zeros(0, dtype=np.int64)
     out = []
     for at in range(0, len(grams) - WINDOW + 1, 1 << 16):
         windows = np.lib.stride_tricks.sliding_window_view(grams[at : at + (1 << 16) + WINDOW - 1], WINDOW)
-        out.append(np.unique(windows.argmin(axis=1) + np.arange(at, at + len(windows))))
-    return np.unique(np.concatenate(out))
+        out.append(windows.argmin(axis=1) + np.arange(at, at + len(windows)))
+    return np.concatenate(out)
+
+
+def kept_suffixes(h: np.ndarray) -> np.ndarray:
+    """Positions of the least run of each window."""
+    return np.unique(chosen(h))
 
 
 def anchors(text: Column) -> Column:
-    """Kept suffixes: position in words and hash of the first :data:`AHEAD` words."""
-    kind = pa.list_(pa.struct([("pos", pa.int32()), ("key", pa.int64())]))
+    """Kept suffixes: position in words, hash of the first :data:`AHEAD` words, hash of the context."""
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("key", pa.int64()), ("context", pa.int64())]))
 
-    @F.arrow_udf("array<struct<pos:int,key:bigint>>")
+    @F.arrow_udf("array<struct<pos:int,key:bigint,context:bigint>>")
     def suffixes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            places, hashes, ends = [], [], [0]
+            places, hashes, around, ends = [], [], [], [0]
             for t in batch:
                 h = word_hashes(t.as_py())
                 key = _runs(h, AHEAD)
@@ -96,92 +99,60 @@ def anchors(text: Column) -> Column:
                 pos = pos[pos < len(key)]
                 places.append(pos.astype(np.int32))
                 hashes.append(key[pos].view(np.int64))
+                whole = memoryview(h.view(np.uint8))
+                cuts = ((max(0, at - WINDOW + 1), at) for at in pos.tolist())
+                own = (xxhash.xxh64_intdigest(whole[8 * lo : 8 * (at + LENGTH)], at - lo) for lo, at in cuts)
+                around.append(np.fromiter(own, dtype=np.uint64, count=len(pos)).view(np.int64))
                 ends.append(ends[-1] + len(pos))
-            pos, key = (np.concatenate([*x, np.zeros(0, d)]).astype(d) for x, d in ((places, np.int32), (hashes, np.int64)))
-            rows = pa.StructArray.from_arrays([pa.array(pos), pa.array(key)], fields=list(kind.value_type))
+            columns = [np.concatenate([*x, np.zeros(0, d)]).astype(d) for x, d in ((places, np.int32), (hashes, np.int64), (around, np.int64))]
+            rows = pa.StructArray.from_arrays([pa.array(x) for x in columns], fields=list(kind.value_type))
             yield pa.ListArray.from_arrays(pa.array(np.array(ends, dtype=np.int32)), rows)
 
     return suffixes(text)
 
 
-#: Words of a context to the right and left, each as a 16-bit number.
-RIGHT, LEFT = LENGTH, WINDOW
+def runs_of(text: Column, places: Column) -> Column:
+    """Runs of :data:`LENGTH` words that choose one of the places: its index, words before it in the run, hash of the run."""
+    kind = pa.list_(pa.struct([("i", pa.int32()), ("back", pa.int32()), ("run", pa.int64())]))
 
-
-def contexts(text: Column, places: Column) -> Column:
-    """``array<binary>``: for each place its counts of words right and left, then the words, those on the left backwards."""
-
-    @F.arrow_udf("array<binary>")
-    def words_around(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        steps = np.concatenate([np.arange(RIGHT), -1 - np.arange(LEFT)])
+    @F.arrow_udf("array<struct<i:int,back:int,run:bigint>>")
+    def runs(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, all_places in batches:
-            out = []
+            parts, ends = [], [0]
             for t, p in zip(texts, all_places, strict=True):
-                h = word_hashes(t.as_py()).astype(">u2")
+                h = word_hashes(t.as_py())
+                run = _runs(h, LENGTH)
+                to = chosen(h)[: len(run)]
+                index = np.full(len(h) + 1, -1, dtype=np.int64)
                 pos = p.values.to_numpy(zero_copy_only=False).astype(np.int64)
-                at = pos[:, None] + steps
-                inside = (at >= 0) & (at < len(h))
-                words = np.where(inside, h[np.clip(at, 0, len(h) - 1)], 0).astype(">u2")
-                counts = np.stack([np.minimum(len(h) - pos, RIGHT), np.minimum(pos, LEFT)], axis=1).astype(np.uint8)
-                whole = np.concatenate([words[:, :RIGHT].copy().view(np.uint8), words[:, RIGHT:].copy().view(np.uint8), counts], axis=1)
-                out.append([row.tobytes() for row in whole])
-            yield pa.array(out, type=pa.list_(pa.binary()))
-
-    return words_around(text, places)
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Equal columns from the first on, in each row."""
-    differ = a != b
-    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
-
-
-def _matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Marked words of suffixes that come sorted: doc_id, hash, first, last (exclusive)."""
-    held: pd.DataFrame | None = None
-    for pdf in batches:
-        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-        if not len(pdf):
-            continue
-        raw = np.frombuffer(b"".join(pdf["context"]), dtype=np.uint8).reshape(len(pdf), 2 * (RIGHT + LEFT) + 2)
-        key, doc, pos = (pdf[c].to_numpy() for c in ("key", "doc_id", "pos"))
-        # equal contexts within a document are one row here
-        same = np.append(False, (key[1:] == key[:-1]) & (doc[1:] == doc[:-1]) & (raw[1:] == raw[:-1]).all(axis=1))
-        begins = np.flatnonzero(~same)
-        row = np.cumsum(~same) - 1
-        key, doc, raw, n = key[begins], doc[begins], raw[begins], len(begins)
-        words = np.ascontiguousarray(raw[:, :-2]).view(">u2").astype(np.uint16)
-        right, left, counts = words[:, :RIGHT], words[:, RIGHT:], raw[:, -2:].astype(np.int64)
-        ahead, behind = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-        for apart in range(1, min(NEIGHBOURS, n - 1) + 1):
-            i = np.flatnonzero((key[:-apart] == key[apart:]) & (doc[:-apart] != doc[apart:]))
-            j = i + apart
-            r = np.minimum(_common(right[i], right[j]), np.minimum(counts[i, 0], counts[j, 0]))
-            k = np.minimum(_common(left[i], left[j]), np.minimum(counts[i, 1], counts[j, 1]))
-            long = r + k >= LENGTH
-            for x in (i[long], j[long]):
-                ahead[x], behind[x] = np.maximum(ahead[x], r[long]), np.maximum(behind[x], k[long])
-        ahead, behind, doc = ahead[row], behind[row], doc[row]
-        hit = np.flatnonzero(ahead)
-        yield pd.DataFrame({"doc_id": doc[hit], "first": pos[hit] - behind[hit], "last": pos[hit] + ahead[hit]})
-        held = pdf.iloc[begins[max(0, n - NEIGHBOURS) :]]
+                index[pos] = np.arange(len(pos))
+                at = np.flatnonzero(index[to] >= 0)
+                parts.append((index[to[at]], to[at] - at, run[at].view(np.int64)))
+                ends.append(ends[-1] + len(at))
+            columns = [np.concatenate([*(x[c] for x in parts), np.zeros(0, d)]).astype(d) for c, d in enumerate((np.int32, np.int32, np.int64))]
+            rows = pa.StructArray.from_arrays([pa.array(x) for x in columns], fields=list(kind.value_type))
+            yield pa.ListArray.from_arrays(pa.array(np.array(ends, dtype=np.int32)), rows)
+
+    return runs(text, places)
 
 
 def marks(docs: DataFrame) -> DataFrame:
     """``(doc_id, first, last)``: stretches of words in a match, which may overlap."""
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("hash"), "text")
     kept = materialise(docs.select("doc_id", "hash", F.inline(anchors(F.col("text")))))
-    keys = kept.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    shared = materialise(keys.where("least != most").select("key", "n"))
-    places = F.collect_list(F.struct("pos", "key", "n")).alias("places")
-    wanted = kept.join(shared, "key").groupBy("doc_id", "hash").agg(places)
-    met = docs.join(wanted, ["doc_id", "hash"])
-    around = met.select("doc_id", "places", contexts(F.col("text"), F.col("places.pos")).alias("contexts"))
-    each = around.select("doc_id", F.inline(F.arrays_zip("places", "contexts"))).select("doc_id", "places.pos", "places.key", "places.n", F.col("contexts").alias("context"))
-    # equal beginnings stay together, crowded ones are cut by what follows and by document
-    cut = F.when(F.col("n") > CROWDED, F.concat("context", F.hex("doc_id").cast("binary"))).otherwise(F.lit(b""))
-    ranged = each.withColumn("cut", cut).repartitionByRange("key", "cut").sortWithinPartitions("key", "context", "doc_id")
-    return ranged.select("key", "context", "doc_id", "pos").mapInPandas(_matches, "doc_id long, first long, last long")
+    keys = kept.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    shared = keys.where("least != most").select("key")
+    near = materialise(kept.join(shared.hint("merge"), "key").drop("key"))
+    places = near.groupBy("context").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min(F.struct("doc_id", "hash", "pos")).alias("one"))
+    wanted = places.groupBy("one.doc_id", "one.hash").agg(F.collect_list(F.struct("one.pos", "context", "least", "most")).alias("places"))
+    met = docs.join(wanted.hint("merge"), ["doc_id", "hash"])
+    listed = met.select("places", F.inline(runs_of(F.col("text"), F.col("places.pos"))))
+    place = F.get("places", F.col("i"))
+    runs = materialise(listed.select(place["context"].alias("context"), place["least"].alias("least"), place["most"].alias("most"), "back", "run"))
+    common = runs.groupBy("run").agg(F.min("least").alias("from"), F.max("most").alias("to")).where(F.col("from") != F.col("to")).select("run")
+    hits = runs.join(common.hint("merge"), "run").groupBy("context").agg(F.max("back").alias("behind"), F.min("back").alias("inside"))
+    found = near.join(hits.hint("merge"), "context")
+    return found.select("doc_id", (F.col("pos") - F.col("behind")).cast("long").alias("first"), (F.col("pos") - F.col("inside") + LENGTH).cast("long").alias("last"))
 
 
 def passages(docs: DataFrame) -> DataFrame:
