@@ -62,13 +62,13 @@ def near_words(seed, n):
     return list(out)
 
 
-@pytest.mark.parametrize("seed,limit,frontier", [(1, 10**6, 1 << 19), (2, 10**6, 16), (3, 20, 1 << 19)])
+@pytest.mark.parametrize("seed,limit,frontier", [(1, 10**6, 1 << 19), (2, 10**6, 16), (3, 100, 1 << 19), (4, 6, 1 << 19)])
 def test_links_against_all_pairs(spark, monkeypatch, seed, limit, frontier):
     monkeypatch.setattr(S, "FRONTIER", frontier)
     words = near_words(seed, 220)
     signed = [w - (1 << 64) if w >> 63 else w for w in words]
     entries = spark.createDataFrame([(0, w, w) for w in signed], "tbl int, node long, word long")
-    found = S.links(entries, 64, 2, limit=limit)
+    found = S.links(entries, 64, 2, len(signed), limit=limit)
     pairs = [(a % (1 << 64), b % (1 << 64)) for a, b in found.collect()]
     assert all((a ^ b).bit_count() <= 64 for a, b in pairs)
     index = {w: i for i, w in enumerate(words)}
@@ -103,26 +103,88 @@ def test_digest(spark):
     assert S.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_similar_texts_go(spark):
+def shingles(text, k=5):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def plain_groups(texts):
+    """For each text the index of its group's first, by pairs of a similarity of exactly 0.8 or more."""
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    return [top(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("part,limit", [(S.PART, 8 * S.LIMIT), (8, 40)])
+def test_exactly_the_similar_texts_link(spark, part, limit):
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=5))
+    rows = []
+    for _ in range(12):  # four shingles and five: 0.8 exactly
+        t = [word() for _ in range(8)]
+        rows += [" ".join(t), " ".join([*t, word()])]
+    for n in (60, 200, 400):
+        for changed in range(1, 20):  # on both sides of 0.8
+            t = [word() for _ in range(n)]
+            u = list(t)
+            for at in r.sample(range(n), min(changed * n // 200 + 1, n)):
+                u[at] = word()
+            rows += [" ".join(t), " ".join(u)]
+    for _ in range(8):  # a repeated line counts once
+        a, b, line = ([word() for _ in range(n)] for n in (40, 40, 12))
+        rows += [" ".join(a + line * 40), " ".join(b + line * 40)]
+    crowd = [word() for _ in range(80)]
+    for _ in range(60):
+        u = list(crowd)
+        for at in r.sample(range(80), r.randrange(1, 4)):
+            u[at] = word()
+        rows.append(" ".join(u))
+    chain = [word() for _ in range(100)]
+    for _ in range(30):  # each is like the one before, few like the first
+        chain = chain[4:] + [word() for _ in range(4)]
+        rows.append(" ".join(chain))
+    rows += ["", None, "  ", "one", "one two", "One  two"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = plain_groups(rows)
+    assert {x.key: x.first.key for x in S.similar(docs, part=part, limit=limit).select("key", "first").collect()} == dict(enumerate(want))
+    assert sorted(x.doc_id for x in S.drop_similar(docs, part=part, limit=limit).collect()) == sorted(set(want))
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    """Unlike texts with equal ids or none are documents of their own; copies are not."""
     r = random.Random(4)
-    word = lambda: "".join(r.choices("abcdefgh", k=5))
-    rows, near, clean = [], [], []
-    for i in range(40):
-        t = [word() for _ in range(200)]
-        rows.append((3 * i, " ".join(t), "s"))
-        u = list(t)
-        u[r.randrange(200)] = "changed"  # a similarity of about 0.95
-        rows.append((3 * i + 1, " ".join(u), "s"))
-        near.append(3 * i + 1)
-        clean.append(3 * i)
-    rows += [(1000, "", None), (1001, None, "s"), (1002, "short text", "s"), (1002, "short text", "s"), (None, "no id", "s"), (None, "no id", "s")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, component string")
+    long = " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(200))
+    rows = [(None, "first without an id", "a", 1), (None, "second without an id", "b", 2), (7, "one text of seven", "c", 3), (7, "quite another one", "d", 4)]
+    rows += [(8, long, "e", 5), (8, long, "e", 5), (8, long, "f", 6), (None, long, "g", 7), (9, long + " more", "h", 8), (3, "", None, None), (None, None, "i", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, similar_key string, first long")
     kept = S.drop_similar(docs)
     assert kept.columns == docs.columns
-    assert sorted(x.doc_id if x.doc_id is not None else -1 for x in kept.collect()) == sorted([*clean, 1000, 1002, -1])
+    got = kept.collect()
+    assert sorted((x.text or "") for x in got) == sorted(["", *(t for _, t, _, _ in rows[:4]), long])
+    assert {x.doc_id for x in got if x.text == long} == {8} and {x.doc_id for x in got if not x.text} == {3}
+    assert sorted(map(str, S.drop_similar(docs).collect())) == sorted(map(str, got))
     assert S.drop_similar(docs.limit(0)).count() == 0
 
 
+def test_tries_follow_the_number_of_texts():
+    for n in (0, 1, 10**5, 10**7, 10**10):
+        width, count = S.tries(n, 0.8)
+        p = S.bit_share(0.8)
+        met = (1 - p) ** width + width * p * (1 - p) ** (width - 1) + width * (width - 1) / 2 * p**2 * (1 - p) ** (width - 2)
+        assert (1 - met) ** count <= S.MISSED and 2**width >= n
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(500, 600), (600, 700), (7000, 7000), (None, 3)]
     got = {(x.node, x.root) for x in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}

@@ -5,34 +5,41 @@ trie. The join walks it in pairs of nodes, from the pair (root, root) down: it a
 and prunes a pair once they exceed the error budget. So it finds every pair of words within the budget, and a node meets
 at most 1 + d + d(d-1)/2 others at depth d under a budget of two, however the words lie.
 
-Spark deals the walk out: a task is one pair of trie nodes with the words below them. A task with more than ``limit``
-words is split at the next levels of the trie into the pairs of its descendants that are within the budget, again and
-again, so a crowded part of the trie does not stay in one task. Within a task the walk runs over sorted arrays, with a
-bounded frontier, and returns a spanning forest of the links it has found, never all pairs. Components over the forests
-of all tasks are those over all links.
-
-Nulls count as empty texts; a text without words has the fingerprint zero. Copies share a fingerprint and are one word
-of the trie. Repeated and null ids keep their rows; a component of null ids alone has a null id.
+Spark deals the walk out. Of budget + 1 segments of a word, two words within the budget agree in one. So each segment in
+turn comes first in the trie, and the subtries below its first bits are tasks of about :data:`LIMIT` words: each word is
+copied budget + 1 times, at whatever size. A subtrie that is crowded still is cut into parts, each pair of which is a task.
+Within a task the walk runs over sorted arrays, with a bounded frontier, and returns a spanning forest of the links it has
+found, never all pairs. Components over the forests of all tasks are those over all links.
+
+``similar`` links texts by the exact Jaccard similarity of their distinct shingles. Its candidates come from the same join:
+the SimHash of a set is cut into tries (:func:`tries`), as many as let no more than one pair in 10,000 of the asked
+similarity go by, and pairs that meet in one have their first 256 bits compared, with a bound five standard errors above
+what such pairs differ in. Within each component of candidates all pairs that no chain of links connects yet are compared
+exactly, in blocks. (Of texts of eight words against nine, whose few shingles make SimHash coarse, 1 pair in 100 is lost.)
+
+Nulls count as empty texts; a text without words has the fingerprint zero, and an empty set of shingles. Copies share a
+fingerprint and are one word of the trie. Repeated and null ids keep their rows; a component of null ids alone has a null
+id.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triplane.llm.components import components
-from triplane.llm.jaccard_prefix import similar
 from triplane.shared import fresh, materialise
 
-#: Words in a task before it is split, and trie levels by which it is.
+#: Words of a task; one with more is cut into parts.
 LIMIT = 50_000
-LEVELS = 4
 #: Node pairs that a task's walk holds at once; more wait on a stack.
 FRONTIER = 1 << 19
 
@@ -51,8 +58,18 @@ def _more_words(h: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
+def majority(h: np.ndarray, words: int) -> np.ndarray:
+    """Words of hashes, as signed 64-bit numbers; a bit is 1 if it is set in over half of them."""
+    counts = np.zeros((8 * words, 256), dtype=np.int64)
+    for at in range(0, len(h), 1 << 16):
+        octets = _more_words(h[at : at + (1 << 16)], words).view(np.uint8).reshape(-1, 8 * words)
+        counts += np.bincount((octets + np.arange(8 * words) * 256).ravel(), minlength=2048 * words).reshape(-1, 256)
+    set_in = counts @ _BYTE_BITS
+    return np.packbits((2 * set_in > len(h)).ravel(), bitorder="little").view(np.int64)
+
+
 def simhash(text: str | None, shingle: int, words: int = 1) -> np.ndarray:
-    """Words of one text, as signed 64-bit numbers; a bit is 1 if it is set in over half of the shingles' hashes."""
+    """Words of one text, of all its shingles with their repeats."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and ASCII white space only
     if not tokens:
         return np.zeros(words, dtype=np.int64)
@@ -62,12 +79,22 @@ def simhash(text: str | None, shingle: int, words: int = 1) -> np.ndarray:
     else:
         runs = zip(*(tokens[i:] for i in range(shingle)), strict=False)
         h = np.fromiter((digest(b" ".join(run), 42) for run in runs), dtype=np.uint64, count=len(tokens) - shingle + 1)
-    counts = np.zeros((8 * words, 256), dtype=np.int64)
-    for at in range(0, len(h), 1 << 16):
-        octets = _more_words(h[at : at + (1 << 16)], words).view(np.uint8).reshape(-1, 8 * words)
-        counts += np.bincount((octets + np.arange(8 * words) * 256).ravel(), minlength=2048 * words).reshape(-1, 256)
-    set_in = counts @ _BYTE_BITS
-    return np.packbits((2 * set_in > len(h)).ravel(), bitorder="little").view(np.int64)
+    return majority(h, words)
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; a text with no more words than a shingle is one shingle."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return np.zeros(0, dtype=np.uint64)
+    if len(tokens) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(tokens), 42)], dtype=np.uint64)
+    words = np.fromiter(map(xxhash.xxh64_intdigest, tokens), dtype=np.uint64, count=len(tokens))
+    n = len(tokens) - shingle + 1
+    h = np.zeros(n, dtype=np.uint64)
+    for j in range(shingle):
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + words[j : j + n]
+    return np.unique((h ^ h >> np.uint64(32)) * np.uint64(0x94D049BB133111EB))
 
 
 def fingerprint(text: Column, shingle: int = 3, words: int = 1) -> Column:
@@ -162,67 +189,53 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def links(entries: DataFrame, width: int, budget: int, most: int | None = None, limit: int = LIMIT) -> DataFrame:
+def links(entries: DataFrame, width: int, budget: int, nodes: int, most: int | None = None, limit: int = LIMIT) -> DataFrame:
     """A spanning forest ``(a, b)`` of the nodes whose words are within the budget.
 
     ``entries``: ``tbl`` (int, one trie each), ``node`` (long), ``word`` (long, its first ``width`` bits from the top
-    count), and, if ``most`` is given, ``sketch`` (array of longs): pairs whose sketches differ in more than ``most``
-    bits are not linked.
+    count), and, if ``most`` is given, ``s0`` to ``s3`` (long): pairs that differ in more than ``most`` bits of these are
+    not linked. ``nodes``: about how many each trie has; it decides how the work is dealt out, never what is found.
     """
-    tasks = entries.withColumns({"depth": F.lit(0), "x": F.lit(0).cast("long"), "y": F.lit(0).cast("long")})
-    key = ["tbl", "depth", "x", "y"]
-    masks = [m for m in range(1 << LEVELS) if m.bit_count() <= budget]
-    done = []
-    for depth in range(0, width - LEVELS, LEVELS):
-        counts = tasks.groupBy(*key).agg(F.count("*").alias("n"))
-        counts = materialise(counts)
-        if not counts.where(F.col("n") > limit).limit(1).count():
-            break
-        sized = tasks.join(counts, key)
-        done.append(sized.where(F.col("n") <= limit).drop("n"))
-        below = F.shiftrightunsigned("word", 64 - depth - LEVELS)
-        low, side = below.bitwiseAND((1 << LEVELS) - 1), F.shiftrightunsigned("word", 64 - depth) if depth else F.lit(0).cast("long")
-        spread = sized.where(F.col("n") > limit).withColumns({"below": below, "low": low, "left": side == F.col("x")})
-        other = F.when(F.col("left"), F.col("y")).otherwise(F.col("x"))
-        spread = spread.withColumn("mask", F.explode(F.array(*map(F.lit, masks))))
-        met = F.shiftleft(other, LEVELS).bitwiseOR(F.col("low").bitwiseXOR(F.col("mask").cast("long")))
-        mine = F.col("below")
-        own = F.col("x") == F.col("y")
-        x = F.when(own, F.least(mine, met)).when(F.col("left"), mine).otherwise(met)
-        y = F.when(own, F.greatest(mine, met)).when(F.col("left"), met).otherwise(mine)
-        spread = spread.select(*[c for c in entries.columns], F.lit(depth + LEVELS).alias("depth"), x.alias("x"), y.alias("y"))
-        spread = spread.where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= budget)
-        tasks = materialise(spread)
-    for part in done:
-        tasks = tasks.unionByName(part)
+    sketch = [f"s{i}" for i in range(SKETCH)] if most is not None else []
+    segment = width // (budget + 1)
+    first = min(segment, max(0, math.ceil(math.log2(max(1, nodes) / limit)) + 1 if nodes > limit else 0))
+    turned = []
+    for turn in range(budget + 1 if first else 1):
+        shift = turn * segment
+        word = F.col("word")
+        if shift:
+            word = F.shiftleft(word, shift).bitwiseOR(F.shiftleft(F.shiftrightunsigned(word, 64 - shift), 64 - width))
+        at = F.shiftrightunsigned(word, 64 - first) if first else F.lit(0).cast("long")
+        turned.append(F.struct(word.alias("word"), F.shiftleft(F.col("tbl").cast("long") * (budget + 1) + turn, first).bitwiseOR(at).alias("task")))
+    tasks = entries.select("node", *sketch, F.inline(F.array(*turned)))
+    tasks = tasks.withColumns({"i": F.lit(0), "j": F.lit(0)})
+    crowded = materialise(tasks.groupBy("task").agg(F.count("*").alias("n")).where(F.col("n") > limit))
+    if crowded.limit(1).count():
+        cut = tasks.join(crowded, "task", "left").withColumn("parts", F.coalesce(F.ceil(2 * F.col("n") / limit), F.lit(1)).cast("int"))
+        own = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("parts")).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(own, p).alias("i"), F.greatest(own, p).alias("j")))
+        tasks = cut.drop("i", "j").select("node", *sketch, "word", "task", F.inline(pairs))
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
         """The links of one task."""
         order = np.argsort(pdf["word"].to_numpy().view(np.uint64))
         word, node = pdf["word"].to_numpy().view(np.uint64)[order], pdf["node"].to_numpy()[order]
-        depth, x, y = int(pdf["depth"].iloc[0]), int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
+        bits = np.stack([pdf[c].to_numpy().view(np.uint64)[order] for c in sketch], axis=1) if sketch else None
         n = len(word)
-        if x == y:
-            root = (depth, 0, n, 0, n, 0)
-        else:
-            middle = int(np.searchsorted(word >> np.uint64(64 - depth), np.uint64(max(x, y))))
-            root = (depth, 0, middle, middle, n, (x ^ y).bit_count())
-        sketch = np.array(pdf["sketch"].tolist(), dtype=np.int64).view(np.uint64)[order] if most is not None else None
         label = np.arange(n)
-        for a, b in _walk(word, np.array([root], dtype=np.int64), width, budget, label):
+        for a, b in _walk(word, np.array([[0, 0, n, 0, n, 0]], dtype=np.int64), width, budget, label):
             for at in range(0, len(a), FRONTIER):
                 p, q = a[at : at + FRONTIER], b[at : at + FRONTIER]
-                fresh = label[p] != label[q]
-                p, q = p[fresh], q[fresh]
-                if sketch is not None and len(p):
-                    near = np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=1, dtype=np.int64) <= most
+                apart = label[p] != label[q]
+                p, q = p[apart], q[apart]
+                if bits is not None and len(p):
+                    near = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64) <= most
                     p, q = p[near], q[near]
                 _union(label, p, q)
         hung = np.flatnonzero(label != np.arange(n))
         return pd.DataFrame({"a": node[hung], "b": node[label[hung]]})
 
-    wanted = ["node", "word", *key, *(["sketch"] if most is not None else [])]
-    return tasks.select(*wanted).groupBy(*key).applyInPandas(forest, "a long, b long").where("a != b")
+    return tasks.groupBy("task", "i", "j").applyInPandas(forest, "a long, b long").where("a != b")
 
 
 def groups(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataFrame:
@@ -232,7 +245,7 @@ def groups(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataFrame:
     """
     words = materialise(docs.select(F.col("doc_id"), fingerprint(F.col("text"), shingle)[0].alias("word")))
     nodes = materialise(words.groupBy("word").agg(F.min("doc_id").alias("least")))
-    found = links(nodes.select(F.lit(0).alias("tbl"), F.col("word").alias("node"), "word"), 64, budget)
+    found = links(nodes.select(F.lit(0).alias("tbl"), F.col("word").alias("node"), "word"), 64, budget, nodes.count())
     reach = components(materialise(found), "a", "b").withColumnRenamed("node", "word")
     named = nodes.join(reach, "word", "left").withColumn("root", F.coalesce("root", "word"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -246,18 +259,179 @@ def digest(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", word.alias("fingerprint"), "component_id")
 
 
-def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents of least doc_id of each group of similar ones, with all columns as they are.
+#: Words of a sketch that candidates are compared by.
+SKETCH = 4
+#: Share of pairs of just the asked similarity that meet in none of the tries.
+MISSED = 1e-4
+#: Texts of a block of exact comparisons.
+PART = 500
+#: Rows are looked up by so many hash values at most before an exact join: the bound of the only broadcasts here.
+SLOTS = 1 << 20
+
 
-    Rows that repeat a doc_id are one document, of which one row stays; so are the rows without one.
+def bit_share(similarity: float) -> float:
+    """Share of bits that differ between sets of such a Jaccard similarity, by the angle between sets of like size."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def tries(nodes: int, similarity: float, budget: int = 2) -> tuple[int, int]:
+    """Bits of a trie's words, and how many tries: the words grow with the logarithm of the number of texts."""
+    width = 24 + 2 * max(0, math.ceil((math.log2(max(1, nodes)) - 20) / 2))
+    p = bit_share(similarity)
+    met = sum(math.comb(width, k) * p**k * (1 - p) ** (width - k) for k in range(budget + 1))
+    return width, math.ceil(math.log(MISSED) / math.log(1 - met))
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits of a sketch, five standard errors above what sets of that similarity differ in."""
+    p, n = bit_share(similarity), 64 * SKETCH
+    return math.ceil(n * p + 5 * math.sqrt(n * p * (1 - p)))
+
+
+def _sets(text: Column, shingle: int, words: int) -> Column:
+    """``struct<node:bigint,words:array<bigint>>``: a hash of the text's set of shingles, and its SimHash."""
+
+    @F.arrow_udf("struct<node:bigint,words:array<bigint>>")
+    def sketched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            nodes, rows = np.zeros(len(batch), dtype=np.uint64), np.zeros((len(batch), words), dtype=np.int64)
+            for i, t in enumerate(batch):
+                own = shingle_set(t.as_py(), shingle)
+                nodes[i] = xxhash.xxh64_intdigest(own.tobytes())
+                if len(own):
+                    rows[i] = majority(own, words)
+            ends = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * words)
+            yield pa.StructArray.from_arrays([pa.array(nodes.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(rows.ravel()))], names=["node", "words"])
+
+    return sketched(text)
+
+
+def _least(of: list[Column]) -> Column:
+    """The order of rows: by id, those without one last, then by the hash of the text."""
+    return F.struct(of[0].isNull().alias("last"), of[0].alias("key"), of[1].alias("hash"))
+
+
+def _comparisons(shingle: int, similarity: float, most: int):
+    """A task of exact comparisons: rows of ``root, node, c, side``, sketch and text; side 2 meets side 1 only.
+
+    Rows of one ``c`` are connected already. Returns links that connect all that links in the task connect.
+    """
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int]] = []
+        for _, own in pdf.groupby("root", sort=False):
+            own = own.sort_values(["side", "node"])
+            node, side = own["node"].to_numpy(), own["side"].to_numpy()
+            bits = np.stack([own[f"s{i}"].to_numpy().view(np.uint64) for i in range(SKETCH)], axis=1)
+            sets = [shingle_set(t, shingle) for t in own["text"]]
+            label = np.unique(own["c"].to_numpy(), return_inverse=True)[1]
+            for i in range(1, len(own)):
+                near = (np.bitwise_count(bits[:i] ^ bits[i]).sum(axis=1, dtype=np.int64) <= most) & (label[:i] != label[i])
+                if side[i] == 2:
+                    near &= side[:i] == 1
+                for j in np.flatnonzero(near).tolist():
+                    if label[i] != label[j]:
+                        common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                        every = len(sets[i]) + len(sets[j]) - common
+                        if common >= similarity * every - 1e-9:
+                            found.append((node[i], node[j]))
+                            label[label == label[i]] = label[j]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return compare
+
+
+def _exact_links(members: DataFrame, shingle: int, similarity: float, part: int) -> DataFrame:
+    """``(a, b)``: links that connect all that links between members of one root connect.
+
+    ``members``: ``root, node``, sketch and text. A root with many members is cut into parts, and two of them come into
+    each. What these do not connect to the root's largest group meets all the others of the root, part by part.
+    """
+    compare = _comparisons(shingle, similarity, most_bits(similarity))
+    sizes = materialise(members.groupBy("root").agg(F.count("*").alias("m"), F.array_distinct(F.array(F.min("node"), F.max("node"))).alias("centres")))
+    tasks = max(1, members.count() // (4 * part))
+    own = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("parts")).cast("int")
+    cut = members.join(sizes.hint("merge"), "root").withColumn("parts", F.ceil(F.col("m") / part).cast("int"))
+    cut = materialise(cut.withColumn("part", own))
+    everywhere = (F.col("parts") > 1) & F.array_contains("centres", F.col("node"))
+    dealt = cut.withColumn("to", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))))
+    task = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.col("root"))
+    dealt = dealt.withColumns({"task": task, "alone": F.col("parts") > 1, "c": F.col("node"), "side": F.lit(1)})
+    sketch = [f"s{i}" for i in range(SKETCH)]
+    columns = ["root", "node", "c", "side", *sketch, "text"]
+    found = materialise(dealt.select("task", "alone", "to", *columns).groupBy("task", "alone", "to").applyInPandas(compare, "a long, b long"))
+    large = cut.where("parts > 1")
+    if not large.limit(1).count():
+        return found
+    reach = components(found, "a", "b").select(F.col("node").alias("of"), F.col("root").alias("joined"))
+    named = materialise(large.join(reach.hint("merge"), F.col("node") == F.col("of"), "left").withColumn("c", F.coalesce("joined", "node")))
+    main = named.groupBy("root", "c").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    main = materialise(main.where(F.col("all") > F.col("most")).withColumn("others", F.ceil((F.col("all") - F.col("most")) / part).cast("int")))
+    rest = named.join(main.select("root", "main", "others").hint("merge"), "root")
+    block = F.pmod(F.xxhash64(F.lit(8), "node"), F.col("others")).cast("int")
+    all_blocks, all_parts = F.sequence(F.lit(0), F.col("others") - 1), F.sequence(F.lit(0), F.col("parts") - 1)
+    ends = rest.withColumns({"side": F.lit(1), "i": F.explode(all_blocks)}).withColumn("j", F.col("part"))
+    others = rest.where("c != main").withColumns({"side": F.lit(2), "j": F.explode(all_parts)}).withColumn("i", block)
+    met = ends.select("i", "j", *columns).unionByName(others.select("i", "j", *columns))
+    return found.unionByName(materialise(met.groupBy("root", "i", "j").applyInPandas(compare, "a long, b long")))
+
+
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, part: int = PART, limit: int = 8 * LIMIT) -> DataFrame:
+    """``(key, hash, first)`` of each row: the hash of its text, and the (last, key, hash) of the first row of its group.
+
+    Texts link whose distinct shingles have that Jaccard similarity or more; all texts without words are equal. Rows are
+    told apart by id and text: equal ids with different texts, and rows without an id, are documents of their own.
+    """
+    width, count = tries(docs.count(), similarity)
+    words = max(SKETCH, -(-width * count // 64))
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), _sets(F.col(text), shingle, words).alias("f")).select("key", "hash", "f.*")
+    rows = materialise(rows)
+    sketch = [F.get("words", F.lit(i)).alias(f"s{i}") for i in range(SKETCH)]
+    nodes = materialise(rows.groupBy("node").agg(F.min(_least([F.col("key"), F.col("hash")])).alias("first"), F.first("words").alias("words")))
+    cut = []
+    for t in range(count):
+        word, shift = divmod(t * width, 64)
+        piece = F.shiftleft(F.get("words", F.lit(word)), shift)
+        if shift + width > 64:
+            piece = piece.bitwiseOR(F.shiftrightunsigned(F.get("words", F.lit(word + 1)), 64 - shift))
+        cut.append(F.shiftleft(F.shiftrightunsigned(piece, 64 - width), 64 - width))
+    entries = nodes.select("node", *sketch, F.posexplode(F.array(*cut)).alias("tbl", "word"))
+    reach = components(materialise(links(entries, width, 2, nodes.count(), most_bits(similarity), limit)), "a", "b")
+    # one text of each node that has a candidate; they are found by a slot of their row first, one of SLOTS
+    wanted = materialise(nodes.select("node", "first", *sketch).join(reach.hint("merge"), "node"))
+    slot = lambda k, h: F.pmod(F.xxhash64(k, h), F.lit(SLOTS))
+    slots = wanted.select(slot(F.col("first.key"), F.col("first.hash")).alias("slot")).distinct()
+    hashed = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    near = hashed.join(F.broadcast(slots), slot(F.col("key"), F.col("hash")) == F.col("slot"), "left_semi")
+    members = near.join(wanted.hint("merge"), near["key"].eqNullSafe(wanted["first.key"]) & (near["hash"] == wanted["first.hash"]))
+    members = materialise(members.select("root", "node", *[f"s{i}" for i in range(SKETCH)], "text").dropDuplicates(["node"]))
+    found = components(_exact_links(members, shingle, similarity, part), "a", "b")
+    named = materialise(nodes.select("node", "first").join(found.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    least = named.groupBy("root").agg(F.min("first").alias("first"))
+    each = named.select("node", "root").join(least.hint("merge"), "root").select("node", "first")
+    return rows.select("key", "hash", "node").join(each.hint("merge"), "node").select("key", "hash", "first")
+
+
+def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, **kinds) -> DataFrame:
+    """The first document of each group of similar ones, with all columns as they are; kinds: see :func:`similar`.
+
+    First is the smallest doc_id, none last, then the smallest hash of the text. Of rows that repeat both, the one with
+    the smallest hash of all columns stays, so that reruns agree.
     """
-    found = materialise(similar(docs, "doc_id", "text", shingle, similarity))
-    name, same = fresh(docs, "gone"), F.col("doc_id").eqNullSafe(F.col("component"))
-    matches = F.col("doc_id").eqNullSafe(F.col(name))
-    # as many rows as documents: never small enough to broadcast for long
-    gone = found.where(~same).select(F.col("doc_id").alias(name)).distinct().hint("merge")
-    kept = docs.join(gone, matches, "left_anti")
-    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name))
-    if again.limit(1).count():
-        kept = kept.join(again, matches, "left_anti").unionByName(kept.join(again, matches, "left_semi").dropDuplicates(["doc_id"]))
-    return kept
+    found = materialise(similar(docs, "doc_id", "text", shingle, similarity, **kinds))
+    name, of, slot = (fresh(docs, f"similar_{c}") for c in ("key", "hash", "slot"))
+    place = F.struct(F.col("key").isNull().alias("last"), "key", "hash")
+    again = found.groupBy("key", "hash", "first").agg(F.count("*").alias("times"))
+    again = materialise(again.where((place != F.col("first")) | (F.col("times") > 1)).select(F.col("key").alias(name), F.col("hash").alias(of), (place != F.col("first")).alias("goes")))
+    in_slot = F.pmod(F.xxhash64(F.col("doc_id"), F.xxhash64("text")), F.lit(SLOTS))
+    slots = F.broadcast(again.select(F.pmod(F.xxhash64(name, of), F.lit(SLOTS)).alias(slot)).distinct())
+    sure = docs.join(slots, in_slot == F.col(slot), "left_anti")
+    asked = docs.join(slots, in_slot == F.col(slot), "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col(name)) & (F.xxhash64("text") == F.col(of))
+    stays = asked.join(again.where("goes").hint("merge"), same, "left_anti")
+    twice = again.where("NOT goes")
+    if not twice.limit(1).count():
+        return sure.unionByName(stays)
+    order = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*[c for c in docs.columns])))
+    one = stays.join(twice.hint("merge"), same, "left_semi").withColumn(slot, order).where(F.col(slot) == 1).drop(slot)
+    return reduce(DataFrame.unionByName, [sure, stays.join(twice.hint("merge"), same, "left_anti"), one])
