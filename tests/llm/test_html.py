@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 import pytest
@@ -7,7 +8,7 @@ from triplane.llm import html_tagpath as H
 
 
 def test_given_pages_against_their_articles(spark):
-    """The generator's pages have one article element; the method doesn't look for it."""
+    """The generator's pages have one article element."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: r for r in H.digest(pages).collect()}
     assert len(got) == pages.count()
@@ -57,3 +58,58 @@ def test_rows_on_spark(spark):
     got = H.digest(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "", 0), (1, "a", 1), (1, "a", 1), (2, "", 0)]
     assert H.digest(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+NEUTRAL = "<html><body><div class={0}><p>Short words.</p></div><div class={1}><h1>A title</h1>{paragraphs}<ul><li>point</li></ul></div><div class={2}>Tail.</div></body></html>"
+
+
+def test_names_do_not_decide():
+    """Paths are told apart by their ratios: any class names give the same text."""
+    paragraphs = "".join(f"<p>Sentence {i}, which goes on for a while, as they do; and it ends.</p>" for i in range(6))
+    want = "A title " + " ".join(f"Sentence {i}, which goes on for a while, as they do; and it ends." for i in range(6)) + " point"
+    for names in ("a b c", "zz9 q0 x-y", "one two three", "k k1 k2"):
+        assert H.main_text(NEUTRAL.format(*names.split(), paragraphs=paragraphs)) == want
+
+
+def test_the_given_pages_without_their_names(spark):
+    """With neither article elements nor telling classes, the ratios still find nearly all articles."""
+    right, n = 0, 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        want = H.main_text(r.html)
+        page = r.html.replace('class="ad"', f'class="k{r.page_id % 7}"')
+        n, right = n + 1, right + (H.main_text(page) == want)
+    assert right >= 0.97 * n
+
+
+def test_the_threshold_decides(monkeypatch):
+    page = "<body><div class=a><p>First paragraph, long enough, with commas, and more.</p><p>Second paragraph, long enough too, with commas.</p></div><div class=b><p>A few words, no more.</p></div></body>"
+    assert H.main_text(page) == "First paragraph, long enough, with commas, and more. Second paragraph, long enough too, with commas."
+    monkeypatch.setattr(H, "THRESHOLD", 0.0)
+    assert H.main_text(page).endswith("A few words, no more.")
+    assert H.main_text(page.replace("A few words, no more.", "x")).endswith("commas.")  # the floor
+
+
+def test_names_are_one_term_of_the_score():
+    """Sections whose names only resemble furniture stay; comments and adverts go."""
+    p = "<p>Some text of the article, with commas, which is long enough to count.</p>"
+    page = f"<article>{p}<section class='side-effects'>{p}</section><section id='related-work'>{p}</section><div class='widget-form'>{p}</div><div class='comments'><p>Nice, thanks, great, and so on.</p></div><div class=ad><p>Buy, buy, buy.</p></div>{p}</article>"
+    assert H.main_text(page).count("Some text") == 5 and "Nice" not in H.main_text(page) and "Buy" not in H.main_text(page)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>x, y." * 100_000, "<div><p>x, y." * 50_000 + "</span></li></p>" * 50_000, "<a" * 500_000 + ">", "<li><table>" + "<div>" * 50_000 + "</li>" * 50_000,
+        '<p title="x' * 50_000 + ">", "<!--" * 100_000, '<p>"<' * 100_000,
+    ],
+)
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    H.main_text(page)
+    assert time.process_time() - began < 20
+
+
+def test_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>", "kept", 5)], "page_id long, url string, html string, text string, n_chars long")
+    assert [tuple(r) for r in H.digest(pages).collect()] == [(1, "u", "a", 1)]
+    assert pages.withColumn("main", H.text_of(pages.html)).collect()[0].text == "kept"

@@ -1,15 +1,19 @@
 """Main text of HTML pages by tag-path ratios.
 
 A page becomes blocks of text, each with its tag path: the open elements from the root to the block, with their first
-class. Blocks in elements that cannot hold the article (scripts, forms, menus and the like, by tag, role, class or id)
-never count. For the rest, each path gets two ratios: text length over its blocks, and punctuation over its blocks. Both
-are smoothed along the page by a Gaussian, fused by their product, and averaged over the path; paths above the threshold,
-a share of the standard deviation, are content. The siblings of a content path under its container (headings, lists,
-quotes) belong to the article as well, unless they are mostly links.
-
-One Arrow function of the html column does this, page by page, over whole pages; other columns pass untouched. A null or
-empty page has the text "". Repeated pages get equal texts. Broken markup never raises: a start tag closes what it must,
-an end tag without a start is ignored, and an open comment or script runs to the end of the page.
+class. What HTML itself keeps from the text never counts: scripts, styles, forms, navigation, footers, asides, hidden
+elements, and a header outside of an article.
+
+Each path has two ratios, text length over its blocks and punctuation over its blocks. Both are smoothed along the page by
+a Gaussian and fused by their product, which is then averaged over the path, lessened by the share of its text that stands in
+links, and weighed by what the path says: ``article`` and ``main`` for it, names of classes and ids like ``comments`` or
+``related`` against it. Paths whose score reaches the threshold, by the standard deviation of all blocks' scores and the best one, are
+content. A path under the container of a content path (headings, lists, quotes, sections) inherits that path's score,
+lessened by its own links and names, and is held against the same threshold.
+
+One Arrow function of the html column does this, page by page, over whole pages, in time linear in the page; other columns
+pass untouched. A null or empty page has the text "". Repeated pages get equal texts. Broken markup never raises: a start
+tag closes what it must, an end tag without a start is ignored, and an open comment or script runs to the end of the page.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html import unescape
 
 import numpy as np
@@ -25,9 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SMOOTH = 1.0
-#: Share of the standard deviation of the fused scores that a path's score must reach.
-THRESHOLD = 0.5
-MOST_LINKED = 0.5
+#: How much of the standard deviation of all blocks' scores, and of the best score, a path's score must reach.
+THRESHOLD, FLOOR = 1.0, 0.05
+#: Weights of a path, as logarithms: inside an article, and for each name that hints strongly or weakly at something else.
+ARTICLE, STRONG, WEAK = 2.0, -4.0, -0.5
 
 # Names of HTML.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -36,58 +42,105 @@ RAW = frozenset("script style textarea title noscript iframe template xmp noembe
 NEVER = frozenset("head nav footer aside form button select option fieldset menu dialog svg math object canvas audio video map".split()) | RAW
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul dd dt td th tr tbody thead tfoot".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
-WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments reply replies respond disqus cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup login social share sharing related recommended recommendations widget form search pagination pager copyright legal disclaimer hidden".split())
-SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table body html article section div main td th".split())
+BOUNDS = frozenset("article body html table".split())
+FREE = frozenset("article section main body html table div".split())
+KEEP_P = frozenset("button td th table".split())
+# Names of classes and ids that say what an element is.
+STRONG_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo sidebar nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar banner comment comments replies respond disqus cookie cookies consent gdpr notice notices notification alert newsletter subscribe signup login popup modal overlay pagination pager".split())
+WEAK_NAMES = frozenset("promotion side menu header reply social share sharing related recommended recommendations widget form search copyright legal disclaimer".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?¡¿…。、，！？؛،]")
 
 
-def _element(name: str, attributes: str) -> tuple[str, bool]:
-    """Step of the path, and whether the element can't hold the article."""
-    step, out = name, name in NEVER
+def _element(name: str, attributes: str) -> tuple[str, bool, float]:
+    """Step of the path, whether HTML keeps the element from the text, and the weight of its names."""
+    step, out, names = name, name in NEVER, set()
     if attributes and ("class" in attributes or "id" in attributes or "role" in attributes or "hidden" in attributes):
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key == "hidden" and m[0].lower() == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
                 out = True
-            elif key in ("class", "id") and name not in ("html", "body", "article", "main"):
+            elif key in ("class", "id"):
                 words = value.split()
-                out = out or any(w in WORDS for x in words for w in (x, *re.split(r"[-_]", x)))
+                names.update(w for x in words for w in (x, *re.split(r"[-_]", x)))
                 if key == "class" and words:
                     step = f"{name}.{words[0]}"
-    return step, out
+    if name in ("html", "body", "article", "main"):
+        return step, out, ARTICLE if name in ("article", "main") else 0.0
+    return step, out, STRONG if names & STRONG_NAMES else WEAK if names & WEAK_NAMES else 0.0
 
 
-def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(tag path, text, characters within links) of each block that may be content, in page order."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
+@dataclass
+class Paths:
+    """The tag paths of a page as a tree; a path is a number, greater than that of its parent."""
+
+    parent: list[int] = field(default_factory=lambda: [0])
+    barred: list[bool] = field(default_factory=lambda: [False])
+    weight: list[float] = field(default_factory=lambda: [0.0])
+    within: list[bool] = field(default_factory=lambda: [False])  # an article or main
+    top: list[bool] = field(default_factory=lambda: [True])  # the page itself, no container
+    known: dict = field(default_factory=dict)
+
+    def below(self, path: int, name: str, attributes: str) -> int:
+        step, never, weight = _element(name, attributes)
+        if name == "header" and not self.within[path]:
+            never = True
+        if weight > 0 and self.within[path]:
+            weight = 0.0  # an article within one
+        key = (path, step, never, weight)
+        if key not in self.known:
+            self.known[key] = len(self.parent)
+            self.parent.append(path)
+            self.barred.append(self.barred[path] or never)
+            self.weight.append(self.weight[path] + weight)
+            self.within.append(self.within[path] or weight > 0)
+            self.top.append(self.top[path] and name in ("html", "body"))
+        return self.known[key]
+
+
+def blocks(html: str) -> tuple[Paths, list[tuple[int, str, int]]]:
+    """The paths, and (path, text, characters within links) of each block that may be content, in page order."""
+    paths, out = Paths(), []
     names: list[str] = []
-    steps: list[str] = []
-    barred: list[bool] = []
+    at_path: list[int] = [0]
+    places: dict[str, list[int]] = {}  # where each name is open
+    scopes: list[int] = []
+    bounds: list[int] = []
+    keep_p: list[int] = []
     text: list[str] = []
     links = linked = 0
 
     def flush() -> None:
         nonlocal linked
         if text:
-            if not any(barred):
+            if not paths.barred[at_path[-1]]:
                 clean = " ".join(unescape("".join(text)).split())
                 if clean:
-                    out.append((tuple(steps), clean, linked))
+                    out.append((at_path[-1], clean, linked))
             text.clear()
         linked = 0
 
-    def close(at: int) -> None:
-        del names[at:], steps[at:], barred[at:]
+    def last(of) -> int:
+        own = places.get(of) if isinstance(of, str) else of
+        return own[-1] if own else -1
 
-    at, end = 0, len(html)
+    def close(at: int) -> None:
+        while len(names) > at:
+            name = names.pop()
+            at_path.pop()
+            places[name].pop()
+            for kind in (scopes, bounds, keep_p):
+                if kind and kind[-1] == len(names):
+                    kind.pop()
+
+    at, end = 0, html.rfind(">") + 1
     while at < end:
         m = _TAG.search(html, at)
         if m is None:
-            text.append(html[at:])
             break
         if m.start() > at:
             text.append(html[at : m.start()])
@@ -109,38 +162,33 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         flush()
         links = 0
         if closing:
-            for i in range(len(names) - 1, -1, -1):
-                if names[i] == name:
-                    close(i)
-                    break
-                if names[i] in ("article", "body", "html", "table") and name not in ("article", "section", "main", "body", "html", "table", "div"):
-                    break
+            own = last(name)
+            if own >= 0 and (name in FREE or last(bounds) < own):
+                close(own)
             continue
-        if name in CLOSES_P and "p" in names:
-            at_p = len(names) - 1 - names[::-1].index("p")
-            if not any(n in ("button", "td", "th", "table") for n in names[at_p:]):
-                close(at_p)
-        for i in range(len(names) - 1, -1, -1):
-            if names[i] in SAME_CLOSES.get(name, ()):
-                close(i)
-                break
-            if names[i] in SCOPES:
+        if name in CLOSES_P and last("p") > last(keep_p):
+            close(last("p"))
+        for other in SAME_CLOSES.get(name, ()):
+            if last(other) > max((x for x in scopes[-2:] if names[x] != other), default=-1):
+                close(last(other))
                 break
         attributes = m[3] if m[2] else m[6]
         if name in RAW and not attributes.endswith("/"):
             done = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
-            at = done.end() if done else end
+            at = done.end() if done else len(html)
             continue
         if name in VOID:
             continue
-        step, never = _element(name, attributes)
-        if name == "header" and not any(n in ("article", "main") for n in names):
-            never = True
+        places.setdefault(name, []).append(len(names))
+        for kind, of in ((scopes, SCOPES), (bounds, BOUNDS), (keep_p, KEEP_P)):
+            if name in of:
+                kind.append(len(names))
         names.append(name)
-        steps.append(step)
-        barred.append(never)
+        at_path.append(paths.below(at_path[-1], name, attributes))
+    if at < len(html):  # no tag ends here, but a comment or CDATA may begin
+        text.append(html[at:].partition("<!--")[0].replace("<![CDATA[", "", 1))
     flush()
-    return out
+    return paths, out
 
 
 def _smooth(values: np.ndarray) -> np.ndarray:
@@ -150,24 +198,30 @@ def _smooth(values: np.ndarray) -> np.ndarray:
 
 
 def main_text(html: str | None) -> str:
-    found = blocks(html or "")
+    paths, found = blocks(html or "")
     if not found:
         return ""
-    paths = {p: i for i, p in enumerate(dict.fromkeys(p for p, _, _ in found))}
-    of = np.array([paths[p] for p, _, _ in found])
+    own, of = np.unique([p for p, _, _ in found], return_inverse=True)
     length = np.array([len(t) for _, t, _ in found], dtype=float)
     marks = np.array([len(_PUNCTUATION.findall(t)) for _, t, _ in found], dtype=float)
     linked = np.array([x for _, _, x in found], dtype=float)
     count = np.bincount(of)
     long, dotted, in_links = (np.bincount(of, v) / count for v in (length, marks, linked))
+    unlinked = np.maximum(0.0, 1 - 2 * in_links / np.maximum(long, 1))
+    weight = np.array(paths.weight)
     fused = _smooth(long[of]) * _smooth(1 + dotted[of])
-    score = np.bincount(of, fused) / count * np.maximum(0.0, 1 - 2 * in_links / np.maximum(long, 1))
-    content = score >= min(score.max(), THRESHOLD * fused.std())
-    names = list(paths)
-    roots = {names[i][:-1] for i in np.flatnonzero(content)}
-    sibling = np.array([any(p[: len(r)] == r for r in roots if len(r) > 2 or "article" in r or "main" in r) for p in names])
-    content |= sibling & (in_links <= MOST_LINKED * long)
-    return " ".join(t for (_, t, _), i in zip(found, of, strict=True) if content[i])
+    score = np.bincount(of, fused) / count * unlinked * np.exp(weight[own])
+    least = min(score.max(), max(THRESHOLD * score[of].std(), FLOOR * score.max()))
+    # the best score of a content path goes to its container, and from there down
+    handed = np.zeros(len(weight))
+    for p, x in zip(own.tolist(), score.tolist(), strict=True):
+        if x >= least and not paths.top[up := paths.parent[p]]:
+            handed[up] = max(handed[up], x)
+    change = np.exp(weight - weight[paths.parent])
+    for p in range(1, len(weight)):
+        handed[p] = max(handed[p], handed[paths.parent[p]] * change[p])
+    content = np.maximum(score, handed[own] * unlinked) >= least
+    return " ".join(t for (_, t, _), i in zip(found, of.tolist(), strict=True) if content[i])
 
 
 def text_of(html: Column) -> Column:
