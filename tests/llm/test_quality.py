@@ -46,6 +46,30 @@ def test_attention_finds_the_passage_that_decides():
     assert ((out["score"] >= 0.5) == (label == 1)).mean() > 0.97
 
 
+def test_attention_decides_on_a_table(spark):
+    """One passage of nine makes a document bad: uniform weights can't tell, learned ones can."""
+    r = np.random.default_rng(5)
+    word = lambda letters: "".join(r.choice(list(letters), 5))
+    part = lambda letters: " ".join(word(letters) for _ in range(180))[:1000].ljust(1000, "x") + " "
+    docs, labels = [], []
+    for i in range(600):
+        parts = [part("abcdefgh" if r.random() < 0.5 else "efghijkl") for _ in range(9)]
+        if i % 2:
+            parts[r.integers(9)] = part("abcdijkl")
+        docs.append((i, "".join(parts)))
+        labels.append((i, 1 - i % 2))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    model = Q.train(docs, labels)
+    rows = [x for x in docs.collect() if zlib.crc32(str(x.doc_id).encode()) % 3 == 1]
+    truth = np.array([1 - x.doc_id % 2 for x in rows])
+    texts = [x.text for x in rows]
+    right = lambda m: ((m.score(texts) >= 0.5) == truth).mean()
+    learned = right(model)
+    weight = model.forward(*Q.encode_batch(texts))["attention"]
+    model.weights["a"] = np.zeros_like(model.weights["a"])
+    assert learned > 0.93 and right(model) < learned - 0.1 and weight.max() > 3 / 9
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in Q.digest(docs, labels).collect()}
@@ -61,6 +85,7 @@ def test_held_out_accuracy(spark):
 def test_awkward_rows(spark):
     docs = spark.createDataFrame([(1, None, 0.1), (2, "", 0.2), (2, "", 0.2), (None, "some text", None), (3, "y " * 40_000, 0.3)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, quality int")
+    assert Q.accepted(docs, labels).columns == docs.columns
     rows = Q.digest(docs, labels).collect()
     assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
     assert Q.digest(docs, labels.limit(0)).where("score = 0.5").count() == 5

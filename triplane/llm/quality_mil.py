@@ -1,7 +1,8 @@
 """Quality classifier: attention-based multiple-instance learning.
 
-A document is a bag of passages of about :data:`PASSAGE` characters, of its whole text. Each passage is encoded: shares
-of character classes, repetition and length of its words, through one learned layer. Gated attention (a tanh and a
+A document is a bag of passages of about :data:`PASSAGE` characters, of its whole text. Each passage is encoded: all runs of
+three bytes, hashed with signs into :data:`GRAMS` sums, and shares of character classes, repetition and length of words, go
+through one learned layer. Gated attention (a tanh and a
 sigmoid branch, multiplied) gives each passage a weight, the weights of a document add up to one, and the score is a
 logistic function of the weighted sum of the encodings. Only documents carry labels; the attention learns which passages
 they come from.
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 PASSAGE = 1000
 #: Labelled documents that training reads at most.
 SAMPLE = 6000
+#: Sums that the runs of three bytes are hashed into.
+GRAMS = 256
 HIDDEN, GATES = 16, 8
 EPOCHS, BATCH, RATE, DECAY = 60, 128, 0.01, 1e-4
 
@@ -36,7 +39,7 @@ CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "01234567
 _CLASS = np.full(256, len(CLASSES), dtype=np.int64)
 for _i, _chars in enumerate(CLASSES):
     _CLASS[[ord(c) for c in _chars]] = _i
-FEATURES = len(CLASSES) + 1 + 6
+FEATURES = len(CLASSES) + 1 + 6 + GRAMS
 
 
 def passages(text: str) -> list[str]:
@@ -51,7 +54,17 @@ def passages(text: str) -> list[str]:
     return out
 
 
-def features(passage: str) -> list[float]:
+def grams(raw: np.ndarray) -> np.ndarray:
+    """Signed sums of the runs of three bytes, of length one."""
+    b = raw.astype(np.uint32)
+    h = (b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)
+    h ^= h >> np.uint32(15)
+    sums = np.bincount(h % np.uint32(2 * GRAMS), minlength=2 * GRAMS)
+    out = np.sqrt(sums[:GRAMS]) - np.sqrt(sums[GRAMS:])
+    return out / max(1e-9, float(np.sqrt((out * out).sum())))
+
+
+def features(passage: str) -> np.ndarray:
     raw = np.frombuffer(passage.encode("utf-8", "surrogatepass"), dtype=np.uint8)
     n = max(1, len(raw))
     shares = np.bincount(_CLASS[raw], minlength=len(CLASSES) + 1) / n
@@ -61,13 +74,13 @@ def features(passage: str) -> list[float]:
     again = sum(map(eq, words, words[1:])) / k
     longest = max(map(len, words), default=0)
     lines = passage.split("\n")
-    return [*shares.tolist(), distinct, again, np.log1p(k), len(passage) / k / 10, np.log1p(longest), len(set(lines)) / len(lines)]
+    return np.concatenate([shares, [distinct, again, np.log1p(k), len(passage) / k / 10, np.log1p(longest), len(set(lines)) / len(lines)], grams(raw)])
 
 
 def encode_batch(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages, and how many each text has."""
     bags = [passages(t or "") for t in texts]
-    return np.array([features(p) for bag in bags for p in bag]).reshape(-1, FEATURES), np.array([len(b) for b in bags], dtype=np.int64)
+    return np.array([features(p) for bag in bags for p in bag], dtype=np.float32).reshape(-1, FEATURES), np.array([len(b) for b in bags], dtype=np.int64)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -149,18 +162,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     order = F.xxhash64("doc_id")
     chosen = known.select("doc_id", F.col(label).cast("double").alias("quality_label")).orderBy(order, "doc_id", "quality_label").limit(sample)
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf("array<float>")
     def bag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = [encode_batch([t.as_py()])[0].ravel() for t in batch]
-            yield pa.array(rows, type=pa.list_(pa.float64()))
+            yield pa.array(rows, type=pa.list_(pa.float32()))
 
     # the sample is bounded, and so is what comes back
     met = docs.select("doc_id", F.col("text").alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = met.select("doc_id", "quality_label", bag(F.col("text")).alias("bag")).toPandas()
     rows["size"] = rows["bag"].map(len)
     rows = rows.iloc[np.lexsort([rows["size"], rows["doc_id"]])] if len(rows) else rows
-    x = np.concatenate([*rows["bag"], np.zeros(0)]).reshape(-1, FEATURES)
+    x = np.concatenate([*rows["bag"], np.zeros(0, np.float32)]).reshape(-1, FEATURES)
     return fit(x, rows["size"].to_numpy(dtype=np.int64) // FEATURES, rows["quality_label"].to_numpy(dtype=float))
 
 
