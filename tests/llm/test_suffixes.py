@@ -2,8 +2,6 @@ import random
 from collections import defaultdict
 
 import numpy as np
-import pytest
-
 from triplane.llm import suffix_sparse as S
 
 
@@ -42,9 +40,7 @@ def test_windows_choose_alike():
     assert set(inner.tolist()) <= kept
 
 
-@pytest.mark.parametrize("crowded", [1000, 5])
-def test_against_all_runs(spark, monkeypatch, crowded):
-    monkeypatch.setattr(S, "CROWDED", crowded)
+def test_against_all_runs(spark):
     r = random.Random(7)
     word = lambda: "".join(r.choices("abcdefghij", k=4))
     passages = [[word() for _ in range(n)] for n in (49, 50, 51, 60, 130, 400)]
@@ -71,3 +67,52 @@ def test_given_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     check(spark, [(r.doc_id, r.text) for r in docs.collect()])
     assert S.passages(docs.limit(0)).count() == 0
+
+
+def kept_words(rows):
+    """Words of each document that stay: those in no 50-word run that a smaller doc_id has too."""
+    first = {}
+    words = [(i, (t or "").split()) for i, t in rows]
+    for i, w in sorted((x for x in words if x[0] is not None), key=lambda x: x[0]):
+        for at in range(len(w) - S.LENGTH + 1):
+            first.setdefault(tuple(w[at : at + S.LENGTH]), i)
+    out = []
+    for i, w in words:
+        gone = set()
+        for at in range(len(w) - S.LENGTH + 1):
+            if i is not None and first[tuple(w[at : at + S.LENGTH])] != i:
+                gone |= set(range(at, at + S.LENGTH))
+        out.append([x for k, x in enumerate(w) if k not in gone])
+    return out
+
+
+def test_all_copies_but_one_go(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcdé", k=5))
+    shared = [[word() for _ in range(n)] for n in (50, 70, 200)]
+    rows = []
+    for i in range(30):
+        t = [word() for _ in range(r.randrange(0, 60))]
+        for _ in range(r.randrange(0, 3)):
+            t += r.choice(shared) + [word() for _ in range(r.randrange(0, 30))]
+        rows.append((50 - i, r.choice([" ", "\n"]).join(t)))
+    rows += [(None, " ".join(shared[0])), (None, None), (7, rows[2][1]), (90, rows[2][1]), (91, None), (92, "")]
+    docs = spark.createDataFrame([(i, t, str(n)) for n, (i, t) in enumerate(rows)], "doc_id long, text string, repeats_id string")
+    out = S.without_repeats(docs)
+    assert out.columns == docs.columns
+    got = {int(x.repeats_id): x.text for x in out.collect()}
+    assert [(got[n] or "").split() for n in range(len(rows))] == kept_words(rows)
+    assert got[0] == rows[0][1] or len(got[0]) < len(rows[0][1])
+    assert S.without_repeats(docs.limit(0)).count() == 0
+
+
+def test_families_with_longer_common_starts(spark):
+    """Thirty families share 40 words; two documents of each also the 12 words before."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    rows = []
+    for f in range(30):
+        body, start = [word() for _ in range(40)], [word() for _ in range(12)]
+        for k in range(20):
+            rows.append((100 * f + k, " ".join([word() for _ in range(30)] + (start if k < 2 else []) + body + [word() for _ in range(30)])))
+    check(spark, rows)

@@ -14,6 +14,8 @@ therefore goes on equally for 25 words at least in each copy. So:
 So each run meets every other one like it, however many there are and whatever stands around them. All steps are sums that
 combine before the shuffle, and joins with one row per key on one side. Words and runs are compared by 64-bit hashes.
 
+:func:`without_repeats` keeps a run in the document of the smallest doc_id that has it, and cuts its words from all others.
+
 Words are runs without ASCII white space, and case counts. Documents are told apart by doc_id; rows that repeat one are one
 document. Rows without a doc_id cannot be reported and are skipped, null texts have no words. An empty table has no
 passages.
@@ -21,6 +23,7 @@ passages.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +32,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from triplane.shared import materialise
+from triplane.shared import fresh, materialise
 
 LENGTH = 50
 GRAM, WINDOW = 10, 26
 #: Words that a match goes on for from its first kept suffix: LENGTH - WINDOW + 1.
 AHEAD = LENGTH - WINDOW + 1
-#: Not read any more: no group is cut, whatever its size.
-CROWDED = 1000
 
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -136,12 +138,13 @@ def runs_of(text: Column, places: Column) -> Column:
     return runs(text, places)
 
 
-def marks(docs: DataFrame) -> DataFrame:
-    """``(doc_id, first, last)``: stretches of words in a match, which may overlap."""
+def _stretches(docs: DataFrame) -> DataFrame:
+    """``(doc_id, kept_in, first, last)``: stretches of words in a match, which may overlap, by the first document that has it."""
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("hash"), "text")
     kept = materialise(docs.select("doc_id", "hash", F.inline(anchors(F.col("text")))))
     keys = kept.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    shared = keys.where("least != most").select("key")
+    # written first: Spark deals a crowded side of a join anew only where no sum shares its stage
+    shared = materialise(keys.where("least != most").select("key"))
     near = materialise(kept.join(shared.hint("merge"), "key").drop("key"))
     places = near.groupBy("context").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min(F.struct("doc_id", "hash", "pos")).alias("one"))
     wanted = places.groupBy("one.doc_id", "one.hash").agg(F.collect_list(F.struct("one.pos", "context", "least", "most")).alias("places"))
@@ -149,18 +152,50 @@ def marks(docs: DataFrame) -> DataFrame:
     listed = met.select("places", F.inline(runs_of(F.col("text"), F.col("places.pos"))))
     place = F.get("places", F.col("i"))
     runs = materialise(listed.select(place["context"].alias("context"), place["least"].alias("least"), place["most"].alias("most"), "back", "run"))
-    common = runs.groupBy("run").agg(F.min("least").alias("from"), F.max("most").alias("to")).where(F.col("from") != F.col("to")).select("run")
-    hits = runs.join(common.hint("merge"), "run").groupBy("context").agg(F.max("back").alias("behind"), F.min("back").alias("inside"))
-    found = near.join(hits.hint("merge"), "context")
-    return found.select("doc_id", (F.col("pos") - F.col("behind")).cast("long").alias("first"), (F.col("pos") - F.col("inside") + LENGTH).cast("long").alias("last"))
+    common = runs.groupBy("run").agg(F.min("least").alias("kept_in"), F.max("most").alias("to")).where(F.col("kept_in") != F.col("to")).select("run", "kept_in")
+    # every run of a context holds its kept suffix, so what they cover is one stretch
+    hits = runs.join(materialise(common).hint("merge"), "run").groupBy("context", "kept_in").agg(F.max("back").alias("behind"), F.min("back").alias("inside"))
+    found = near.join(materialise(hits).hint("merge"), "context")
+    return found.select("doc_id", "hash", "kept_in", (F.col("pos") - F.col("behind")).cast("long").alias("first"), (F.col("pos") - F.col("inside") + LENGTH).cast("long").alias("last"))
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """``(doc_id, first_word, n_words)``: one row for each repeated passage of a document, overlapping matches as one."""
-    found = marks(docs).distinct()
-    order = Window.partitionBy("doc_id").orderBy("first", "last")
+def _merged(stretches: DataFrame, by: list[str]) -> DataFrame:
+    """Stretches that overlap or touch as one: ``first_word, n_words``."""
+    order = Window.partitionBy(*by).orderBy("first", "last")
     reached = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = found.withColumn("opens", F.coalesce(F.col("first") > reached, F.lit(True)).cast("int"))
+    opened = stretches.distinct().withColumn("opens", F.coalesce(F.col("first") > reached, F.lit(True)).cast("int"))
     numbered = opened.withColumn("passage", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = numbered.groupBy("doc_id", "passage").agg(F.min("first").alias("first_word"), F.max("last").alias("last"))
-    return merged.select("doc_id", "first_word", (F.col("last") - F.col("first_word")).alias("n_words"))
+    merged = numbered.groupBy(*by, "passage").agg(F.min("first").alias("first_word"), F.max("last").alias("last"))
+    return merged.select(*by, "first_word", (F.col("last") - F.col("first_word")).alias("n_words"))
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """``(doc_id, first_word, n_words)``: one row for each repeated passage of a document, overlapping matches as one."""
+    return _merged(_stretches(docs).select("doc_id", "first", "last"), ["doc_id"])
+
+
+def cut(text: str, stretches: list[tuple[int, int]]) -> str:
+    """``text`` without these stretches of words (first, number); what separates a stretch from the word before goes too."""
+    raw = text.encode("utf-8", "surrogatepass")
+    ends = [m.span() for m in _WORD.finditer(raw)]
+    out, at = [], 0
+    for first, n in sorted(stretches):
+        out.append(raw[at : ends[first - 1][1] if first else 0])
+        at = ends[first + n - 1][1]
+    return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with each repeated passage cut from all documents but the first that has it; all rows and columns stay."""
+    repeats = _stretches(docs).where("doc_id != kept_in").select("doc_id", "hash", "first", "last")
+    id_, hash_, cuts = (fresh(docs, f"repeats_{c}") for c in ("id", "hash", "cuts"))
+    each = _merged(repeats, ["doc_id", "hash"]).groupBy(F.col("doc_id").alias(id_), F.col("hash").alias(hash_)).agg(F.collect_list(F.struct("first_word", "n_words")).alias(cuts))
+
+    @F.arrow_udf("string")
+    def shorter(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, stretches in batches:
+            rows = zip(texts.to_pylist(), stretches.to_pylist(), strict=True)
+            yield pa.array([t if not s or t is None else cut(t, [(x["first_word"], x["n_words"]) for x in s]) for t, s in rows], type=pa.string())
+
+    both = docs.join(materialise(each).hint("merge"), (F.col("doc_id") == F.col(id_)) & (F.xxhash64("text") == F.col(hash_)), "left")
+    return both.withColumn("text", shorter(F.col("text"), F.col(cuts))).select(*docs.columns)
