@@ -9,8 +9,8 @@ its expected copies, and neighbours of like size make up for each other, which k
 The sums are exact, in 2**-24 of a copy. They come from a range partitioning by source and size, sums of each part, and
 windows within the parts, so that one source with most of the documents is spread like any other. Reruns agree.
 
-Sizes count words; a null text has none. A null source is a source of its own, the last. Rows that repeat a doc_id are
-mixed one by one. An empty table gives no rows; where no source has words, all targets are zero.
+Sizes count words; a null text has none. A null source is a source of its own, the last. Sources are few: windows over one
+row for each of them are small. Rows that repeat a doc_id, or have none, are mixed one by one. An empty table gives no rows; where no source has words, all targets are zero.
 """
 
 from __future__ import annotations
@@ -64,32 +64,36 @@ def _before(df: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
 
 
 def plan(docs: DataFrame, seed: str = "mix", **kinds) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, copies)`` of each document; kinds: see :func:`targets`."""
-    sized = materialise(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")))
+    """``(doc_id, source, hash, size, source_size, target, copies)`` of each document; hash: of its text; kinds: see :func:`targets`."""
+    sized = materialise(docs.select("doc_id", "source", F.xxhash64("text").alias("hash"), size_of(F.col("text")).alias("size")))
     goal = materialise(targets(sized, **kinds))
     goal = goal.select(F.col("source").alias("of"), "source_size", "target")
     per_doc = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT)).otherwise(0).cast("long")
-    both = sized.join(F.broadcast(goal), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("expected", per_doc)
-    lined = _before(both, "source", ["size", "doc_id"], "expected")
+    both = sized.join(goal, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("expected", per_doc)
+    lined = _before(both, "source", ["size", "doc_id", "hash"], "expected")
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce("source", F.lit("")))), 1, 6), 16, 10).cast("long")
     crossed = F.floor((F.col("before") + F.col("expected") + draw) / UNIT) - F.floor((F.col("before") + draw) / UNIT)
-    return lined.select("doc_id", "source", "size", "source_size", "target", crossed.cast("long").alias("copies"))
+    return lined.select("doc_id", "source", "hash", "size", "source_size", "target", crossed.cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, **kinds) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with all columns as they are."""
-    lined = plan(docs, **kinds).select("doc_id", "source", "size", "copies")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size"))
-    lined = materialise(lined.withColumn("nth", nth))
-    key, own, at, times, copy = (fresh(docs, f"mix_{c}") for c in ("key", "own", "at", "times", "copy"))
-    again = lined.where("nth > 1").select(F.col("doc_id").alias(key)).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col(key))
+    """The mix itself: each row of ``docs`` as often as it is taken, with all columns as they are.
+
+    Rows are told apart by id, source and text; those that repeat all three are taken in any order.
+    """
+    same_row = ["doc_id", "source", "hash"]
+    lined = plan(docs, **kinds).select(*same_row, "copies")
+    lined = materialise(lined.withColumn("nth", F.row_number().over(Window.partitionBy(*same_row).orderBy("copies"))))
+    key, of, text, own, at, times, copy = (fresh(docs, f"mix_{c}") for c in ("key", "of", "text", "own", "at", "times", "copy"))
+    names = [F.col(c).alias(n) for c, n in zip(same_row, (key, of, text), strict=True)]
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(text))
+    again = lined.where("nth = 2").select(*names)
     numbered = docs.withColumn(own, F.lit(1))
     if again.limit(1).count():
-        count = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", size_of(F.col("text"))))
+        count = F.row_number().over(Window.partitionBy("doc_id", "source", F.xxhash64("text")).orderBy(F.lit(1)))
         once = docs.join(again, same, "left_anti").withColumn(own, F.lit(1))
         numbered = once.unionByName(docs.join(again, same, "left_semi").withColumn(own, count))
-    taken = lined.where("copies > 0").select(F.col("doc_id").alias(key), F.col("nth").alias(at), F.col("copies").alias(times))
+    taken = lined.where("copies > 0").select(*names, F.col("nth").alias(at), F.col("copies").alias(times))
     # as many rows as documents: never small enough to broadcast for long
     met = numbered.join(taken.hint("merge"), same & (F.col(own) == F.col(at)))
     every = met.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
