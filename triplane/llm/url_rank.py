@@ -5,10 +5,10 @@ two walks over the edges between hosts: trust flows from the hosts of allowed pa
 distrust flows from the hosts of blocked pages against them, to those that link there. A host's seed is the share of its
 pages under such rules. A host is blocked if its distrust reaches :data:`THRESHOLD` and exceeds its trust.
 
-Edges come from absolute links in the pages' html, counted per pair of hosts before the shuffle; links within a host are
-none. Each round is one join and one sum over the edges, written to the shared folder; rounds end when nothing moves by
-more than :data:`SETTLED`, or at once without edges. Rank that
-reaches a host without links ends there.
+Edges come from absolute links in the pages' html, outside of scripts, styles and comments, counted per pair of hosts before
+the shuffle; links within a host are none. Each round is one join and one sum over the edges, written to the shared folder;
+rounds end when no host moves by more than :data:`SETTLED` of the threshold, or at once without edges, and raise if they
+don't. Rank that reaches a host without links ends there.
 
 Urls that are null or have no ``://`` have an empty host and path; no rule fits them and they are allowed, as are hosts
 that no walk reaches. Null html has no links. Repeated pages keep their rows.
@@ -26,7 +26,8 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 DAMPING = 0.85
 THRESHOLD = 0.5 * (1 - DAMPING)
 SETTLED = 1e-3
-MOST_ROUNDS = 50
+#: What is left of a seed after so many rounds is 0.85**200, about 1e-14.
+MOST_ROUNDS = 200
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -49,7 +50,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``(src, dst, n)``: links from pages of one host to another."""
-    links = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit("(?i)<a\\s[^>]*?href\\s*=\\s*[\"']?\\s*((?:[a-z][a-z0-9+.-]*:)?//[^\"'\\s>]*)"), 1)
+    shown = F.regexp_replace(F.coalesce(html, F.lit("")), "(?is)<!--.*?(?:-->|\\z)|<(script|style)\\b.*?(?:</\\1\\b|\\z)", " ")
+    links = F.regexp_extract_all(shown, F.lit("(?i)<a\\s[^>]*?href\\s*=\\s*[\"']?\\s*((?:[a-z][a-z0-9+.-]*:)?//[^\"'\\s>]*)"), 1)
     to = F.transform(links, lambda x: host_of(F.when(x.startswith("//"), F.concat(F.lit("x:"), x)).otherwise(x)))
     each = pages.select(host_of(F.col(url)).alias("src"), F.explode(to).alias("dst"))
     return each.where("src != dst AND src != '' AND dst != ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
@@ -73,9 +75,9 @@ def walk(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> DataFr
         if before is not None:
             discard(before)
         rank = before = after
-        if (moved or 0.0) <= SETTLED:
-            break
-    return rank
+        if (moved or 0.0) <= SETTLED * THRESHOLD:
+            return rank
+    raise RuntimeError("ranks did not settle")
 
 
 def verdicts(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
