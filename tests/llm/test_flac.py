@@ -38,9 +38,9 @@ def test_blocks_can_be_sought():
 
 def test_every_flipped_bit_is_noticed():
     (stream,) = M._encode_slice([b"some text that is coded by residuals, some text again and again " * 20])
-    for at in range(42 + 4 + 18, len(stream), 7):
+    for bit in range(8 * (42 + 4 + 18), 8 * len(stream)):
         bad = bytearray(stream)
-        bad[at] ^= 4
+        bad[bit // 8] ^= 1 << bit % 8
         with pytest.raises(M.CorruptMedia):
             M._decode_slice([bytes(bad)])
 

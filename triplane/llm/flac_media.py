@@ -527,10 +527,11 @@ def decode(media: Column) -> Column:
 
 
 def pcm_blocks(df: DataFrame, key: str, media: str) -> DataFrame:
-    """One row per PCM block of each stream: key, first_sample, byte_offset, samples, pcm."""
-    read = df.select(F.col(key), decode(F.col(media)).alias("read"))
-    each = read.select(F.col(key), F.col("read.pcm").alias("all"), F.inline("read.blocks"))
-    return each.withColumn("pcm", F.expr("substring(all, int(first_sample) + 1, samples)")).drop("all")
+    """One row per PCM block of each stream: key, first_sample, byte_offset, samples, pcm. Each block is cut from the payload before rows are made."""
+    read = decode(F.col(media))
+    cut = lambda all_: F.transform(all_["blocks"], lambda b: F.struct(b["first_sample"].alias("first_sample"), b["byte_offset"].alias("byte_offset"), b["samples"].alias("samples"), F.substring(all_["pcm"], b["first_sample"].cast("int") + 1, b["samples"]).alias("pcm")))
+    each = df.select(F.col(key), read.alias("read")).select(F.col(key), cut(F.col("read")).alias("blocks"))
+    return each.select(F.col(key), F.inline("blocks"))
 
 
 def payload(text: Column) -> Column:
