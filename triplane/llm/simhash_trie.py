@@ -25,7 +25,7 @@ id.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -311,6 +311,23 @@ def _least(of: list[Column]) -> Column:
     return F.struct(of[0].isNull().alias("last"), of[0].alias("key"), of[1].alias("hash"))
 
 
+def _shared(sets: list[np.ndarray]) -> tuple[Callable[[int], np.ndarray], np.ndarray]:
+    """A function of i: how many elements set i has in common with each; and the sizes."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    element = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(element, kind="stable")]  # of each element in turn
+    times = np.bincount(element)
+    first, ends = np.cumsum(times) - times, np.cumsum(sizes)
+
+    def common_with(i: int) -> np.ndarray:
+        own = element[ends[i] - sizes[i] : ends[i]]
+        n = times[own]
+        at = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(owner[at], minlength=len(sets))
+
+    return common_with, sizes
+
+
 def _comparisons(shingle: int, similarity: float, most: int):
     """A task of exact comparisons: rows of ``root, node, c, side``, sketch and text; side 2 meets side 1 only.
 
@@ -323,19 +340,19 @@ def _comparisons(shingle: int, similarity: float, most: int):
             own = own.sort_values(["side", "node"])
             node, side = own["node"].to_numpy(), own["side"].to_numpy()
             bits = np.stack([own[f"s{i}"].to_numpy().view(np.uint64) for i in range(SKETCH)], axis=1)
-            sets = [shingle_set(t, shingle) for t in own["text"]]
+            common_with, sizes = _shared([shingle_set(t, shingle) for t in own["text"]])
             label = np.unique(own["c"].to_numpy(), return_inverse=True)[1]
             for i in range(1, len(own)):
                 near = (np.bitwise_count(bits[:i] ^ bits[i]).sum(axis=1, dtype=np.int64) <= most) & (label[:i] != label[i])
                 if side[i] == 2:
                     near &= side[:i] == 1
+                if near.any():
+                    common = common_with(i)[:i]
+                    near &= common >= similarity * (sizes[:i] + sizes[i] - common) - 1e-9
                 for j in np.flatnonzero(near).tolist():
                     if label[i] != label[j]:
-                        common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                        every = len(sets[i]) + len(sets[j]) - common
-                        if common >= similarity * every - 1e-9:
-                            found.append((node[i], node[j]))
-                            label[label == label[i]] = label[j]
+                        found.append((node[i], node[j]))
+                        label[label == label[i]] = label[j]
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     return compare
