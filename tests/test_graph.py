@@ -52,13 +52,14 @@ def test_negatives_never_keep_the_true_id(spark):
 
 def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "t.csv").write_text('pred,sub,obj\np,"a ""x"", b","line\nbreak"\nq,,c\n')
-    rows = readers.read_triples_csv(spark, str(tmp_path / "t.csv")).orderBy("place").collect()
-    assert [(r["sub"], r.pred, r.obj) for r in rows] == [('a "x", b', "p", "line\nbreak"), ("", "q", "c")]
+    rows = readers.read_triples_csv(spark, str(tmp_path / "t.csv")).orderBy("pos").collect()
+    assert [(r["head"], r.relation, r.tail, r.pos) for r in rows] == [('a "x", b', "p", "line\nbreak", 0), ("", "q", "c", 1)]
+    assert readers.read_statements_csv(spark, str(tmp_path / "t.csv")).columns == ["sub", "pred", "obj", "pos"]
     (tmp_path / "bad.csv").write_text("a,b,c\n1,2,3\n")
     with pytest.raises(ValueError):
         readers.read_triples_csv(spark, str(tmp_path / "bad.csv"))
     (tmp_path / "t.tsv").write_text("a\tp\tb\n\n  \nc\tq\t\n")
-    assert [(r["head"], r.relation, r.tail) for r in readers.read_triples_tsv(spark, str(tmp_path / "t.tsv")).orderBy("place").collect()] == [("a", "p", "b"), ("c", "q", "")]
+    assert [(r["head"], r.relation, r.tail, r.pos) for r in readers.read_triples_tsv(spark, str(tmp_path / "t.tsv")).orderBy("pos").collect()] == [("a", "p", "b", 0), ("c", "q", "", 1)]
     (tmp_path / "w.tsv").write_text("a\tp\n")
     with pytest.raises(Exception, match="not three fields"):
         readers.read_triples_tsv(spark, str(tmp_path / "w.tsv")).collect()
@@ -80,6 +81,75 @@ def test_readers_and_writers(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 3
 
 
+@pytest.mark.parametrize("kind", ["csv", "tsv", "nt"])
+def test_from_a_file_to_split_ids(spark, tmp_path, kind):
+    """File to dictionary, indexed triples and split, as a user does it."""
+    rows = [(f"http://x/{'abc'[i % 3]}{i % 11}", f"http://x/p{i % 4}", f"http://x/t{i % 7}") for i in range(100)]
+    path = str(tmp_path / f"g.{kind}")
+    with open(path, "w") as f:
+        if kind == "csv":
+            f.write("sub,pred,obj\n")
+        for r in rows:
+            f.write({"csv": ",".join(r), "tsv": "\t".join(r), "nt": " ".join(f"<{x}>" for x in r) + " ."}[kind] + "\n")
+    if kind == "nt":
+        t = readers.rdf_triples(readers.read_ntriples(spark, path, dedupe=False))
+    else:
+        t = (readers.read_triples_csv if kind == "csv" else readers.read_triples_tsv)(spark, path)
+    assert [(x["head"], x.relation, x.tail) for x in t.orderBy("pos").collect()] == rows
+    e, r = vocab.entity_vocab(t), vocab.relation_vocab(t)
+    names, ids = {}, {x.entity: x.id for x in e.collect()}
+    for h, _, tail in rows:
+        names.setdefault(h, len(names))
+        names.setdefault(tail, len(names))
+    assert ids == names
+    indexed = vocab.check_ids(vocab.index_triples(t, e, r), len(names), 4)
+    parts = sample.split_exact(indexed, (0.8,), ("train", "test"))
+    assert {x.part: x["count"] for x in parts.groupBy("part").count().collect()} == {"train": 80, "test": 20}
+    with pytest.raises(Exception, match="out of range"):
+        vocab.check_ids(indexed, len(names) - 1, 4).collect()
+
+
+def test_files_are_numbered_in_order(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"part-{i}.tsv").write_text("".join(f"h{i}\tp\tt{k}\n" for k in range(4)))
+    got = readers.read_triples_tsv(spark, str(tmp_path)).orderBy("pos").collect()
+    assert [(r["head"], r.tail, r.pos) for r in got] == [(f"h{i}", f"t{k}", 4 * i + k) for i in range(3) for k in range(4)]
+
+
+def test_literals_long_and_escaped(spark):
+    cases = {
+        r"tab\there": "tab\there", r"slash\\\\t": "slash\\\\t", r"\u00e9\U0001F600": "é😀", r"\b\f\r\n\'\"": "\b\f\r\n'\"", r"end\\": "end\\", "x" * 300_000: "x" * 300_000,
+        r"\"a" * 100_000: '"a' * 100_000,
+    }
+    lines = [(f'<http://x/a> <http://x/p> "{raw}"@en .', i) for i, raw in enumerate(cases)]
+    got = {r.pos: r.obj for r in readers.parse_ntriples(spark.createDataFrame(lines, "line string, pos long")).collect()}
+    assert [got[i].lexical for i in range(len(cases))] == list(cases.values()) and got[0].lang == "en"
+
+
+def test_metrics_and_tensors(spark, tmp_path):
+    history = train.history_table(spark, [{"epoch": 0, "mean_loss": 0.5, "updates": 3}, {"epoch": 1, "mean_loss": 0.25, "updates": 2}])
+    evaluation = spark.createDataFrame([(5, 1.5)], "n long, mean_rank double")
+    sinks.write_metrics(str(tmp_path / "m"), history, {"dim": 16, "rate": 0.1}, basic=evaluation, subset=evaluation)
+    row = spark.read.json(str(tmp_path / "m")).first()
+    assert row.config.dim == 16 and [h.mean_loss for h in row.history] == [0.5, 0.25] and row.basic.mean_rank == row.subset.mean_rank == 1.5
+    parameters = train.boxe_parameters(spark.range(3), train.BOXE_RELATION, 4)
+    sinks.write_tensors(parameters, str(tmp_path / "t"))
+    assert {n: readers.read_vectors(spark, str(tmp_path / "t" / n), 3).count() for n in train.BOXE_RELATION} == dict.fromkeys(train.BOXE_RELATION, 3)
+
+
+def test_report_text_and_json(spark):
+    import json
+
+    t = triples(spark, [("imgt:a_1", "p", "imgt:b_1"), ("imgt:a_2", "q", "imgt:a_1")]).withColumn("split", F.lit("train"))
+    notes = spark.createDataFrame([("imgt:a_1", "http://www.w3.org/2000/01/rdf-schema#label", "one", 0)], "sub string, pred string, obj string, pos long")
+    rows = profile.routed(notes, t)
+    of = profile.report_rows(t, profile.entity_dim(t, rows), rows, "a")
+    told = json.loads(profile.report(of).first().report)
+    assert [x["name"] for x in told["member"]] == ["imgt:a_1", "imgt:a_2"] and told["split"][0]["n"] == 2
+    lines = [r.line for r in profile.text_report(of).orderBy("section", "rank", "line").collect()]
+    assert lines[0] == "Splits" and "- a: 2 | a|" in "\n".join(lines)
+
+
 def test_ntriples(spark):
     lines = ['<http://x/a> <http://x/p> "hi"@en .', '_:b0 <http://x/p> "5"^^<http://www.w3.org/2001/XMLSchema#integer> .', '<http://x/a> <http://x/p> "hi"@en .', "# comment", "", '<http://x/a> <http://x/q> "a \\"b\\" <c> ." .', "<http://x/a> <http://x/p> _:b1 ."]
     df = spark.createDataFrame([(x, i) for i, x in enumerate(lines)], "line string, pos long")
@@ -111,6 +181,22 @@ def test_blocked_ranks_equal_the_join(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+@pytest.mark.parametrize("target", ["head", "relation"])
+@pytest.mark.parametrize("scorer", [R.squared_distance, R.dot_score])
+def test_ranks_of_heads_and_relations_against_numpy(spark, target, scorer):
+    rng = np.random.default_rng(4)
+    x = rng.integers(-4, 5, (30, 5)).astype(float)
+    tests = [(i, i % 6, (i * 7) % 30) for i in range(30)]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    got = {(r.head_id, r.relation_id, r.tail_id): (r.better, r.equal) for r in R.ranks(spark.createDataFrame(tests, "head_id long, relation_id long, tail_id long"), vectors, vectors.where("id < 6"), scorer, target, block=7, candidates=11).collect()}
+    for h, r, t in tests:
+        pool, own = (x, h) if target == "head" else (x[:6], r)
+        one = lambda v: scorer(*((v, x[r]) if target == "head" else (x[h], v)), x[t : t + 1])[0, 0]  # noqa: B023, E731
+        s = np.array([one(v[None]) if target == "head" else scorer(x[h : h + 1], v[None], x[t : t + 1])[0, 0] for v in pool]) if target == "relation" else np.array([scorer(v[None], x[r : r + 1], x[t : t + 1])[0, 0] for v in pool])
+        other = np.arange(len(pool)) != own
+        assert got[(h, r, t)] == (int(((s > s[own]) & other).sum()), int(((s == s[own]) & other).sum()))
+
+
 def test_graph_layer_against_numpy(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(5, 4))
@@ -134,11 +220,47 @@ def test_training_lowers_the_loss(spark):
     relations = train.random_table(spark.range(2), "r", 8)
     _, _, history = train.train_transe(t, train.random_table(ids, "e", 8), relations, epochs=3, n_batches=1)
     assert len(history) == 3 and history[-1]["mean_loss"] * history[-1]["updates"] < history[0]["mean_loss"] * history[0]["updates"]
+    entities, moved, history = train.train_transe(t, train.random_table(ids, "e", 8), relations, epochs=3, n_batches=1, rate=0.05, optimizer="adam", negatives="bernoulli", p=1)
+    assert history[-1]["mean_loss"] * history[-1]["updates"] < history[0]["mean_loss"] * history[0]["updates"]
+    assert entities.columns == moved.columns == ["id", "vec"] and entities.count() == 60
     e, r = train.boxe_parameters(ids, train.BOXE_ENTITY, 4), train.boxe_parameters(spark.range(2), train.BOXE_RELATION, 4)
     _, _, history = train.train_boxe(t, e, r, epochs=3)
     assert history[-1]["mean_loss"] < history[0]["mean_loss"]
 
 
+def test_one_step_of_training_against_numpy(spark):
+    """One batch of one epoch, from the same negatives."""
+    t = spark.range(40).select(F.col("id").alias("pos"), F.col("id").alias("head_id"), (F.col("id") % 2).alias("relation_id"), ((F.col("id") + 1) % 40).alias("tail_id"))
+    e, r = train.random_table(spark.range(40), "e", 6), train.random_table(spark.range(2), "r", 6)
+    got_e, got_r, history = train.train_transe(t, e, r, epochs=1, n_batches=1, rate=0.1, margin=1.0)
+    x = np.array([v.vec for v in e.orderBy("id").collect()], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.array([v.vec for v in r.orderBy("id").collect()], dtype=float)
+    dx, dy, losses = np.zeros_like(x), np.zeros_like(y), []
+    wrong = {w.pos: w for w in sample.uniform_negatives(t, 40, 2, seed=0).collect()}
+    for w in t.collect():
+        n = wrong[w.pos]
+        good, bad = x[w.head_id] + y[w.relation_id] - x[w.tail_id], x[n.head_id] + y[n.relation_id] - x[n.tail_id]
+        loss = 1.0 + np.linalg.norm(good) - np.linalg.norm(bad)
+        if loss > 0:
+            losses.append(loss)
+            for s, v, q in ((1, good, w), (-1, bad, n)):
+                g = s * v / np.linalg.norm(v)
+                dx[q.head_id] += g
+                dy[q.relation_id] += g
+                dx[q.tail_id] -= g
+    x -= 0.1 * dx
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.allclose([v.vec for v in got_e.orderBy("id").collect()], x) and np.allclose([v.vec for v in got_r.orderBy("id").collect()], y - 0.1 * dy)
+    assert history[0]["updates"] == len(losses) and history[0]["mean_loss"] == pytest.approx(np.mean(losses))
+
+
+def test_search_uses_each_trial(spark):
+    t = spark.range(60).select(F.col("id").alias("pos"), F.col("id").alias("head_id"), F.lit(0).cast("long").alias("relation_id"), ((F.col("id") + 1) % 60).alias("tail_id"))
+    found = train.search(t, spark.range(60), spark.range(1), train.trials(spark, 2), dims=8).collect()
+    assert len(found) == 2 and all(1 <= x.metric <= 60 for x in found) and found[0].metric != found[1].metric
+
+
 def test_boxe_gradients_against_differences():
     import pandas as pd
 

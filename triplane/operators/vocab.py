@@ -76,14 +76,22 @@ def only_relations(indexed: DataFrame, ids: list[int]) -> DataFrame:
     return indexed.where(F.col("relation_id").isin(*ids))
 
 
+def check_ids(indexed: DataFrame, n_entities: int, n_relations: int) -> DataFrame:
+    """``indexed``; a row with an id outside of 0..n-1 raises when it is computed."""
+    inside = lambda c, n: F.col(c).isNotNull() & (F.col(c) >= 0) & (F.col(c) < n)
+    good = inside("head_id", n_entities) & inside("tail_id", n_entities) & inside("relation_id", n_relations)
+    said = F.format_string("id out of range: %s %s %s", "head_id", "relation_id", "tail_id")
+    return indexed.withColumn("head_id", F.when(good, F.col("head_id")).otherwise(F.raise_error(said).cast("long")))
+
+
 def with_inverses(indexed: DataFrame, n_relations: int) -> DataFrame:
     """Edges and their inverses, whose relation ids follow the others."""
     back = indexed.select(F.col("tail_id").alias("head_id"), (F.col("relation_id") + n_relations).alias("relation_id"), F.col("head_id").alias("tail_id"))
     return indexed.select("head_id", "relation_id", "tail_id").unionByName(back)
 
 
-def metadata(triples: DataFrame, dim: int) -> DataFrame:
-    """One row: counts of entities, relations, triples and each split."""
+def metadata(triples: DataFrame, dim: int, dropped: int = 0) -> DataFrame:
+    """One row: counts of entities, relations, triples, rows dropped before, and each split."""
     ends = F.explode(F.array("head", "tail"))
     counts = triples.agg(F.count("*").alias("num_triples"), F.count_distinct("relation").alias("num_relations"), *[F.count_if(F.col("split") == s).alias(f"num_{s}") for s in ("train", "valid", "test")])
-    return counts.crossJoin(triples.select(ends.alias("e")).agg(F.count_distinct("e").alias("num_entities"))).withColumn("embedding_dim", F.lit(dim))
+    return counts.crossJoin(triples.select(ends.alias("e")).agg(F.count_distinct("e").alias("num_entities"))).withColumns({"embedding_dim": F.lit(dim), "num_dropped": F.lit(dropped).cast("long")})

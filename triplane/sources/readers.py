@@ -1,7 +1,7 @@
-"""Readers. Each gives ``pos``, the row's place in file order, which ids and tie-breaks depend on.
+"""Readers. Their triples are ``head, relation, tail, pos``, as all operators take them.
 
-``pos`` comes from the file's rank, the block's start and the row's number in the task's block, so it is unique and
-ordered; :func:`triplane.shared.materialise` a table with it before using it twice.
+``pos`` numbers the rows from 0 in file order: files by path, then blocks by their start, then rows. It comes from range
+partitions by these, so no task sees all rows, and the numbered rows are written once to the shared folder.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplane.functions import terms as T
+from triplane.operators.ordinal import dense_numbers
+from triplane.shared import materialise
 
 SPLITS = ("train", "valid", "test")
 
@@ -19,19 +21,33 @@ def _with_place(df: DataFrame) -> DataFrame:
     return df.withColumn("place", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row")))
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """``pos`` in place of ``place``; the place is laid out in columns, which range partitions sort by."""
+    parts = {"place_file": "place.file_path", "place_start": "place.file_block_start", "place_row": "place.row"}
+    flat = materialise(df.withColumns({k: F.col(v) for k, v in parts.items()}).drop("place"))
+    return dense_numbers(flat, list(parts), "pos").drop(*parts)
+
+
 def _need(df: DataFrame, columns: set[str], what: str) -> None:
     if set(df.columns) != columns:
         raise ValueError(f"{what}: expected columns {sorted(columns)}, got {df.columns}")
 
 
-def read_triples_csv(spark: SparkSession, path: str) -> DataFrame:
-    """``(sub, pred, obj, place)`` of a CSV whose header is those names in any order; empty cells are empty strings.
+def read_statements_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """``(sub, pred, obj, pos)`` of a CSV whose header is those names in any order; empty cells are empty strings.
 
-    Quoted cells may hold line breaks, so a file is one task; convert large ones once.
+    Quoted cells may hold line breaks. Then a file can't be cut: each is one task, some 50 MB a second, so 10 GB in one file
+    take minutes. ``multi_line=False``, where no cell holds a line break, reads files in blocks.
     """
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
     _need(raw, {"sub", "pred", "obj"}, path)
-    return _with_place(raw.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("sub", "pred", "obj")], "_metadata")).drop("_metadata")
+    return _numbered(_with_place(raw.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("sub", "pred", "obj")], "_metadata")).drop("_metadata"))
+
+
+def read_triples_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """``(head, relation, tail, pos)`` of the same kind of file."""
+    names = {"sub": "head", "pred": "relation", "obj": "tail"}
+    return read_statements_csv(spark, path, multi_line).withColumnsRenamed(names)
 
 
 def split_fields(lines: DataFrame, strict: bool = True) -> DataFrame:
@@ -51,7 +67,13 @@ def split_fields(lines: DataFrame, strict: bool = True) -> DataFrame:
 def read_triples_tsv(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     lines = _with_place(spark.read.text(path).select("value", "_metadata")).drop("_metadata")
     out = split_fields(lines, strict)
-    return out.drop("bad") if strict else out
+    return _numbered(out.drop("bad") if strict else out)
+
+
+def read_splits(spark: SparkSession, folder: str, names: tuple[str, ...] = SPLITS) -> DataFrame:
+    """``(head, relation, tail, pos, split, split_rank)`` of one TSV file per split; all of train come before all of valid."""
+    parts = union_splits({n: read_triples_tsv(spark, f"{folder}/{n}.tsv") for n in names})
+    return dense_numbers(parts.withColumnRenamed("pos", "own"), ["split_rank", "own"], "pos").drop("own")
 
 
 def union_splits(parts: dict[str, DataFrame]) -> DataFrame:
@@ -64,14 +86,26 @@ def union_splits(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 _URI, _BLANK = "<([^>]*)>", "_:([^\\s]+)"
-_LITERAL = '"((?:[^"\\\\]|\\\\.)*)"(?:@([A-Za-z0-9-]+)|\\^\\^<([^>]*)>)?'
+_LITERAL = '"([^"\\\\]*+(?:\\\\.[^"\\\\]*+)*+)"(?:@([A-Za-z0-9-]+)|\\^\\^<([^>]*)>)?'
 _LINE = f"^\\s*(?:{_URI}|{_BLANK})\\s+{_URI}\\s+(?:{_URI}|{_BLANK}|{_LITERAL})\\s*\\.\\s*$"
 
 
+# The escapes of N-Triples.
+_ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+
+
 def _unescape(value: Column) -> Column:
-    for a, b in (("\\\\t", "\t"), ("\\\\n", "\n"), ("\\\\r", "\r"), ('\\\\"', '"'), ("\\\\\\\\", "\\\\")):
-        value = F.regexp_replace(value, a, b)
-    return value
+    """All escapes in one pass, so that an escaped backslash begins none."""
+
+    def plain(x: Column) -> Column:
+        code = F.decode(F.unhex(F.lpad(F.substring(x, 3, 8), 8, "0")), "UTF-32")
+        out = F.when(x.rlike("^\\\\[uU]"), code)
+        for c, to in _ESCAPES.items():
+            out = out.when(x == "\\" + c, to)
+        return out.otherwise(x)
+
+    pieces = F.regexp_extract_all(value, F.lit("(?s)\\\\u[0-9A-Fa-f]{4}|\\\\U[0-9A-Fa-f]{8}|\\\\.|[^\\\\]++"), 0)
+    return F.when(F.contains(value, F.lit("\\")), F.array_join(F.transform(pieces, plain), "")).otherwise(value)
 
 
 def parse_ntriples(lines: DataFrame, dedupe: bool = True) -> DataFrame:
@@ -94,19 +128,26 @@ def parse_ntriples(lines: DataFrame, dedupe: bool = True) -> DataFrame:
 
 
 def read_ntriples(spark: SparkSession, path: str, dedupe: bool = True) -> DataFrame:
+    """``(subj, pred, obj, pos)``: see :func:`parse_ntriples`; ``pos`` counts lines."""
     lines = _with_place(spark.read.text(path).select(F.col("value").alias("line"), "_metadata")).drop("_metadata")
-    return parse_ntriples(lines.withColumnRenamed("place", "pos"), dedupe)
+    return parse_ntriples(_numbered(lines), dedupe)
 
 
-def read_indexed(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.csv(path, header=True)
+def rdf_triples(rdf: DataFrame) -> DataFrame:
+    """``(head, relation, tail, pos)``: parsed terms as strings."""
+    text = lambda c: T.term_to_string(*[F.col(f"{c}.{x}") for x in ("kind", "lexical", "lang", "datatype")])
+    return rdf.select(text("subj").alias("head"), text("pred").alias("relation"), text("obj").alias("tail"), "pos")
+
+
+def read_indexed(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    raw = spark.read.csv(path, header=True) if fmt == "csv" else spark.read.format(fmt).load(path)
     names = ("head_id", "relation_id", "tail_id")
     _need(raw, set(names), path)
     return raw.select(*[F.col(c).cast("long") for c in names])
 
 
-def read_dictionary(spark: SparkSession, path: str, key: str = "relation") -> DataFrame:
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
+def read_dictionary(spark: SparkSession, path: str, key: str = "relation", fmt: str = "csv") -> DataFrame:
+    raw = spark.read.csv(path, header=True, multiLine=True, escape='"') if fmt == "csv" else spark.read.format(fmt).load(path)
     _need(raw, {key, "id"}, path)
     return raw.select(F.coalesce(key, F.lit("")).alias(key), F.col("id").cast("long"))
 
@@ -125,7 +166,7 @@ def clean_sequences(raw: DataFrame, order: str) -> DataFrame:
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
     _need(raw.toDF(*[c.lstrip("﻿") for c in raw.columns]), {"inn_number", "heavy_chain_sequence", "light_chain_sequence"}, path)
-    return clean_sequences(_with_place(raw.select(*raw.columns, "_metadata")).drop("_metadata"), "place")
+    return clean_sequences(_numbered(_with_place(raw.select(*raw.columns, "_metadata")).drop("_metadata")), "pos")
 
 
 def check_vectors(vectors: DataFrame, rows: int, dim: int | None = None) -> DataFrame:

@@ -6,14 +6,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_dictionary(dictionary: DataFrame, path: str) -> None:
-    """In id order, range-partitioned."""
-    dictionary.orderBy("id").write.mode("overwrite").parquet(path)
+def _save(writer, path: str, fmt: str) -> None:
+    if fmt == "csv":
+        writer.option("header", True).option("escape", '"').csv(path)
+    else:
+        writer.format(fmt).save(path)
 
 
-def write_indexed(triples: DataFrame, path: str, by_split: bool = False) -> None:
+def write_dictionary(dictionary: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """In id order, range-partitioned; ``fmt``: parquet or csv."""
+    _save(dictionary.orderBy("id").write.mode("overwrite"), path, fmt)
+
+
+def write_indexed(triples: DataFrame, path: str, by_split: bool = False, fmt: str = "parquet") -> None:
     writer = triples.write.mode("overwrite")
-    (writer.partitionBy("split") if by_split else writer).parquet(path)
+    _save(writer.partitionBy("split") if by_split else writer, path, fmt)
+
+
+def write_triples(triples: DataFrame, path: str, fmt: str = "csv") -> None:
+    """``head, relation, tail`` in the order of ``pos``: CSV with the header sub, pred, obj, or TSV without one."""
+    rows = triples.orderBy("pos")
+    if fmt == "csv":
+        _save(rows.select(F.col("head").alias("sub"), F.col("relation").alias("pred"), F.col("tail").alias("obj")).write.mode("overwrite"), path, "csv")
+    else:
+        rows.select(F.concat_ws("\t", "head", "relation", "tail").alias("value")).write.mode("overwrite").text(path)
+
+
+def write_tensors(parameters: DataFrame, path: str) -> None:
+    """Each tensor of a model as a table of its own, ``path/name`` with id and vec; other columns than arrays are left out."""
+    for name, kind in parameters.dtypes:
+        if kind.startswith("array"):
+            write_vectors(parameters.select("id", F.col(name).alias("vec")), f"{path}/{name}")
+
+
+def write_metrics(path: str, history: DataFrame, config: dict, **evaluations: DataFrame) -> None:
+    """One JSON document: the parameters, the loss of each epoch, and each evaluation's one row under its name."""
+    rows = history.agg(F.array_sort(F.collect_list(F.struct(*history.columns))).alias("history"))
+    named = [F.lit(v).alias(k) for k, v in config.items()]
+    out = rows.select(F.struct(*named).alias("config") if named else F.lit(None).alias("config"), "history")
+    for name, row in evaluations.items():
+        out = out.crossJoin(row.limit(1).select(F.struct("*").alias(name)))  # one row each
+    write_json(out, path)
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:
