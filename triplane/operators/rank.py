@@ -1,4 +1,4 @@
-"""Link prediction: scores, and ranks of true tails among all entities.
+"""Link prediction: scores, and ranks of true tails, heads or relations among all candidates.
 
 ``vectors``: (id, vec). ``relations``: (id, vec). ``tests``: head_id, relation_id, tail_id. Ranks are raw: other true tails
 stay in. optimistic = 1 + candidates strictly better; realistic adds half of those equal. The true tail never counts
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from triplane.functions import vectors as V
 from triplane.shared import materialise
 
-#: Test rows whose vectors a task gets at once; a block of them is broadcast, so it is bounded.
-BLOCK = 2000
+#: Test rows and candidates of a cell; scores are made for so many candidates of it at once.
+BLOCK, CANDIDATES, CHUNK = 2000, 20_000, 2000
 
 
 def gather(triples: DataFrame, vectors: DataFrame, relations: DataFrame) -> DataFrame:
@@ -48,46 +48,48 @@ def dot_score(h: np.ndarray, r: np.ndarray, candidates: np.ndarray) -> np.ndarra
     return (h * r) @ candidates.T
 
 
-def ranks(tests: DataFrame, vectors: DataFrame, relations: DataFrame, scorer: Scorer = squared_distance, block: int = BLOCK) -> DataFrame:
-    """``tests`` with ``better`` and ``equal`` counts, and both ranks.
+def _questions(tests: DataFrame, vectors: DataFrame, relations: DataFrame, target: str, turn: bool) -> DataFrame:
+    """``row, sought`` (the true id), the known vectors ``a`` and ``b``, and ``t``, the true one; each distinct test row once.
 
-    Blocks of test rows, vectors gathered, go to all executors; each partition of the entities scores its candidates
-    against a block and returns counts per test row only. Pairs are never rows. Scores of the true tails come first, from
-    the same function on the same kind of numbers.
+    With a distance, h + r against t is also t - r against h and t - h against r: ``turn`` negates the second vector.
     """
-    numbered = materialise(gather(tests, vectors, relations).withColumn("row", F.xxhash64("head_id", "relation_id", "tail_id")).dropDuplicates(["row"]))
-    n_blocks = max(1, -(-numbered.count() // block))
+    met = gather(tests, vectors, relations).withColumn("row", F.xxhash64("head_id", "relation_id", "tail_id")).dropDuplicates(["row"])
+    known = {"tail": ("h", "r", "t"), "head": ("t", "r", "h"), "relation": ("t", "h", "r")}[target]
+    b = F.transform(known[1], lambda x: -x) if turn and target != "tail" else F.col(known[1])
+    return met.select("row", F.col(f"{target}_id").alias("sought"), F.col(known[0]).alias("a"), b.alias("b"), F.col(known[2]).alias("t"))
 
-    def true_scores(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            if len(pdf):
-                h, r, t = (np.stack(pdf[c]).astype(np.float64) for c in ("h", "r", "t"))
-                own = np.array([scorer(h[i : i + 1], r[i : i + 1], t[i : i + 1])[0, 0] for i in range(len(pdf))])
-                yield pd.DataFrame({"row": pdf["row"], "score": own})
-
-    scored = materialise(numbered.join(numbered.select("row", "h", "r", "t").mapInPandas(true_scores, "row long, score double"), "row").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(n_blocks))))
-    counted = None
-    for b in range(n_blocks):
-        rows = scored.where(F.col("block") == b).select("row", "tail_id", "score", "h", "r").toPandas()  # at most about one block
-        if not len(rows):
-            continue
-        held = vectors.sparkSession.sparkContext.broadcast((rows["row"].to_numpy(), rows["tail_id"].to_numpy(), rows["score"].to_numpy(), np.stack(rows["h"]).astype(np.float64), np.stack(rows["r"]).astype(np.float64)))
-
-        def count(parts: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            row, tail, own, h, r = held.value
-            better, equal = np.zeros(len(row), dtype=np.int64), np.zeros(len(row), dtype=np.int64)
-            for pdf in parts:
-                if len(pdf):
-                    s = scorer(h, r, np.stack(pdf["vec"]).astype(np.float64))
-                    other = pdf["id"].to_numpy()[None] != tail[:, None]
-                    better += ((s > own[:, None]) & other).sum(axis=1)
-                    equal += ((s == own[:, None]) & other).sum(axis=1)
-            yield pd.DataFrame({"row": row, "better": better, "equal": equal})
-
-        part = vectors.select("id", "vec").mapInPandas(count, "row long, better long, equal long")
-        counted = part if counted is None else counted.unionByName(part)
-    empty = numbered.select("row", F.lit(0).cast("long").alias("better"), F.lit(0).cast("long").alias("equal")).limit(0)
-    total = (counted if counted is not None else empty).groupBy("row").agg(F.sum("better").alias("better"), F.sum("equal").alias("equal"))
+
+def ranks(tests: DataFrame, vectors: DataFrame, relations: DataFrame, scorer: Scorer = squared_distance, target: str = "tail", block: int = BLOCK, candidates: int = CANDIDATES) -> DataFrame:
+    """``tests`` with ``better`` and ``equal`` counts, and both ranks, of the true tail, head or relation.
+
+    Test rows, vectors gathered, and candidates are dealt into blocks, and each pair of blocks is a task (a cell), which
+    returns counts per test row only. Pairs are never rows, and nothing passes through the driver. Scores of the true ones
+    come first, from the same function on the same kind of numbers. Heads and tails are sought among all entities, relations
+    among all relations.
+    """
+    asked = materialise(_questions(tests, vectors, relations, target, scorer is squared_distance))
+    pool = relations if target == "relation" else vectors
+    blocks, parts = (max(1, -(-df.count() // size)) for df, size in ((asked, block), (pool, candidates)))
+
+    def cell(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("row", "better", "equal")})
+        a, b, t = (np.stack(left[c]).astype(np.float64) for c in ("a", "b", "t"))
+        own = np.array([scorer(a[i : i + 1], b[i : i + 1], t[i : i + 1])[0, 0] for i in range(len(left))])[:, None]
+        sought, ids = left["sought"].to_numpy()[:, None], right["id"].to_numpy()
+        better, equal = np.zeros(len(left), dtype=np.int64), np.zeros(len(left), dtype=np.int64)
+        for at in range(0, len(right), CHUNK):
+            s = scorer(a, b, np.stack(right["vec"].iloc[at : at + CHUNK]).astype(np.float64))
+            other = ids[None, at : at + CHUNK] != sought
+            better += ((s > own) & other).sum(axis=1)
+            equal += ((s == own) & other).sum(axis=1)
+        return pd.DataFrame({"row": left["row"].to_numpy(), "better": better, "equal": equal})
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("row", "sought", "a", "b", "t", F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(blocks)).cast("int").alias("i"), every(parts).alias("j"))
+    right = pool.select("id", "vec", every(blocks).alias("i"), F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(parts)).cast("int").alias("j"))
+    counted = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(cell, "row long, better long, equal long")
+    total = counted.groupBy("row").agg(F.sum("better").alias("better"), F.sum("equal").alias("equal"))
     out = tests.withColumn("row", F.xxhash64("head_id", "relation_id", "tail_id")).join(total, "row").drop("row")
     return with_ranks(out)
 

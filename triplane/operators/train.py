@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from triplane.functions import vectors as V
 from triplane.functions.draws import draw_below
 from triplane.operators import rank as R
-from triplane.operators.sample import batches, uniform_negatives
+from triplane.operators.sample import batches, bernoulli_negatives, split_exact, uniform_negatives
 from triplane.shared import discard, materialise
 
 
@@ -25,7 +25,7 @@ def random_table(ids: DataFrame, name: str, dim: int, seed: int = 0, reach: floa
     return ids.select("id", V.random_vector(name, F.col("id"), dim, seed, reach).alias("vec"))
 
 
-def transe_gradients(margin: float):
+def transe_gradients(margin: float, p: int = 2):
     """Rows with both triples' vectors to (table, id, gradient, loss)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -34,15 +34,15 @@ def transe_gradients(margin: float):
                 continue
             m = {c: np.stack(pdf[c]).astype(np.float64) for c in ("h", "r", "t", "nh", "nr", "nt")}
             good, bad = m["h"] + m["r"] - m["t"], m["nh"] + m["nr"] - m["nt"]
-            d_good, d_bad = np.linalg.norm(good, axis=1), np.linalg.norm(bad, axis=1)
+            d_good, d_bad = np.linalg.norm(good, ord=p, axis=1), np.linalg.norm(bad, ord=p, axis=1)
             loss = margin + d_good - d_bad
             hit = loss > 0
-            up, down = good / np.maximum(d_good, 1e-12)[:, None], bad / np.maximum(d_bad, 1e-12)[:, None]
+            up, down = (np.sign(x) if p == 1 else x / np.maximum(d, 1e-12)[:, None] for x, d in ((good, d_good), (bad, d_bad)))
             out = []
             for table, column, grad in (("e", "head_id", up), ("r", "relation_id", up), ("e", "tail_id", -up), ("e", "n_head", -down), ("r", "n_relation", -down), ("e", "n_tail", down)):
                 out.append(pd.DataFrame({"tbl": table, "id": pdf[column].to_numpy()[hit], "grad": list(grad[hit]), "loss": 0.0, "updates": 0}))
             out.append(pd.DataFrame({"tbl": ["loss"], "id": [0], "grad": [np.zeros(m["h"].shape[1])], "loss": [loss[hit].sum()], "updates": [int(hit.sum())]}))
-            yield pd.concat(out)
+            yield together(out)
 
     return run
 
@@ -50,40 +50,75 @@ def transe_gradients(margin: float):
 GRADIENT = "tbl string, id long, grad array<double>, loss double, updates long"
 
 
+def together(out: list[pd.DataFrame]) -> pd.DataFrame:
+    """One row per table and id of a batch of rows: gradients are added before they leave the task."""
+    rows = pd.concat(out)
+    added = []
+    for (table, width), own in rows.groupby(["tbl", rows["grad"].map(len)], sort=False):
+        ids, at = np.unique(own["id"].to_numpy(), return_inverse=True)
+        total = np.zeros((len(ids), width))
+        np.add.at(total, at, np.stack(own["grad"]))
+        added.append(pd.DataFrame({"tbl": table, "id": ids, "grad": list(total), "loss": 0.0, "updates": 0}))
+        added[-1].loc[0, ["loss", "updates"]] = own["loss"].sum(), own["updates"].sum()
+    return pd.concat(added).astype({"updates": np.int64})
+
+
 def summed(gradients: DataFrame) -> DataFrame:
-    """One gradient per table and id. Arrays are added where they are, by dimension, with sums before the shuffle."""
-    each = gradients.where("tbl != 'loss'").select("tbl", "id", F.posexplode("grad").alias("d", "g")).groupBy("tbl", "id", "d").agg(F.sum("g").alias("g"))
-    return each.groupBy("tbl", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "g"))), lambda s: s["g"]).alias("grad"))
+    """One gradient per table and id, of the sums that tasks return: an aggregate in pandas, one column of arrays."""
+
+    @F.pandas_udf("array<double>")
+    def total(grads: pd.Series) -> np.ndarray:
+        return np.stack(grads).sum(axis=0)
+
+    return gradients.where("tbl != 'loss'").groupBy("tbl", "id").agg(total("grad").alias("grad"))
 
 
-def train_transe(triples: DataFrame, entities: DataFrame, relations: DataFrame, epochs: int = 2, n_batches: int = 2, rate: float = 0.05, margin: float = 1.0, seed: int = 0) -> tuple[DataFrame, DataFrame, list[dict]]:
+def history_table(spark, history: list[dict]) -> DataFrame:
+    """``(epoch, mean_loss, updates)``: one row per epoch."""
+    return spark.createDataFrame([(h["epoch"], float(h["mean_loss"]), int(h["updates"])) for h in history], "epoch int, mean_loss double, updates long")
+
+
+def train_transe(
+    triples: DataFrame, entities: DataFrame, relations: DataFrame, epochs: int = 2, n_batches: int = 2, rate: float = 0.05, margin: float = 1.0, seed: int = 0, p: int = 2, optimizer: str = "sgd", negatives: str = "uniform"
+) -> tuple[DataFrame, DataFrame, list[dict]]:
     """Entity and relation vectors after training, and per epoch the mean loss of violating samples and their number.
 
-    Entities are normalised at the start and after each epoch, relations never.
+    Entities are normalised at the start and after each epoch, relations never. ``optimizer``: sgd or adam; ``negatives``:
+    one uniform or two Bernoulli ones for each triple; ``p``: the norm of distances.
     """
     n_e, n_r = entities.count(), relations.count()
-    unit = lambda df: materialise(df.select("id", V.normalise(F.col("vec")).alias("vec")))
-    entities, relations, history = unit(entities), materialise(relations.select("id", F.col("vec").cast("array<double>"))), []
+    unit = lambda df: materialise(df.withColumn("vec", V.normalise(F.col("vec"))))
+    entities, relations, history, step = unit(entities.select("id", "vec")), materialise(relations.select("id", F.col("vec").cast("array<double>").alias("vec"))), [], 0
     for epoch in range(epochs):
         dealt = batches(triples, epoch, n_batches, seed)
         loss, updates = 0.0, 0
         for b in range(n_batches):
+            step += 1
             own = dealt.where(F.col("batch") == b)
-            wrong = uniform_negatives(own, n_e, n_r, seed=seed * 1000 + epoch)
+            of = seed * 1000 + epoch
+            wrong = uniform_negatives(own, n_e, n_r, seed=of) if negatives == "uniform" else bernoulli_negatives(own, n_e, seed=of).drop("k")
             met = R.gather(own.select("pos", "head_id", "relation_id", "tail_id"), entities, relations)
-            other = R.gather(wrong, entities, relations).toDF(*["n_tail", "n_relation", "n_head", "pos", "nh", "nr", "nt"])
-            steps = materialise(met.join(other, "pos").mapInPandas(transe_gradients(margin), GRADIENT))
+            other = R.gather(wrong, entities, relations).select("pos", *[F.col(x).alias(y) for x, y in (("head_id", "n_head"), ("relation_id", "n_relation"), ("tail_id", "n_tail"), ("h", "nh"), ("r", "nr"), ("t", "nt"))])
+            steps = materialise(met.join(other, "pos").mapInPandas(transe_gradients(margin, p), GRADIENT))
             moved = summed(steps)
-            old_e, old_r = entities, relations
-            apply = lambda table, t: materialise(table.join(moved.where(F.col("tbl") == t).select("id", "grad"), "id", "left").select("id", F.when(F.col("grad").isNull(), F.col("vec")).otherwise(F.zip_with("vec", "grad", lambda x, g: x - rate * g)).alias("vec")))  # noqa: B023, E731
-            entities, relations = apply(entities, "e"), apply(relations, "r")
+            old = entities, relations
+            if optimizer == "adam":
+                entities, relations = (materialise(adam(t, moved.withColumn("tbl", F.when(F.col("tbl") == name, "vec")), ("vec",), step, rate)) for t, name in ((entities, "e"), (relations, "r")))
+            else:
+                entities, relations = (materialise(_descended(t, moved.where(F.col("tbl") == name), rate)) for t, name in ((entities, "e"), (relations, "r")))
             total = steps.where("tbl = 'loss'").agg(F.sum("loss"), F.sum("updates")).first()
             loss, updates = loss + (total[0] or 0.0), updates + (total[1] or 0)
-            for table in (steps, old_e, old_r):
+            for table in (steps, *old):
                 discard(table)
         entities = unit(entities)
         history.append({"epoch": epoch, "mean_loss": loss / updates if updates else 0.0, "updates": updates})
-    return entities, relations, history
+    return entities.select("id", "vec"), relations.select("id", "vec"), history
+
+
+def _descended(table: DataFrame, moved: DataFrame, rate: float) -> DataFrame:
+    """One step against the gradients; vectors without one stay."""
+    met = table.join(moved.select("id", "grad"), "id", "left")
+    return met.select("id", F.when(F.col("grad").isNull(), F.col("vec")).otherwise(F.zip_with("vec", "grad", lambda x, g: x - rate * g)).alias("vec"))
 
 
 BOXE_ENTITY, BOXE_RELATION = ("vec", "bump"), ("head_base", "head_delta", "head_size", "tail_base", "tail_delta", "tail_size")
@@ -138,7 +173,7 @@ def boxe_gradients(p: int, tanh: bool, margin: float):
                     column = name if end not in ids else ("bump" if name.endswith("_bump") else "vec")
                     out.append(pd.DataFrame({"tbl": column, "id": key.to_numpy(), "grad": list(pull[:, None] * g), "loss": 0.0, "updates": 0}))
             out.append(pd.DataFrame({"tbl": ["loss"], "id": [0], "grad": [np.zeros(1)], "loss": [total], "updates": [2 * len(pdf)]}))
-            yield pd.concat(out)
+            yield together(out)
 
     return run
 
@@ -202,6 +237,24 @@ def trials(spark, n: int = 20, seed: int = 0) -> DataFrame:
     )
 
 
+def search(triples: DataFrame, ids: DataFrame, relation_ids: DataFrame, table: DataFrame, epochs: int = 1, dims: int | None = None) -> DataFrame:
+    """``table`` (see :func:`trials`) with ``metric``: each trial is trained on eight tenths of ``triples``, and the realistic mean
+    rank of the tails of one tenth is its metric; the last tenth stays unseen. ``dims`` bounds the dimension.
+
+    Trials are a short list, and go one after the other; each is Spark jobs over whole tables.
+    """
+    spark = triples.sparkSession
+    parts = materialise(split_exact(triples, (0.8, 0.1), ("train", "valid", "test")))
+    own, valid = (parts.where(F.col("part") == name).drop("part") for name in ("train", "valid"))
+    n, rows = own.count(), []
+    for t in table.collect():
+        dim = min(t["dim"], dims) if dims else t["dim"]
+        e, r = (random_table(x, f"{name}{t['trial']}", dim) for x, name in ((ids, "e"), (relation_ids, "r")))
+        e, r, _ = train_transe(own, e, r, epochs, max(1, -(-n // t["batch"])), t["rate"], p=t["p"], seed=t["trial"], optimizer="adam", negatives="bernoulli")
+        rows.append((t["trial"], R.mean_rank(R.ranks(valid, e, r), "realistic").first()["mean_rank"]))
+    return table.join(spark.createDataFrame(rows, "trial long, metric double"), "trial")
+
+
 def best_trial(evaluated: DataFrame) -> DataFrame:
     """The trial of the least metric; ties by the earlier one."""
     return evaluated.agg(F.min_by(F.struct(*evaluated.columns), F.struct("metric", "trial")).alias("best")).select("best.*")
