@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from triplane.functions import config as C
 from triplane.functions import terms as T
 from triplane.operators.ordinal import top_k
 from triplane.operators.vocab import mentions
+from triplane.shared import materialise
 
 TOP = 15
 
@@ -76,9 +79,8 @@ def primary_types(entities: DataFrame, types: DataFrame, labels: DataFrame) -> D
     return all_.select("entity", "family", "types", F.coalesce("named", "family").alias("primary_type"))
 
 
-def entity_dim(triples: DataFrame, annotations: DataFrame) -> DataFrame:
-    """``(entity, family, types, primary_type, coarse_category)`` of every entity."""
-    rows = routed(annotations, triples)
+def entity_dim(triples: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(entity, family, types, primary_type, coarse_category)`` of every entity; ``rows``: :func:`routed`."""
     typed = primary_types(entities_of(triples), type_sets(rows), latest(rows, "label"))
     return typed.withColumn("coarse_category", T.coarse_category(F.col("entity"), F.col("family"), F.col("primary_type"), F.col("types")))
 
@@ -126,14 +128,15 @@ def with_guidance(df: DataFrame, family: str = "family", primary: str = "primary
 def relation_profile(triples: DataFrame, dim: DataFrame, k: int = TOP) -> DataFrame:
     """``(relation, side, category, n, rank)``: the most frequent categories of heads and tails."""
     ends = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("entity")) for s in ("head", "tail")])
-    each = triples.select("relation", "pos", F.inline(ends)).join(dim.select("entity", F.col("coarse_category").alias("category")), "entity")
-    counts = each.groupBy("relation", "side", "category").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    # an entity with many triples is one row for each relation and side before it meets its category
+    each = triples.select("relation", "pos", F.inline(ends)).groupBy("relation", "side", "entity").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    each = each.join(dim.select("entity", F.col("coarse_category").alias("category")), "entity")
+    counts = each.groupBy("relation", "side", "category").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     return top_k(counts, ["relation", "side"], F.col("n"), F.col("first"), k).select("relation", "side", "category", "n", "rank")
 
 
-def relation_catalog(triples: DataFrame, dim: DataFrame, annotations: DataFrame) -> DataFrame:
+def relation_catalog(triples: DataFrame, dim: DataFrame, rows: DataFrame) -> DataFrame:
     """One row per relation: label, kind, count, and the categories of both ends as ``name:count`` joined by ``|``."""
-    rows = routed(annotations, triples)
     counts = triples.groupBy("relation").agg(F.count("*").alias("count"))
     kinds = latest(rows.where("is_relation"), "type").select(F.col("subject").alias("relation"), T.after_colon(F.col("value")).alias("kind"))
     labels = latest(rows.where("is_relation"), "label").select(F.col("subject").alias("relation"), F.col("value").alias("label"))
@@ -150,38 +153,68 @@ def shown_types(dim: DataFrame, labels: DataFrame) -> DataFrame:
     return each.groupBy("entity").agg(F.array_sort(F.collect_list(F.coalesce("label", T.local_name(F.col("type"))))).alias("shown"))
 
 
-def entity_catalog(triples: DataFrame, dim: DataFrame, annotations: DataFrame) -> DataFrame:
-    labels = latest(routed(annotations, triples), "label")
+def entity_catalog(dim: DataFrame, rows: DataFrame) -> DataFrame:
+    labels = latest(rows, "label")
     own = labels.select(F.col("subject").alias("entity"), F.col("value").alias("label"))
     out = with_guidance(dim).join(own, "entity", "left").join(shown_types(dim, labels), "entity", "left")
     explicit = F.coalesce(F.array_join("shown", "|"), F.lit(""))
     return out.select("entity", F.coalesce("label", T.local_name(F.col("entity"))).alias("label"), "family", "primary_type", "coarse_category", explicit.alias("explicit_types"), F.col("strategy").alias("embedding_strategy"))
 
 
-def family_members(triples: DataFrame, dim: DataFrame, annotations: DataFrame, family: str) -> DataFrame:
+def family_members(dim: DataFrame, rows: DataFrame, family: str) -> DataFrame:
     """``(entity, primary_type, types, label)`` of one family; types joined by ``|``."""
-    out = entity_catalog(triples, dim.where(F.col("family") == family), annotations)
+    out = entity_catalog(dim.where(F.col("family") == family), rows)
     return out.select("entity", "primary_type", F.col("explicit_types").alias("types"), "label")
 
 
-def report(triples: DataFrame, dim: DataFrame, annotations: DataFrame) -> DataFrame:
-    """One row with the report as JSON: sections dataset, families and relations."""
-    stats = split_stats(triples).agg(F.array_sort(F.collect_list(F.struct("split", "triples", "entities", "relations"))).alias("splits"))
-    families = with_guidance(family_types(dim).where("rank = 1").drop("rank")).agg(F.array_sort(F.collect_list(F.struct("family", "primary_type", "n", "strategy"))).alias("families"))
-    relations = relation_catalog(triples, dim, annotations).agg(F.array_sort(F.collect_list(F.struct("relation", "label", "kind", "count", "head_categories", "tail_categories"))).alias("relations"))
-    whole = global_stats(triples, dim).select(F.struct("*").alias("overall"))
-    return whole.crossJoin(stats).crossJoin(families).crossJoin(relations).select(F.to_json(F.struct("overall", "splits", "families", "relations")).alias("report"))
-
-
-def text_report(triples: DataFrame, dim: DataFrame, annotations: DataFrame, k: int = TOP) -> DataFrame:
-    """``(section, rank, line)``: totals, leading families, leading relations."""
-    totals = global_stats(triples, dim).select(F.lit(0).alias("section"), F.lit(0).alias("rank"), F.format_string("Triples: %d, entities: %d, relations: %d, typed: %d", "triples", "entities", "relations", "typed_entities").alias("line"))
-    sizes = dim.groupBy("family").agg(F.count("*").alias("size"), F.min("entity").alias("first"))
-    top = top_k(sizes, [], F.col("size"), F.col("first"), k).select("family", "size", "rank")
-    main = with_guidance(family_types(dim).where("rank = 1").drop("rank")).select("family", "primary_type", "strategy")
-    families = top.join(main, "family").select(F.lit(1).alias("section"), "rank", F.format_string("- %s: %d entities | dominant type: %s | prior: %s", "family", "size", "primary_type", "strategy").alias("line"))
-    first = triples.groupBy("relation").agg(F.min("pos").alias("first"))
-    lead = lambda c: F.array_join(F.slice(F.split(c, "\\|"), 1, 3), ", ")
-    listed = top_k(relation_catalog(triples, dim, annotations).join(first, "relation"), [], F.col("count"), F.col("first"), k)
-    relations = listed.select(F.lit(2).alias("section"), "rank", F.format_string("- %s: %d | heads: %s | tails: %s", F.col("relation"), F.col("count"), lead("head_categories"), lead("tail_categories")).alias("line"))
-    return totals.unionByName(families).unionByName(relations)
+def report_rows(triples: DataFrame, dim: DataFrame, rows: DataFrame, members: str, k: int = TOP) -> DataFrame:
+    """The whole report as ``(section, of, rank, name, n, text)``; ``members``: the family that is listed one by one.
+
+    Sections: split (text: entities and relations), split_relation, global (typed entities among all), primary_type and
+    family (2k each), family_type, relation (text: categories of both ends), relation_kind, member and prior.
+    """
+    nothing = F.lit(None).cast("string")
+    line = lambda df, section, of, rank, name, n, text: df.select(F.lit(section).alias("section"), of.alias("of"), rank.cast("int").alias("rank"), name.alias("name"), n.cast("long").alias("n"), text.alias("text"))
+    split, c = F.col("split"), F.col
+    sizes = lambda what: dim.groupBy(F.col(what).alias("name")).agg(F.count("*").alias("n"), F.min("entity").alias("first"))
+    types = family_types(dim)
+    main = with_guidance(types.where("rank = 1").select("family", "primary_type")).select(c("family").alias("name"), F.concat_ws("|", "primary_type", "strategy").alias("text"))
+    catalog = relation_catalog(triples, dim, rows).join(triples.groupBy("relation").agg(F.min("pos").alias("first")), "relation")
+    catalog = materialise(catalog.select("relation", "label", "kind", "count", F.concat_ws(" / ", "head_categories", "tail_categories").alias("ends"), "first"))
+    stats = global_stats(triples, dim)
+    own = family_members(dim, rows, members)
+    prior = guidance_table(dim).where(c("name") == members)
+    parts = [
+        line(split_stats(triples), "split", nothing, F.lit(0), split, c("triples"), F.concat_ws("|", c("entities").cast("string"), c("relations").cast("string"))),
+        line(relation_topk(triples, k), "split_relation", split, c("rank"), c("relation"), c("n"), nothing),
+        line(stats, "global", nothing, F.lit(0), F.lit("typed"), c("typed_entities"), c("entities").cast("string")),
+        line(top_k(sizes("primary_type"), [], c("n"), c("first"), 2 * k), "primary_type", nothing, c("rank"), c("name"), c("n"), nothing),
+        line(top_k(sizes("family"), [], c("n"), c("first"), 2 * k).join(main, "name"), "family", nothing, c("rank"), c("name"), c("n"), c("text")),
+        line(types, "family_type", c("family"), c("rank"), c("primary_type"), c("n"), nothing),
+        line(top_k(catalog, [], c("count"), c("first"), k), "relation", nothing, c("rank"), c("relation"), c("count"), c("ends")),
+        line(catalog, "relation_kind", nothing, F.lit(0), c("relation"), c("count"), F.concat_ws("|", "kind", "label")),
+        line(own, "member", F.lit(members), F.lit(0), c("entity"), F.lit(1), F.concat_ws("|", "primary_type", "types", "label")),
+        line(prior, "prior", F.lit(members), F.lit(0), c("strategy"), F.lit(0), F.concat_ws("|", "prior", "alignment")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Sections of the report in the order of its text, with their headings.
+HEADINGS = {"split": "Splits", "global": "All splits", "family": "Leading families", "primary_type": "Leading primary types", "relation": "Leading relations", "member": "Members", "prior": "Prior"}
+
+
+def report(report_of: DataFrame) -> DataFrame:
+    """One row with the report as JSON: an array of rows under each section. ``report_of``: :func:`report_rows`."""
+    listed = report_of.groupBy("section").agg(F.array_sort(F.collect_list(F.struct("of", "rank", "name", "n", "text"))).alias("rows"))
+    return listed.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", "rows"))))).alias("report"))
+
+
+def text_report(report_of: DataFrame, k: int = TOP) -> DataFrame:
+    """``(section, rank, line)`` of the same: headings have rank -1; of the leading ones ``k`` are told, members only counted."""
+    order = list(HEADINGS)
+    number = F.element_at(F.create_map(*[F.lit(x) for i, s in enumerate(order) for x in (s, i)]), F.col("section"))
+    told = report_of.where(F.col("section").isin(*[s for s in order if s != "member"]) & (F.col("rank") <= k))
+    lines = told.select(number.alias("section"), "rank", F.concat(F.lit("- "), "name", F.lit(": "), F.col("n").cast("string"), F.coalesce(F.concat(F.lit(" | "), "text"), F.lit(""))).alias("line"))
+    members = report_of.where("section = 'member'").agg(F.count("*").alias("n")).select(F.lit(order.index("member")).alias("section"), F.lit(0).alias("rank"), F.concat(F.lit("- "), F.col("n").cast("string")).alias("line"))
+    heads = report_of.sparkSession.createDataFrame([(i, -1, t) for i, t in enumerate(HEADINGS.values())], "section int, rank int, line string")
+    return lines.unionByName(members).unionByName(heads)

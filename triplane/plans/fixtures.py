@@ -117,22 +117,28 @@ def rdf_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prior_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Members and their links as triples."""
-    rows = table(spark, sf, "customer").where("c_custkey % 6 <> 0")
-    head, tail = F.concat(F.lit("imgt:mAb_"), F.col("c_custkey").cast("string")), F.concat(F.lit("imgt:"), (F.col("c_custkey") % 1200).cast("string"))
-    return rows.select(head.alias("head"), F.lit(C.LINK_RELATION).alias("relation"), tail.alias("tail"), F.col("c_custkey").cast("long").alias("pos"))
+    """Members and their links as triples: one member for each document, but every sixth has no link, and one in 11 leads nowhere."""
+    rows = table(spark, sf, "documents").where("doc_id % 6 <> 0")
+    key = F.col("doc_id").cast("string")
+    head, tail = F.concat(F.lit("imgt:mAb_"), key), F.concat(F.lit("imgt:"), key)
+    return rows.select(head.alias("head"), F.lit(C.LINK_RELATION).alias("relation"), tail.alias("tail"), F.col("doc_id").alias("pos"))
 
 
 def prior_members(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").select(F.concat(F.lit("imgt:mAb_"), F.col("c_custkey").cast("string")).alias("entity"))
+    return table(spark, sf, "documents").select(F.concat(F.lit("imgt:mAb_"), F.col("doc_id").cast("string")).alias("entity"))
 
 
 def sequence_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw sequence rows, some keys twice and quoted, whose order is ``place``."""
-    docs = table(spark, sf, "documents")
-    key = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(' "'), (F.col("doc_id") % 900).cast("string"), F.lit('"'))).otherwise((F.col("doc_id") % 900).cast("string"))
-    light = F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.substring("text", 20, 40))
-    return docs.select(key.alias("inn_number"), F.substr("text", F.lit(1), (40 + F.col("doc_id") % 30).cast("int")).alias("heavy_chain_sequence"), light.alias("light_chain_sequence"), F.col("doc_id").alias("place"))
+    """Raw sequence rows of whole documents, whose order is ``place``: the text, and the text with a word before it.
+
+    One document in 11 has no row, one in 13 no light chain, and every fifth row comes twice, quoted, of which the last wins.
+    """
+    docs = table(spark, sf, "documents").where("doc_id % 11 <> 0")
+    key = F.col("doc_id").cast("string")
+    light = F.when(F.col("doc_id") % 13 == 0, "").otherwise(F.concat(F.lit("light "), "text"))
+    once = docs.select(key.alias("inn_number"), F.col("text").alias("heavy_chain_sequence"), light.alias("light_chain_sequence"), (F.col("doc_id") * 2).alias("place"))
+    again = docs.where("doc_id % 5 = 0").select(F.concat(F.lit(' "'), key, F.lit('"')).alias("inn_number"), F.concat(F.lit(" again "), "text").alias("heavy_chain_sequence"), light.alias("light_chain_sequence"), (F.col("doc_id") * 2 + 1).alias("place"))
+    return once.unionByName(again)
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -281,6 +287,7 @@ RDF = f"""once AS (SELECT p_partkey, {_sql_pos(0, 'p_partkey')} AS pos, p_partke
 
 VECTORS = "vectors AS (SELECT vec_id AS id, list_transform(embedding, lambda x: round(x::DOUBLE * 1000)::BIGINT) AS vec FROM embeddings), tests AS (SELECT vec_id AS head_id, label::BIGINT AS relation_id, (vec_id * 7 + label) % (SELECT max(vec_id) + 1 FROM embeddings) AS tail_id, vec_id AS pos FROM embeddings)"
 EDGES = "edges AS (SELECT DISTINCT l_orderkey::BIGINT AS head_id, 0::BIGINT AS relation_id, l_partkey::BIGINT AS tail_id FROM lineitem UNION ALL SELECT DISTINCT l_partkey::BIGINT, 1::BIGINT, l_suppkey::BIGINT FROM lineitem), placed AS (SELECT *, relation_id * 10000000000000 + head_id * 1000000 + tail_id AS pos FROM edges)"
-LINKS = f"""members AS (SELECT 'imgt:mAb_' || c_custkey AS entity FROM customer), links AS (SELECT 'imgt:mAb_' || c_custkey AS entity, (c_custkey % 1200)::VARCHAR AS key FROM customer WHERE c_custkey % 6 <> 0),
-sequences AS (SELECT (doc_id % 900)::VARCHAR AS key, arg_max(upper(replace(regexp_replace(substr(text, 1, (40 + doc_id % 30)::INT), '^\\s+|\\s+$', '', 'g'), 'ß', 'ss')), doc_id) AS heavy,
-  arg_max(upper(replace(regexp_replace(CASE WHEN doc_id % 11 = 0 THEN '' ELSE substr(text, 20, 40) END, '^\\s+|\\s+$', '', 'g'), 'ß', 'ss')), doc_id) AS light FROM documents GROUP BY 1)"""
+_CHAIN = lambda c: f"upper(replace(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), 'ß', 'ss'))"
+LINKS = f"""members AS (SELECT 'imgt:mAb_' || doc_id AS entity FROM documents), links AS (SELECT 'imgt:mAb_' || doc_id AS entity, doc_id::VARCHAR AS key FROM documents WHERE doc_id % 6 <> 0),
+sequences AS (SELECT doc_id::VARCHAR AS key, {_CHAIN("CASE WHEN doc_id % 5 = 0 THEN ' again ' || text ELSE text END")} AS heavy,
+  {_CHAIN("CASE WHEN doc_id % 13 = 0 THEN '' ELSE 'light ' || text END")} AS light FROM documents WHERE doc_id % 11 <> 0)"""
