@@ -38,7 +38,7 @@ def test_against_sql(spark, db, name):
 
 
 def test_the_rest_stands_without_llm(tmp_path):
-    """Without the subpackage and the pipeline the contract still imports."""
+    """Without the subpackage and the pipeline the contract still imports, and the other tests run."""
     import os
     import shutil
     import subprocess
@@ -48,4 +48,7 @@ def test_the_rest_stands_without_llm(tmp_path):
     shutil.copytree(f"{root}/triplane", tmp_path / "triplane", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql() and not any(q.startswith('op') for q in e.queries())"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True)
+    env = {**os.environ, "PYTHONPATH": str(tmp_path)}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
+    shutil.copytree(f"{root}/tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "tests", "-k", "contract or terms or files_are_numbered"], cwd=tmp_path, env=env, check=True, timeout=600)
