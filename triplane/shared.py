@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named or tempfile.mkdtemp(prefix="triplane-")
 
 
+_tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """What :func:`materialise` writes within this block is deleted at its end; results must be written elsewhere by then."""
+    token = _tables.set([])
+    try:
+        yield
+    finally:
+        paths = _tables.get()
+        _tables.reset(token)
+        for path in paths:
+            _delete(spark, path)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -29,17 +48,23 @@ def materialise(df: DataFrame) -> DataFrame:
     columns compressed, and survives the loss of any executor.
     """
     path = f"{shared_dir(df.sparkSession)}/triplane-{uuid.uuid4().hex}"
+    if (tables := _tables.get()) is not None:
+        tables.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a :func:`materialise` result that no plan reads any more."""
     spark = df.sparkSession
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/triplane-" in path:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
 
 
 def fresh(df: DataFrame, name: str) -> str:
