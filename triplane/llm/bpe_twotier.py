@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from triplane.shared import fresh
 
 #: Bytes that a worker remembers of merged pre-tokens; beyond it they are forgotten.
-MEMO_BYTES = 40 << 20
+MEMO_BYTES = 24 << 20
 #: Characters of texts that are encoded at once, and pre-tokens of a longer text or ids of a decoded one.
 SLICE, WINDOW = 500_000, 100_000
 

@@ -41,7 +41,7 @@ from triplane.shared import fresh, materialise
 #: Words of a task; one with more is cut into parts.
 LIMIT = 50_000
 #: Node pairs that a task's walk holds at once; more wait on a stack.
-FRONTIER = 1 << 19
+FRONTIER = 1 << 17
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
@@ -61,8 +61,8 @@ def _more_words(h: np.ndarray, words: int) -> np.ndarray:
 def majority(h: np.ndarray, words: int) -> np.ndarray:
     """Words of hashes, as signed 64-bit numbers; a bit is 1 if it is set in over half of them."""
     counts = np.zeros((8 * words, 256), dtype=np.int64)
-    for at in range(0, len(h), 1 << 16):
-        octets = _more_words(h[at : at + (1 << 16)], words).view(np.uint8).reshape(-1, 8 * words)
+    for at in range(0, len(h), 1 << 12):
+        octets = _more_words(h[at : at + (1 << 12)], words).view(np.uint8).reshape(-1, 8 * words)
         counts += np.bincount((octets + np.arange(8 * words) * 256).ravel(), minlength=2048 * words).reshape(-1, 256)
     set_in = counts @ _BYTE_BITS
     return np.packbits((2 * set_in > len(h)).ravel(), bitorder="little").view(np.int64)
@@ -112,7 +112,7 @@ def fingerprint(text: Column, shingle: int = 3, words: int = 1) -> Column:
 
 def _below(label: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, e: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of the places below pairs of nodes [a, b) and [c, e), less those that ``label`` joins in time."""
-    same, sizes = a == c, (b - a) * (e - c)
+    same, sizes = a == c, (b - a).astype(np.int64) * (e - c)
     for lo, hi in zip(a[same].tolist(), b[same].tolist(), strict=True):
         for apart in range(1, hi - lo):
             if (label[lo:hi] == label[lo]).all():
@@ -146,10 +146,10 @@ def _walk(word: np.ndarray, roots: np.ndarray, width: int, budget: int, label: n
 
     def before(d: int) -> np.ndarray:
         if d not in ones:
-            ones[d] = np.concatenate([[0], np.cumsum(word >> np.uint64(63 - d) & np.uint64(1), dtype=np.int64)])
+            ones[d] = np.concatenate([np.zeros(1, np.int32), np.cumsum(word >> np.uint64(63 - d) & np.uint64(1), dtype=np.int32)])
         return ones[d]
 
-    stack = [(int(d), roots[roots[:, 0] == d, 1:].T) for d in np.unique(roots[:, 0])]
+    stack = [(int(d), roots[roots[:, 0] == d, 1:].T.astype(np.int32)) for d in np.unique(roots[:, 0])]
     while stack:
         d, (a, b, c, e, err) = stack.pop()
         if len(a) > FRONTIER:
