@@ -79,7 +79,8 @@ def _forms(docs: DataFrame, text: str, leaves: DataFrame) -> DataFrame:
     text_forms = docs.select(F.explode(F.array_distinct(forms_of(F.col(text)))).alias("words")).where("words != ''").withColumn("leaf", leaf(F.col("words")))
     # a slot is one of SLOTS numbers, however many leaves there are
     near = text_forms.join(F.broadcast(slots), slot(F.col("leaf")) == F.col("slot"), "left_semi")
-    distinct = near.groupBy("leaf", F.xxhash64("words").alias("form")).agg(F.first("words").alias("words"))
+    # written first: Spark deals a crowded side of a join anew only where no sum shares its stage
+    distinct = materialise(near.groupBy("leaf", F.xxhash64("words").alias("form")).agg(F.first("words").alias("words")))
     return distinct.join(leaves.hint("merge"), "leaf", "left_semi").select("leaf", "form", F.split("words", " ").alias("tokens"))
 
 
@@ -89,11 +90,11 @@ def _general(forms: DataFrame, sets: DataFrame) -> DataFrame:
     ``sets``: ``(leaf, set, docs)``, the forms that a document has in a leaf, and how many documents have those.
     """
     sets = sets.withColumn("id", F.xxhash64("set"))
-    leaf_docs = sets.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"))
+    leaf_docs = materialise(sets.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs")))
     members = materialise(sets.select("leaf", "id", "docs", F.explode("set").alias("form")))
     tokens = materialise(forms.select("leaf", "form", F.posexplode("tokens").alias("at", "token")).where(F.col("at") >= LEADING))
     seen = members.join(tokens, ["leaf", "form"]).groupBy("leaf", "at", "token", "id").agg(F.first("docs").alias("docs"))
-    seen = seen.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("seen")).join(leaf_docs, "leaf").where((F.col("seen") * 2 >= F.col("leaf_docs")) & (F.col("token") != WILD))
+    seen = seen.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("seen")).join(leaf_docs.hint("merge"), "leaf").where((F.col("seen") * 2 >= F.col("leaf_docs")) & (F.col("token") != WILD))
     shown = tokens.join(seen.select("leaf", "at", "token"), ["leaf", "at", "token"]).groupBy("leaf", "form").agg(F.collect_set(F.struct("at", "token")).alias("constant"))
     n, lead = F.size("tokens"), F.slice("tokens", 1, LEADING)
     words = F.size("constant") + F.size(F.filter(lead, lambda x: x != WILD))
