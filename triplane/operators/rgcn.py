@@ -6,6 +6,7 @@ through the relation's weights, and added to the node's own transform.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,16 @@ def weights(n_relations: int, dim_in: int, dim_out: int, kind: str = "bases", n_
     return full
 
 
+def drawn_weights(n_relations: int, dim_in: int, dim_out: int, name: str = "w", seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """[relation, in, out] and the node's own [in, out] (relation -1), uniform in (-1, 1) / sqrt(in), by the same hash as all draws."""
+
+    def one(r: int, i: int, o: int) -> float:
+        return int(hashlib.md5(f"{seed}:{name}:{r}:{i}:{o}".encode()).hexdigest()[:8], 16) / float(1 << 32) * 2 - 1
+
+    full = np.array([[[one(r, i, o) for o in range(dim_out)] for i in range(dim_in)] for r in range(-1, n_relations)]) * dim_in**-0.5
+    return full[1:], full[0]
+
+
 def layer(edges: DataFrame, features: DataFrame, w: np.ndarray, own: np.ndarray, activation: str = "relu", dropout: float = 0.0, own_dropout: float = 0.0, seed: int = 0) -> DataFrame:
     """``(id, vec)`` after one layer; dropped edges and self-loops are drawn by hash."""
     keep = lambda rate, *key: draw32(f"drop:{seed}", *key) >= int(rate * (1 << 32))

@@ -611,6 +611,28 @@ def _ids(vectors: DataFrame) -> DataFrame:
     return vectors.select("id")
 
 
+_STEP = f"""WITH {X.VECTORS}, e0 AS (SELECT id, list_transform(range(16), lambda i: (({_H('0:e', 'id', 'i')} / 4294967296.0::DOUBLE * 2 - 1) * 0.1::DOUBLE)::FLOAT::DOUBLE) AS v FROM vectors),
+e AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM e0),
+r AS (SELECT id, list_transform(range(16), lambda i: (({_H('0:r', 'id', 'i')} / 4294967296.0::DOUBLE * 2 - 1) * 0.1::DOUBLE)::FLOAT::DOUBLE) AS v FROM vectors WHERE id < 10),
+sides AS (SELECT *, {_H('side:0', 'pos')} % 3 AS side FROM tests), wrong AS (SELECT pos, CASE WHEN side = 0 THEN {_other('head_id', '(SELECT count(*) FROM vectors)', 'id:0', 'pos')} ELSE head_id END AS nh,
+  CASE WHEN side = 2 THEN {_other('relation_id', '10', 'id:0', 'pos')} ELSE relation_id END AS nr, CASE WHEN side = 1 THEN {_other('tail_id', '(SELECT count(*) FROM vectors)', 'id:0', 'pos')} ELSE tail_id END AS nt FROM sides),
+pairs AS (SELECT t.head_id, t.tail_id, nh, nt, list_transform(range(1, 17), lambda i: h.v[i] + r1.v[i] - t1.v[i]) AS good, list_transform(range(1, 17), lambda i: h2.v[i] + r2.v[i] - t2.v[i]) AS bad
+  FROM tests t JOIN wrong USING (pos) JOIN e h ON h.id = t.head_id JOIN r r1 ON r1.id = t.relation_id JOIN e t1 ON t1.id = t.tail_id JOIN e h2 ON h2.id = nh JOIN r r2 ON r2.id = nr JOIN e t2 ON t2.id = nt),
+far AS (SELECT *, sqrt(list_sum(list_transform(good, lambda x: x * x))) AS dg, sqrt(list_sum(list_transform(bad, lambda x: x * x))) AS db FROM pairs),
+hit AS (SELECT *, unnest(range(1, 17)) AS i FROM far WHERE 1.0 + dg - db > 0),
+moved AS (SELECT id, i, sum(g) AS g FROM (SELECT head_id AS id, i, good[i] / dg AS g FROM hit UNION ALL SELECT tail_id, i, -good[i] / dg FROM hit UNION ALL SELECT nh, i, -bad[i] / db FROM hit UNION ALL SELECT nt, i, bad[i] / db FROM hit) GROUP BY 1, 2),
+after AS (SELECT a.id, a.i, a.x - 0.05::DOUBLE * coalesce(g, 0) AS x FROM (SELECT id, unnest(range(1, 17)) AS i, unnest(v) AS x FROM e) a LEFT JOIN moved m ON m.id = a.id AND m.i = a.i)
+SELECT id, (i - 1)::INT AS at, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 5) + 0.0 AS x FROM after"""
+
+
+@query(_STEP)
+def transe_step(spark, sf):
+    """Entities after one batch of all triples."""
+    triples, vectors, relations = _tests(spark, sf)
+    entities, _, _ = train.train_transe(triples, train.random_table(_ids(vectors), "e", 16), train.random_table(_ids(relations), "r", 16), epochs=1, n_batches=1)
+    return entities.select("id", F.posexplode("vec").alias("at", "x")).withColumn("x", F.round("x", 5) + 0.0)
+
+
 @query()
 def transe_train(spark, sf):
     """Two epochs of two batches; the loss of each epoch beside the entities."""
@@ -663,6 +685,21 @@ def boxe_train(spark, sf):
     return entities.crossJoin(F.broadcast(train.history_table(spark, history)))  # two rows
 
 
+_LAYER = f"""WITH {X.VECTORS}, x AS (SELECT id, unnest(range(64)) AS i, unnest(vec) / 1000.0::DOUBLE AS x FROM vectors),
+sent AS (SELECT tail_id AS id, relation_id, i, avg(x) AS x FROM tests JOIN x ON x.id = head_id GROUP BY 1, 2, 3 UNION ALL SELECT id, -1, i, x FROM x),
+w AS (SELECT r, i, o, ({_H('0:w', 'r', 'i', 'o')} / 4294967296.0::DOUBLE * 2 - 1) / 8 AS w FROM (SELECT unnest(range(-1, 10)) AS r), (SELECT unnest(range(64)) AS i), (SELECT unnest(range(4)) AS o))
+SELECT id, o::INT AS at, round(greatest(sum(x * w), 0.0), 5) + 0.0 AS x FROM sent JOIN w ON w.r = relation_id AND w.i = sent.i GROUP BY 1, 2"""
+
+
+@query(_LAYER)
+def rgcn_layer(spark, sf):
+    """One layer from 64 to 4 dimensions, of weights drawn by hash."""
+    triples, vectors, _ = _tests(spark, sf)
+    features = vectors.select("id", F.transform("vec", lambda x: x / 1000.0).alias("vec"))
+    out = rgcn.layer(triples, features, *rgcn.drawn_weights(10, 64, 4))
+    return out.select("id", F.posexplode("vec").alias("at", "x")).withColumn("x", F.round("x", 5) + 0.0)
+
+
 @query()
 def rgcn_forward(spark, sf):
     triples, vectors, _ = _tests(spark, sf)
