@@ -263,10 +263,13 @@ _GUIDED = lambda c, d: f"coalesce(f.{c}, p.{c}, {_TEXT(d)}) AS {c}"  # noqa: E73
 _GUIDED_ALL = ", ".join(_GUIDED(c, d) for c, d in zip(("strategy", "prior", "alignment"), C.DEFAULT_GUIDANCE, strict=True))
 
 
-@query(f"WITH {X.TERMS}, {_GUIDE}, named AS (SELECT k, {X.sql_compact('term')} AS entity FROM terms), local AS (SELECT k, entity, {X.sql_local('entity')} AS token FROM named), families AS (SELECT k, {X.sql_family('entity', 'token')} AS family FROM local) SELECT k, family, {_GUIDED_ALL} FROM families LEFT JOIN guide f ON f.name = family LEFT JOIN guide p ON p.name = family")
+@query(f"WITH {X.TERMS}, {_GUIDE}, named AS (SELECT k, {X.sql_compact('term')} AS entity FROM terms), local AS (SELECT k, entity, {X.sql_local('entity')} AS token FROM named), families AS (SELECT k, {X.sql_family('entity', 'token')} AS family FROM local), both_names AS (SELECT k, CASE WHEN k % 5 = 0 THEN 'none' ELSE family END AS family, CASE k % 3 WHEN 0 THEN 'Disease' WHEN 1 THEN 'mAb' ELSE family END AS primary_type FROM families) SELECT k, family, primary_type, {_GUIDED_ALL} FROM both_names LEFT JOIN guide f ON f.name = family LEFT JOIN guide p ON p.name = primary_type")
 def embedding_guidance(spark, sf):
-    df = X.term_samples(spark, sf).select("k", T.family(T.compact_term(F.col("term"))).alias("family")).withColumn("primary_type", F.col("family"))
-    return profile.with_guidance(df).drop("primary_type")
+    """By family, else by primary type, else the default."""
+    df = X.term_samples(spark, sf).select("k", T.family(T.compact_term(F.col("term"))).alias("family"))
+    primary = F.when(F.col("k") % 3 == 0, "Disease").when(F.col("k") % 3 == 1, "mAb").otherwise(F.col("family"))
+    df = df.select("k", F.when(F.col("k") % 5 == 0, "none").otherwise(F.col("family")).alias("family"), primary.alias("primary_type"))
+    return profile.with_guidance(df)
 
 
 _PROFILE = f"{X.DIM}, sides AS (SELECT relation, 'head' AS side, head AS entity, pos FROM triples UNION ALL SELECT relation, 'tail', tail, pos FROM triples), hist AS (SELECT relation, side, coarse_category AS category, count(*) AS n, min(pos) AS first FROM sides JOIN dim USING (entity) GROUP BY 1, 2, 3), profile AS (SELECT relation, side, category, n, row_number() OVER (PARTITION BY relation, side ORDER BY n DESC, first) AS rank FROM hist QUALIFY rank <= {profile.TOP})"
