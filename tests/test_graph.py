@@ -59,9 +59,9 @@ def test_readers_and_writers(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.read_triples_csv(spark, str(tmp_path / "bad.csv"))
     (tmp_path / "t.tsv").write_text("a\tp\tb\n\n  \nc\tq\t\n")
-    assert [(r["head"], r.relation, r.tail, r.pos) for r in readers.read_triples_tsv(spark, str(tmp_path / "t.tsv")).orderBy("pos").collect()] == [("a", "p", "b", 0), ("c", "q", "", 1)]
-    (tmp_path / "w.tsv").write_text("a\tp\n")
-    with pytest.raises(Exception, match="not three fields"):
+    assert [(r["head"], r.relation, r.tail, r.pos) for r in readers.read_triples_tsv(spark, str(tmp_path / "t.tsv")).orderBy("pos").collect()] == [("a", "p", "b", 0), ("c", "q", "", 3)]
+    (tmp_path / "w.tsv").write_text("\na\tp\n")
+    with pytest.raises(Exception, match="line 2: not three fields"):
         readers.read_triples_tsv(spark, str(tmp_path / "w.tsv")).collect()
     assert readers.read_triples_tsv(spark, str(tmp_path / "w.tsv"), strict=False).first().bad
     (tmp_path / "s.csv").write_text('\ufeffinn_number,heavy_chain_sequence,light_chain_sequence\n"""7""", acd ,ef\n7,xyz,\n', encoding="utf-8")
@@ -126,6 +126,14 @@ def test_literals_long_and_escaped(spark):
     assert [got[i].lexical for i in range(len(cases))] == list(cases.values()) and got[0].lang == "en"
 
 
+def test_metadata_with_terms_and_files(spark, tmp_path):
+    lines = spark.createDataFrame([("<http://x/a> <http://x/p> _:b .", 0), ('<http://x/a> <http://x/p> "l" .', 1)], "line string, pos long")
+    rdf = readers.parse_ntriples(lines)
+    row = vocab.metadata(readers.rdf_triples(rdf).withColumn("split", F.lit("train")), 8, dropped=3, kinds=vocab.term_kinds(rdf), files={"entities": "e.csv"}).first()
+    assert row.num_dropped == 3 and row.num_train == 2 and row.files == {"entities": "e.csv"}
+    assert row.term_counts == {"subject:URI": 2, "predicate:URI": 2, "object:BlankNode": 1, "object:Literal": 1}
+
+
 def test_metrics_and_tensors(spark, tmp_path):
     history = train.history_table(spark, [{"epoch": 0, "mean_loss": 0.5, "updates": 3}, {"epoch": 1, "mean_loss": 0.25, "updates": 2}])
     evaluation = spark.createDataFrame([(5, 1.5)], "n long, mean_rank double")

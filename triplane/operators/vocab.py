@@ -90,8 +90,17 @@ def with_inverses(indexed: DataFrame, n_relations: int) -> DataFrame:
     return indexed.select("head_id", "relation_id", "tail_id").unionByName(back)
 
 
-def metadata(triples: DataFrame, dim: int, dropped: int = 0) -> DataFrame:
-    """One row: counts of entities, relations, triples, rows dropped before, and each split."""
+def metadata(triples: DataFrame, dim: int, dropped: int = 0, kinds: DataFrame | None = None, files: dict[str, str] | None = None) -> DataFrame:
+    """One row: counts of entities, relations, triples, rows dropped before, and each split.
+
+    ``kinds`` (:func:`term_kinds`) adds the map ``term_counts``, by position and kind; ``files`` adds itself as a map.
+    """
     ends = F.explode(F.array("head", "tail"))
     counts = triples.agg(F.count("*").alias("num_triples"), F.count_distinct("relation").alias("num_relations"), *[F.count_if(F.col("split") == s).alias(f"num_{s}") for s in ("train", "valid", "test")])
-    return counts.crossJoin(triples.select(ends.alias("e")).agg(F.count_distinct("e").alias("num_entities"))).withColumns({"embedding_dim": F.lit(dim), "num_dropped": F.lit(dropped).cast("long")})
+    out = counts.crossJoin(triples.select(ends.alias("e")).agg(F.count_distinct("e").alias("num_entities"))).withColumns({"embedding_dim": F.lit(dim), "num_dropped": F.lit(dropped).cast("long")})
+    if kinds is not None:
+        entry = F.struct(F.concat_ws(":", "position", "kind"), "n")
+        out = out.crossJoin(kinds.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("term_counts")))  # one row each
+    if files is not None:
+        out = out.withColumn("files", F.create_map(*[F.lit(x) for pair in sorted(files.items()) for x in pair]))
+    return out

@@ -59,15 +59,17 @@ def split_fields(lines: DataFrame, strict: bool = True) -> DataFrame:
     rows = lines.where(T.strip(F.col("value")) != "").withColumn("parts", parts)
     bad = F.size("parts") != 3
     if strict:
-        rows = rows.withColumn("parts", F.when(bad, F.raise_error(F.concat(F.lit("not three fields: "), F.col("value")))).otherwise(F.col("parts")))
+        line = F.concat(F.lit("line "), F.col("pos") + 1, F.lit(": ")) if "pos" in rows.columns else F.lit("")
+        rows = rows.withColumn("parts", F.when(bad, F.raise_error(F.concat(line, F.lit("not three fields: "), F.col("value")))).otherwise(F.col("parts")))
     rows = rows.withColumn("bad", bad)
     return rows.select(*[F.get("parts", F.lit(i)).alias(c) for i, c in enumerate(("head", "relation", "tail"))], *[c for c in rows.columns if c not in ("value", "parts")])
 
 
 def read_triples_tsv(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    lines = _with_place(spark.read.text(path).select("value", "_metadata")).drop("_metadata")
+    """``(head, relation, tail, pos)``; ``pos`` counts lines, blank ones too, so an error can name its line."""
+    lines = _numbered(_with_place(spark.read.text(path).select("value", "_metadata")).drop("_metadata"))
     out = split_fields(lines, strict)
-    return _numbered(out.drop("bad") if strict else out)
+    return out.drop("bad") if strict else out
 
 
 def read_splits(spark: SparkSession, folder: str, names: tuple[str, ...] = SPLITS) -> DataFrame:
