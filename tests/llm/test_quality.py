@@ -82,6 +82,14 @@ def test_held_out_accuracy(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.predicted}
 
 
+def test_repeated_ids_are_learned_once(spark):
+    docs = spark.createDataFrame([(1, "good words here")] * 50 + [(1, "zz")] * 50 + [(3, "bad bad bad")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (3, 0)], "doc_id long, quality int")
+    once = spark.createDataFrame([(1, "good words here"), (3, "bad bad bad")], "doc_id long, text string")
+    a, b = Q.train(docs, labels), Q.train(once, labels)
+    assert a.score(["good words here", None]).tolist() == b.score(["good words here", None]).tolist()
+
+
 def test_awkward_rows(spark):
     docs = spark.createDataFrame([(1, None, 0.1), (2, "", 0.2), (2, "", 0.2), (None, "some text", None), (3, "y " * 40_000, 0.3)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, quality int")

@@ -12,7 +12,7 @@ names; their passages are encoded by Spark tasks, and gradient steps run on the
 weights are a few thousand numbers. Scoring is an Arrow function of the text column, for all rows, in batches.
 
 A null or empty text is one empty passage, so it has a score too. A document without an id is scored and not held out.
-Repeated rows get equal scores. Without labelled rows of both kinds the score is their share of ones, or 0.5.
+Repeated rows get equal scores; of texts that share a labelled id, the least is learned from. Without labelled rows of both kinds the score is their share of ones, or 0.5.
 """
 
 from __future__ import annotations
@@ -168,8 +168,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
             rows = [encode_batch([t.as_py()])[0].ravel() for t in batch]
             yield pa.array(rows, type=pa.list_(pa.float32()))
 
-    # the sample is bounded, and so is what comes back
+    # the sample is bounded, and so is what comes back: one text for each of its rows
     met = docs.select("doc_id", F.col("text").alias("text")).join(F.broadcast(chosen), "doc_id")
+    met = met.groupBy("doc_id", "quality_label").agg(F.min("text").alias("text"))
     rows = met.select("doc_id", "quality_label", bag(F.col("text")).alias("bag")).toPandas()
     rows["size"] = rows["bag"].map(len)
     rows = rows.iloc[np.lexsort([rows["size"], rows["doc_id"]])] if len(rows) else rows
