@@ -32,7 +32,7 @@ SAMPLE = 6000
 #: Sums that the runs of three bytes are hashed into.
 GRAMS = 256
 HIDDEN, GATES = 16, 8
-EPOCHS, BATCH, RATE, DECAY = 60, 128, 0.01, 1e-4
+EPOCHS, BATCH, RATE, DECAY = 30, 128, 0.01, 1e-4
 
 # The character classes, by ASCII code; all else is letters of other scripts.
 CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " ", "\n", "\t\r\x0b\x0c", ".", ",", "!", "?", "|", "#$%&*@^~+=", "<>{}[]()", "\"'`", "-_/\\", ":;")
@@ -171,11 +171,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     # the sample is bounded, and so is what comes back: one text for each of its rows
     met = docs.select("doc_id", F.col("text").alias("text")).join(F.broadcast(chosen), "doc_id")
     met = met.groupBy("doc_id", "quality_label").agg(F.min("text").alias("text"))
-    rows = met.select("doc_id", "quality_label", bag(F.col("text")).alias("bag")).toPandas()
-    rows["size"] = rows["bag"].map(len)
-    rows = rows.iloc[np.lexsort([rows["size"], rows["doc_id"]])] if len(rows) else rows
-    x = np.concatenate([*rows["bag"], np.zeros(0, np.float32)]).reshape(-1, FEATURES)
-    return fit(x, rows["size"].to_numpy(dtype=np.int64) // FEATURES, rows["quality_label"].to_numpy(dtype=float))
+    rows = met.select("doc_id", "quality_label", bag(F.col("text")).alias("bag")).toArrow().combine_chunks()
+    label = rows["quality_label"].to_numpy()
+    order = np.lexsort([label, rows["doc_id"].to_numpy()])
+    bags = rows["bag"].combine_chunks() if rows.num_rows else pa.array([], type=pa.list_(pa.float32()))
+    starts = bags.offsets.to_numpy() // FEATURES
+    sizes = np.diff(starts)[order]
+    own = np.concatenate([np.zeros(0, dtype=np.int64), *(np.arange(starts[i], starts[i + 1]) for i in order.tolist())])
+    return fit(bags.values.to_numpy().reshape(-1, FEATURES)[own], sizes, label[order].astype(float))
 
 
 def score(text: Column, model: Model) -> Column:
