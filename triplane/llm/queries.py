@@ -18,6 +18,7 @@ from triplane.llm import (
     simhash_trie,
     suffix_sparse,
     url_rank,
+    whitening,
 )
 from triplane.shared import table
 
@@ -65,6 +66,10 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac_media.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_html": op2_html,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op8_embeddings": op8_embeddings,
     "op9_urls": op9_urls,
     "op10_flac": op10_flac,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
