@@ -14,6 +14,7 @@ from triplane.llm import (
     html_tagpath,
     line_templates,
     mixing,
+    multi_index,
     quality_mil,
     simhash_trie,
     suffix_sparse,
@@ -66,6 +67,10 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac_media.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digest(table(spark, sf_dir, "embeddings"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op8_embeddings": op8_embeddings,
     "op9_urls": op9_urls,
     "op10_flac": op10_flac,
+    "op12_neighbours": op12_neighbours,
     "op13_whitening": op13_whitening,
 }
 
