@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from triplane.llm import (
+    bloom_slices,
     bpe_twotier,
     embed_passes,
     flac_media,
@@ -67,6 +68,10 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac_media.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_slices.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.digest(table(spark, sf_dir, "embeddings"))
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op8_embeddings": op8_embeddings,
     "op9_urls": op9_urls,
     "op10_flac": op10_flac,
+    "op11_lexical": op11_lexical,
     "op12_neighbours": op12_neighbours,
     "op13_whitening": op13_whitening,
 }
@@ -93,4 +99,5 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_line_templates": line_templates.SQL,
     "op6_mixing": mixing.SQL,
+    "op11_lexical": bloom_slices.SQL,
 }
