@@ -190,7 +190,7 @@ def test_blocked_ranks_equal_the_join(spark):
 
 
 @pytest.mark.parametrize("target", ["head", "relation"])
-@pytest.mark.parametrize("scorer", [R.squared_distance, R.dot_score])
+@pytest.mark.parametrize("scorer", [R.squared_distance, R.city_distance, R.dot_score])
 def test_ranks_of_heads_and_relations_against_numpy(spark, target, scorer):
     rng = np.random.default_rng(4)
     x = rng.integers(-4, 5, (30, 5)).astype(float)
@@ -205,6 +205,35 @@ def test_ranks_of_heads_and_relations_against_numpy(spark, target, scorer):
         assert got[(h, r, t)] == (int(((s > s[own]) & other).sum()), int(((s == s[own]) & other).sum()))
 
 
+def test_city_distance_in_tiles(monkeypatch):
+    rng = np.random.default_rng(6)
+    a, b, c = rng.normal(size=(20, 7)), rng.normal(size=(20, 7)), rng.normal(size=(33, 7))
+    want = -np.abs((a + b)[:, None] - c[None]).sum(axis=2)
+    for tile in (256, 6):
+        monkeypatch.setattr(R, "TILE", tile)
+        assert np.allclose(R.city_distance(a, b, c), want)
+    assert R.distance_scorer(1) is R.city_distance and R.distance_scorer(2) is R.squared_distance
+
+
+@pytest.mark.parametrize("target,p,tanh", [("tail", 2, True), ("head", 1, True), ("tail", 1, False)])
+def test_boxe_ranks_against_scores_of_all_pairs(spark, monkeypatch, target, p, tanh):
+    monkeypatch.setattr(R, "TILE", 5)
+    e = train.boxe_parameters(spark.range(17), train.BOXE_ENTITY, 4)
+    r = train.boxe_parameters(spark.range(3), train.BOXE_RELATION, 4)
+    e = e.unionByName(e.where("id < 3").withColumn("id", F.col("id") + 17))  # copies are equal, and not better
+    tests = spark.createDataFrame([(i, i % 3, (i * 5 + 1) % 20) for i in range(20)] + [(0, 0, 1)], "head_id long, relation_id long, tail_id long")
+    every = spark.range(20).select(F.col("id").alias("other"))
+    tries = tests.distinct().crossJoin(every).select(*["head_id", "relation_id", "tail_id"], "other")
+    swapped = tries.select(F.col("other").alias("head_id") if target == "head" else "head_id", "relation_id", F.col("other").alias("tail_id") if target == "tail" else "tail_id").distinct()
+    score = {tuple(x)[:3]: x.score for x in R.boxe_scores(swapped, e, r, p, tanh).collect()}
+    got = R.boxe_ranks(tests, e, r, p, tanh, target, block=6, candidates=8).collect()
+    assert len(got) == 21
+    for x in got:
+        own = score[x.head_id, x.relation_id, x.tail_id]
+        others = [score[(i, x.relation_id, x.tail_id) if target == "head" else (x.head_id, x.relation_id, i)] for i in range(20) if i != (x.head_id if target == "head" else x.tail_id)]
+        assert x.better == sum(s > own + 1e-12 for s in others) and x.equal == sum(abs(s - own) <= 1e-12 for s in others)
+
+
 def test_graph_layer_against_numpy(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(5, 4))

@@ -8,6 +8,7 @@ against itself, as candidate or by rounding: it is left out by id.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ from triplane.shared import materialise
 
 #: Test rows and candidates of a cell; scores are made for so many candidates of it at once.
 BLOCK, CANDIDATES, CHUNK = 2000, 20_000, 2000
+#: Queries and candidates compared at once where a kernel goes dimension by dimension.
+TILE = 256
 
 
 def gather(triples: DataFrame, vectors: DataFrame, relations: DataFrame) -> DataFrame:
@@ -35,63 +38,115 @@ def transe_scores(triples: DataFrame, vectors: DataFrame, relations: DataFrame,
     return met.withColumn("distance", V.norm(V.translation(F.col("h"), F.col("r"), F.col("t")), p)).drop("h", "r", "t")
 
 
-Scorer = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+@dataclass(frozen=True)
+class Scorer:
+    """Scores [query, candidate] of one vector for each query, made from the two known ones.
+
+    ``translation``: h + r against t; then t - r against h and t - h against r are the same, and the second vector is negated.
+    """
+
+    query: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    score: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    translation: bool = False
+
+    def __call__(self, a: np.ndarray, b: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+        return self.score(self.query(a, b), candidates)
 
 
-def squared_distance(h: np.ndarray, r: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Minus the squared distance [query, candidate], expanded so that the work is one matrix product."""
-    q = h + r
+def _minus_squares(q: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return -((q * q).sum(axis=1)[:, None] + (candidates * candidates).sum(axis=1)[None] - 2 * q @ candidates.T)
 
 
-def dot_score(h: np.ndarray, r: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    return (h * r) @ candidates.T
+def _minus_city_blocks(q: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+    """No matrix product gives these: dimension by dimension, over tiles that stay in the cache."""
+    out = np.zeros((len(q), len(candidates)))
+    for i in range(0, len(q), TILE):
+        for j in range(0, len(candidates), TILE):
+            tile, other, far = q[i : i + TILE], candidates[j : j + TILE], out[i : i + TILE, j : j + TILE]
+            for d in range(q.shape[1]):
+                far -= np.abs(tile[:, d, None] - other[None, :, d])
+    return out
 
 
-def _questions(tests: DataFrame, vectors: DataFrame, relations: DataFrame, target: str, turn: bool) -> DataFrame:
-    """``row, sought`` (the true id), the known vectors ``a`` and ``b``, and ``t``, the true one; each distinct test row once.
+#: Minus the squared distance, expanded so that the work is one matrix product.
+squared_distance = Scorer(np.add, _minus_squares, translation=True)
+#: Minus the sum of absolute differences.
+city_distance = Scorer(np.add, _minus_city_blocks, translation=True)
+dot_score = Scorer(np.multiply, lambda q, candidates: q @ candidates.T)
 
-    With a distance, h + r against t is also t - r against h and t - h against r: ``turn`` negates the second vector.
-    """
+
+def distance_scorer(p: int) -> Scorer:
+    """The scorer that ranks by the p-norm of h + r - t."""
+    return {1: city_distance, 2: squared_distance}[p]
+
+
+def _stacked(pdf: pd.DataFrame, names: list[str]) -> list[np.ndarray]:
+    return [np.stack(pdf[n]).astype(np.float64) for n in names]
+
+
+def _questions(tests: DataFrame, vectors: DataFrame, relations: DataFrame, target: str, scorer: Scorer) -> DataFrame:
+    """``row, sought`` (the true id), the query vector ``q`` and ``own``, the score of the true one; each distinct test row once."""
     met = gather(tests, vectors, relations).withColumn("row", F.xxhash64("head_id", "relation_id", "tail_id")).dropDuplicates(["row"])
-    known = {"tail": ("h", "r", "t"), "head": ("t", "r", "h"), "relation": ("t", "h", "r")}[target]
-    b = F.transform(known[1], lambda x: -x) if turn and target != "tail" else F.col(known[1])
-    return met.select("row", F.col(f"{target}_id").alias("sought"), F.col(known[0]).alias("a"), b.alias("b"), F.col(known[2]).alias("t"))
+    a, b, t = {"tail": ("h", "r", "t"), "head": ("t", "r", "h"), "relation": ("t", "h", "r")}[target]
+    sign = -1 if scorer.translation and target != "tail" else 1
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            if len(pdf):
+                x, y, true = _stacked(pdf, [a, b, t])
+                q = scorer.query(x, sign * y)
+                own = [scorer.score(q[i : i + 1], true[i : i + 1])[0, 0] for i in range(len(q))]
+                yield pd.DataFrame({"row": pdf["row"], "sought": pdf["sought"], "q": list(q), "own": own})
 
+    return met.select("row", F.col(f"{target}_id").alias("sought"), a, b, t).mapInPandas(run, "row long, sought long, q array<double>, own double")
 
-def ranks(tests: DataFrame, vectors: DataFrame, relations: DataFrame, scorer: Scorer = squared_distance, target: str = "tail", block: int = BLOCK, candidates: int = CANDIDATES) -> DataFrame:
-    """``tests`` with ``better`` and ``equal`` counts, and both ranks, of the true tail, head or relation.
 
-    Test rows, vectors gathered, and candidates are dealt into blocks, and each pair of blocks is a task (a cell), which
-    returns counts per test row only. Pairs are never rows, and nothing passes through the driver. Scores of the true ones
-    come first, from the same function on the same kind of numbers. Heads and tails are sought among all entities, relations
-    among all relations.
+Kernel = Callable[[list[np.ndarray], list[np.ndarray]], np.ndarray]
+
+
+def counted(asked: DataFrame, known: list[str], pool: DataFrame, offered: list[str], kernel: Kernel, block: int = BLOCK, candidates: int = CANDIDATES) -> DataFrame:
+    """``(row, better, equal)``: candidates of ``pool`` that score better than, or just like, the true one.
+
+    ``asked``: row, sought, own and the columns ``known``; ``pool``: id and the columns ``offered``; ``kernel`` scores queries
+    against candidates, as a matrix. Both sides are dealt into blocks, and each pair of blocks is a task (a cell), which returns
+    counts per row only. Pairs are never rows, and nothing passes through the driver.
     """
-    asked = materialise(_questions(tests, vectors, relations, target, scorer is squared_distance))
-    pool = relations if target == "relation" else vectors
+    asked = materialise(asked)
     blocks, parts = (max(1, -(-df.count() // size)) for df, size in ((asked, block), (pool, candidates)))
 
-    def cell(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("row", "better", "equal")})
-        a, b, t = (np.stack(left[c]).astype(np.float64) for c in ("a", "b", "t"))
-        own = np.array([scorer(a[i : i + 1], b[i : i + 1], t[i : i + 1])[0, 0] for i in range(len(left))])[:, None]
+        q, own = _stacked(left, known), left["own"].to_numpy()[:, None]
         sought, ids = left["sought"].to_numpy()[:, None], right["id"].to_numpy()
         better, equal = np.zeros(len(left), dtype=np.int64), np.zeros(len(left), dtype=np.int64)
         for at in range(0, len(right), CHUNK):
-            s = scorer(a, b, np.stack(right["vec"].iloc[at : at + CHUNK]).astype(np.float64))
+            s = kernel(q, _stacked(right.iloc[at : at + CHUNK], offered))
             other = ids[None, at : at + CHUNK] != sought
             better += ((s > own) & other).sum(axis=1)
             equal += ((s == own) & other).sum(axis=1)
         return pd.DataFrame({"row": left["row"].to_numpy(), "better": better, "equal": equal})
 
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select("row", "sought", "a", "b", "t", F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(blocks)).cast("int").alias("i"), every(parts).alias("j"))
-    right = pool.select("id", "vec", every(blocks).alias("i"), F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(parts)).cast("int").alias("j"))
-    counted = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(cell, "row long, better long, equal long")
-    total = counted.groupBy("row").agg(F.sum("better").alias("better"), F.sum("equal").alias("equal"))
-    out = tests.withColumn("row", F.xxhash64("head_id", "relation_id", "tail_id")).join(total, "row").drop("row")
-    return with_ranks(out)
+    left = asked.select("row", "sought", "own", *known, F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(blocks)).cast("int").alias("i"), every(parts).alias("j"))
+    right = pool.select("id", *offered, every(blocks).alias("i"), F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(parts)).cast("int").alias("j"))
+    cells = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(cell, "row long, better long, equal long")
+    return cells.groupBy("row").agg(F.sum("better").alias("better"), F.sum("equal").alias("equal"))
+
+
+def _of_tests(tests: DataFrame, counts: DataFrame) -> DataFrame:
+    return with_ranks(tests.withColumn("row", F.xxhash64("head_id", "relation_id", "tail_id")).join(counts, "row").drop("row"))
+
+
+def ranks(tests: DataFrame, vectors: DataFrame, relations: DataFrame, scorer: Scorer = squared_distance, target: str = "tail", block: int = BLOCK, candidates: int = CANDIDATES) -> DataFrame:
+    """``tests`` with ``better`` and ``equal`` counts, and both ranks, of the true tail, head or relation.
+
+    Heads and tails are sought among all entities, relations among all relations. A query travels as one vector and the score
+    of its true answer. See :func:`counted`.
+    """
+    pool = relations if target == "relation" else vectors
+    asked = _questions(tests, vectors, relations, target, scorer)
+    return _of_tests(tests, counted(asked, ["q"], pool, ["vec"], lambda q, c: scorer.score(q[0], c[0]), block, candidates))
 
 
 def with_ranks(counts: DataFrame) -> DataFrame:
@@ -113,37 +168,88 @@ def mean_rank(ranked: DataFrame, column: str = "optimistic") -> DataFrame:
     return ranked.agg(F.count("*").alias("n"), F.avg(column).alias("mean_rank"))
 
 
-def boxe_block(p: int = 2, tanh: bool = True) -> Callable:
-    """BoxE scores [row]: minus the distances of both bumped points to the relation's boxes.
+BOXES = ("head_base", "head_delta", "head_size", "tail_base", "tail_delta", "tail_size")
+
+
+def box_distance(point: np.ndarray, base: np.ndarray, delta: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each coordinate to its interval: centre = base, half-width = |delta| * softplus(size) / 2.
 
-    Centre = base, half-width = |delta| * softplus(size) / 2; inside a box the distance shrinks with its width, outside it
-    grows (Abboud et al. 2020).
+    Inside, the distance shrinks with the width, outside it grows (Abboud et al. 2020).
     """
-    squash = np.tanh if tanh else (lambda x: x)
+    width = np.abs(delta) * np.log1p(np.exp(size))
+    half, w1 = width / 2, width + 1
+    off = np.abs(point - base)
+    return np.where(off <= half, off / w1, off * w1 - half * (w1 - 1 / w1))
+
 
-    def distance(point, base, delta, size):
-        width = np.abs(delta) * np.log1p(np.exp(size))
-        half = width / 2
-        w1, kappa = width + 1, None
-        off = np.abs(point - base)
-        kappa = half * (w1 - 1 / w1)
-        return np.where(off <= half, off / w1, off * w1 - kappa)
+def boxe_block(p: int = 2, tanh: bool = True) -> Callable:
+    """BoxE scores [row]: minus the p-norms of the distances of both bumped points to the relation's boxes."""
+    squash = np.tanh if tanh else (lambda x: x)
 
     def score(h, h_bump, t, t_bump, r_head, r_tail):
-        a = distance(squash(h + t_bump), *r_head)
-        b = distance(squash(t + h_bump), *r_tail)
+        a = box_distance(squash(h + t_bump), *r_head)
+        b = box_distance(squash(t + h_bump), *r_tail)
         return -(np.linalg.norm(a, ord=p, axis=1) + np.linalg.norm(b, ord=p, axis=1))
 
     return score
 
 
+def boxe_kernel(p: int = 2, tanh: bool = True) -> Kernel:
+    """Scores [query, candidate]. Known: an entity, its bump, the box of its side and the box of the other; offered: an entity and its bump.
+
+    The known entity is moved by the candidate's bump and held against its own box, the candidate by the known one's bump and
+    held against the other. Both go dimension by dimension, in tiles, so that memory follows the tile and not the dimension.
+    """
+    squash = np.tanh if tanh else (lambda x: x)
+
+    def far(i: slice, j: slice, known: np.ndarray, moved: np.ndarray, box: list[np.ndarray]) -> np.ndarray:
+        total = np.zeros((len(known[i]), len(moved[j])))
+        base, delta, size = (x[i] for x in box)
+        for d in range(known.shape[1]):
+            one = box_distance(squash(known[i, d, None] + moved[None, j, d]), base[:, d, None], delta[:, d, None], size)
+            total += one if p == 1 else one * one
+        return total if p == 1 else np.sqrt(total)
+
+    def score(known: list[np.ndarray], offered: list[np.ndarray]) -> np.ndarray:
+        (entity, bump, *boxes), (candidate, candidate_bump) = known, offered
+        out = np.zeros((len(entity), len(candidate)))
+        for i in range(0, len(entity), TILE):
+            for j in range(0, len(candidate), TILE):
+                rows, columns = slice(i, i + TILE), slice(j, j + TILE)
+                out[rows, columns] = -far(rows, columns, entity, candidate_bump, boxes[:3]) - far(rows, columns, bump, candidate, boxes[3:])
+        return out
+
+    return score
+
+
+def boxe_ranks(tests: DataFrame, entities: DataFrame, relations: DataFrame, p: int = 2, tanh: bool = True, target: str = "tail", block: int = BLOCK, candidates: int = CANDIDATES) -> DataFrame:
+    """Like :func:`ranks`, of tails or heads by BoxE. ``entities``: id, vec, bump; ``relations``: id and :data:`BOXES`."""
+    known, sought = ("head", "tail") if target == "tail" else ("tail", "head")
+    side = lambda key, *names: entities.select(F.col("id").alias(key), *[F.col(c).alias(n) for c, n in zip(("vec", "bump"), names, strict=True)])
+    boxes = [c for end in (known, sought) for c in BOXES if c.startswith(end)]
+    met = tests.select("head_id", "relation_id", "tail_id").distinct().join(side(f"{known}_id", "a", "a_bump"), f"{known}_id").join(side(f"{sought}_id", "t", "t_bump"), f"{sought}_id")
+    met = met.join(relations.select(F.col("id").alias("relation_id"), *boxes), "relation_id")
+    met = met.select(F.xxhash64("head_id", "relation_id", "tail_id").alias("row"), F.col(f"{sought}_id").alias("sought"), "a", "a_bump", *boxes, "t", "t_bump")
+    kernel, names = boxe_kernel(p, tanh), ["a", "a_bump", *boxes]
+
+    def own(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            if len(pdf):
+                q, true = _stacked(pdf, names), _stacked(pdf, ["t", "t_bump"])
+                score = [kernel([x[i : i + 1] for x in q], [x[i : i + 1] for x in true])[0, 0] for i in range(len(pdf))]
+                yield pdf.drop(columns=["t", "t_bump"]).assign(own=score)
+
+    kind = ", ".join(["row long, sought long", *[f"{n} array<double>" for n in names], "own double"])
+    return _of_tests(tests, counted(met.mapInPandas(own, kind), names, entities, ["vec", "bump"], kernel, block, candidates))
+
+
 def boxe_scores(triples: DataFrame, entities: DataFrame, relations: DataFrame, p: int = 2, tanh: bool = True) -> DataFrame:
     """``entities``: id, vec, bump. ``relations``: id and base, delta, size for head and tail. Adds ``score``."""
     ends = {"head_id": ("h", "h_bump"), "tail_id": ("t", "t_bump")}
     met = triples
     for key, (v, b) in ends.items():
         met = met.join(entities.select(F.col("id").alias(key), F.col("vec").alias(v), F.col("bump").alias(b)), key)
-    tensors = [f"{side}_{part}" for side in ("head", "tail") for part in ("base", "delta", "size")]
+    tensors = list(BOXES)
     met = met.join(relations.select(F.col("id").alias("relation_id"), *tensors), "relation_id")
     names = ["head_id", "relation_id", "tail_id"]
 

@@ -121,7 +121,7 @@ def _descended(table: DataFrame, moved: DataFrame, rate: float) -> DataFrame:
     return met.select("id", F.when(F.col("grad").isNull(), F.col("vec")).otherwise(F.zip_with("vec", "grad", lambda x, g: x - rate * g)).alias("vec"))
 
 
-BOXE_ENTITY, BOXE_RELATION = ("vec", "bump"), ("head_base", "head_delta", "head_size", "tail_base", "tail_delta", "tail_size")
+BOXE_ENTITY, BOXE_RELATION = ("vec", "bump"), R.BOXES
 
 
 def boxe_parameters(ids: DataFrame, names: tuple[str, ...], dim: int, seed: int = 0) -> DataFrame:

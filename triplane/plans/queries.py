@@ -556,6 +556,15 @@ def tail_rank_generic(spark, sf):
     return R.ranks(*_tests(spark, sf), scorer=R.dot_score).select("head_id", "relation_id", "tail_id", "optimistic")
 
 
+_CITY = lambda a, b: f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: abs({a}[i] - {b}[i])))::BIGINT"
+
+
+@query(f"WITH {_GATHERED}, own AS (SELECT *, {_CITY('q', 't')} AS own FROM gathered) SELECT head_id, relation_id, tail_id, count(*) FILTER ({_CITY('q', 'v.vec')} < own) AS better, count(*) FILTER ({_CITY('q', 'v.vec')} = own) AS equal FROM own JOIN vectors v ON v.id <> tail_id GROUP BY 1, 2, 3")
+def tail_rank_l1(spark, sf):
+    """By sums of absolute differences."""
+    return R.ranks(*_tests(spark, sf), scorer=R.distance_scorer(1)).select("head_id", "relation_id", "tail_id", "better", "equal")
+
+
 @query(f"WITH {_RANKED} SELECT count(*) AS n, round(avg(optimistic), 6) AS mean_rank FROM ranked")
 def mean_rank(spark, sf):
     return R.mean_rank(R.ranks(*_tests(spark, sf))).withColumn("mean_rank", F.round("mean_rank", 6))
@@ -661,26 +670,48 @@ def _drawn(name: str, dim: int) -> str:
     return f"list_transform(range({dim}), lambda i: (((({_H(f'0:{name}', 'id', 'i')}) / 4294967296.0::DOUBLE) * 2 - 1) * 0.5::DOUBLE)::FLOAT::DOUBLE)"
 
 
-def _boxe_sql() -> str:
-    """BoxE's scores with tanh and p = 2, from vectors drawn by hash."""
+def _boxe_tables() -> str:
     entities = "entities AS (SELECT id, " + ", ".join(f"{_drawn(n, 8)} AS {n}" for n in train.BOXE_ENTITY) + " FROM vectors)"
-    relations = "relations AS (SELECT id, " + ", ".join(f"{_drawn(n, 1 if n.endswith('size') else 8)} AS {n}" for n in train.BOXE_RELATION) + " FROM vectors WHERE id < 10)"
+    return f"{X.VECTORS}, {entities}, relations AS (SELECT id, " + ", ".join(f"{_drawn(n, 1 if n.endswith('size') else 8)} AS {n}" for n in R.BOXES) + " FROM vectors WHERE id < 10)"
+
+
+def _boxe_far(name: str, v: str, bump: str, p: int) -> str:
+    """The p-norm of the distance of tanh(v + bump) to the box ``name``."""
+    width = f"(abs({name}_delta[i]) * ln(1 + exp({name}_size[1])))"
+    off = f"abs(tanh({v}[i] + {bump}[i]) - {name}_base[i])"
+    far = f"CASE WHEN {off} <= {width} / 2 THEN {off} / ({width} + 1) ELSE {off} * ({width} + 1) - {width} / 2 * (({width} + 1) - 1 / ({width} + 1)) END"
+    total = f"list_sum(list_transform(range(1, 9), lambda i: pow({far}, {p})))"
+    return f"sqrt({total})" if p == 2 else total
 
-    def side(name: str, v: str, bump: str) -> str:
-        width = f"(abs({name}_delta[i]) * ln(1 + exp({name}_size[1])))"
-        off = f"abs(tanh({v}[i] + {bump}[i]) - {name}_base[i])"
-        far = f"CASE WHEN {off} <= {width} / 2 THEN {off} / ({width} + 1) ELSE {off} * ({width} + 1) - {width} / 2 * (({width} + 1) - 1 / ({width} + 1)) END"
-        return f"sqrt(list_sum(list_transform(range(1, 9), lambda i: pow({far}, 2))))"
 
-    met = "met AS (SELECT head_id, relation_id, tail_id, h.vec AS h, h.bump AS hb, t.vec AS t, t.bump AS tb, r.* FROM tests JOIN entities h ON h.id = head_id JOIN entities t ON t.id = tail_id JOIN relations r ON r.id = relation_id)"
-    return f"WITH {X.VECTORS}, {entities}, {relations}, {met} SELECT head_id, relation_id, tail_id, round(-({side('head', 'h', 'tb')} + {side('tail', 't', 'hb')}), 5) AS score FROM met"
+_BOXE_MET = "met AS (SELECT head_id, relation_id, tail_id, h.vec AS h, h.bump AS hb, t.vec AS t, t.bump AS tb, r.* FROM tests JOIN entities h ON h.id = head_id JOIN entities t ON t.id = tail_id JOIN relations r ON r.id = relation_id)"
+_BOXE_SCORE = lambda p, v="", name="t": f"-({_boxe_far('head', 'h', f'{v}{name}b' if not v else f'{v}bump', p)} + {_boxe_far('tail', f'{v}{name}' if not v else f'{v}vec', 'hb', p)})"
 
 
-@query(_boxe_sql())
+def _boxe_ranked(p: int) -> str:
+    """``ranked``: candidates that score better than the true tail, with tanh."""
+    return f"{_boxe_tables()}, {_BOXE_MET}, own AS (SELECT *, {_BOXE_SCORE(p)} AS own FROM met), ranked AS (SELECT head_id, relation_id, tail_id, 1 + count(*) FILTER ({_BOXE_SCORE(p, 'e.')} > own) AS optimistic FROM own JOIN entities e ON e.id <> tail_id GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH {_boxe_tables()}, {_BOXE_MET} SELECT head_id, relation_id, tail_id, round({_BOXE_SCORE(2)}, 5) AS score FROM met")
 def boxe_scores(spark, sf):
+    """With tanh and p = 2, from vectors drawn by hash."""
     return R.boxe_scores(*_boxe(spark, sf)).withColumn("score", F.round("score", 5))
 
 
+@query(f"WITH {_boxe_ranked(2)} SELECT * FROM ranked")
+def boxe_tail_rank(spark, sf):
+    return R.boxe_ranks(*_boxe(spark, sf)).select("head_id", "relation_id", "tail_id", "optimistic")
+
+
+@query(f"WITH {_boxe_ranked(1)} SELECT 'all' AS tests, count(*) AS n, round(avg(optimistic), 6) AS mean_rank FROM ranked UNION ALL SELECT 'subset', count(*), round(avg(optimistic), 6) FROM ranked WHERE relation_id IN (4, 7)")
+def boxe_mean_rank(spark, sf):
+    """Mean ranks of all tests and of two relations, p = 1; the tests are ranked once."""
+    ranked = materialise(R.boxe_ranks(*_boxe(spark, sf), p=1))
+    parts = [R.mean_rank(t).select(F.lit(name).alias("tests"), "n", F.round("mean_rank", 6).alias("mean_rank")) for name, t in (("all", ranked), ("subset", vocab.only_relations(ranked, [4, 7])))]
+    return parts[0].unionByName(parts[1])
+
+
 @query()
 def boxe_train(spark, sf):
     """Two epochs of two batches."""
