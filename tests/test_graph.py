@@ -1,8 +1,10 @@
+from functools import reduce
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from triplane.operators import ordinal, profile, rgcn, sample, train, vocab
+from triplane.operators import ordinal, profile, rgcn, sample, store, train, vocab
 from triplane.operators import rank as R
 from triplane.sources import readers, sinks
 from triplane.streaming import ingest
@@ -292,31 +294,161 @@ def test_one_step_of_training_against_numpy(spark):
     assert history[0]["updates"] == len(losses) and history[0]["mean_loss"] == pytest.approx(np.mean(losses))
 
 
-def test_search_uses_each_trial(spark):
-    t = spark.range(60).select(F.col("id").alias("pos"), F.col("id").alias("head_id"), F.lit(0).cast("long").alias("relation_id"), ((F.col("id") + 1) % 60).alias("tail_id"))
-    found = train.search(t, spark.range(60), spark.range(1), train.trials(spark, 2), dims=8).collect()
-    assert len(found) == 2 and all(1 <= x.metric <= 60 for x in found) and found[0].metric != found[1].metric
-
-
-def test_boxe_gradients_against_differences():
-    import pandas as pd
-
+def ring(spark, n=60, relations=1):
+    """A cycle of entities."""
+    return spark.range(n).select(F.col("id").alias("pos"), F.col("id").alias("head_id"), F.pmod("id", F.lit(relations)).alias("relation_id"), ((F.col("id") + 1) % n).alias("tail_id"))
+
+
+def test_search_shares_jobs_and_drops_the_worse_half(spark):
+    t = ring(spark)
+    table = train.trials(spark, 4)
+    assert {r.model for r in table.collect()} == {"boxe", "transe"}
+    found = train.search(t, spark.range(60), spark.range(1), table).collect()
+    assert len(found) == 4 and all(1 <= x.metric <= 60 for x in found) and len({x.metric for x in found}) > 1
+    assert sorted(x.epochs for x in found) == [1, 1, 2, 2]
+    assert max(x.metric for x in found if x.epochs == 2) <= 60
+    best = train.best_trial(train.search(t, spark.range(60), spark.range(1), table)).first()
+    assert best.metric == min(x.metric for x in found if x.epochs == 2)
+
+
+def test_ranks_of_trials_are_those_of_each_alone(spark):
+    t = ring(spark, 20, 2)
+    settings = {0: train.Settings("transe", 1), 1: train.Settings("transe", 2), 2: train.Settings("boxe", 1), 3: train.Settings("boxe", 2)}
+    e, r, es, rs = {}, {}, [], []
+    for k, s in settings.items():
+        names = (("vec",), ("vec",)) if s.model == "transe" else (train.BOXE_ENTITY, train.BOXE_RELATION)
+        e[k], r[k] = (train.boxe_parameters(spark.range(n), own, 4, seed=k) for n, own in ((20, names[0]), (2, names[1])))
+        es.append(train._one(e[k], *names[0]).withColumn("trial", F.lit(k)))
+        rs.append(train._one(r[k], *names[1]).withColumn("trial", F.lit(k)))
+    together = train.trial_ranks(t, reduce(lambda a, b: a.unionByName(b), es), reduce(lambda a, b: a.unionByName(b), rs), settings)
+    got = {}
+    for x in together.collect():
+        got.setdefault(x.trial, []).append((x.better, x.equal))
+    for k, s in settings.items():
+        alone = R.ranks(t, e[k], r[k], R.distance_scorer(s.p)) if s.model == "transe" else R.boxe_ranks(t, e[k], r[k], s.p)
+        assert sorted(got[k]) == sorted((x.better, x.equal) for x in alone.collect())
+
+
+def one_loss(s, rows):
+    """Loss of rows (group, k, h, r, t), and its gradients in each."""
+    first = np.array([k < 0 for _, k, *_ in rows])
+    h, r, t = (np.stack([x[i] for x in rows]) for i in (2, 3, 4))
+    score, d_h, d_r, d_t = train.TERMS[s.model](h, r, t, s)
+    loss, _, slope = train.loss_terms(score, first, s)
+    return loss, score, slope, [slope[:, None] * d for d in (d_h, d_r, d_t)]
+
+
+@pytest.mark.parametrize("model,p,tanh", [("transe", 1, True), ("transe", 2, True), ("boxe", 1, True), ("boxe", 2, True), ("boxe", 2, False)])
+@pytest.mark.parametrize("loss", ["margin", "softplus", "nssa"])
+def test_gradients_against_differences(model, p, tanh, loss):
     rng = np.random.default_rng(3)
+    s = train.Settings(model, p, tanh, loss, margin=3.0)
     d = 3
-    row = {c: rng.normal(size=d) for c in ("h", "t", "nh", "nt", "h_bump", "t_bump", "nh_bump", "nt_bump", "head_base", "head_delta", "tail_base", "tail_delta")}
-    row |= {c: rng.normal(size=1) for c in ("head_size", "tail_size")}
-    row |= {"head_id": 0, "tail_id": 1, "n_head": 2, "n_tail": 3, "relation_id": 0}
-    run = train.boxe_gradients(2, True, 3.0)
-
-    def loss(r):
-        out = next(run(iter([pd.DataFrame([r])])))
-        return out[out.tbl == "loss"].loss.sum(), out
-
-    _, out = loss(row)
-    for name, tbl, key in (("head_base", "head_base", 0), ("head_delta", "head_delta", 0), ("tail_size", "tail_size", 0), ("h", "vec", 0), ("nt_bump", "bump", 3)):
-        g = sum(out[(out.tbl == tbl) & (out.id == key)].grad)
-        up, down = ({**row, name: row[name] + np.eye(len(row[name]))[0] * e} for e in (1e-6, -1e-6))
-        assert (loss(up)[0] - loss(down)[0]) / 2e-6 == pytest.approx(g[0], rel=1e-3, abs=1e-5)
+    e, r = (d, d) if model == "transe" else (2 * d, 4 * d + 2)
+    rows = [[g, k, rng.normal(size=e), rng.normal(size=r), rng.normal(size=e)] for g in range(3) for k in range(-1, g + 1)]
+    weights = None
+    _, score, slope, grads = one_loss(s, rows)
+    if loss == "nssa":  # weights are constants: hold them while differences are taken
+        weights = slope
+    for row in (0, 1, 4, 8):
+        for part in range(3):
+            for at in range(len(rows[row][2 + part])):
+                both = []
+                for move in (1e-6, -1e-6):
+                    changed = [list(x) for x in rows]
+                    changed[row][2 + part] = rows[row][2 + part] + move * np.eye(len(rows[row][2 + part]))[at]
+                    value, other, _, _ = one_loss(s, changed)
+                    both.append(value if weights is None else float((weights * other).sum()))
+                assert (both[0] - both[1]) / 2e-6 == pytest.approx(grads[part][row][at], rel=1e-3, abs=2e-5)
+
+
+def test_self_adversarial_loss_and_its_slope_in_scores():
+    s = train.Settings(loss="nssa", margin=3.0, temperature=2.0)
+    score, first = np.array([-1.0, -2.0, -0.5, 0.3, -4.0]), np.array([True, False, False, True, False])
+    loss, n, slope = train.loss_terms(score, first, s)
+    soft = lambda x: np.log1p(np.exp(x))
+    w = np.exp(2 * score[1:3])
+    w /= w.sum()
+    want = (soft(-(score[0] + 3)) + (w * soft(score[1:3] + 3)).sum() + soft(-(score[3] + 3)) + soft(score[4] + 3)) / 2
+    assert n == 2 and loss == pytest.approx(want) and (slope[first] < 0).all() and (slope[~first] > 0).all()
+    assert slope[2] == pytest.approx(w[1] / (1 + np.exp(-(score[2] + 3))) / 2)
+
+
+def dense(spark, t, optimizer, epochs, n_batches, rate, n=60):
+    """TransE with whole tables in numpy, every row moved in every step; negatives and batches are the library's."""
+    e = np.array([v.vec for v in train.random_table(spark.range(n), "e", 5).orderBy("id").collect()], dtype=float)
+    r = np.array([v.vec for v in train.random_table(spark.range(2), "r", 5).orderBy("id").collect()], dtype=float)
+    s = train.Settings(loss="nssa", rate=rate, optimizer=optimizer)
+    e = e / np.linalg.norm(e, axis=1, keepdims=True)
+    moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, r)]
+    stats, step = sample.bernoulli_stats(t), 0
+    for epoch in range(epochs):
+        dealt = sample.batches(t, epoch, n_batches)
+        for b in range(n_batches):
+            step += 1
+            own = dealt.where(F.col("batch") == b)
+            wrong = sample.bernoulli_negatives(own, n, 2, epoch, stats).collect()
+            rows = []
+            for x in own.collect():
+                tries = [(x.head_id, x.relation_id, x.tail_id)] + [(w.head_id, w.relation_id, w.tail_id) for w in sorted(wrong, key=lambda w: w.k) if w.pos == x.pos]
+                rows += [(x.pos, k - 1, *ids) for k, ids in enumerate(tries)]
+            _, _, _, (d_h, d_r, d_t) = one_loss(s, [(g, k, e[h], r[q], e[w]) for g, k, h, q, w in rows])
+            grads = np.zeros_like(e), np.zeros_like(r)
+            for i, (_, _, h, q, w) in enumerate(rows):
+                grads[0][h] += d_h[i]
+                grads[0][w] += d_t[i]
+                grads[1][q] += d_r[i]
+            for x, g, mv in zip((e, r), grads, moments):
+                if optimizer == "adam":
+                    mv[0][:] = 0.9 * mv[0] + 0.1 * g
+                    mv[1][:] = 0.999 * mv[1] + 0.001 * g * g
+                    x -= rate * (mv[0] / (1 - 0.9**step)) / (np.sqrt(mv[1] / (1 - 0.999**step)) + 1e-8)
+                else:
+                    x -= rate * g
+        e /= np.linalg.norm(e, axis=1, keepdims=True)
+    return e, r
+
+
+@pytest.mark.parametrize("optimizer", ["sgd", "adam"])
+def test_sparse_steps_equal_dense_ones(spark, optimizer):
+    """Rows are written only when a batch touches them; momentum and normalisation reach the others when they are read."""
+    t = ring(spark, 60, 2)
+    e, r = dense(spark, t, optimizer, 2, 4, 0.02)
+    got_e, got_r, _ = train.train_transe(t, train.random_table(spark.range(60), "e", 5), train.random_table(spark.range(2), "r", 5), epochs=2, n_batches=4, rate=0.02, optimizer=optimizer, negatives="bernoulli", loss="nssa")
+    assert np.allclose([v.vec for v in got_e.orderBy("id").collect()], e, atol=1e-12) and np.allclose([v.vec for v in got_r.orderBy("id").collect()], r, atol=1e-12)
+
+
+def test_a_step_writes_what_it_changes(spark):
+    start = spark.range(1000).select(F.lit(0).alias("trial"), F.lit("e").alias("tbl"), "id", F.array(F.lit(1.0), F.lit(2.0)).alias("x"))
+    s = store.Store(start, {(0, "e"): store.Rule(0.1, "adam")})
+    few = spark.range(3).select(F.lit(0).alias("trial"), F.lit("e").alias("tbl"), "id", F.array(F.lit(1.0), F.lit(-1.0)).alias("grad"))
+    for step in (1, 2):
+        s.change(s.rows({0: step - 1}, few.select(*store.KEY)), few, {0: step})
+        assert spark.read.parquet(s.log[-1]).count() == 3
+    assert s.logged == 6 and s.rows({0: 2}).count() == 1000
+    moved = {r.id: r.x for r in s.rows({0: 2}).where("id < 5").collect()}
+    assert moved[4] == [1.0, 2.0] and moved[0] == pytest.approx([0.8, 2.2])
+    s.merge()
+    assert s.log == [] and {r.id: r.x for r in s.rows({0: 2}).where("id < 5").collect()} == moved
+
+
+def test_momentum_ends():
+    x, m, v = (np.full((1, 2), z) for z in (1.0, 0.5, 0.2))
+    rule = store.Rule(0.1, "adam")
+    long = store.caught_up(x, m, v, np.array([7]), 7 + 5 * store.MEMORY, rule)
+    assert np.allclose(long[0], store.caught_up(x, m, v, np.array([7]), 7 + store.MEMORY, rule)[0], atol=1e-14)
+    assert np.allclose(long[2], 0.2 * 0.999 ** (5 * store.MEMORY))
+
+
+def test_chances_are_those_of_all_triples(spark):
+    """A batch of one triple of a one-to-many relation still takes the relation's chance."""
+    t = spark.createDataFrame([(i, 0, 0, i + 1) for i in range(99)], "pos long, head_id long, relation_id long, tail_id long")
+    stats = sample.bernoulli_stats(t)
+    assert stats.first().p_head == pytest.approx(0.99)
+    wrong = sample.bernoulli_negatives(t.where("pos % 3 = 0"), 100, 2, 0, stats)
+    assert wrong.where("head_id != 0").count() > 55  # of 66; alone, this batch would have the same chance
+    whole = {(r.pos, r.k): tuple(r) for r in sample.bernoulli_negatives(t, 100).collect()}
+    assert all(whole[r.pos, r.k] == tuple(r) for r in wrong.collect())
 
 
 def test_profile_last_write_wins_and_ties(spark):

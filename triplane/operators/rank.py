@@ -134,6 +134,36 @@ def counted(asked: DataFrame, known: list[str], pool: DataFrame, offered: list[s
     return cells.groupBy("row").agg(F.sum("better").alias("better"), F.sum("equal").alias("equal"))
 
 
+def counted_by_trial(asked: DataFrame, pool: DataFrame, score: Callable[[int, np.ndarray, np.ndarray, np.ndarray], np.ndarray], block: int = BLOCK, candidates: int = CANDIDATES) -> DataFrame:
+    """``(trial, row, better, equal)``: like :func:`counted`, for many models at once.
+
+    ``asked``: trial, row, sought, h, r, t; ``pool``: trial, id, x; ``score``: of a trial's queries (h, r) against candidates.
+    """
+    sizes = pool.groupBy("trial").count().agg(F.max("count")).first()[0] or 0, asked.groupBy("trial").count().agg(F.max("count")).first()[0] or 0
+    parts, blocks = max(1, -(-sizes[0] // candidates)), max(1, -(-sizes[1] // block))
+
+    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("trial", "row", "better", "equal")})
+        trial, (h, r, t) = int(left["trial"].iloc[0]), _stacked(left, ["h", "r", "t"])
+        own = np.array([score(trial, h[i : i + 1], r[i : i + 1], t[i : i + 1])[0, 0] for i in range(len(left))])[:, None]
+        sought, ids = left["sought"].to_numpy()[:, None], right["id"].to_numpy()
+        better, equal = np.zeros(len(left), dtype=np.int64), np.zeros(len(left), dtype=np.int64)
+        for at in range(0, len(right), CHUNK):
+            s = score(trial, h, r, np.stack(right["x"].iloc[at : at + CHUNK]))
+            other = ids[None, at : at + CHUNK] != sought
+            better += ((s > own) & other).sum(axis=1)
+            equal += ((s == own) & other).sum(axis=1)
+        return pd.DataFrame({"trial": trial, "row": left["row"].to_numpy(), "better": better, "equal": equal})
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(F.col("trial").alias("trial"), "row", "sought", "h", "r", "t", F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(blocks)).cast("int").alias("i"), every(parts).alias("j"))
+    right = pool.select(F.col("trial").alias("trial"), "id", "x", every(blocks).alias("i"), F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(parts)).cast("int").alias("j"))
+    keys = ["trial", "i", "j"]
+    cells = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, "trial int, row long, better long, equal long")
+    return cells.groupBy("trial", "row").agg(F.sum("better").alias("better"), F.sum("equal").alias("equal"))
+
+
 def _of_tests(tests: DataFrame, counts: DataFrame) -> DataFrame:
     return with_ranks(tests.withColumn("row", F.xxhash64("head_id", "relation_id", "tail_id")).join(counts, "row").drop("row"))
 

@@ -623,18 +623,22 @@ def _ids(vectors: DataFrame) -> DataFrame:
     return vectors.select("id")
 
 
-_STEP = f"""WITH {X.VECTORS}, e0 AS (SELECT id, list_transform(range(16), lambda i: (({_H('0:e', 'id', 'i')} / 4294967296.0::DOUBLE * 2 - 1) * 0.1::DOUBLE)::FLOAT::DOUBLE) AS v FROM vectors),
+_START = f"""{X.VECTORS}, e0 AS (SELECT id, list_transform(range(16), lambda i: (({_H('0:e', 'id', 'i')} / 4294967296.0::DOUBLE * 2 - 1) * 0.1::DOUBLE)::FLOAT::DOUBLE) AS v FROM vectors),
 e AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM e0),
 r AS (SELECT id, list_transform(range(16), lambda i: (({_H('0:r', 'id', 'i')} / 4294967296.0::DOUBLE * 2 - 1) * 0.1::DOUBLE)::FLOAT::DOUBLE) AS v FROM vectors WHERE id < 10),
-sides AS (SELECT *, {_H('side:0', 'pos')} % 3 AS side FROM tests), wrong AS (SELECT pos, CASE WHEN side = 0 THEN {_other('head_id', '(SELECT count(*) FROM vectors)', 'id:0', 'pos')} ELSE head_id END AS nh,
-  CASE WHEN side = 2 THEN {_other('relation_id', '10', 'id:0', 'pos')} ELSE relation_id END AS nr, CASE WHEN side = 1 THEN {_other('tail_id', '(SELECT count(*) FROM vectors)', 'id:0', 'pos')} ELSE tail_id END AS nt FROM sides),
-pairs AS (SELECT t.head_id, t.tail_id, nh, nt, list_transform(range(1, 17), lambda i: h.v[i] + r1.v[i] - t1.v[i]) AS good, list_transform(range(1, 17), lambda i: h2.v[i] + r2.v[i] - t2.v[i]) AS bad
+total AS (SELECT count(*) AS n FROM vectors)"""
+_N_VECTORS = "(SELECT n FROM total)"
+_PAIRS = f"""sides AS (SELECT *, {_H('side:0', 'pos')} % 3 AS side FROM tests), wrong AS (SELECT pos, CASE WHEN side = 0 THEN {_other('head_id', _N_VECTORS, 'id:0', 'pos')} ELSE head_id END AS nh,
+  CASE WHEN side = 2 THEN {_other('relation_id', '10', 'id:0', 'pos')} ELSE relation_id END AS nr, CASE WHEN side = 1 THEN {_other('tail_id', _N_VECTORS, 'id:0', 'pos')} ELSE tail_id END AS nt FROM sides),
+pairs AS (SELECT t.head_id, t.relation_id, t.tail_id, nh, nr, nt, list_transform(range(1, 17), lambda i: h.v[i] + r1.v[i] - t1.v[i]) AS good, list_transform(range(1, 17), lambda i: h2.v[i] + r2.v[i] - t2.v[i]) AS bad
   FROM tests t JOIN wrong USING (pos) JOIN e h ON h.id = t.head_id JOIN r r1 ON r1.id = t.relation_id JOIN e t1 ON t1.id = t.tail_id JOIN e h2 ON h2.id = nh JOIN r r2 ON r2.id = nr JOIN e t2 ON t2.id = nt),
 far AS (SELECT *, sqrt(list_sum(list_transform(good, lambda x: x * x))) AS dg, sqrt(list_sum(list_transform(bad, lambda x: x * x))) AS db FROM pairs),
-hit AS (SELECT *, unnest(range(1, 17)) AS i FROM far WHERE 1.0 + dg - db > 0),
-moved AS (SELECT id, i, sum(g) AS g FROM (SELECT head_id AS id, i, good[i] / dg AS g FROM hit UNION ALL SELECT tail_id, i, -good[i] / dg FROM hit UNION ALL SELECT nh, i, -bad[i] / db FROM hit UNION ALL SELECT nt, i, bad[i] / db FROM hit) GROUP BY 1, 2),
-after AS (SELECT a.id, a.i, a.x - 0.05::DOUBLE * coalesce(g, 0) AS x FROM (SELECT id, unnest(range(1, 17)) AS i, unnest(v) AS x FROM e) a LEFT JOIN moved m ON m.id = a.id AND m.i = a.i)
+hit AS (SELECT *, unnest(range(1, 17)) AS i FROM far WHERE 1.0 + dg - db > 0)"""
+_AFTER_STEP = """after AS (SELECT a.id, a.i, a.x - 0.05::DOUBLE * coalesce(g, 0) AS x FROM (SELECT id, unnest(range(1, 17)) AS i, unnest(v) AS x FROM e) a LEFT JOIN moved m ON m.id = a.id AND m.i = a.i)
 SELECT id, (i - 1)::INT AS at, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 5) + 0.0 AS x FROM after"""
+_STEP = f"""WITH {_START}, {_PAIRS},
+moved AS (SELECT id, i, sum(g) AS g FROM (SELECT head_id AS id, i, good[i] / dg AS g FROM hit UNION ALL SELECT tail_id, i, -good[i] / dg FROM hit UNION ALL SELECT nh, i, -bad[i] / db FROM hit UNION ALL SELECT nt, i, bad[i] / db FROM hit) GROUP BY 1, 2),
+{_AFTER_STEP}"""
 
 
 @query(_STEP)
@@ -645,6 +649,36 @@ def transe_step(spark, sf):
     return entities.select("id", F.posexplode("vec").alias("at", "x")).withColumn("x", F.round("x", 5) + 0.0)
 
 
+# The first step of Adam: both moments are the gradient's own.
+@query(f"""WITH {_START}, {_PAIRS},
+moved AS (SELECT id, i, sum(g) AS g FROM (SELECT relation_id AS id, i, good[i] / dg AS g FROM hit UNION ALL SELECT nr, i, -bad[i] / db FROM hit) GROUP BY 1, 2)
+SELECT a.id, (a.i - 1)::INT AS at, round(a.x - CASE WHEN g IS NULL THEN 0 ELSE 0.01::DOUBLE * g / (abs(g) + 1e-8::DOUBLE) END, 5) + 0.0 AS x FROM (SELECT id, unnest(range(1, 17)) AS i, unnest(v) AS x FROM r) a LEFT JOIN moved m ON m.id = a.id AND m.i = a.i""")
+def adam_step(spark, sf):
+    """Relations after one batch of all triples by Adam."""
+    triples, vectors, relations = _tests(spark, sf)
+    _, out, _ = train.train_transe(triples, train.random_table(_ids(vectors), "e", 16), train.random_table(_ids(relations), "r", 16), epochs=1, n_batches=1, rate=0.01, optimizer="adam")
+    return out.select("id", F.posexplode("vec").alias("at", "x")).withColumn("x", F.round("x", 5) + 0.0)
+
+
+_LOGISTIC = lambda x: f"(1 / (1 + exp(-({x}))))"
+
+
+@query(f"""WITH {_START}, chances AS (SELECT relation_id, (count(*)::DOUBLE / count(DISTINCT head_id)) / (count(*)::DOUBLE / count(DISTINCT head_id) + count(*)::DOUBLE / count(DISTINCT tail_id)) AS p_head FROM tests GROUP BY 1),
+drawn AS (SELECT tests.*, k, {_H('side:0', 'pos', 'k')} < floor(p_head * 4294967296) AS head FROM tests JOIN chances USING (relation_id), (SELECT unnest(range(2)) AS k)),
+tries AS (SELECT pos, -1 AS k, head_id, relation_id, tail_id FROM tests UNION ALL SELECT pos, k, CASE WHEN head THEN {_other('head_id', _N_VECTORS, 'id:0', 'pos', 'k')} ELSE head_id END, relation_id, CASE WHEN head THEN tail_id ELSE {_other('tail_id', _N_VECTORS, 'id:0', 'pos', 'k')} END FROM drawn),
+deltas AS (SELECT s.*, list_transform(range(1, 17), lambda i: h.v[i] + r.v[i] - t.v[i]) AS delta FROM tries s JOIN e h ON h.id = head_id JOIN r ON r.id = relation_id JOIN e t ON t.id = tail_id),
+far AS (SELECT *, sqrt(list_sum(list_transform(delta, lambda x: x * x))) AS d FROM deltas),
+weighed AS (SELECT *, CASE WHEN k >= 0 THEN exp(-2 * d) / sum(CASE WHEN k >= 0 THEN exp(-2 * d) END) OVER (PARTITION BY pos) END AS w FROM far),
+sloped AS (SELECT *, CASE WHEN k < 0 THEN -{_LOGISTIC('d - 1')} / 2 ELSE w * {_LOGISTIC('1 - d')} / 2 END AS slope, unnest(range(1, 17)) AS i FROM weighed),
+moved AS (SELECT id, i, sum(g) AS g FROM (SELECT head_id AS id, i, -slope * delta[i] / d AS g FROM sloped UNION ALL SELECT tail_id, i, slope * delta[i] / d FROM sloped) GROUP BY 1, 2),
+{_AFTER_STEP}""")
+def nssa_step(spark, sf):
+    """Entities after one batch with the self-adversarial loss over two Bernoulli negatives for each triple."""
+    triples, vectors, relations = _tests(spark, sf)
+    out, _, _ = train.train_transe(triples, train.random_table(_ids(vectors), "e", 16), train.random_table(_ids(relations), "r", 16), epochs=1, n_batches=1, negatives="bernoulli", loss="nssa")
+    return out.select("id", F.posexplode("vec").alias("at", "x")).withColumn("x", F.round("x", 5) + 0.0)
+
+
 @query()
 def transe_train(spark, sf):
     """Two epochs of two batches; the loss of each epoch beside the entities."""
@@ -743,6 +777,6 @@ def rgcn_forward(spark, sf):
 
 @query()
 def param_search(spark, sf):
-    """Three trials, each trained and ranked on the validation part; the dimension is bounded by 16 here."""
+    """Twenty trials of both models over their whole ranges; the worse half ends after the first of two epochs."""
     triples, vectors, relations = _tests(spark, sf)
-    return train.best_trial(train.search(triples, _ids(vectors), _ids(relations), train.trials(spark, 3), dims=16))
+    return train.best_trial(train.search(triples, _ids(vectors), _ids(relations), train.trials(spark, 20)))
