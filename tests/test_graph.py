@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from triplane.operators import ordinal, profile, rgcn, sample, store, train, vocab
 from triplane.operators import rank as R
+from triplane.operators.sums import summed_vectors
 from triplane.sources import readers, sinks
 from triplane.streaming import ingest
 
@@ -294,6 +295,72 @@ def test_one_step_of_training_against_numpy(spark):
     assert history[0]["updates"] == len(losses) and history[0]["mean_loss"] == pytest.approx(np.mean(losses))
 
 
+def dense_graph(x, edges, encoder):
+    """The encoder's output over whole arrays."""
+    for i, w in enumerate(encoder.layers):
+        full, z = w.full, x @ w.parts["own"]
+        for node in range(len(x)):
+            for r in range(len(full)):
+                inward = [x[h] for h, q, t in edges if t == node and q == r]
+                if inward:
+                    z[node] = z[node] + np.mean(inward, axis=0) @ full[r]
+        x = np.where(z > 0, z, rgcn.SLOPES[encoder.activation] * z) if i + 1 < len(encoder.layers) else z
+    return x
+
+
+@pytest.mark.parametrize("kind,activation", [("bases", "relu"), ("blocks", "leaky_relu")])
+def test_graph_gradients_against_differences(spark, kind, activation):
+    rng = np.random.default_rng(8)
+    x, c = rng.normal(size=(6, 4)), rng.normal(size=(6, 4))
+    edges = [(0, 0, 1), (2, 0, 1), (3, 1, 1), (1, 1, 4), (0, 1, 4), (5, 0, 5), (4, 0, 0)]
+    encoder = rgcn.Encoder.drawn(2, 4, 2, activation, kind)
+    table = spark.createDataFrame(edges, "head_id long, relation_id long, tail_id long")
+    features = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    out = {r.id: r.vec for r in encoder.forward(table, features, keep=True).collect()}
+    assert all(np.allclose(out[i], v) for i, v in enumerate(dense_graph(x, edges, encoder)))
+    slope = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "id long, grad array<double>")
+    back, grads = encoder.backward(table, slope)
+    loss = lambda: (dense_graph(x, edges, encoder) * c).sum()
+
+    def differs(array, at):
+        old = array[at]
+        both = []
+        for move in (1e-6, -1e-6):
+            array[at] = old + move
+            both.append(loss())
+        array[at] = old
+        return (both[0] - both[1]) / 2e-6
+
+    got = {r.id: r.grad for r in back.collect()}
+    for at in [(0, 0), (2, 3), (4, 1), (5, 2)]:
+        assert got[at[0]][at[1]] == pytest.approx(differs(x, at), rel=1e-5, abs=1e-7)
+    for w, g in zip(encoder.layers, grads):
+        for name, own in g.items():
+            for at in [tuple(rng.integers(0, n) for n in own.shape) for _ in range(4)]:
+                assert own[at] == pytest.approx(differs(w.parts[name], at), rel=1e-5, abs=1e-7), name
+
+
+@pytest.mark.parametrize("decoder", ["transe", "boxe"])
+def test_graph_training_lowers_the_loss(spark, decoder):
+    t = ring(spark, 20, 2)
+    sets = 1 if decoder == "transe" else 2
+    features = [train.random_table(spark.range(20), f"x{k}", 4, reach=0.5) for k in range(sets)]
+    names = ("vec",) if decoder == "transe" else train.BOXE_RELATION
+    relations = train._one(train.boxe_parameters(spark.range(2), names, 4), *names).drop("trial")
+    own = train.Settings(decoder, loss="softplus" if decoder == "transe" else "nssa", margin=3.0, rate=0.05, negatives="bernoulli")
+    encoders = [rgcn.Encoder.drawn(2, 4, seed=k, dropout=0.0) for k in range(sets)]
+    encoded, moved, history = rgcn.train(t, features, relations, encoders, own, epochs=2)
+    assert len(encoded) == sets and all(e.count() == 20 for e in encoded) and moved.count() == 2
+    assert history[-1]["mean_loss"] < history[0]["mean_loss"]
+
+
+def test_sums_of_vectors(spark):
+    df = spark.createDataFrame([(1, "a", [1.0, 2.0]), (1, "a", [3.0, 4.0]), (2, "a", [5.0, 6.0]), (1, "b", [7.0, 8.0])], "k long, s string, vec array<double>")
+    got = {(r.k, r.s): (r.total, r.n) for r in summed_vectors(df, ["k", "s"]).collect()}
+    assert got == {(1, "a"): ([4.0, 6.0], 2), (2, "a"): ([5.0, 6.0], 1), (1, "b"): ([7.0, 8.0], 1)}
+    assert summed_vectors(df.limit(0), ["k"]).count() == 0
+
+
 def ring(spark, n=60, relations=1):
     """A cycle of entities."""
     return spark.range(n).select(F.col("id").alias("pos"), F.col("id").alias("head_id"), F.pmod("id", F.lit(relations)).alias("relation_id"), ((F.col("id") + 1) % n).alias("tail_id"))

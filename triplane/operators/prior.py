@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from triplane.functions import config as C
 from triplane.functions import terms as T
 from triplane.functions import vectors as V
+from triplane.operators.sums import summed_vectors
 
 MOST = 1022
 SAMPLE = 10
@@ -76,8 +77,7 @@ def encode(sequences: DataFrame, encoder: Callable[[list[str]], np.ndarray], bat
 def pool(tokens: DataFrame, key: str, position: str = "at", length: str = "n") -> DataFrame:
     """Mean of token vectors over positions 1..n, which leaves special tokens out."""
     inside = tokens.where((F.col(position) >= 1) & (F.col(position) <= F.col(length)))
-    each = inside.select(key, F.posexplode("vec").alias("d", "x")).groupBy(key, "d").agg(F.avg("x").alias("x"))
-    return each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"].cast("float")).alias("vec"))
+    return summed_vectors(inside, [key]).select(key, F.transform("total", lambda x: (x / F.col("n")).cast("float")).alias("vec"))
 
 
 def prior_vectors(of: DataFrame, encoded: DataFrame) -> DataFrame:

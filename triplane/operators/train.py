@@ -198,6 +198,26 @@ def summed(steps: DataFrame) -> DataFrame:
 
 # ---- training ----
 
+
+def chances(triples: DataFrame, settings: dict[int, Settings]) -> DataFrame | None:
+    """Of all triples, once, where a training asks for Bernoulli negatives."""
+    return materialise(bernoulli_stats(triples)) if any(s.negatives == "bernoulli" for s in settings.values()) else None
+
+
+def with_negatives(own: DataFrame, settings: dict[int, Settings], n_entities: int, n_relations: int, stats: DataFrame | None) -> DataFrame:
+    """Positives (k = -1) and their negatives. ``own``: trial, pos, ids, and ``of``, the seed of their draws."""
+    names = ["trial", "pos", "k", "head_id", "relation_id", "tail_id"]
+    rows = [own.withColumn("k", F.lit(-1)).select(*names)]
+    for kind, k in sorted({(s.negatives, s.k) for s in settings.values()}):
+        part = own.where(F.col("trial").isin([t for t, s in settings.items() if (s.negatives, s.k) == (kind, k)]))
+        if kind == "bernoulli":
+            wrong = bernoulli_negatives(part, n_entities, k, F.col("of"), stats, keep=("trial",))
+        else:
+            wrong = uniform_negatives(part, n_entities, n_relations, {"uniform": 3, "basic": 2}[kind], F.col("of"), keep=("trial",)).withColumn("k", F.lit(0))
+        rows.append(wrong.select(*names))
+    return reduce(DataFrame.unionByName, rows)
+
+
 #: Files of batches; beyond that many batches share one, sorted.
 PARTS = 512
 
@@ -220,7 +240,7 @@ class Trainer:
         start = self.entities.withColumn("tbl", F.lit("e")).unionByName(self.relations.withColumn("tbl", F.lit("r")))
         rules = {(t, "e"): s.rule for t, s in self.settings.items()} | {(t, "r"): Rule(s.rate, s.optimizer) for t, s in self.settings.items()}
         self.store = Store(start, rules, normalise=True)
-        self.stats = materialise(bernoulli_stats(self.triples)) if any(s.negatives == "bernoulli" for s in self.settings.values()) else None
+        self.stats = chances(self.triples, self.settings)
 
     def _dealt(self, live: dict[int, int], ends: dict[int, int], rounds: int) -> DataFrame:
         """The batches of the next rounds, each row once for every step it takes part in, written by round."""
@@ -236,25 +256,10 @@ class Trainer:
         each.repartitionByRange("part", "round", "trial", "pos").sortWithinPartitions("part", "round").write.partitionBy("part").parquet(path)
         return triples.sparkSession.read.schema(each.schema).parquet(path)
 
-    def _with_negatives(self, own: DataFrame) -> DataFrame:
-        """Positives (k = -1) and their negatives."""
-        names = ["trial", "pos", "k", "head_id", "relation_id", "tail_id"]
-        rows = [own.withColumn("k", F.lit(-1)).select(*names)]
-        kinds = {(s.negatives, s.k) for s in self.settings.values()}
-        for kind, k in sorted(kinds):
-            part = own.where(F.col("trial").isin([t for t, s in self.settings.items() if (s.negatives, s.k) == (kind, k)]))
-            if kind == "bernoulli":
-                wrong = bernoulli_negatives(part, self.n_entities, k, F.col("of"), self.stats, keep=("trial",))
-            else:
-                sides = {"uniform": 3, "basic": 2}[kind]
-                wrong = uniform_negatives(part, self.n_entities, self.n_relations, sides, F.col("of"), keep=("trial",)).withColumn("k", F.lit(0))
-            rows.append(wrong.select(*names))
-        return reduce(DataFrame.unionByName, rows)
-
     def _step(self, own: DataFrame, at: dict[int, int]) -> None:
         """One step of each trial in ``at``, to the step of that number."""
         before = {t: s - 1 for t, s in at.items()}
-        rows = materialise(self._with_negatives(own))
+        rows = materialise(with_negatives(own, self.settings, self.n_entities, self.n_relations, self.stats))
         ends = [rows.select("trial", F.lit(tbl).alias("tbl"), F.col(c).alias("id")) for tbl, c in (("e", "head_id"), ("e", "tail_id"), ("r", "relation_id"))]
         now = materialise(self.store.rows(before, reduce(DataFrame.union, ends).distinct()))
         met = rows

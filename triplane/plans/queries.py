@@ -768,6 +768,38 @@ def rgcn_layer(spark, sf):
     return out.select("id", F.posexplode("vec").alias("at", "x")).withColumn("x", F.round("x", 5) + 0.0)
 
 
+# Of the sum of all outputs; a node's message to its neighbour is divided by the neighbour's messages of that relation.
+@query(f"""WITH {X.VECTORS}, x AS (SELECT id, unnest(range(64)) AS i, unnest(vec) / 1000.0::DOUBLE AS x FROM vectors),
+degree AS (SELECT tail_id, relation_id, count(*) AS n FROM tests GROUP BY 1, 2),
+sent AS (SELECT tail_id AS id, relation_id, i, avg(x) AS x FROM tests JOIN x ON x.id = head_id GROUP BY 1, 2, 3 UNION ALL SELECT id, -1, i, x FROM x),
+w AS (SELECT r, i, o, ({_H('0:w', 'r', 'i', 'o')} / 4294967296.0::DOUBLE * 2 - 1) / 8 AS w FROM (SELECT unnest(range(-1, 10)) AS r), (SELECT unnest(range(64)) AS i), (SELECT unnest(range(4)) AS o)),
+live AS (SELECT id, o FROM sent JOIN w ON w.r = relation_id AND w.i = sent.i GROUP BY 1, 2 HAVING sum(x * w) > 0),
+back AS (SELECT head_id AS id, i, w / n AS g FROM tests JOIN degree USING (tail_id, relation_id) JOIN live ON live.id = tail_id JOIN w ON w.r = relation_id AND w.o = live.o
+  UNION ALL SELECT id, i, w FROM live JOIN w ON w.r = -1 AND w.o = live.o)
+SELECT x.id, x.i::INT AS at, round(coalesce(sum(g), 0.0), 5) + 0.0 AS x FROM x LEFT JOIN back ON back.id = x.id AND back.i = x.i GROUP BY 1, 2""")
+def rgcn_gradient(spark, sf):
+    """What the sum of all outputs of that layer changes with each feature: the layer backward."""
+    triples, vectors, _ = _tests(spark, sf)
+    features = vectors.select("id", F.transform("vec", lambda x: x / 1000.0).alias("vec"))
+    w, own = rgcn.drawn_weights(10, 64, 4)
+    received = materialise(rgcn.messages(triples, features))
+    before = materialise(rgcn.sent(received, features, w, own))
+    slope = before.select("id", F.transform("vec", lambda x: F.lit(1.0)).alias("grad"))
+    back, _, _ = rgcn.layer_gradients(triples, received, before, slope, w, own)
+    return back.select("id", F.posexplode("grad").alias("at", "x")).withColumn("x", F.round("x", 5) + 0.0)
+
+
+@query()
+def rgcn_train(spark, sf):
+    """One epoch through two layers with a TransE decoder; the encoded nodes."""
+    triples, vectors, relations = _tests(spark, sf)
+    features = train.random_table(_ids(vectors), "x", 16, reach=0.5)
+    r = train.random_table(_ids(relations), "r", 16, reach=0.5).select("id", F.col("vec").cast("array<double>").alias("x"))
+    own = train.Settings("transe", loss="softplus", rate=0.01, negatives="basic", k=1)
+    encoded, _, history = rgcn.train(triples, [features], r, [rgcn.Encoder.drawn(10, 16)], own)
+    return encoded[0].crossJoin(F.broadcast(train.history_table(spark, history)))  # one row
+
+
 @query()
 def rgcn_forward(spark, sf):
     triples, vectors, _ = _tests(spark, sf)
