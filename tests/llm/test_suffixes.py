@@ -2,33 +2,48 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
+import xxhash
+
 from triplane.llm import suffix_sparse as S
 
 
+def named(rows):
+    """(document, id, text): rows without an id are documents of their own."""
+    return [(("none", n) if i is None else i, i, t or "") for n, (i, t) in enumerate(rows)]
+
+
 def brute(rows):
-    """Words of each document within a 50-word run that another document has too."""
+    """{(id, text): words within a 50-word run that another document has too}."""
     owners = defaultdict(set)
-    words = [(i, (t or "").encode().split()) for i, t in rows if i is not None]
-    for i, w in words:
+    words = [(doc, i, t, t.encode().split()) for doc, i, t in named(rows)]
+    for doc, _, _, w in words:
         for at in range(len(w) - S.LENGTH + 1):
-            owners[tuple(w[at : at + S.LENGTH])].add(i)
+            owners[tuple(w[at : at + S.LENGTH])].add(doc)
     out = defaultdict(set)
-    for i, w in words:
+    for _, i, t, w in words:
         for at in range(len(w) - S.LENGTH + 1):
             if len(owners[tuple(w[at : at + S.LENGTH])]) > 1:
-                out[i] |= set(range(at, at + S.LENGTH))
+                out[i, t] |= set(range(at, at + S.LENGTH))
+    return out
+
+
+def stretches(words):
+    """Runs of consecutive numbers: (first, how many)."""
+    out = []
+    for w in sorted(words):
+        if out and w == out[-1][0] + out[-1][1]:
+            out[-1] = (out[-1][0], out[-1][1] + 1)
+        else:
+            out.append((w, 1))
     return out
 
 
 def check(spark, rows):
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, key string")
-    got = defaultdict(set)
-    for r in S.passages(docs).collect():
-        assert r.n_words >= S.LENGTH
-        own = set(range(r.first_word, r.first_word + r.n_words))
-        assert not own & got[r.doc_id]
-        got[r.doc_id] |= own
-    assert got == brute(rows)
+    got = sorted(((r.doc_id, r.first_word, r.n_words) for r in S.passages(docs).collect()), key=str)
+    # passages that touch are one
+    assert got == sorted(((i, *x) for (i, _), own in brute(rows).items() for x in stretches(own)), key=str)
 
 
 def test_windows_choose_alike():
@@ -55,9 +70,58 @@ def test_against_all_runs(spark):
         rows.append((i, r.choice([" ", "\n", "  "]).join(t)))
     rows += [(100, "same " * 300), (101, "again " * 300), (102, "again " * 300), (103, None), (104, ""), (None, " ".join(hot))]
     rows += [(200, rows[3][1]), (201, rows[3][1])]
+    rows += [(None, rows[5][1]), (None, "x " + rows[7][1]), (None, "x " + rows[7][1]), (None, None), (None, " ".join(f"u{i}" for i in range(90)))]
+    rows += [(3, "another " + rows[4][1]), (3, rows[3][1]), (3, rows[3][1])]  # one id with two texts, and a row twice
     check(spark, rows)
 
 
+def test_rows_without_an_id_are_partners(spark):
+    t = " ".join(f"w{i}" for i in range(60))
+    check(spark, [(1, t), (None, t)])
+    check(spark, [(None, "a " + t), (None, "b " + t)])
+    check(spark, [(None, t), (None, t), (5, "else")])
+
+
+@pytest.mark.parametrize("crowd", [0, 30])
+def test_crowds_are_found_by_their_runs(spark, monkeypatch, crowd):
+    """The exact way for hashes that many contexts share finds the same."""
+    monkeypatch.setattr(S, "CROWD", crowd)
+    test_against_all_runs(spark)
+
+
+def test_sorted_neighbours_give_every_run():
+    """Against a comparison of all contexts, where matches go back and on by different lengths."""
+    r = np.random.default_rng(4)
+    n = 300
+    back = r.integers(0, S.WINDOW, n)
+    long = r.integers(S.AHEAD, S.LENGTH + 1, n)
+    key = r.integers(0, 4, n)
+    base = r.integers(1, 1 << 40, (4, 200))
+    words = []
+    for k, b, m in zip(key, back, long):
+        w = np.concatenate([base[k][100 - b : 100], base[k][100 : 100 + m]])
+        if r.random() < 0.7:
+            w[: r.integers(0, b + 1)] = r.integers(1, 3)
+        if r.random() < 0.7:
+            w[b + r.integers(S.AHEAD, m + 1) :] = r.integers(1, 3)
+        words.append(w)
+    least = r.integers(0, 6, n)
+    most = np.maximum(least, r.integers(0, 6, n))
+    got = set(zip(*(x.tolist() for x in S.shared_runs(key, back, words, least, most))))
+    runs = defaultdict(list)
+    for i in range(n):
+        for b in range(S.WINDOW):
+            at = back[i] - b
+            if at >= 0 and len(words[i]) >= at + S.LENGTH:
+                runs[b, key[i], tuple(words[i][at : at + S.LENGTH])].append(i)
+    want = set()
+    for (b, *_), own in runs.items():
+        first, last = min(least[i] for i in own), max(most[i] for i in own)
+        if first != last:
+            want |= {(i, b, first) for i in own}
+    assert got == want and len(want) > 100
+
+
 def test_repeats_within_one_document_do_not_count(spark):
     t = " ".join(f"w{i}" for i in range(60))
     check(spark, [(1, t + " " + t), (2, "other words"), (1, t)])
@@ -70,22 +134,28 @@ def test_given_table(spark):
 
 
 def kept_words(rows):
-    """Words of each document that stay: those in no 50-word run that a smaller doc_id has too."""
+    """Words of each document that stay: those in no 50-word run that an earlier document has too; those without an id come last, by the hash of the text."""
     first = {}
-    words = [(i, (t or "").split()) for i, t in rows]
-    for i, w in sorted((x for x in words if x[0] is not None), key=lambda x: x[0]):
+    words = [(doc, i, (t or "").split()) for doc, i, t in named(rows)]
+    order = lambda x: (x[1] is None, x[1] if x[1] is not None else xxh(" ".join(x[2])), x[0][1] if x[1] is None else 0)
+    for doc, _, w in sorted(words, key=order):
         for at in range(len(w) - S.LENGTH + 1):
-            first.setdefault(tuple(w[at : at + S.LENGTH]), i)
+            first.setdefault(tuple(w[at : at + S.LENGTH]), doc)
     out = []
-    for i, w in words:
+    for doc, _, w in words:
         gone = set()
         for at in range(len(w) - S.LENGTH + 1):
-            if i is not None and first[tuple(w[at : at + S.LENGTH])] != i:
+            if first[tuple(w[at : at + S.LENGTH])] != doc:
                 gone |= set(range(at, at + S.LENGTH))
         out.append([x for k, x in enumerate(w) if k not in gone])
     return out
 
 
+def xxh(text):
+    h = xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
 def test_all_copies_but_one_go(spark):
     r = random.Random(3)
     word = lambda: "".join(r.choices("abcdé", k=5))
@@ -96,7 +166,7 @@ def test_all_copies_but_one_go(spark):
         for _ in range(r.randrange(0, 3)):
             t += r.choice(shared) + [word() for _ in range(r.randrange(0, 30))]
         rows.append((50 - i, r.choice([" ", "\n"]).join(t)))
-    rows += [(None, " ".join(shared[0])), (None, None), (7, rows[2][1]), (90, rows[2][1]), (91, None), (92, "")]
+    rows += [(None, " ".join(shared[0])), (None, "q " + " ".join(shared[1])), (None, None), (7, rows[2][1]), (90, rows[2][1]), (91, None), (92, "")]
     docs = spark.createDataFrame([(i, t, str(n)) for n, (i, t) in enumerate(rows)], "doc_id long, text string, repeats_id string")
     out = S.without_repeats(docs)
     assert out.columns == docs.columns
@@ -116,3 +186,10 @@ def test_families_with_longer_common_starts(spark):
         for k in range(20):
             rows.append((100 * f + k, " ".join([word() for _ in range(30)] + (start if k < 2 else []) + body + [word() for _ in range(30)])))
     check(spark, rows)
+
+
+def test_of_nameless_copies_one_keeps_its_words(spark):
+    t = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(None, t, "a"), (None, t, "b"), (None, t, "c"), (None, "short", "d")], "doc_id long, text string, row string")
+    got = sorted(len((r.text or "").split()) for r in S.without_repeats(docs).collect())
+    assert got == [0, 0, 1, 60]

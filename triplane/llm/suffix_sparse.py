@@ -5,20 +5,28 @@ choice depends on nothing but the words themselves, and every passage of 50 word
 therefore goes on equally for 25 words at least in each copy. So:
 
 1. each kept suffix gets the hash of its first 25 words, and hashes of one document alone go;
-2. the suffixes that are left are told apart by their contexts, the 25 words before and 50 from them on, and each distinct
-   context stands for all its places, with the least and greatest doc_id it is found in;
-3. each run of 50 words belongs to the one kept suffix that its first 26 places choose, so every context lists its runs by
-   hash, and runs of two documents or more are found with one sum per run;
-4. the words of such runs are marked at all places of the context; the marks of one document that overlap are one passage.
+2. the suffixes that are left are told apart by their contexts, the 25 words before and 50 from them on; each distinct
+   context stands for all its places, with the first and last document it is found in;
+3. the contexts are sorted in ranges by that hash and, within it, by the words that follow. Neighbours in this order are
+   compared word by word, which gives how far each goes on like the next; the same order of the words before them, read
+   backwards, gives how far each goes back. Contexts that are alike for b words back and 50 - b words on, for any b from 0 to
+   25, share a run of 50 words (:func:`matches`);
+4. the words of runs that two documents have are marked at all places of the context; the marks of one document that
+   overlap are one passage.
 
-So each run meets every other one like it, however many there are and whatever stands around them. All steps are sums that
-combine before the shuffle, and joins with one row per key on one side. Words and runs are compared by 64-bit hashes.
+A hash with more than :data:`CROWD` contexts would make a range of its own that no further machine shortens. Its contexts
+list their runs instead, which are sorted by hashes of their own, in one sum per run.
 
-:func:`without_repeats` keeps a run in the document of the smallest doc_id that has it, and cuts its words from all others.
+So each run meets every other one like it, however many there are and whatever stands around them. Words and hot runs are
+compared by 64-bit hashes.
+
+:func:`without_repeats` keeps a run in the first document that has it, and cuts its words from all others: the smallest doc_id
+first, those without one last, by the hash of their text.
 
 Words are runs without ASCII white space, and case counts. Documents are told apart by doc_id; rows that repeat one are one
-document. Rows without a doc_id cannot be reported and are skipped, null texts have no words. An empty table has no
-passages.
+document, but their texts have passages of their own. Each row without a doc_id is a document: it has partners and
+passages like others, and its rows in the result have a null doc_id, one for each distinct text. Null texts have no words.
+An empty table has no passages.
 """
 
 from __future__ import annotations
@@ -27,6 +35,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -113,50 +122,158 @@ def anchors(text: Column) -> Column:
     return suffixes(text)
 
 
-def runs_of(text: Column, places: Column) -> Column:
-    """Runs of :data:`LENGTH` words that choose one of the places: its index, words before it in the run, hash of the run."""
-    kind = pa.list_(pa.struct([("i", pa.int32()), ("back", pa.int32()), ("run", pa.int64())]))
+def contexts_of(text: Column, places: Column) -> Column:
+    """Words around each of the places: its index, how many stand before it, and the hashes of the words."""
+    kind = pa.list_(pa.struct([("i", pa.int32()), ("back", pa.int32()), ("words", pa.list_(pa.int64()))]))
 
-    @F.arrow_udf("array<struct<i:int,back:int,run:bigint>>")
-    def runs(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    @F.arrow_udf("array<struct<i:int,back:int,words:array<bigint>>>")
+    def around(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, all_places in batches:
-            parts, ends = [], [0]
+            out = []
             for t, p in zip(texts, all_places, strict=True):
-                h = word_hashes(t.as_py())
-                run = _runs(h, LENGTH)
-                to = chosen(h)[: len(run)]
-                index = np.full(len(h) + 1, -1, dtype=np.int64)
-                pos = p.values.to_numpy(zero_copy_only=False).astype(np.int64)
-                index[pos] = np.arange(len(pos))
-                at = np.flatnonzero(index[to] >= 0)
-                parts.append((index[to[at]], to[at] - at, run[at].view(np.int64)))
-                ends.append(ends[-1] + len(at))
-            columns = [np.concatenate([*(x[c] for x in parts), np.zeros(0, d)]).astype(d) for c, d in enumerate((np.int32, np.int32, np.int64))]
-            rows = pa.StructArray.from_arrays([pa.array(x) for x in columns], fields=list(kind.value_type))
-            yield pa.ListArray.from_arrays(pa.array(np.array(ends, dtype=np.int32)), rows)
-
-    return runs(text, places)
+                h = word_hashes(t.as_py()).view(np.int64)
+                own = []
+                for i, at in enumerate(p.values.to_pylist()):
+                    first = max(0, at - WINDOW + 1)
+                    own.append({"i": i, "back": at - first, "words": h[first : at + LENGTH]})
+                out.append(own)
+            yield pa.array(out, type=kind)
+
+    return around(text, places)
+
+
+def _neighbours(words: np.ndarray, key: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of words within their keys, and how many first words each has in common with the one before it.
+
+    ``wide``: how many words of a row there are; what lies beyond is like nothing.
+    """
+    order = np.lexsort((*words.T[::-1], key))
+    same = words[order[1:]] == words[order[:-1]]
+    same &= np.arange(words.shape[1]) < np.minimum(wide[order[1:]], wide[order[:-1]])[:, None]
+    common = np.where(same.all(axis=1), words.shape[1], same.argmin(axis=1))
+    common[key[order[1:]] != key[order[:-1]]] = -1
+    return order, np.concatenate([[-1], common])
+
+
+def _alike(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
+    """By row: numbers of the classes of rows that have so many first words in common."""
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.cumsum(common < depth)
+    return out
+
+
+def shared_runs(key: np.ndarray, back: np.ndarray, words: list[np.ndarray], least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(context, back, least)`` of each run of :data:`LENGTH` words that two documents have: sort, compare neighbours, extend both ways."""
+    n, behind, ahead = len(key), WINDOW - 1, LENGTH
+    left, right = np.zeros((n, behind), dtype=np.int64), np.zeros((n, ahead), dtype=np.int64)
+    long = np.array([len(w) for w in words]) - back
+    for i, (w, b) in enumerate(zip(words, back, strict=True)):
+        left[i, :b] = w[:b][::-1]
+        right[i, : long[i]] = w[b:]
+    forward, backward = _neighbours(right, key, long), _neighbours(left, key, back)
+    rows, shifts, firsts = [], [], []
+    for b in range(WINDOW):
+        whole = np.flatnonzero((back >= b) & (long >= LENGTH - b))
+        if not len(whole):
+            continue
+        both = np.stack([_alike(*forward, LENGTH - b)[whole], _alike(*backward, b)[whole]], axis=1)
+        run = np.unique(both, axis=0, return_inverse=True)[1].ravel()
+        first, last = np.full(run.max() + 1, np.iinfo(np.int64).max), np.full(run.max() + 1, -1)
+        np.minimum.at(first, run, least[whole])
+        np.maximum.at(last, run, most[whole])
+        hit = first[run] != last[run]
+        rows.append(whole[hit])
+        shifts.append(np.full(hit.sum(), b))
+        firsts.append(first[run][hit])
+    return tuple(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (rows, shifts, firsts))
+
+
+#: A document: without an id or not, and the id (of those without one, a hash of the text).
+DOC = "struct<last:boolean,id:bigint>"
+
+
+def matches(contexts: DataFrame) -> DataFrame:
+    """``(context, kept_in, behind, inside)``: runs that two documents have, by the first document that has them: from how far before the context's suffix they begin, at most and at least.
+
+    ``contexts``: key, context, least, most, back, words.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None  # the last key of a batch may go on in the next
+        for pdf in parts:
+            pdf = pdf if kept is None else pd.concat([kept, pdf])
+            open_ = (pdf["key"] == pdf["key"].iloc[-1]).to_numpy()
+            kept = pdf[open_]
+            if not open_.all():
+                yield whole(pdf[~open_])
+        if kept is not None:
+            yield whole(kept)
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        docs = [(x["last"], x["id"]) for c in ("least", "most") for x in pdf[c]]
+        known = sorted(set(docs))
+        number = {d: i for i, d in enumerate(known)}
+        place = np.array([number[d] for d in docs], dtype=np.int64).reshape(2, -1)
+        row, shift, first = shared_runs(pdf["key"].to_numpy(), pdf["back"].to_numpy(), pdf["words"].tolist(), *place)
+        found = pd.DataFrame({"row": row, "first": first, "shift": shift}).groupby(["row", "first"])["shift"].agg(["max", "min"]).reset_index()
+        kept_in = [{"last": known[i][0], "id": known[i][1]} for i in found["first"]]
+        return pd.DataFrame({"context": pdf["context"].to_numpy()[found["row"]], "kept_in": kept_in, "behind": found["max"], "inside": found["min"]})
+
+    ordered = contexts.select("key", "context", "least", "most", "back", "words").repartitionByRange("key").sortWithinPartitions("key")
+    return ordered.mapInPandas(run, f"context long, kept_in {DOC}, behind int, inside int")
+
+
+def crowded_matches(contexts: DataFrame) -> DataFrame:
+    """The same for contexts of hashes that very many share: each run is found by a hash of its own."""
+    shift = F.explode(F.sequence(F.greatest(F.lit(0), LENGTH - (F.size("words") - F.col("back"))), F.least("back", F.lit(WINDOW - 1)))).alias("shift")
+    fit = contexts.where(F.size("words") >= LENGTH).select("context", "least", "most", "back", "words", shift)
+    runs = materialise(fit.select("context", "least", "most", "shift", F.xxhash64(F.slice("words", F.col("back") - F.col("shift") + 1, LENGTH)).alias("run")))
+    common = runs.groupBy("run").agg(F.min("least").alias("kept_in"), F.max("most").alias("to")).where("kept_in != to").select("run", "kept_in")
+    hits = runs.join(materialise(common).hint("merge"), "run").groupBy("context", "kept_in").agg(F.max("shift").alias("behind"), F.min("shift").alias("inside"))
+    return hits.select("context", "kept_in", "behind", "inside")
+
+
+#: Contexts of one hash that are sorted together.
+CROWD = 5000
 
 
 def _stretches(docs: DataFrame) -> DataFrame:
-    """``(doc_id, kept_in, first, last)``: stretches of words in a match, which may overlap, by the first document that has it."""
-    docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("hash"), "text")
-    kept = materialise(docs.select("doc_id", "hash", F.inline(anchors(F.col("text")))))
-    keys = kept.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    """``(doc_id, doc, hash, kept_in, first, last)``: stretches of words in a match, which may overlap, by the first document that has it."""
+    hash_ = F.xxhash64("text")
+    doc = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", hash_).alias("id"))
+    docs = docs.where("text IS NOT NULL").select("doc_id", hash_.alias("hash"), doc.alias("doc"), "text")
+    kept = docs.select("doc", "hash", F.inline(anchors(F.col("text"))))
+    # rows without an id that repeat a text are documents too: the second stands next to the first
+    twice = docs.where("doc_id IS NULL").groupBy("hash").count().where("count > 1").select(F.col("hash").alias("again"))
+    kept = kept.join(F.broadcast(twice) if twice.limit(SLOTS + 1).count() <= SLOTS else twice, F.col("doc.last") & (F.col("hash") == F.col("again")), "left")
+    other = F.struct(F.col("doc.last").alias("last"), (F.col("doc.id") + F.when(F.col("again").isNotNull(), 1).otherwise(0)).alias("id"))
+    kept = materialise(kept.select("doc", other.alias("other"), "hash", "pos", "key", "context"))
+    keys = kept.groupBy("key").agg(F.min("doc").alias("least"), F.max("other").alias("most"))
     # written first: Spark deals a crowded side of a join anew only where no sum shares its stage
     shared = materialise(keys.where("least != most").select("key"))
-    near = materialise(kept.join(shared.hint("merge"), "key").drop("key"))
-    places = near.groupBy("context").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min(F.struct("doc_id", "hash", "pos")).alias("one"))
-    wanted = places.groupBy("one.doc_id", "one.hash").agg(F.collect_list(F.struct("one.pos", "context", "least", "most")).alias("places"))
-    met = docs.join(wanted.hint("merge"), ["doc_id", "hash"])
-    listed = met.select("places", F.inline(runs_of(F.col("text"), F.col("places.pos"))))
+    near = materialise(kept.join(shared.hint("merge"), "key"))
+    places = near.groupBy("context").agg(F.min("doc").alias("least"), F.max("other").alias("most"), F.min(F.struct("doc", "hash", "pos")).alias("one"), F.first("key").alias("key"))
+    wanted = places.groupBy("one.doc", "one.hash").agg(F.collect_list(F.struct("one.pos", "context", "key", "least", "most")).alias("places"))
+    # rows that repeat an id and a text list the same places
+    met = docs.dropDuplicates(["doc", "hash"]).join(wanted.hint("merge"), ["doc", "hash"]) if _repeats(docs) else docs.join(wanted.hint("merge"), ["doc", "hash"])
     place = F.get("places", F.col("i"))
-    runs = materialise(listed.select(place["context"].alias("context"), place["least"].alias("least"), place["most"].alias("most"), "back", "run"))
-    common = runs.groupBy("run").agg(F.min("least").alias("kept_in"), F.max("most").alias("to")).where(F.col("kept_in") != F.col("to")).select("run", "kept_in")
-    # every run of a context holds its kept suffix, so what they cover is one stretch
-    hits = runs.join(materialise(common).hint("merge"), "run").groupBy("context", "kept_in").agg(F.max("back").alias("behind"), F.min("back").alias("inside"))
+    listed = met.select("places", F.inline(contexts_of(F.col("text"), F.col("places.pos"))))
+    contexts = materialise(listed.select(*[place[c].alias(c) for c in ("key", "context", "least", "most")], "back", "words"))
+    crowds = materialise(contexts.groupBy("key").count().where(F.col("count") > CROWD).select("key"))
+    hits = matches(contexts.join(crowds.hint("merge"), "key", "left_anti") if crowds.limit(1).count() else contexts)
+    if crowds.limit(1).count():
+        hits = hits.unionByName(crowded_matches(contexts.join(crowds.hint("merge"), "key")))
     found = near.join(materialise(hits).hint("merge"), "context")
-    return found.select("doc_id", "hash", "kept_in", (F.col("pos") - F.col("behind")).cast("long").alias("first"), (F.col("pos") - F.col("inside") + LENGTH).cast("long").alias("last"))
+    first, last = (F.col("pos") - F.col("behind")).cast("long"), (F.col("pos") - F.col("inside") + LENGTH).cast("long")
+    return found.select(F.when(~F.col("doc.last"), F.col("doc.id")).alias("doc_id"), "doc", "other", "hash", "kept_in", first.alias("first"), last.alias("last"))
+
+
+#: Hashes of repeated texts without an id that are broadcast at most.
+SLOTS = 1 << 20
+
+
+def _repeats(docs: DataFrame) -> bool:
+    return docs.groupBy("doc", "hash").count().where("count > 1").limit(1).count() > 0
 
 
 def _merged(stretches: DataFrame, by: list[str]) -> DataFrame:
@@ -170,8 +287,8 @@ def _merged(stretches: DataFrame, by: list[str]) -> DataFrame:
 
 
 def passages(docs: DataFrame) -> DataFrame:
-    """``(doc_id, first_word, n_words)``: one row for each repeated passage of a document, overlapping matches as one."""
-    return _merged(_stretches(docs).select("doc_id", "first", "last"), ["doc_id"])
+    """``(doc_id, first_word, n_words)``: one row for each repeated passage of a text, overlapping matches as one."""
+    return _merged(_stretches(docs).select("doc_id", "hash", "first", "last"), ["doc_id", "hash"]).drop("hash")
 
 
 def cut(text: str, stretches: list[tuple[int, int]]) -> str:
@@ -186,16 +303,32 @@ def cut(text: str, stretches: list[tuple[int, int]]) -> str:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with each repeated passage cut from all documents but the first that has it; all rows and columns stay."""
-    repeats = _stretches(docs).where("doc_id != kept_in").select("doc_id", "hash", "first", "last")
-    id_, hash_, cuts = (fresh(docs, f"repeats_{c}") for c in ("id", "hash", "cuts"))
-    each = _merged(repeats, ["doc_id", "hash"]).groupBy(F.col("doc_id").alias(id_), F.col("hash").alias(hash_)).agg(F.collect_list(F.struct("first_word", "n_words")).alias(cuts))
+    """``docs`` with each repeated passage cut from all documents but the first that has it; all rows and columns stay.
+
+    Of rows without an id that repeat a text, the one with the smallest hash of all columns counts as first.
+    """
+    stretches = materialise(_stretches(docs).select("doc", "other", "hash", "kept_in", "first", "last"))
+    flag, id_, hash_, own, cuts = (fresh(docs, f"repeats_{c}") for c in ("last", "id", "hash", "own", "cuts"))
+
+    def listed(of: DataFrame, copies: bool) -> DataFrame:
+        each = _merged(of.select("doc", "hash", "first", "last"), ["doc", "hash"]).groupBy("doc", "hash").agg(F.collect_list(F.struct("first_word", "n_words")).alias(cuts))
+        return each.select(F.col("doc.last").alias(flag), F.col("doc.id").alias(id_), F.col("hash").alias(hash_), F.lit(copies).alias(own), cuts)
+
+    # a second copy without an id loses what the first keeps, too
+    wanted = listed(stretches.where("doc != kept_in"), False).unionByName(listed(stretches.where("doc.last AND doc != other"), True))
 
     @F.arrow_udf("string")
     def shorter(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, stretches in batches:
-            rows = zip(texts.to_pylist(), stretches.to_pylist(), strict=True)
+        for texts, places in batches:
+            rows = zip(texts.to_pylist(), places.to_pylist(), strict=True)
             yield pa.array([t if not s or t is None else cut(t, [(x["first_word"], x["n_words"]) for x in s]) for t, s in rows], type=pa.string())
 
-    both = docs.join(materialise(each).hint("merge"), (F.col("doc_id") == F.col(id_)) & (F.xxhash64("text") == F.col(hash_)), "left")
+    nameless = docs.where("doc_id IS NULL")
+    nth = F.row_number().over(Window.partitionBy(F.xxhash64("text")).orderBy(F.xxhash64(*docs.columns)))
+    placed = docs.where("doc_id IS NOT NULL").withColumn(own, F.lit(False)).unionByName(nameless.withColumn(own, nth > 1))
+    hash_of = F.xxhash64("text")
+    wanted = materialise(wanted).withColumnRenamed(own, fresh(docs, "repeats_copies"))
+    copies = wanted.columns[3]
+    same = (F.col("doc_id").isNull() == F.col(flag)) & (F.coalesce("doc_id", hash_of) == F.col(id_)) & (hash_of == F.col(hash_)) & (F.col(own) == F.col(copies))
+    both = placed.join(wanted.hint("merge"), same, "left")
     return both.withColumn("text", shorter(F.col("text"), F.col(cuts))).select(*docs.columns)
