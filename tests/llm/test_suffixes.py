@@ -127,6 +127,12 @@ def test_repeats_within_one_document_do_not_count(spark):
     check(spark, [(1, t + " " + t), (2, "other words"), (1, t)])
 
 
+def test_contexts_without_a_shared_run(spark):
+    """Forty words in common are looked at, and are too few."""
+    t = " ".join(f"w{i}" for i in range(40))
+    check(spark, [(k, " ".join(f"{k}a{i}" for i in range(30)) + " " + t + " " + " ".join(f"{k}b{i}" for i in range(30))) for k in range(5)])
+
+
 def test_given_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     check(spark, [(r.doc_id, r.text) for r in docs.collect()])

@@ -188,10 +188,6 @@ def shared_runs(key: np.ndarray, back: np.ndarray, words: list[np.ndarray], leas
     return tuple(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (rows, shifts, firsts))
 
 
-#: A document: without an id or not, and the id (of those without one, a hash of the text).
-DOC = "struct<last:boolean,id:bigint>"
-
-
 def matches(contexts: DataFrame) -> DataFrame:
     """``(context, kept_in, behind, inside)``: runs that two documents have, by the first document that has them: from how far before the context's suffix they begin, at most and at least.
 
@@ -216,11 +212,13 @@ def matches(contexts: DataFrame) -> DataFrame:
         place = np.array([number[d] for d in docs], dtype=np.int64).reshape(2, -1)
         row, shift, first = shared_runs(pdf["key"].to_numpy(), pdf["back"].to_numpy(), pdf["words"].tolist(), *place)
         found = pd.DataFrame({"row": row, "first": first, "shift": shift}).groupby(["row", "first"])["shift"].agg(["max", "min"]).reset_index()
-        kept_in = [{"last": known[i][0], "id": known[i][1]} for i in found["first"]]
-        return pd.DataFrame({"context": pdf["context"].to_numpy()[found["row"]], "kept_in": kept_in, "behind": found["max"], "inside": found["min"]})
+        last, own = np.array([d[0] for d in known], dtype=bool), np.array([d[1] for d in known], dtype=np.int64)
+        row, first = found["row"].to_numpy(), found["first"].to_numpy()
+        return pd.DataFrame({"context": pdf["context"].to_numpy()[row], "last": last[first], "id": own[first], "behind": found["max"], "inside": found["min"]})
 
     ordered = contexts.select("key", "context", "least", "most", "back", "words").repartitionByRange("key").sortWithinPartitions("key")
-    return ordered.mapInPandas(run, f"context long, kept_in {DOC}, behind int, inside int")
+    found = ordered.mapInPandas(run, "context long, last boolean, id long, behind int, inside int")
+    return found.select("context", F.struct("last", "id").alias("kept_in"), "behind", "inside")
 
 
 def crowded_matches(contexts: DataFrame) -> DataFrame:
