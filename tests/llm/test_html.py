@@ -1,21 +1,73 @@
+import random
 import re
 import time
 from html import unescape
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from triplane.llm import html_tagpath as H
 
 
+def article_of(html):
+    inside = re.search(r"<article>(.*?)</article>", html, re.S)[1]
+    return " ".join(unescape(re.sub(r"<[^>]*>", " ", inside)).split())
+
+
+@pytest.fixture(scope="module")
+def pages():
+    return [(r["page_id"], r["html"]) for r in pq.read_table("/root/testdata/sf0.1/pages.parquet").to_pylist()][:1000]
+
+
 def test_given_pages_against_their_articles(spark):
-    """The generator's pages have one article element."""
+    """The generator's pages have one article element; articles of a sentence or two may lose against an advert that is longer, and then both stay."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: r for r in H.digest(pages).collect()}
     assert len(got) == pages.count()
+    right = 0
     for r in pages.collect():
-        inside = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
-        want = " ".join(unescape(re.sub(r"<[^>]*>", " ", inside)).split())
-        assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want) and got[r.page_id].url == r.url
+        want = article_of(r.html)
+        assert want in got[r.page_id].text and got[r.page_id].n_chars == len(got[r.page_id].text) and got[r.page_id].url == r.url
+        right += got[r.page_id].text == want
+        assert got[r.page_id].text == want or len(want) < 120
+    assert right >= 0.98 * len(got)
+
+
+def without_names(page_id, html):
+    """Neither article elements nor telling classes."""
+    r = random.Random(page_id)
+    return re.sub(r"<(/?)article>", lambda m: "</div>" if m[1] else f'<div class="k{r.randrange(10**6)}">', html).replace('class="ad"', f'class="k{r.randrange(10**6)}"')
+
+
+def test_the_ratios_decide(pages, monkeypatch):
+    """A constant in their place keeps adverts on all pages."""
+    own = [H.main_text(h) for _, h in pages]
+    monkeypatch.setattr(H, "fused_ratios", lambda length, marks, of, container: np.ones(of.max() + 1))
+    assert sum(H.main_text(h) != t for (_, h), t in zip(pages, own)) > 0.95 * len(pages)
+
+
+def test_pages_without_their_names(pages):
+    right = sum(H.main_text(without_names(i, h)) == article_of(h) for i, h in pages)
+    assert right >= 0.95 * len(pages)
+
+
+def test_comments_without_a_name_go(pages):
+    right = 0
+    for i, h in pages:
+        r = random.Random(i)
+        words = re.findall(r"\w+", article_of(h))[:40]
+        said = "".join("<p>" + " ".join(r.choices(words, k=r.randrange(4, 12))) + ", nice.</p>" for _ in range(r.randrange(1, 5)))
+        right += H.main_text(without_names(i, h).replace("<footer>", f"<div class=x3>{said}</div><footer>")) == article_of(h)
+    assert right >= 0.93 * len(pages)
+
+
+def test_no_word_of_a_class_drops_text_of_an_article():
+    p = "<p>Some text of the article, with commas, which is long enough to count.</p>"
+    for kind in ('class="login-history"', 'class="ad-hoc-networks"', 'id="comment-on-hegel"', 'class="notice-period side"'):
+        text = H.main_text(f"<article>{p}<section {kind}><p>Short one.</p></section>{p}</article><div class=ad>Buy, buy.</div>")
+        assert text.count("Some text") == 2 and ("Short one." in text) == (kind != 'class="notice-period side"') and "Buy" not in text
+        assert H.main_text(f"<article>{p}<section {kind}>{p}{p}</section>{p}</article>").count("Some text") == 4
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="page home">
@@ -71,16 +123,6 @@ def test_names_do_not_decide():
         assert H.main_text(NEUTRAL.format(*names.split(), paragraphs=paragraphs)) == want
 
 
-def test_the_given_pages_without_their_names(spark):
-    """With neither article elements nor telling classes, the ratios still find nearly all articles."""
-    right, n = 0, 0
-    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
-        want = H.main_text(r.html)
-        page = r.html.replace('class="ad"', f'class="k{r.page_id % 7}"')
-        n, right = n + 1, right + (H.main_text(page) == want)
-    assert right >= 0.97 * n
-
-
 def test_the_threshold_decides(monkeypatch):
     page = "<body><div class=a><p>First paragraph, long enough, with commas, and more.</p><p>Second paragraph, long enough too, with commas.</p></div><div class=b><p>A few words, no more.</p></div></body>"
     assert H.main_text(page) == "First paragraph, long enough, with commas, and more. Second paragraph, long enough too, with commas."

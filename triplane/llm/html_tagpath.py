@@ -4,12 +4,15 @@ A page becomes blocks of text, each with its tag path: the open elements from th
 class. What HTML itself keeps from the text never counts: scripts, styles, forms, navigation, footers, asides, hidden
 elements, and a header outside of an article.
 
-Each path has two ratios, text length over its blocks and punctuation over its blocks. Both are smoothed along the page by
-a Gaussian and fused by their product, which is then averaged over the path, lessened by the share of its text that stands in
-links, and weighed by what the path says: ``article`` and ``main`` for it, names of classes and ids like ``comments`` or
-``related`` against it. Paths whose score reaches the threshold, by the standard deviation of all blocks' scores and the best one, are
-content. A path under the container of a content path (headings, lists, quotes, sections) inherits that path's score,
-lessened by its own links and names, and is held against the same threshold.
+Each path has two ratios: text length over its blocks, and punctuation over its blocks, both smoothed along the page by a
+Gaussian, where blocks count by their length. They are fused by their product, and with the length of all the text that the path's container (the element its
+blocks lie in) holds. The score is lessened by the share of the text that stands in links, and by names of classes and ids like
+``comments`` or ``related``, which alone don't keep a path out. A path whose score reaches :data:`THRESHOLD` of the best one is
+content.
+
+What lies below the container of a content path (headings, lists, quotes, sections) is content with it, and so is the rest of
+an article of which a path is content. Only a part with such a name is not taken along: it is judged by its own score. Inside
+an article a name has to be a whole class or id, so that a section about ``ad-hoc-networks`` or ``comment-on-hegel`` stays.
 
 One Arrow function of the html column does this, page by page, over whole pages, in time linear in the page; other columns
 pass untouched. A null or empty page has the text "". Repeated pages get equal texts. Broken markup never raises: a start
@@ -29,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMOOTH = 1.0
-#: How much of the standard deviation of all blocks' scores, and of the best score, a path's score must reach.
-THRESHOLD, FLOOR = 1.0, 0.05
-#: Weights of a path, as logarithms: inside an article, and for each name that hints strongly or weakly at something else.
-ARTICLE, STRONG, WEAK = 2.0, -4.0, -0.5
+SMOOTH = 0.4
+#: Share of the best score that a path's score must reach, and the least that the threshold may be set to.
+THRESHOLD, FLOOR = 0.2, 0.01
+#: Power of the length of a container's text within the score.
+TOGETHER = 2.0
+#: Weight of a path, as a logarithm, for each name that hints at something else: alone it keeps a path just above the threshold.
+NAMED = -1.6
 
 # Names of HTML.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -47,18 +52,17 @@ SCOPES = frozenset("ul ol dl table body html article section div main td th".spl
 BOUNDS = frozenset("article body html table".split())
 FREE = frozenset("article section main body html table div".split())
 KEEP_P = frozenset("button td th table".split())
-# Names of classes and ids that say what an element is.
-STRONG_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo sidebar nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar banner comment comments replies respond disqus cookie cookies consent gdpr notice notices notification alert newsletter subscribe signup login popup modal overlay pagination pager".split())
-WEAK_NAMES = frozenset("promotion side menu header reply social share sharing related recommended recommendations widget form search copyright legal disclaimer".split())
+# Names of classes and ids that hint at something else than the main text.
+NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar side nav navbar navigation menu breadcrumb breadcrumbs header footer masthead topbar toolbar banner comment comments reply replies respond disqus cookie cookies consent gdpr notice notices notification alert newsletter subscribe signup login popup modal overlay pagination pager social share sharing related recommended recommendations widget form search copyright legal disclaimer".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?¡¿…。、，！？؛،]")
 
 
-def _element(name: str, attributes: str) -> tuple[str, bool, float]:
-    """Step of the path, whether HTML keeps the element from the text, and the weight of its names."""
-    step, out, names = name, name in NEVER, set()
+def _element(name: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """Step of the path, whether HTML keeps the element from the text, and whether a class or id is one of the names, whole or in part."""
+    step, out, whole, part = name, name in NEVER, False, False
     if attributes and ("class" in attributes or "id" in attributes or "role" in attributes or "hidden" in attributes):
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -66,12 +70,13 @@ def _element(name: str, attributes: str) -> tuple[str, bool, float]:
                 out = True
             elif key in ("class", "id"):
                 words = value.split()
-                names.update(w for x in words for w in (x, *re.split(r"[-_]", x)))
+                whole = whole or not NAMES.isdisjoint(words)
+                part = part or any(not NAMES.isdisjoint(re.split(r"[-_]", x)) for x in words)
                 if key == "class" and words:
                     step = f"{name}.{words[0]}"
     if name in ("html", "body", "article", "main"):
-        return step, out, ARTICLE if name in ("article", "main") else 0.0
-    return step, out, STRONG if names & STRONG_NAMES else WEAK if names & WEAK_NAMES else 0.0
+        whole = part = False
+    return step, out, whole, part
 
 
 @dataclass
@@ -81,23 +86,26 @@ class Paths:
     parent: list[int] = field(default_factory=lambda: [0])
     barred: list[bool] = field(default_factory=lambda: [False])
     weight: list[float] = field(default_factory=lambda: [0.0])
-    within: list[bool] = field(default_factory=lambda: [False])  # an article or main
+    within: list[int] = field(default_factory=lambda: [0])  # the outermost article or main
+    named: list[bool] = field(default_factory=lambda: [False])
     top: list[bool] = field(default_factory=lambda: [True])  # the page itself, no container
     known: dict = field(default_factory=dict)
 
     def below(self, path: int, name: str, attributes: str) -> int:
-        step, never, weight = _element(name, attributes)
-        if name == "header" and not self.within[path]:
+        step, never, whole, part = _element(name, attributes)
+        article = name in ("article", "main")
+        inside = self.within[path]
+        if name == "header" and not inside:
             never = True
-        if weight > 0 and self.within[path]:
-            weight = 0.0  # an article within one
-        key = (path, step, never, weight)
+        named = whole if inside else part
+        key = (path, step, never, article, named)
         if key not in self.known:
             self.known[key] = len(self.parent)
+            self.within.append(inside or (len(self.parent) if article else 0))
             self.parent.append(path)
             self.barred.append(self.barred[path] or never)
-            self.weight.append(self.weight[path] + weight)
-            self.within.append(self.within[path] or weight > 0)
+            self.weight.append(self.weight[path] + (NAMED if named else 0.0))
+            self.named.append(named)
             self.top.append(self.top[path] and name in ("html", "body"))
         return self.known[key]
 
@@ -192,11 +200,19 @@ def blocks(html: str) -> tuple[Paths, list[tuple[int, str, int]]]:
 
 
 def _smooth(values: np.ndarray) -> np.ndarray:
-    reach = max(1, math.ceil(2 * SMOOTH))
+    reach = max(1, math.ceil(4 * SMOOTH))
     kernel = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * SMOOTH**2))
     return np.convolve(values, kernel, "same") / np.convolve(np.ones(len(values)), kernel, "same") if len(values) > 2 * reach else values
 
 
+def fused_ratios(length: np.ndarray, marks: np.ndarray, of: np.ndarray, container: np.ndarray) -> np.ndarray:
+    """By path: length ratio times punctuation ratio, and the length of the container's whole text. ``of``: the path of each block."""
+    total = np.bincount(of, length)
+    long, dotted = (np.bincount(of, length * _smooth(v)) / total for v in (length, marks))
+    together = np.bincount(container, total)[container]
+    return long * (1 + dotted) * together**TOGETHER
+
+
 def main_text(html: str | None) -> str:
     paths, found = blocks(html or "")
     if not found:
@@ -205,22 +221,23 @@ def main_text(html: str | None) -> str:
     length = np.array([len(t) for _, t, _ in found], dtype=float)
     marks = np.array([len(_PUNCTUATION.findall(t)) for _, t, _ in found], dtype=float)
     linked = np.array([x for _, _, x in found], dtype=float)
-    count = np.bincount(of)
-    long, dotted, in_links = (np.bincount(of, v) / count for v in (length, marks, linked))
-    unlinked = np.maximum(0.0, 1 - 2 * in_links / np.maximum(long, 1))
+    unlinked = np.maximum(0.0, 1 - 2 * np.bincount(of, linked) / np.maximum(np.bincount(of, length), 1))
+    # text right in the body is a container of its own
+    box = np.array([p if paths.top[paths.parent[p]] else paths.parent[p] for p in own.tolist()])
+    container = np.unique(box, return_inverse=True)[1]
     weight = np.array(paths.weight)
-    fused = _smooth(long[of]) * _smooth(1 + dotted[of])
-    score = np.bincount(of, fused) / count * unlinked * np.exp(weight[own])
-    least = min(score.max(), max(THRESHOLD * score[of].std(), FLOOR * score.max()))
-    # the best score of a content path goes to its container, and from there down
-    handed = np.zeros(len(weight))
+    score = fused_ratios(length, marks, of, container) * unlinked * np.exp(weight[own])
+    least = max(THRESHOLD, FLOOR) * score.max()
+    # the container of a content path, and the article it is in, take along what lies below them
+    taken = np.zeros(len(weight), dtype=bool)
     for p, x in zip(own.tolist(), score.tolist(), strict=True):
-        if x >= least and not paths.top[up := paths.parent[p]]:
-            handed[up] = max(handed[up], x)
-    change = np.exp(weight - weight[paths.parent])
+        if x >= least:
+            for up in (paths.parent[p], paths.within[p]):
+                taken[up] |= not paths.top[up]
     for p in range(1, len(weight)):
-        handed[p] = max(handed[p], handed[paths.parent[p]] * change[p])
-    content = np.maximum(score, handed[own] * unlinked) >= least
+        taken[p] |= taken[paths.parent[p]] and not paths.named[p]
+    # a list of links is no content by its place alone
+    content = (score >= least) | (taken[own] & (unlinked > 0))
     return " ".join(t for (_, t, _), i in zip(found, of.tolist(), strict=True) if content[i])
 
 
