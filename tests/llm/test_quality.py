@@ -98,3 +98,15 @@ def test_awkward_rows(spark):
     assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
     assert Q.digest(docs, labels.limit(0)).where("score = 0.5").count() == 5
     assert Q.digest(docs.limit(0), labels).count() == 0
+
+
+def test_the_sample_is_bounded_by_passages(spark, monkeypatch):
+    """Whole documents, in the order of their hashes; one that is too long is passed over and ends nothing."""
+    monkeypatch.setattr(Q, "PASSAGES", 30)
+    monkeypatch.setattr(Q, "LONGEST", 12)
+    seen = []
+    monkeypatch.setattr(Q, "fit", lambda x, sizes, label: seen.append(sizes.tolist()))
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([(i, "word " * (200 * (1 + i % 5) if i % 7 else 20_000)) for i in ids] + [(ids[1], None)], "doc_id long, text string")
+    Q.train(docs, spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int"))
+    assert 20 <= sum(seen[0]) <= 36 and max(seen[0]) <= 6 and len(seen[0]) > 5

@@ -23,16 +23,18 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from triplane.shared import materialise
+
 PASSAGE = 1000
-#: Labelled documents that training reads at most.
-SAMPLE = 6000
+#: Labelled documents that training reads at most, their passages in all, and those of one of them; longer documents are not learnt from.
+SAMPLE, PASSAGES, LONGEST = 6000, 40_000, 2000
 #: Sums that the runs of three bytes are hashed into.
 GRAMS = 256
 HIDDEN, GATES = 16, 8
-EPOCHS, BATCH, RATE, DECAY = 30, 128, 0.01, 1e-4
+EPOCHS, BATCH, RATE, DECAY = 60, 128, 0.01, 1e-4
 
 # The character classes, by ASCII code; all else is letters of other scripts.
 CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " ", "\n", "\t\r\x0b\x0c", ".", ",", "!", "?", "|", "#$%&*@^~+=", "<>{}[]()", "\"'`", "-_/\\", ":;")
@@ -157,7 +159,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
-    """A model of the labelled rows that are not held out."""
+    """A model of the labelled rows that are not held out: the least by hash, whole documents, as many as the sample's bounds let in."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id")
     chosen = known.select("doc_id", F.col(label).cast("double").alias("quality_label")).orderBy(order, "doc_id", "quality_label").limit(sample)
@@ -168,10 +170,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
             rows = [encode_batch([t.as_py()])[0].ravel() for t in batch]
             yield pa.array(rows, type=pa.list_(pa.float32()))
 
-    # the sample is bounded, and so is what comes back: one text for each of its rows
+    # the sample is bounded, and so is what comes back: one text for each of its rows, and so many passages in all
     met = docs.select("doc_id", F.col("text").alias("text")).join(F.broadcast(chosen), "doc_id")
-    met = met.groupBy("doc_id", "quality_label").agg(F.min("text").alias("text"))
-    rows = met.select("doc_id", "quality_label", bag(F.col("text")).alias("bag")).toArrow().combine_chunks()
+    met = materialise(met.groupBy("doc_id", "quality_label").agg(F.min("text").alias("text")))
+    sizes = met.select("doc_id", "quality_label", (F.floor(F.length("text") / PASSAGE) + 1).alias("n")).where(F.col("n").isNull() | (F.col("n") <= LONGEST))
+    so_far = F.sum(F.coalesce("n", F.lit(1))).over(Window.orderBy(order, "doc_id", "quality_label"))  # SAMPLE rows
+    fits = sizes.withColumn("so_far", so_far).where(F.col("so_far") <= PASSAGES).select("doc_id", "quality_label")
+    rows = met.join(F.broadcast(fits), ["doc_id", "quality_label"]).select("doc_id", "quality_label", bag(F.col("text")).alias("bag")).toArrow().combine_chunks()
     label = rows["quality_label"].to_numpy()
     order = np.lexsort([label, rows["doc_id"].to_numpy()])
     bags = rows["bag"].combine_chunks() if rows.num_rows else pa.array([], type=pa.list_(pa.float32()))
