@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from triplane.operators import ordinal, profile, rgcn, sample, store, train, vocab
+from triplane.operators import ordinal, profile, rgcn, sample, store, strata, train, vocab
 from triplane.operators import rank as R
 from triplane.operators.sums import summed_vectors
 from triplane.sources import readers, sinks
@@ -295,6 +295,46 @@ def test_one_step_of_training_against_numpy(spark):
     assert history[0]["updates"] == len(losses) and history[0]["mean_loss"] == pytest.approx(np.mean(losses))
 
 
+@pytest.mark.parametrize("parts", [1, 2, 3, 5])
+def test_strata_hold_every_task_once_and_share_nothing(parts):
+    plan = strata.strata(parts)
+    tasks = [t for s in plan for t in s]
+    assert sorted(tasks) == sorted((a, b, q) for a in range(2 * parts) for b in range(a, 2 * parts) for q in range(parts))
+    for s in plan:
+        blocks = [x for a, b, _ in s for x in {a, b}]
+        assert len(blocks) == len(set(blocks)) and len({q for *_, q in s}) == len(s)
+
+
+def test_strata_equal_a_plain_loop(spark):
+    """The same updates, one after the other: strata in order, tasks in any, triples by their turn."""
+    n, parts = 24, 2
+    t = ring(spark, n, 3)
+    e, r = train.random_table(spark.range(n), "e", 6), train.random_table(spark.range(3), "r", 6)
+    got_e, got_r, history = strata.train_in_strata(t, e, r, parts, epochs=2, rate=0.1)
+    x = {("e", v.id): np.array(v.vec, dtype=float) for v in e.collect()} | {("r", v.id): np.array(v.vec, dtype=float) for v in r.collect()}
+    normal = lambda: x.update({k: v / np.linalg.norm(v) for k, v in x.items() if k[0] == "e"})
+    normal()
+    for epoch in range(2):
+        rows = strata.corrupted(t, n, 3, parts, 0, epoch).collect()
+        lost = []
+        for s in strata.strata(parts):
+            for a, b, q in reversed(s):
+                own = [w for w in rows if {w.head_id % (2 * parts), w.tail_id % (2 * parts)} == {a, b} and w.relation_id % parts == q]
+                for w in sorted(own, key=lambda w: (w.turn, w.pos)):
+                    assert sum(w[c] != w[o] for c, o in zip(strata.TRIPLE[:3], strata.TRIPLE[3:])) == 1
+                    lost.append(strata.update(x, tuple(w[c] for c in strata.TRIPLE), 0.1, 1.0))
+        normal()
+        hit = [v for v in lost if v > 0]
+        assert len(lost) == n and history[epoch]["updates"] == len(hit) and history[epoch]["mean_loss"] == pytest.approx(np.mean(hit))
+    assert all(np.allclose(v.vec, x["e", v.id], atol=1e-12) for v in got_e.collect()) and all(np.allclose(v.vec, x["r", v.id], atol=1e-12) for v in got_r.collect())
+    # the same rate in one batch, whose gradients are all taken at the start, gets less far
+    _, _, batch = train.train_transe(t, e, r, epochs=2, n_batches=1, rate=0.1)
+    total = lambda h: h["mean_loss"] * h["updates"]
+    assert total(history[1]) < total(history[0]) and total(history[1]) / total(history[0]) < total(batch[1]) / total(batch[0]) * 1.2
+    with pytest.raises(ValueError, match="too many parts"):
+        strata.train_in_strata(t, e, r, 4)
+
+
 def dense_graph(x, edges, encoder):
     """The encoder's output over whole arrays."""
     for i, w in enumerate(encoder.layers):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from triplane.functions import config as C
 from triplane.functions import terms as T
 from triplane.functions import vectors as V
-from triplane.operators import prior, profile, rgcn, sample, train, vocab
+from triplane.operators import prior, profile, rgcn, sample, strata, train, vocab
 from triplane.operators import rank as R
 from triplane.plans import fixtures as X
 from triplane.shared import materialise, shared_dir
@@ -687,6 +687,14 @@ def transe_train(spark, sf):
     return entities.crossJoin(F.broadcast(train.history_table(spark, history)))  # two rows
 
 
+@query()
+def transe_strata(spark, sf):
+    """One epoch of updates one after the other, in strata; the mean loss beside the entities."""
+    triples, vectors, relations = _tests(spark, sf)
+    entities, _, history = strata.train_in_strata(triples, train.random_table(_ids(vectors), "e", 16), train.random_table(_ids(relations), "r", 16))
+    return entities.crossJoin(F.broadcast(train.history_table(spark, history)))  # one row
+
+
 @query()
 def transe_adam_train(spark, sf):
     """The same by Adam, with two Bernoulli negatives for each triple; relations are returned."""
