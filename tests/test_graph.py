@@ -335,6 +335,35 @@ def test_strata_equal_a_plain_loop(spark):
         strata.train_in_strata(t, e, r, 4)
 
 
+@pytest.mark.parametrize("ends", ["\n", "\r\n"])
+def test_quoted_line_breaks_over_blocks(spark, tmp_path, ends):
+    """Two files, read in blocks far smaller than some of their records, give what one task per file does."""
+    rng = np.random.default_rng(9)
+    words = ["a", 'say ""x""', "line\nbreak", "b, c", "", "\n\n", "é" * 30, "long " * 60 + "\n" + "tail " * 60]
+    for name in ("one.csv", "two.csv"):
+        rows = ["pred,sub,obj"]
+        for i in range(300):
+            cells = [f"{name}{i}"] + [str(rng.choice(words)) for _ in range(2)]
+            rows.append(",".join(f'"{c}"' if c and (rng.random() < 0.3 or any(x in c for x in '",\n')) else c for c in cells))
+        (tmp_path / name).write_bytes((ends.join(rows) + (ends if name == "one.csv" else "")).encode())
+    read = lambda whole: sorted((r.pos, r.head, r.relation, r.tail) for r in readers.read_triples_csv(spark, str(tmp_path), whole).collect())
+    want = read(True)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        got = read(False)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [r[0] for r in got] == list(range(600)) and got == want
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.csv").write_text('sub,pred,obj\na,"open,c\nd,e,f\n')
+    with pytest.raises(Exception, match="stays open"):
+        readers.read_triples_csv(spark, str(tmp_path / "bad")).collect()
+
+
 def dense_graph(x, edges, encoder):
     """The encoder's output over whole arrays."""
     for i, w in enumerate(encoder.layers):

@@ -6,7 +6,7 @@ partitions by these, so no task sees all rows, and the numbered rows are written
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triplane.functions import terms as T
@@ -21,11 +21,59 @@ def _with_place(df: DataFrame) -> DataFrame:
     return df.withColumn("place", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row")))
 
 
+_PLACE = {"place_file": "place.file_path", "place_start": "place.file_block_start", "place_row": "place.row"}
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    """``place`` laid out in columns, written once: row ids hold only for the reading that gave them."""
+    return materialise(df.withColumns({k: F.col(v) for k, v in _PLACE.items()}).drop("place"))
+
+
+def _counted_blocks(flat: DataFrame, *sums: Column) -> DataFrame:
+    """One row per block with these sums."""
+    return flat.groupBy("place_file", "place_start").agg(*sums)
+
+
 def _numbered(df: DataFrame) -> DataFrame:
-    """``pos`` in place of ``place``; the place is laid out in columns, which range partitions sort by."""
-    parts = {"place_file": "place.file_path", "place_start": "place.file_block_start", "place_row": "place.row"}
-    flat = materialise(df.withColumns({k: F.col(v) for k, v in parts.items()}).drop("place"))
-    return dense_numbers(flat, list(parts), "pos").drop(*parts)
+    """``pos`` in place of ``place``: the rows of all earlier blocks, and the number within the block. Blocks are one row each."""
+    flat = df if "place" not in df.columns else _flat(df)
+    blocks = _counted_blocks(flat, F.count("*").alias("rows"))
+    earlier = blocks.select("place_file", "place_start", (F.sum("rows").over(Window.orderBy("place_file", "place_start")) - F.col("rows")).alias("earlier"))
+    within = F.row_number().over(Window.partitionBy("place_file", "place_start").orderBy("place_row")) - 1
+    met = flat.withColumn("within", within).join(earlier, ["place_file", "place_start"])
+    return met.withColumn("pos", (F.col("earlier") + F.col("within")).cast("long")).drop(*_PLACE, "earlier", "within")
+
+
+def quoted_records(spark: SparkSession, path: str) -> DataFrame:
+    """``(record, place_file, place_start, place_row)`` of CSV files whose quoted cells may hold line breaks, read in blocks.
+
+    Spark cuts the files at line ends, wherever these are. A line begins within quotes if all lines before it in its file have an odd
+    number of quotes: the numbers of each block are summed, then those of the blocks of a file (a doubled quote counts twice,
+    and changes nothing). Lines that begin outside and have an even number are records; only those of longer records are
+    shuffled, to the place of their first line, which may lie in an earlier block. Quotes stand around cells or are doubled
+    within quoted ones, as writers of CSV put them. An odd number in a file leaves one record open, and raises.
+    """
+    text = spark.read.text(path, lineSep="\n").select("value", "_metadata")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = _flat(_with_place(text).drop("_metadata").withColumn("quotes", quotes))
+    block, file = Window.partitionBy("place_file", "place_start").orderBy("place_row"), Window.partitionBy("place_file").orderBy("place_start")
+    before = block.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = _counted_blocks(lines, F.sum("quotes").alias("own"))
+    opened = materialise(blocks.select("place_file", "place_start", (F.pmod(F.sum("own").over(file) - F.col("own"), F.lit(2)) == 1).alias("opened")))
+    inside = F.pmod(F.coalesce(F.sum("quotes").over(before), F.lit(0)) + F.col("opened").cast("int"), F.lit(2)) == 1
+    known = materialise(lines.join(opened, ["place_file", "place_start"]).withColumn("inside", inside))
+    odd = F.pmod("quotes", F.lit(2)) == 1
+    single = known.where(~F.col("inside") & ~odd).select(F.col("value").alias("record"), *_PLACE)
+    # the first line of a longer record, in this block or the last one before that has any
+    first = F.when(~F.col("inside") & odd, F.struct("place_start", "place_row"))
+    last = _counted_blocks(known.withColumn("first", first), F.max("first").alias("last"))
+    carried = last.select("place_file", "place_start", F.max("last").over(file.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    pieces = known.where(F.col("inside") | odd).join(carried, ["place_file", "place_start"]).withColumn("first", first)
+    pieces = pieces.withColumn("of", F.coalesce(F.max("first").over(block.rowsBetween(Window.unboundedPreceding, 0)), F.col("carried")))
+    joined = pieces.groupBy("place_file", "of").agg(F.array_sort(F.collect_list(F.struct("place_start", "place_row", "value", "quotes"))).alias("lines"))
+    even = F.pmod(F.aggregate("lines", F.lit(0), lambda n, x: n + x["quotes"]), F.lit(2)) == 0
+    record = F.when(even, F.array_join(F.transform("lines", lambda x: x["value"]), "\n")).otherwise(F.raise_error(F.concat(F.lit("a quote stays open in "), F.col("place_file"))))
+    return single.unionByName(joined.select(record.alias("record"), "place_file", F.col("of.place_start").alias("place_start"), F.col("of.place_row").alias("place_row")))
 
 
 def _need(df: DataFrame, columns: set[str], what: str) -> None:
@@ -33,21 +81,32 @@ def _need(df: DataFrame, columns: set[str], what: str) -> None:
         raise ValueError(f"{what}: expected columns {sorted(columns)}, got {df.columns}")
 
 
-def read_statements_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_statements_csv(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """``(sub, pred, obj, pos)`` of a CSV whose header is those names in any order; empty cells are empty strings.
 
-    Quoted cells may hold line breaks. Then a file can't be cut: each is one task, some 50 MB a second, so 10 GB in one file
-    take minutes. ``multi_line=False``, where no cell holds a line break, reads files in blocks.
+    Quoted cells may hold line breaks; a file of any size is read in blocks by many tasks (:func:`quoted_records`). ``whole``
+    leaves this to Spark's own reader, for which each file is one task.
     """
-    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
-    _need(raw, {"sub", "pred", "obj"}, path)
-    return _numbered(_with_place(raw.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("sub", "pred", "obj")], "_metadata")).drop("_metadata"))
-
-
-def read_triples_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    names = ("sub", "pred", "obj")
+    header = spark.read.csv(path, header=True, escape='"')
+    columns = [c.strip("\ufeff\r") for c in header.columns]
+    if set(columns) != set(names):
+        raise ValueError(f"{path}: expected columns {sorted(names)}, got {columns}")
+    if whole:
+        raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
+        return _numbered(_with_place(raw.select(*[F.coalesce(c, F.lit("")).alias(c) for c in names], "_metadata")).drop("_metadata"))
+    records = quoted_records(spark, path)
+    first = records.groupBy("place_file").agg(F.min(F.struct("place_start", "place_row")).alias("top"))
+    body = records.join(first, "place_file").where(F.struct("place_start", "place_row") != F.col("top")).where(F.rtrim("record") != "")
+    cells = F.from_csv(F.regexp_replace("record", "\r$", ""), ", ".join(f"`{c}` string" for c in columns), {"escape": '"'})
+    rows = body.select(cells.alias("cells"), *_PLACE).select(*[F.coalesce(F.col("cells")[c], F.lit("")).alias(c) for c in names], *_PLACE)
+    return _numbered(rows)
+
+
+def read_triples_csv(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """``(head, relation, tail, pos)`` of the same kind of file."""
     names = {"sub": "head", "pred": "relation", "obj": "tail"}
-    return read_statements_csv(spark, path, multi_line).withColumnsRenamed(names)
+    return read_statements_csv(spark, path, whole).withColumnsRenamed(names)
 
 
 def split_fields(lines: DataFrame, strict: bool = True) -> DataFrame:
