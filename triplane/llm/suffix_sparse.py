@@ -7,7 +7,7 @@ therefore goes on equally for 25 words at least in each copy. So:
 1. each kept suffix gets the hash of its first 25 words, and hashes of one document alone go;
 2. the suffixes that are left are told apart by their contexts, the 25 words before and 50 from them on; each distinct
    context stands for all its places, with the first and last document it is found in;
-3. the contexts are sorted in ranges by that hash and, within it, by the words that follow. Neighbours in this order are
+3. the contexts are dealt and sorted by that hash and, within it, by the words that follow. Neighbours in this order are
    compared word by word, which gives how far each goes on like the next; the same order of the words before them, read
    backwards, gives how far each goes back. Contexts that are alike for b words back and 50 - b words on, for any b from 0 to
    25, share a run of 50 words (:func:`matches`);
@@ -216,7 +216,8 @@ def matches(contexts: DataFrame) -> DataFrame:
         row, first = found["row"].to_numpy(), found["first"].to_numpy()
         return pd.DataFrame({"context": pdf["context"].to_numpy()[row], "last": last[first], "id": own[first], "behind": found["max"], "inside": found["min"]})
 
-    ordered = contexts.select("key", "context", "least", "most", "back", "words").repartitionByRange("key").sortWithinPartitions("key")
+    # keys are hashes: dealt by another hash, they need no sample for the bounds of ranges, and the texts are read once
+    ordered = contexts.select("key", "context", "least", "most", "back", "words").repartition("key").sortWithinPartitions("key")
     found = ordered.mapInPandas(run, "context long, last boolean, id long, behind int, inside int")
     return found.select("context", F.struct("last", "id").alias("kept_in"), "behind", "inside")
 
@@ -235,6 +236,17 @@ def crowded_matches(contexts: DataFrame) -> DataFrame:
 CROWD = 5000
 
 
+def _contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``(key, context, least, most, back, words)`` of each place, from one text that has it."""
+    wanted = places.groupBy("one.doc", "one.hash").agg(F.collect_list(F.struct("one.pos", "context", "key", "least", "most")).alias("places"))
+    # rows that repeat an id and a text list the same places
+    texts = docs.dropDuplicates(["doc", "hash"]) if _repeats(docs) else docs
+    met = texts.join(materialise(wanted).hint("merge"), ["doc", "hash"])
+    place = F.get("places", F.col("i"))
+    listed = met.select("places", F.inline(contexts_of(F.col("text"), F.col("places.pos"))))
+    return listed.select(*[place[c].alias(c) for c in ("key", "context", "least", "most")], "back", "words")
+
+
 def _stretches(docs: DataFrame) -> DataFrame:
     """``(doc_id, doc, hash, kept_in, first, last)``: stretches of words in a match, which may overlap, by the first document that has it."""
     hash_ = F.xxhash64("text")
@@ -244,26 +256,22 @@ def _stretches(docs: DataFrame) -> DataFrame:
     # rows without an id that repeat a text are documents too: the second stands next to the first
     twice = docs.where("doc_id IS NULL").groupBy("hash").count().where("count > 1").select(F.col("hash").alias("again"))
     kept = kept.join(F.broadcast(twice) if twice.limit(SLOTS + 1).count() <= SLOTS else twice, F.col("doc.last") & (F.col("hash") == F.col("again")), "left")
-    other = F.struct(F.col("doc.last").alias("last"), (F.col("doc.id") + F.when(F.col("again").isNotNull(), 1).otherwise(0)).alias("id"))
-    kept = materialise(kept.select("doc", other.alias("other"), "hash", "pos", "key", "context"))
-    keys = kept.groupBy("key").agg(F.min("doc").alias("least"), F.max("other").alias("most"))
+    kept = materialise(kept.select("doc", F.col("again").isNotNull().alias("twin"), "hash", "pos", "key", "context"))
+    other = F.struct(F.col("doc.last").alias("last"), (F.col("doc.id") + F.col("twin").cast("int")).alias("id"))
+    keys = kept.groupBy("key").agg(F.min("doc").alias("least"), F.max(other).alias("most"))
     # written first: Spark deals a crowded side of a join anew only where no sum shares its stage
     shared = materialise(keys.where("least != most").select("key"))
     near = materialise(kept.join(shared.hint("merge"), "key"))
-    places = near.groupBy("context").agg(F.min("doc").alias("least"), F.max("other").alias("most"), F.min(F.struct("doc", "hash", "pos")).alias("one"), F.first("key").alias("key"))
-    wanted = places.groupBy("one.doc", "one.hash").agg(F.collect_list(F.struct("one.pos", "context", "key", "least", "most")).alias("places"))
-    # rows that repeat an id and a text list the same places
-    met = docs.dropDuplicates(["doc", "hash"]).join(wanted.hint("merge"), ["doc", "hash"]) if _repeats(docs) else docs.join(wanted.hint("merge"), ["doc", "hash"])
-    place = F.get("places", F.col("i"))
-    listed = met.select("places", F.inline(contexts_of(F.col("text"), F.col("places.pos"))))
-    contexts = materialise(listed.select(*[place[c].alias(c) for c in ("key", "context", "least", "most")], "back", "words"))
-    crowds = materialise(contexts.groupBy("key").count().where(F.col("count") > CROWD).select("key"))
-    hits = matches(contexts.join(crowds.hint("merge"), "key", "left_anti") if crowds.limit(1).count() else contexts)
-    if crowds.limit(1).count():
-        hits = hits.unionByName(crowded_matches(contexts.join(crowds.hint("merge"), "key")))
+    places = near.groupBy("context").agg(F.min("doc").alias("least"), F.max(other).alias("most"), F.min(F.struct("doc", "hash", "pos")).alias("one"), F.first("key").alias("key"))
+    places = materialise(places)
+    crowds = materialise(places.groupBy("key").count().where(F.col("count") > CROWD).select("key"))
+    crowded = crowds.limit(1).count() > 0
+    hits = matches(_contexts(docs, places.join(crowds, "key", "left_anti") if crowded else places))
+    if crowded:
+        hits = hits.unionByName(crowded_matches(_contexts(docs, places.join(crowds, "key", "left_semi"))))
     found = near.join(materialise(hits).hint("merge"), "context")
     first, last = (F.col("pos") - F.col("behind")).cast("long"), (F.col("pos") - F.col("inside") + LENGTH).cast("long")
-    return found.select(F.when(~F.col("doc.last"), F.col("doc.id")).alias("doc_id"), "doc", "other", "hash", "kept_in", first.alias("first"), last.alias("last"))
+    return found.select(F.when(~F.col("doc.last"), F.col("doc.id")).alias("doc_id"), "doc", other.alias("other"), "hash", "kept_in", first.alias("first"), last.alias("last"))
 
 
 #: Hashes of repeated texts without an id that are broadcast at most.
