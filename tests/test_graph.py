@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from triplane.operators import ordinal, profile, rgcn, sample, store, strata, train, vocab
+from triplane.operators import ordinal, prior, profile, rgcn, sample, store, strata, train, vocab
 from triplane.operators import rank as R
 from triplane.operators.sums import summed_vectors
 from triplane.sources import readers, sinks
@@ -364,6 +364,40 @@ def test_quoted_line_breaks_over_blocks(spark, tmp_path, ends):
         readers.read_triples_csv(spark, str(tmp_path / "bad")).collect()
 
 
+@pytest.mark.parametrize("bits", [64, 3, 0])
+def test_indexed_triples_under_clashes(spark, bits):
+    """Fingerprints of few bits clash, and triples then meet by whole terms."""
+    rng = np.random.default_rng(2)
+    rows = [(f"e{a}", f"p{a % 3}", f"e{b}") for a, b in rng.integers(0, 40, (120, 2))]
+    t = triples(spark, rows)
+    e, r = vocab.entity_vocab(t), vocab.relation_vocab(t)
+    ids, names = ({x[0]: x.id for x in df.collect()} for df in (e, r))
+    few = lambda c: tuple(F.pmod(h, F.lit(1 << bits)) if bits < 64 else h for h in vocab.fingerprint(c))
+    got = vocab.index_triples(t, e, r, few).orderBy("pos").collect()
+    assert [tuple(x)[1:] for x in got] == [(ids[h], names[p], ids[w]) for h, p, w in rows]
+    with pytest.raises(Exception, match="no id"):
+        vocab.index_triples(t, e.where("id > 0"), r, few).collect()
+
+
+def test_sequences_are_encoded_once_and_by_length(spark):
+    lengths = np.array([1, 1, 2, 5, 5, 9, 40])
+    cuts = prior.batches_by_length(lengths, 10)
+    assert [lengths[c].tolist() for c in cuts] == [[1, 1, 2], [5, 5], [9], [40]]
+    df = spark.createDataFrame([("a" * n,) for n in (3, 500, 40, 41, 7, 5000)], "sequence string")
+    encoder = lambda texts: np.array([[len(x), len(texts) * max(map(len, texts))] for x in texts])
+    got = {len(r.sequence): r.vec for r in prior.encode(df, encoder, most=600).collect()}
+    assert all(v[0] == n and (v[1] <= 600 or n == 5000) for n, v in got.items()) and len(got) == 6
+
+    def never(texts):
+        raise AssertionError(f"encoded again: {texts}")
+
+    known = prior.encoded_by_hash(prior.encode(df, encoder, most=600))
+    assert prior.encode(df, never, known=known).count() == 6
+    more = df.unionByName(spark.createDataFrame([("b",)], "sequence string"))
+    again = prior.encode(more, lambda texts: np.zeros((len(texts), 2)), known=known).collect()
+    assert sorted(r.vec[0] for r in again) == [0, 3, 7, 40, 41, 500, 5000]
+
+
 def dense_graph(x, edges, encoder):
     """The encoder's output over whole arrays."""
     for i, w in enumerate(encoder.layers):

@@ -62,16 +62,49 @@ def distinct_sequences(of: DataFrame) -> DataFrame:
     return of.where("status = 'ok'").select(F.explode(F.array("heavy", "light")).alias("sequence")).distinct()
 
 
-def encode(sequences: DataFrame, encoder: Callable[[list[str]], np.ndarray], batch: int = 4) -> DataFrame:
-    """``(sequence, vec)``: each distinct sequence once, in batches; ``encoder`` gives one row per sequence."""
+#: Characters that a batch of sequences may have, filled up to its longest.
+BATCH = 4096
+
+
+def batches_by_length(lengths: np.ndarray, most: int = BATCH) -> list[slice]:
+    """Cuts of ascending lengths: each has as many sequences as fit when all are filled up to the longest, at least one."""
+    out, at = [], 0
+    while at < len(lengths):
+        end = at + 1
+        while end < len(lengths) and lengths[end] * (end + 1 - at) <= most:
+            end += 1
+        out.append(slice(at, end))
+        at = end
+    return out
+
+
+def encode(sequences: DataFrame, encoder: Callable[[list[str]], np.ndarray], most: int = BATCH, known: DataFrame | None = None) -> DataFrame:
+    """``(sequence, vec)``: each distinct sequence once; ``encoder`` gives one row per sequence of a batch.
+
+    Sequences are dealt into ranges of like length, and batches of a range are bounded by their filled-up size, so that little
+    is filled up and a long sequence is alone. ``known`` (hash, vec; see :func:`encoded_by_hash`) has the vectors of sequences
+    encoded before, which aren't encoded again.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
+            pdf = pdf.sort_values("n", kind="stable")
             texts = pdf["sequence"].tolist()
-            rows = [v for at in range(0, len(texts), batch) for v in np.asarray(encoder(texts[at : at + batch]), dtype=np.float32)]
+            rows = [v for own in batches_by_length(pdf["n"].to_numpy(), most) for v in np.asarray(encoder(texts[own]), dtype=np.float32)]
             yield pd.DataFrame({"sequence": texts, "vec": rows})
 
-    return sequences.select("sequence").mapInPandas(run, "sequence string, vec array<float>")
+    own = sequences.select("sequence", F.length("sequence").alias("n"), F.sha2("sequence", 256).alias("hash"))
+    found = None
+    if known is not None:
+        met = own.join(known.select("hash", F.col("vec").alias("old")), "hash", "left")
+        found, own = met.where("old IS NOT NULL").select("sequence", F.col("old").alias("vec")), met.where("old IS NULL")
+    fresh = own.select("sequence", "n").repartitionByRange("n", F.xxhash64("sequence")).mapInPandas(run, "sequence string, vec array<float>")
+    return fresh if found is None else found.unionByName(fresh)
+
+
+def encoded_by_hash(encoded: DataFrame) -> DataFrame:
+    """``(hash, vec)``: to be kept, for :func:`encode` to find what it has encoded before."""
+    return encoded.select(F.sha2("sequence", 256).alias("hash"), "vec")
 
 
 def pool(tokens: DataFrame, key: str, position: str = "at", length: str = "n") -> DataFrame:

@@ -5,12 +5,15 @@ Triples are ``(head, relation, tail, pos)``; ``pos`` is unique and ordered.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triplane.functions import config as C
 from triplane.functions import terms as T
 from triplane.operators.ordinal import dense_numbers
+from triplane.shared import materialise
 
 
 def mentions(triples: DataFrame, *keep: str) -> DataFrame:
@@ -31,16 +34,60 @@ def relation_vocab(triples: DataFrame) -> DataFrame:
     return first.select("relation", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("id"))
 
 
-def index_triples(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """``(pos, head_id, relation_id, tail_id)``; a term without an id raises when its row is computed."""
-    def need(column: str, term: str):
-        return F.coalesce(F.col(column), F.raise_error(F.concat(F.lit("no id: "), F.col(term))).cast("long"))
+def fingerprint(term: Column) -> tuple[Column, Column]:
+    """128 bits of a term, as two numbers."""
+    return F.xxhash64(term), F.xxhash64(F.lit(7), term)
+
+
+#: Fingerprints that several terms share, as rows of a broadcast at most.
+CLASHES = 1 << 20
 
-    heads = entities.select(F.col("entity").alias("head"), F.col("id").alias("h"))
-    tails = entities.select(F.col("entity").alias("tail"), F.col("id").alias("t"))
-    names = relations.select("relation", F.col("id").alias("r"))
-    joined = triples.join(names, "relation", "left").join(heads, "head", "left").join(tails, "tail", "left")
-    return joined.select("pos", need("h", "head").alias("head_id"), need("r", "relation").alias("relation_id"), need("t", "tail").alias("tail_id"))
+
+def index_triples(triples: DataFrame, entities: DataFrame, relations: DataFrame, of: Callable[[Column], tuple[Column, Column]] = fingerprint) -> DataFrame:
+    """``(pos, head_id, relation_id, tail_id)``; a term without an id raises when its row is computed.
+
+    Triples meet the dictionary by fingerprints of their terms, so that no term goes through a shuffle, only two numbers for
+    it. Fingerprints that several entities share are counted first; triples with one of these (normally none) meet by whole
+    terms.
+    """
+    named = triples.join(relations.select("relation", F.col("id").alias("r")), "relation", "left")
+    known = entities.select("entity", "id", *[c.alias(n) for c, n in zip(of(F.col("entity")), ("k1", "k2"), strict=True)])
+    clash = materialise(known.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"))
+    ends = {f"{end}{i + 1}": c for end, term in (("h", "head"), ("t", "tail")) for i, c in enumerate(of(F.col(term)))}
+    marked = named.withColumns(ends)
+    n = clash.limit(CLASHES + 1).count()
+    if not n:
+        return _numbers(marked.drop("head", "tail"), known)
+    few = F.broadcast(clash) if n <= CLASHES else clash
+    for end in ("h", "t"):
+        names = clash.columns
+        of_end = few.select(*[F.col(c).alias(f"{end}{c[1]}") for c in names], F.lit(True).alias(f"{end}_clash"))
+        marked = marked.join(of_end, [f"{end}1", f"{end}2"], "left")
+    twofold = F.coalesce("h_clash", F.lit(False)) | F.coalesce("t_clash", F.lit(False))
+    clean = _numbers(marked.where(~twofold).drop("head", "tail", "h_clash", "t_clash"), known)
+    return clean.unionByName(_numbers_by_term(marked.where(twofold).select("pos", "head", "r", "tail"), entities))
+
+
+def _need(column: str, what: str) -> Column:
+    return F.coalesce(F.col(column), F.raise_error(F.concat(F.lit(f"no id: {what} of the triple at "), F.col("pos"))).cast("long"))
+
+
+def _ids(met: DataFrame) -> DataFrame:
+    return met.select("pos", _need("h", "head").alias("head_id"), _need("r", "relation").alias("relation_id"), _need("t", "tail").alias("tail_id"))
+
+
+def _numbers(triples: DataFrame, known: DataFrame) -> DataFrame:
+    """By fingerprints: pos, r, h1, h2, t1, t2."""
+    for end in ("h", "t"):
+        triples = triples.join(known.select(F.col("k1").alias(f"{end}1"), F.col("k2").alias(f"{end}2"), F.col("id").alias(end)), [f"{end}1", f"{end}2"], "left").drop(f"{end}1", f"{end}2")
+    return _ids(triples)
+
+
+def _numbers_by_term(triples: DataFrame, entities: DataFrame) -> DataFrame:
+    """By whole terms: pos, head, r, tail."""
+    for end, term in (("h", "head"), ("t", "tail")):
+        triples = triples.join(entities.select(F.col("entity").alias(term), F.col("id").alias(end)), term, "left")
+    return _ids(triples)
 
 
 def uri_only(triples: DataFrame) -> DataFrame:
