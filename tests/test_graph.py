@@ -254,6 +254,7 @@ def test_graph_layer_against_numpy(spark):
     assert all(np.allclose(got[i], want[i]) for i in range(5))
 
 
+@pytest.mark.slow
 def test_training_lowers_the_loss(spark):
     t = spark.range(60).select(F.col("id").alias("pos"), F.col("id").alias("head_id"), F.lit(0).cast("long").alias("relation_id"), ((F.col("id") + 1) % 60).alias("tail_id"))
     ids = spark.range(60)
@@ -305,6 +306,7 @@ def test_strata_hold_every_task_once_and_share_nothing(parts):
         assert len(blocks) == len(set(blocks)) and len({q for *_, q in s}) == len(s)
 
 
+@pytest.mark.slow
 def test_strata_equal_a_plain_loop(spark):
     """The same updates, one after the other: strata in order, tasks in any, triples by their turn."""
     n, parts = 24, 2
@@ -398,6 +400,23 @@ def test_sequences_are_encoded_once_and_by_length(spark):
     assert sorted(r.vec[0] for r in again) == [0, 3, 7, 40, 41, 500, 5000]
 
 
+@pytest.mark.parametrize("scorer", [R.squared_distance, R.city_distance])
+def test_ball_ranks_equal_ranks(spark, scorer):
+    """Clustered candidates with copies: the same counts, and few pairs scored."""
+    rng = np.random.default_rng(7)
+    middles = rng.integers(-60, 60, (8, 4))
+    x = np.concatenate([middles[rng.integers(0, 8, 200)] + rng.integers(-2, 3, (200, 4)), middles[:2]])
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<bigint>")
+    tests = spark.createDataFrame([(i, i % 3, (i * 7) % 202) for i in range(60)], "head_id long, relation_id long, tail_id long")
+    names = ["head_id", "relation_id", "tail_id", "better", "equal", "optimistic"]
+    relations = vectors.where("id < 3").withColumn("vec", F.transform("vec", lambda v: F.floor(v / 20)))
+    got = R.ball_ranks(tests, vectors, relations, scorer, n_balls=12, block=20, candidates=30)
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(map(tuple, R.ranks(tests, vectors, relations, scorer).select(*names).collect()))
+    assert got.agg(F.sum("scored")).first()[0] < 0.6 * 60 * 202
+    with pytest.raises(ValueError, match="distance"):
+        R.ball_ranks(tests, vectors, relations, R.dot_score)
+
+
 def dense_graph(x, edges, encoder):
     """The encoder's output over whole arrays."""
     for i, w in enumerate(encoder.layers):
@@ -443,6 +462,7 @@ def test_graph_gradients_against_differences(spark, kind, activation):
                 assert own[at] == pytest.approx(differs(w.parts[name], at), rel=1e-5, abs=1e-7), name
 
 
+@pytest.mark.slow
 @pytest.mark.parametrize("decoder", ["transe", "boxe"])
 def test_graph_training_lowers_the_loss(spark, decoder):
     t = ring(spark, 20, 2)
@@ -469,6 +489,7 @@ def ring(spark, n=60, relations=1):
     return spark.range(n).select(F.col("id").alias("pos"), F.col("id").alias("head_id"), F.pmod("id", F.lit(relations)).alias("relation_id"), ((F.col("id") + 1) % n).alias("tail_id"))
 
 
+@pytest.mark.slow
 def test_search_shares_jobs_and_drops_the_worse_half(spark):
     t = ring(spark)
     table = train.trials(spark, 4)
@@ -579,6 +600,7 @@ def dense(spark, t, optimizer, epochs, n_batches, rate, n=60):
     return e, r
 
 
+@pytest.mark.slow
 @pytest.mark.parametrize("optimizer", ["sgd", "adam"])
 def test_sparse_steps_equal_dense_ones(spark, optimizer):
     """Rows are written only when a batch touches them; momentum and normalisation reach the others when they are read."""

@@ -42,12 +42,13 @@ def transe_scores(triples: DataFrame, vectors: DataFrame, relations: DataFrame,
 class Scorer:
     """Scores [query, candidate] of one vector for each query, made from the two known ones.
 
-    ``translation``: h + r against t; then t - r against h and t - h against r are the same, and the second vector is negated.
+    ``squared``: scores are minus squares of distances. ``translation``: h + r against t; then t - r against h and t - h against r are the same, and the second vector is negated.
     """
 
     query: Callable[[np.ndarray, np.ndarray], np.ndarray]
     score: Callable[[np.ndarray, np.ndarray], np.ndarray]
     translation: bool = False
+    squared: bool = False
 
     def __call__(self, a: np.ndarray, b: np.ndarray, candidates: np.ndarray) -> np.ndarray:
         return self.score(self.query(a, b), candidates)
@@ -69,7 +70,7 @@ def _minus_city_blocks(q: np.ndarray, candidates: np.ndarray) -> np.ndarray:
 
 
 #: Minus the squared distance, expanded so that the work is one matrix product.
-squared_distance = Scorer(np.add, _minus_squares, translation=True)
+squared_distance = Scorer(np.add, _minus_squares, translation=True, squared=True)
 #: Minus the sum of absolute differences.
 city_distance = Scorer(np.add, _minus_city_blocks, translation=True)
 dot_score = Scorer(np.multiply, lambda q, candidates: q @ candidates.T)
@@ -179,6 +180,77 @@ def ranks(tests: DataFrame, vectors: DataFrame, relations: DataFrame, scorer: Sc
     return _of_tests(tests, counted(asked, ["q"], pool, ["vec"], lambda q, c: scorer.score(q[0], c[0]), block, candidates))
 
 
+#: Candidates that centres of balls are drawn from.
+DRAWN = 10_000
+
+
+def balls(pool: DataFrame, scorer: Scorer, n: int) -> tuple[np.ndarray, DataFrame]:
+    """Centres (drawn from the candidates, the least by hash), and ``pool`` with its nearest centre, ``ball``, and the distance, ``far``."""
+    rows = pool.select("vec", F.xxhash64(F.lit(17), "id").alias("draw")).orderBy("draw").limit(min(n, DRAWN)).select("vec").collect()
+    centres = np.array([r["vec"] for r in rows], dtype=np.float64)
+
+    def nearest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            if len(pdf):
+                d = _distances(scorer, _stacked(pdf, ["vec"])[0], centres)
+                yield pdf.assign(ball=d.argmin(axis=1), far=d.min(axis=1))
+
+    return centres, pool.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInPandas(nearest, "id long, vec array<double>, ball int, far double")
+
+
+def _distances(scorer: Scorer, q: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+    d = np.maximum(-scorer.score(q, candidates), 0.0)
+    return np.sqrt(d) if scorer.squared else d
+
+
+def ball_ranks(tests: DataFrame, vectors: DataFrame, relations: DataFrame, scorer: Scorer = squared_distance, n_balls: int = 256, block: int = BLOCK, candidates: int = CANDIDATES) -> DataFrame:
+    """Tail ranks like :func:`ranks`, and ``scored``: how many candidates had to be scored for the row.
+
+    Candidates lie in balls around their nearest centre. By the triangle inequality a ball may be wholly nearer than the true
+    tail, and then counts unscored, or wholly farther, and then doesn't; only balls that the true tail's distance cuts are
+    scored, one by one. Balls are a bounded table. For distances only (``scorer.translation``).
+    """
+    if not scorer.translation:
+        raise ValueError("balls need a distance")
+    asked = materialise(_questions(tests, vectors, relations, "tail", scorer))
+    centres, placed = balls(vectors, scorer, n_balls)
+    placed = materialise(placed)
+    known = placed.groupBy("ball").agg(F.max("far").alias("radius"), F.count("*").alias("n")).toPandas()
+    ball, radius, size = (known[c].to_numpy() for c in ("ball", "radius", "n"))
+
+    def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            if not len(pdf):
+                continue
+            d = _distances(scorer, _stacked(pdf, ["q"])[0], centres[ball])
+            own = np.maximum(-pdf["own"].to_numpy(), 0.0)
+            own = (np.sqrt(own) if scorer.squared else own)[:, None]
+            slack = 1e-6 * (1 + own + d + radius)  # distances are rounded
+            nearer, farther = d + radius < own - slack, d - radius > own + slack
+            cut = ~nearer & ~farther
+            yield pdf.assign(sure=(nearer * size).sum(axis=1), scored=(cut * size).sum(axis=1), balls=[ball[row] for row in cut])
+
+    asked = materialise(asked.mapInPandas(split, "row long, sought long, q array<double>, own double, sure long, scored long, balls array<int>"))
+    visits = asked.select("row", "sought", "q", "own", F.explode("balls").alias("ball"))
+    dealt = placed.groupBy("ball").agg(F.ceil(F.count("*") / candidates).cast("int").alias("parts")).join(visits.groupBy("ball").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "ball")
+    dealt = F.broadcast(materialise(dealt))  # one row per ball
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = visits.join(dealt, "ball").select("ball", F.pmod(F.xxhash64(F.lit(1), "row"), F.col("blocks")).cast("int").alias("i"), every("parts").alias("j"), "row", "sought", "q", "own")
+    right = placed.join(dealt, "ball").select("ball", every("blocks").alias("i"), F.pmod(F.xxhash64(F.lit(2), "id"), F.col("parts")).cast("int").alias("j"), "id", "vec")
+
+    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("row", "better", "equal")})
+        s = scorer.score(_stacked(left, ["q"])[0], _stacked(right, ["vec"])[0])
+        own, other = left["own"].to_numpy()[:, None], right["id"].to_numpy()[None] != left["sought"].to_numpy()[:, None]
+        return pd.DataFrame({"row": left["row"].to_numpy(), "better": ((s > own) & other).sum(axis=1), "equal": ((s == own) & other).sum(axis=1)})
+
+    cells = left.groupBy("ball", "i", "j").cogroup(right.groupBy("ball", "i", "j")).applyInPandas(cell, "row long, better long, equal long")
+    counts = cells.groupBy("row").agg(F.sum("better").alias("more"), F.sum("equal").alias("equal"))
+    total = asked.select("row", "sure", "scored").join(counts, "row", "left")
+    return _of_tests(tests, total.select("row", (F.col("sure") + F.coalesce("more", F.lit(0))).alias("better"), F.coalesce("equal", F.lit(0)).alias("equal"), "scored"))
+
+
 def with_ranks(counts: DataFrame) -> DataFrame:
     return counts.withColumns({"optimistic": F.col("better") + 1, "realistic": F.col("better") + 1 + F.col("equal") / 2})
 

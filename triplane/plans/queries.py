@@ -556,6 +556,12 @@ def tail_rank_generic(spark, sf):
     return R.ranks(*_tests(spark, sf), scorer=R.dot_score).select("head_id", "relation_id", "tail_id", "optimistic")
 
 
+@query(f"WITH {_RANKED} SELECT head_id, relation_id, tail_id, better, equal FROM ranked")
+def tail_rank_balls(spark, sf):
+    """The same ranks, with balls of candidates counted whole where the true tail's distance doesn't cut them."""
+    return R.ball_ranks(*_tests(spark, sf), n_balls=64).select("head_id", "relation_id", "tail_id", "better", "equal")
+
+
 _CITY = lambda a, b: f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: abs({a}[i] - {b}[i])))::BIGINT"
 
 
