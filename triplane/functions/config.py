@@ -35,6 +35,8 @@ GENERIC_CATEGORIES = (
     "Phase", "NumericId", "Conjugate", "Fused", "ExpressionSystem", "ConstructLabels", "SegmentLabels", "ChainLabels",
     "ReceptorType", "ReceptorFormat",
 )
+
+# Types that are no category.
 NO_CATEGORY = ("Class", "NamedIndividual")
 
 # Parts of words that name a disease.
@@ -60,8 +62,10 @@ GUIDANCE = (
     ("Phase", "categorical", "small learned categorical embeddings", "no heavy prior needed"),
     ("NumericId", "categorical", "treat as identifier nodes unless linked metadata is available", "plain learned embeddings are usually sufficient"),
 )
+# The same for all others.
 DEFAULT_GUIDANCE = ("text_or_learned", "use label/definition text if available; otherwise learn the embedding in the KG model", "single projection into the KG latent space")
 
+# The pattern of a URI, names of relations, and patterns of a family's members and the links of their sequences.
 URI = "^[a-zA-Z][a-zA-Z0-9+.-]*://"
 INDICATION_RELATIONS = ("imgt:hasClinicalIndication", "imgt:isClinicalIndicationOf")
 MEMBER, LINK_RELATION, LINK_TARGET = "^imgt:mAb_(\\d+)$", "imgt:isLinkedToStructureAccessNumb", "^imgt:(\\d+)$"
