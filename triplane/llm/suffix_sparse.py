@@ -123,7 +123,7 @@ def anchors(text: Column) -> Column:
 
 
 def contexts_of(text: Column, places: Column) -> Column:
-    """Words around each of the places: its index, how many stand before it, and the hashes of the words."""
+    """Words around each of the places: its index, how many stand before it, and the hashes of these and of what follows its first :data:`AHEAD` words, which its key stands for."""
     kind = pa.list_(pa.struct([("i", pa.int32()), ("back", pa.int32()), ("words", pa.list_(pa.int64()))]))
 
     @F.arrow_udf("array<struct<i:int,back:int,words:array<bigint>>>")
@@ -135,7 +135,7 @@ def contexts_of(text: Column, places: Column) -> Column:
                 own = []
                 for i, at in enumerate(p.values.to_pylist()):
                     first = max(0, at - WINDOW + 1)
-                    own.append({"i": i, "back": at - first, "words": h[first : at + LENGTH]})
+                    own.append({"i": i, "back": at - first, "words": np.concatenate([h[first:at], h[at + AHEAD : at + LENGTH]])})
                 out.append(own)
             yield pa.array(out, type=kind)
 
@@ -163,8 +163,11 @@ def _alike(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
 
 
 def shared_runs(key: np.ndarray, back: np.ndarray, words: list[np.ndarray], least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(context, back, least)`` of each run of :data:`LENGTH` words that two documents have: sort, compare neighbours, extend both ways."""
-    n, behind, ahead = len(key), WINDOW - 1, LENGTH
+    """``(context, back, least)`` of each run of :data:`LENGTH` words that two documents have: sort, compare neighbours, extend both ways.
+
+    Rows of one key have their first :data:`AHEAD` words in common; ``words`` are those before and those after them.
+    """
+    n, behind, ahead = len(key), WINDOW - 1, LENGTH - AHEAD
     left, right = np.zeros((n, behind), dtype=np.int64), np.zeros((n, ahead), dtype=np.int64)
     long = np.array([len(w) for w in words]) - back
     for i, (w, b) in enumerate(zip(words, back, strict=True)):
@@ -173,10 +176,10 @@ def shared_runs(key: np.ndarray, back: np.ndarray, words: list[np.ndarray], leas
     forward, backward = _neighbours(right, key, long), _neighbours(left, key, back)
     rows, shifts, firsts = [], [], []
     for b in range(WINDOW):
-        whole = np.flatnonzero((back >= b) & (long >= LENGTH - b))
+        whole = np.flatnonzero((back >= b) & (long >= ahead - b))
         if not len(whole):
             continue
-        both = np.stack([_alike(*forward, LENGTH - b)[whole], _alike(*backward, b)[whole]], axis=1)
+        both = np.stack([_alike(*forward, ahead - b)[whole], _alike(*backward, b)[whole]], axis=1)
         run = np.unique(both, axis=0, return_inverse=True)[1].ravel()
         first, last = np.full(run.max() + 1, np.iinfo(np.int64).max), np.full(run.max() + 1, -1)
         np.minimum.at(first, run, least[whole])
@@ -224,9 +227,10 @@ def matches(contexts: DataFrame) -> DataFrame:
 
 def crowded_matches(contexts: DataFrame) -> DataFrame:
     """The same for contexts of hashes that very many share: each run is found by a hash of its own."""
-    shift = F.explode(F.sequence(F.greatest(F.lit(0), LENGTH - (F.size("words") - F.col("back"))), F.least("back", F.lit(WINDOW - 1)))).alias("shift")
-    fit = contexts.where(F.size("words") >= LENGTH).select("context", "least", "most", "back", "words", shift)
-    runs = materialise(fit.select("context", "least", "most", "shift", F.xxhash64(F.slice("words", F.col("back") - F.col("shift") + 1, LENGTH)).alias("run")))
+    around = LENGTH - AHEAD  # words of a run besides those of the key
+    shift = F.explode(F.sequence(F.greatest(F.lit(0), around - (F.size("words") - F.col("back"))), F.least("back", F.lit(WINDOW - 1)))).alias("shift")
+    fit = contexts.where(F.size("words") >= around).select("key", "context", "least", "most", "back", "words", shift)
+    runs = materialise(fit.select("context", "least", "most", "shift", F.xxhash64("key", "shift", F.slice("words", F.col("back") - F.col("shift") + 1, around)).alias("run")))
     common = runs.groupBy("run").agg(F.min("least").alias("kept_in"), F.max("most").alias("to")).where("kept_in != to").select("run", "kept_in")
     hits = runs.join(materialise(common).hint("merge"), "run").groupBy("context", "kept_in").agg(F.max("shift").alias("behind"), F.min("shift").alias("inside"))
     return hits.select("context", "kept_in", "behind", "inside")
