@@ -20,6 +20,45 @@ def test_round_trip_of_many_at_once():
     assert [M._encode_slice([p])[0] for p in AWKWARD] == streams  # neighbours don't matter
 
 
+def test_runs_of_frames_make_the_same_streams(monkeypatch):
+    streams, features = M._encode_slice(AWKWARD), [M.feature(p) for p in AWKWARD]
+    whole = M._decode_slice(streams)
+    monkeypatch.setattr(M, "SLICE", 2 * M.BLOCK)
+    monkeypatch.setattr(M, "DECODE_SLICE", 3 * M.BLOCK)
+    assert M._encode_slice(AWKWARD) == streams and [M.feature(p) for p in AWKWARD] == features
+    for (pcm, table), (pcm_in_runs, table_in_runs) in zip(whole, M._decode_slice(streams), strict=True):
+        assert pcm == pcm_in_runs and table.tolist() == table_in_runs.tolist()
+
+
+def test_seek_points_in_a_wrong_order_are_noticed():
+    (stream,) = M._encode_slice([random.Random(6).randbytes(4 * M.BLOCK)])
+    for point in range(4):
+        for bit in (0, 30, 63):
+            bad = bytearray(stream)
+            bad[46 + 18 * point + 8 + bit // 8] ^= 1 << bit % 8
+            with pytest.raises(M.CorruptMedia):
+                M._decode_slice([bytes(bad)])
+
+
+def test_a_long_payload_takes_a_few_copies_of_itself():
+    """Peak memory, against that of a payload of one run."""
+    code = """
+import random, resource, sys
+from triplane.llm import flac_media as M
+def both(n):
+    p = random.Random(5).randbytes(1 << 16) * (n >> 17) + b"many words of a text " * ((n >> 1) // 21)
+    ((back, _),) = M._decode_slice(M._encode_slice([p]))
+    assert back == p and M.feature(p)
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10
+print(both(1 << 20), both(24 << 20))
+"""
+    import subprocess
+    import sys
+
+    short, long = map(int, subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True, timeout=300).stdout.split())
+    assert long - short < 8 * 24
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.binary(max_size=300), max_size=5))
 def test_any_bytes(payloads):

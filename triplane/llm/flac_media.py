@@ -6,9 +6,11 @@ subframes, Rice-coded residuals, a CRC-8 for each header and a CRC-16 for each f
 checksum, decodes the Rice residuals and runs the linear predictors, and returns the PCM with the sample and byte
 offset of each block, so that any block can be sought.
 
-Frames do not depend on each other, and the seek table says where each begins. So both directions work on all frames
-of a slice of an Arrow batch at once: the encoder over flat arrays, the decoder in step, sample by sample over frames
-of falling length. A slice holds about :data:`SLICE` samples (or one longer document), :data:`DECODE_SLICE` to decode, which bounds memory.
+Frames do not depend on each other, and the seek table says where each begins. So both directions work on the frames of
+a run at once: the encoder over flat arrays, the decoder in step, sample by sample over frames of falling length. A run
+holds less than twice :data:`SLICE` samples, :data:`DECODE_SLICE` to decode: frames of many short payloads, or some of a
+long one, whose MD5 and seek table are put together at its end. So a payload of any length takes a few copies of itself
+and one run.
 
 Both are Arrow functions of one column: other columns pass untouched, whatever their names. Null media decode to null;
 null payloads encode like empty ones, a stream of no frames. Equal payloads have equal streams.
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 4096
-SLICE = 1 << 19
+#: Samples of a run: whole blocks.
+SLICE = 128 * BLOCK
 #: The decoder gains from more frames in step, and needs less for each sample.
 DECODE_SLICE = 1 << 20
 RATE = 8000
@@ -89,7 +92,7 @@ def _utf8_number(n: int) -> bytes:
     return bytes([lead | n >> (6 * extra), *(0x80 | n >> (6 * i) & 0x3F for i in reversed(range(extra)))])
 
 
-@cache
+@lru_cache(1 << 16)
 def _frame_header(number: int, size: int) -> bytes:
     # sync and fixed block size; size in 16 bits, rate as in STREAMINFO; mono, 8 bits a sample
     head = b"\xff\xf8\x70\x02" + _utf8_number(number) + (size - 1).to_bytes(2, "big")
@@ -127,17 +130,16 @@ def _lpc(x: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.nda
     return np.clip(np.rint(a.T * (1 << shift)[:, None]), -limit - 1, limit).astype(np.int64), shift
 
 
-def _encode_slice(payloads: list[bytes]) -> list[bytes]:
-    sizes = np.array([len(p) for p in payloads], dtype=np.int64)
-    if not sizes.sum():
-        return [_stream_header(hashlib.md5(b"").digest(), 0, sizes[:0], sizes[:0], 0) for _ in payloads]
-    x = np.frombuffer(b"".join(payloads), dtype=np.uint8).astype(np.int32) - 128
-    signed = x.astype(np.int8)
+def _frames(pieces: list[bytes], begin: list[int]) -> list[tuple[bytes, np.ndarray]]:
+    """The coded frames of each piece, which is not empty and begins with frame ``begin`` of its stream, and their sizes."""
+    sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+    x = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.int32) - 128
     counts = -(-sizes // BLOCK)
-    of = np.repeat(np.arange(len(payloads)), counts)
+    of = np.repeat(np.arange(len(pieces)), counts)
     first_of = np.cumsum(counts) - counts
-    number = np.arange(len(of)) - first_of[of]
-    lengths = np.minimum(BLOCK, sizes[of] - number * BLOCK)
+    inside = np.arange(len(of)) - first_of[of]
+    number = inside + np.array(begin, dtype=np.int64)[of]
+    lengths = np.minimum(BLOCK, sizes[of] - inside * BLOCK)
     starts = np.cumsum(lengths) - lengths
     n = len(x)
     at = np.arange(n, dtype=np.int32) - np.repeat(starts, lengths).astype(np.int32)
@@ -238,15 +240,26 @@ def _encode_slice(payloads: list[bytes]) -> list[bytes]:
     check = crc16(data, frame_start, frame_start + frame_size - 2)
     data[frame_start + frame_size - 2], data[frame_start + frame_size - 1] = check >> 8, check & 0xFF
 
-    streams, begun = [], np.cumsum(sizes) - sizes
-    for i, size in enumerate(sizes):
-        a, b = first_of[i], first_of[i] + counts[i]
-        md5 = hashlib.md5(signed[begun[i] : begun[i] + size]).digest()
-        if a == b:
-            streams.append(_stream_header(md5, 0, sizes[:0], sizes[:0], 0))
-            continue
-        head = _stream_header(md5, b - a, frame_size[a:b], frame_start[a:b] - frame_start[a], int(size))
-        streams.append(head + data[frame_start[a] : frame_start[b - 1] + frame_size[b - 1]].tobytes())
+    ends = np.append(frame_start, len(data))[first_of + counts]
+    return [(data[frame_start[i] : j].tobytes(), frame_size[i : i + c]) for i, j, c in zip(first_of, ends, counts, strict=True)]
+
+
+def _encode_slice(payloads: list[bytes]) -> list[bytes]:
+    """The stream of each payload; pieces of :data:`SLICE` samples at most are coded, in runs."""
+    coded: list[list[tuple[bytes, np.ndarray]]] = [[] for _ in payloads]
+    pieces = ((i, at) for i, p in enumerate(payloads) for at in range(0, len(p), SLICE))
+    for run in _slices(pieces, lambda piece: min(SLICE, len(payloads[piece[0]]) - piece[1]), SLICE):
+        own = [payloads[i][at : at + SLICE] for i, at in run]
+        for (i, _), frames in zip(run, _frames(own, [at // BLOCK for _, at in run]), strict=True):
+            coded[i].append(frames)
+    streams = []
+    for p, frames in zip(payloads, coded, strict=True):
+        md5 = hashlib.md5()
+        for at in range(0, len(p), SLICE):
+            md5.update(np.frombuffer(p, dtype=np.uint8, count=min(SLICE, len(p) - at), offset=at) ^ 128)
+        sizes = np.concatenate([np.zeros(0, np.int64), *(size for _, size in frames)])
+        head = _stream_header(md5.digest(), len(sizes), sizes, np.cumsum(sizes) - sizes, len(p))
+        streams.append(b"".join([head, *(data for data, _ in frames)]))
     return streams
 
 
@@ -381,40 +394,61 @@ def _predicted(bits: _Bits, pos: np.ndarray, kind: np.ndarray, length: np.ndarra
     return s[reach:]
 
 
+def _opened(s: bytes) -> tuple[np.ndarray, bytes, np.ndarray]:
+    """Seek points (first sample, byte offset from the first frame, samples) and MD5 of a stream, and where its frames begin and the last ends."""
+    _need(s[:4] == b"fLaC" and len(s) >= 42, "no FLAC marker")
+    at, last, table, info = 4, False, np.zeros((0, 3), dtype=np.int64), None
+    while not last:
+        _need(at + 4 <= len(s), "a metadata block is cut short")
+        last, kind, size = s[at] >> 7, s[at] & 127, int.from_bytes(s[at + 1 : at + 4], "big")
+        part = s[at + 4 : at + 4 + size]
+        _need(len(part) == size, "a metadata block is cut short")
+        if kind == 0:
+            info = part
+        elif kind == 3:
+            t = np.frombuffer(part, dtype=[("s", ">u8"), ("o", ">u8"), ("n", ">u2")])
+            table = np.stack([t["s"], t["o"], t["n"]], axis=1).astype(np.int64)
+        at += 4 + size
+    _need(info is not None, "no STREAMINFO")
+    packed = int.from_bytes(info[10:18], "big")
+    _need(packed >> 41 & 7 == 0 and packed >> 36 & 31 == 7, "only 8-bit mono is supported")
+    _need(table[:, 2].sum() == packed & (1 << 36) - 1, "the seek table doesn't cover all samples")
+    bounds = np.append(at + table[:, 1], len(s))
+    _need(not len(table) or (bounds[0] >= at and (np.diff(bounds) > 2).all()), "seek points are out of order")
+    return table, info[18:34], bounds
+
+
 def _decode_slice(streams: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
-    """PCM and the seek points (first sample, byte offset from the first frame, samples) of each stream."""
-    tables, totals, md5s, frames_at, ends = [], [], [], [], []
-    base = 0
-    for s in streams:
-        _need(s[:4] == b"fLaC" and len(s) >= 42, "no FLAC marker")
-        at, last, table, info = 4, False, np.zeros((0, 3), dtype=np.int64), None
-        while not last:
-            last, kind, size = s[at] >> 7, s[at] & 127, int.from_bytes(s[at + 1 : at + 4], "big")
-            part = s[at + 4 : at + 4 + size]
-            _need(len(part) == size, "a metadata block is cut short")
-            if kind == 0:
-                info = part
-            elif kind == 3:
-                t = np.frombuffer(part, dtype=[("s", ">u8"), ("o", ">u8"), ("n", ">u2")])
-                table = np.stack([t["s"], t["o"], t["n"]], axis=1).astype(np.int64)
-            at += 4 + size
-        _need(info is not None, "no STREAMINFO")
-        packed = int.from_bytes(info[10:18], "big")
-        _need(packed >> 41 & 7 == 0 and packed >> 36 & 31 == 7, "only 8-bit mono is supported")
-        totals.append(packed & (1 << 36) - 1)
-        _need(table[:, 2].sum() == totals[-1], "the seek table doesn't cover all samples")
-        md5s.append(info[18:34])
-        tables.append(table)
-        frames_at.append(base + at + table[:, 1])
-        ends.append(np.append(base + at + table[1:, 1], base + len(s))[: len(table)])
-        base += len(s)
-    data = np.frombuffer(b"".join(streams), dtype=np.uint8)
-    start, end = np.concatenate(frames_at), np.concatenate(ends)
-    number = np.concatenate([np.arange(len(t)) for t in tables])
-    length = np.concatenate([t[:, 2] for t in tables])
-    if not len(start):
-        return [(b"", t) for t in tables]
-    _need((start < end).all() and end.max() <= len(data), "seek points are out of order")
+    """PCM and the seek points of each stream; pieces of about :data:`DECODE_SLICE` samples are decoded, in runs."""
+    opened = [_opened(s) for s in streams]
+    pieces = []
+    for i, (table, _, _) in enumerate(opened):
+        part = (np.cumsum(table[:, 2]) - table[:, 2]) // DECODE_SLICE
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(table)]
+        pieces += [(i, lo, hi) for lo, hi in zip(edges, edges[1:], strict=False) if lo < hi]
+    read: list[list[bytes]] = [[] for _ in streams]
+    for run in _slices(pieces, lambda p: int(opened[p[0]][0][p[1] : p[2], 2].sum()), DECODE_SLICE):
+        cut = [(streams[i], opened[i][2][lo : hi + 1], lo, opened[i][0][lo:hi, 2]) for i, lo, hi in run]
+        for (i, _, _), pcm in zip(run, _samples_of(cut), strict=True):
+            read[i].append(pcm)
+    result = []
+    for (table, given, _), parts in zip(opened, read, strict=True):
+        md5 = hashlib.md5()
+        for part in parts:
+            md5.update(np.frombuffer(part, dtype=np.uint8) ^ 128)
+        _need(md5.digest() == given, "MD5 of the samples")
+        result.append((b"".join(parts), table))
+    return result
+
+
+def _samples_of(pieces: list[tuple[bytes, np.ndarray, int, np.ndarray]]) -> list[bytes]:
+    """PCM of each piece: its stream, the bounds of its frames there, the number of the first one, and their samples."""
+    data = np.frombuffer(b"".join(s[bounds[0] : bounds[-1]] for s, bounds, _, _ in pieces), dtype=np.uint8)
+    begun = np.cumsum([0, *(b[-1] - b[0] for _, b, _, _ in pieces[:-1])])
+    start = np.concatenate([b[:-1] - b[0] + at for (_, b, _, _), at in zip(pieces, begun, strict=True)])
+    end = np.concatenate([b[1:] - b[0] + at for (_, b, _, _), at in zip(pieces, begun, strict=True)])
+    number = np.concatenate([first + np.arange(len(own)) for _, _, first, own in pieces])
+    length = np.concatenate([own for _, _, _, own in pieces])
     given = data[end - 2].astype(np.uint16) << 8 | data[end - 1]
     _need((crc16(data, start, end - 2) == given).all(), "CRC-16 of a frame")
     head_size = np.empty(len(start), dtype=np.int64)
@@ -442,17 +476,14 @@ def _decode_slice(streams: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
     back = np.empty(n, dtype=np.int64)
     back[order] = np.arange(n)
     result, f = [], 0
-    for table, total, md5 in zip(tables, totals, md5s, strict=True):
-        rows = back[f : f + len(table)]
-        f += len(table)
-        whole_pcm = np.concatenate([pcm[r, :size] for r, size in zip(rows, table[:, 2], strict=True)]) if len(table) else np.zeros(0, np.uint8)
-        _need(len(whole_pcm) == total, "samples are missing")
-        _need(hashlib.md5(whole_pcm ^ 128).digest() == md5, "MD5 of the samples")
-        result.append((whole_pcm.tobytes(), table))
+    for _, _, _, own in pieces:
+        rows = back[f : f + len(own)]
+        f += len(own)
+        result.append(b"".join(pcm[r, :size].tobytes() for r, size in zip(rows, own, strict=True)))
     return result
 
 
-def _slices(values: Iterable[bytes | None], weight, most: int) -> Iterator[list[bytes | None]]:
+def _slices(values: Iterable, weight, most: int) -> Iterator[list]:
     """Runs of values of about ``most`` samples."""
     own, size = [], 0
     for v in values:
@@ -489,10 +520,15 @@ DECODED = pa.struct(
 
 def feature(pcm: bytes) -> str:
     """Samples, mean and mean square around the middle of the range, and crossings of it, exact up to six digits."""
-    x = np.frombuffer(pcm, dtype=np.uint8).astype(np.int64) - 128
-    n = max(1, len(x))
-    crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
-    return f"n={len(x)};mean={x.sum() / n:.6f};power={(x * x).sum() / n:.6f};crossings={crossings}"
+    total = squares = crossings = 0
+    for at in range(0, len(pcm), SLICE):
+        # a crossing belongs to the part that its first sample is in
+        x = np.frombuffer(pcm, dtype=np.uint8, count=min(SLICE + 1, len(pcm) - at), offset=at).astype(np.int64) - 128
+        total += int(x[:SLICE].sum())
+        squares += int((x[:SLICE] * x[:SLICE]).sum())
+        crossings += int(((x[1:] < 0) != (x[:-1] < 0)).sum())
+    n = max(1, len(pcm))
+    return f"n={len(pcm)};mean={total / n:.6f};power={squares / n:.6f};crossings={crossings}"
 
 
 def _samples(stream: bytes | None) -> int:
