@@ -185,6 +185,38 @@ def test_tries_follow_the_number_of_texts():
         assert (1 - met) ** count <= S.MISSED and 2**width >= n
 
 
+def test_entries_grow_evenly_with_the_number_of_texts():
+    """No size at which the work of an entry's trie jumps; pairs of just 0.8 meet at any."""
+    p, before = S.bit_share(0.8), None
+    for k in range(10, 34):
+        n = 2**k + 1
+        exact = S.exact_bits(n, 8 * S.LIMIT)
+        width, count = S.tries(n, 0.8, exact=exact)
+        rest = width - exact
+        met = (1 - p) ** exact * ((1 - p) ** rest + rest * p * (1 - p) ** (rest - 1) + rest * (rest - 1) / 2 * p**2 * (1 - p) ** (rest - 2))
+        assert (1 - met) ** count <= S.MISSED and n >> exact <= 4 * S.LIMIT
+        assert before is None or count <= 1.25 * before
+        before = count
+
+
+@pytest.mark.parametrize("exact", [0, 1, 5])
+def test_links_with_equal_first_bits(spark, exact):
+    words = near_words(9, 200)
+    signed = [w - (1 << 64) if w >> 63 else w for w in words]
+    entries = spark.createDataFrame([(t, w, w) for w in signed for t in (0, 1)], "tbl int, node long, word long")
+    found = components(S.links(entries, 64, 2, len(signed), limit=30, exact=exact), "a", "b")
+    root = {r.node % (1 << 64): r.root for r in found.collect()}
+    label = np.arange(len(words))
+    for i in range(len(words)):
+        for j in range(i):
+            if (words[i] ^ words[j]).bit_count() <= 2 and (words[i] ^ words[j]) >> (64 - exact) == 0:
+                label[label == label[i]] = label[j]
+    for i in range(len(words)):
+        for j in range(i):
+            a, b = root.get(words[i]), root.get(words[j])
+            assert (a is not None and a == b) == (label[i] == label[j])
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(500, 600), (600, 700), (7000, 7000), (None, 3)]
     got = {(x.node, x.root) for x in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}

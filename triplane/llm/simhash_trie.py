@@ -14,7 +14,9 @@ found, never all pairs. Components over the forests of all tasks are those over
 ``similar`` links texts by the exact Jaccard similarity of their distinct shingles. Its candidates come from the same join:
 the SimHash of a set is cut into tries (:func:`tries`), as many as let no more than one pair in 10,000 of the asked
 similarity go by, and pairs that meet in one have their first 256 bits compared, with a bound five standard errors above
-what such pairs differ in. Within each component of candidates all pairs that no chain of links connects yet are compared
+what such pairs differ in. Its tries are dealt out otherwise: the subtries below their first bits are tasks, which the words
+of a pair have to share; each doubling of the texts takes one bit more, and a tenth to a fifth more tries make up for it,
+at any size alike. Within each component of candidates all pairs that no chain of links connects yet are compared
 exactly, in blocks. (Of texts of eight words against nine, whose few shingles make SimHash coarse, 1 pair in 100 is lost.)
 
 Nulls count as empty texts; a text without words has the fingerprint zero, and an empty set of shingles. Copies share a
@@ -189,8 +191,8 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def links(entries: DataFrame, width: int, budget: int, nodes: int, most: int | None = None, limit: int = LIMIT) -> DataFrame:
-    """A spanning forest ``(a, b)`` of the nodes whose words are within the budget.
+def links(entries: DataFrame, width: int, budget: int, nodes: int, most: int | None = None, limit: int = LIMIT, exact: int | None = None) -> DataFrame:
+    """A spanning forest ``(a, b)`` of the nodes whose words are within the budget, and equal in their first ``exact`` bits if these are given.
 
     ``entries``: ``tbl`` (int, one trie each), ``node`` (long), ``word`` (long, its first ``width`` bits from the top
     count), and, if ``most`` is given, ``s0`` to ``s3`` (long): pairs that differ in more than ``most`` bits of these are
@@ -198,9 +200,9 @@ def links(entries: DataFrame, width: int, budget: int, nodes: int, most: int | N
     """
     sketch = [f"s{i}" for i in range(SKETCH)] if most is not None else []
     segment = width // (budget + 1)
-    first = min(segment, max(0, math.ceil(math.log2(max(1, nodes) / limit)) + 1 if nodes > limit else 0))
+    first = min(segment, max(0, math.ceil(math.log2(max(1, nodes) / limit)) + 1 if nodes > limit else 0)) if exact is None else exact
     turned = []
-    for turn in range(budget + 1 if first else 1):
+    for turn in range(budget + 1 if first and exact is None else 1):
         shift = turn * segment
         word = F.col("word")
         if shift:
@@ -274,14 +276,20 @@ def bit_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def tries(nodes: int, similarity: float, budget: int = 2) -> tuple[int, int]:
-    """Bits of a trie's words, and how many tries: the words grow with the logarithm of the number of texts."""
-    width = 24 + 2 * max(0, math.ceil((math.log2(max(1, nodes)) - 20) / 2))
+def tries(nodes: int, similarity: float, budget: int = 2, exact: int = 0) -> tuple[int, int]:
+    """Bits of a trie's words, of which ``exact`` have to be equal, and how many tries: the words grow with the logarithm of the number of texts."""
+    width = 24 + max(0, math.ceil(math.log2(max(1, nodes)) - 20))
     p = bit_share(similarity)
-    met = sum(math.comb(width, k) * p**k * (1 - p) ** (width - k) for k in range(budget + 1))
+    rest = width - exact
+    met = (1 - p) ** exact * sum(math.comb(rest, k) * p**k * (1 - p) ** (rest - k) for k in range(budget + 1))
     return width, math.ceil(math.log(MISSED) / math.log(1 - met))
 
 
+def exact_bits(nodes: int, limit: int) -> int:
+    """First bits of a trie that leave about half of ``limit`` of its words to a task, or a quarter."""
+    return max(0, math.ceil(math.log2(2 * max(1, nodes) / limit)))
+
+
 def most_bits(similarity: float) -> int:
     """Differing bits of a sketch, five standard errors above what sets of that similarity differ in."""
     p, n = bit_share(similarity), 64 * SKETCH
@@ -399,7 +407,9 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: i
     Texts link whose distinct shingles have that Jaccard similarity or more; all texts without words are equal. Rows are
     told apart by id and text: equal ids with different texts, and rows without an id, are documents of their own.
     """
-    width, count = tries(docs.count(), similarity)
+    number = docs.count()
+    exact = exact_bits(number, limit)
+    width, count = tries(number, similarity, exact=exact)
     words = max(SKETCH, -(-width * count // 64))
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), _sets(F.col(text), shingle, words).alias("f")).select("key", "hash", "f.*")
     rows = materialise(rows)
@@ -413,7 +423,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: i
             piece = piece.bitwiseOR(F.shiftrightunsigned(F.get("words", F.lit(word + 1)), 64 - shift))
         cut.append(F.shiftleft(F.shiftrightunsigned(piece, 64 - width), 64 - width))
     entries = nodes.select("node", *sketch, F.posexplode(F.array(*cut)).alias("tbl", "word"))
-    reach = components(materialise(links(entries, width, 2, nodes.count(), most_bits(similarity), limit)), "a", "b")
+    reach = components(materialise(links(entries, width, 2, number, most_bits(similarity), limit, exact)), "a", "b")
     # one text of each node that has a candidate; they are found by a slot of their row first, one of SLOTS
     wanted = materialise(nodes.select("node", "first", *sketch).join(reach.hint("merge"), "node"))
     slot = lambda k, h: F.pmod(F.xxhash64(k, h), F.lit(SLOTS))
