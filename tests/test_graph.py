@@ -659,3 +659,14 @@ def test_streamed_triples(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.relation, r.n) for r in spark.table("streamed").collect()} == {("p", 2)}
+
+def test_shared_places_give_the_same_ids_in_every_reading(spark, tmp_path):
+    """Where ``pos`` is not unique, terms decide: dictionaries and files come out the same from any order of rows."""
+    rows = [(f"h{i % 50}", f"p{i % 5}", f"t{i % 40}", i // 100) for i in range(400)]
+    found = []
+    for k, order in enumerate((rows, rows[::-1], sorted(rows, key=lambda r: r[2]))):
+        t = spark.createDataFrame(order, "head string, relation string, tail string, pos long").repartition(3 + k)
+        sinks.write_triples(t, str(tmp_path / f"o{k}"), "tsv")
+        lines = readers.read_triples_tsv(spark, str(tmp_path / f"o{k}")).orderBy("pos")
+        found.append((sorted(vocab.entity_vocab(t).collect()), sorted(vocab.relation_vocab(t).collect()), [tuple(x) for x in lines.collect()]))
+    assert found[0] == found[1] == found[2] and sorted(x.id for x in found[0][0]) == list(range(90))

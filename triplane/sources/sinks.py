@@ -24,8 +24,8 @@ def write_indexed(triples: DataFrame, path: str, by_split: bool = False, fmt: st
 
 
 def write_triples(triples: DataFrame, path: str, fmt: str = "csv") -> None:
-    """``head, relation, tail`` in the order of ``pos``: CSV with the header sub, pred, obj, or TSV without one."""
-    rows = triples.orderBy("pos")
+    """``head, relation, tail`` in the order of ``pos``, then of the terms: CSV with the header sub, pred, obj, or TSV without one."""
+    rows = triples.orderBy("pos", "head", "relation", "tail")
     if fmt == "csv":
         _save(rows.select(F.col("head").alias("sub"), F.col("relation").alias("pred"), F.col("tail").alias("obj")).write.mode("overwrite"), path, "csv")
     else:
