@@ -670,3 +670,30 @@ def test_shared_places_give_the_same_ids_in_every_reading(spark, tmp_path):
         lines = readers.read_triples_tsv(spark, str(tmp_path / f"o{k}")).orderBy("pos")
         found.append((sorted(vocab.entity_vocab(t).collect()), sorted(vocab.relation_vocab(t).collect()), [tuple(x) for x in lines.collect()]))
     assert found[0] == found[1] == found[2] and sorted(x.id for x in found[0][0]) == list(range(90))
+
+
+def test_rows_of_a_file_stay_in_their_tasks(spark, tmp_path):
+    """Blocks without quotes are numbered and cut into records without a sort of their rows; others give the same numbers."""
+    for k, cell in enumerate(("plain", 'two\n"" lines', "plain")):
+        body = "".join(f'a{k}_{i},p,"{cell}"\n' if "\n" in cell and i % 7 == 0 else f"a{k}_{i},p,x\n" for i in range(200))
+        (tmp_path / f"part-{k}.csv").write_text("sub,pred,obj\n" + body + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 500)
+    try:
+        got = readers.read_triples_csv(spark, str(tmp_path))
+        assert [(x["head"], x.pos) for x in got.orderBy("pos").collect()] == [(f"a{k}_{i}", 200 * k + i) for k in range(3) for i in range(200)]
+        assert got.where("tail LIKE 'two%'").select("tail").distinct().collect()[0][0] == 'two\n" lines'
+        (tmp_path / "plain").mkdir()
+        (tmp_path / "plain" / "a.tsv").write_text("".join(f"h{i}\tp\tt{i}\n" for i in range(300)))
+        t = readers.read_triples_tsv(spark, str(tmp_path / "plain"))
+        assert [(x["head"], x.pos) for x in t.orderBy("pos").collect()] == [(f"h{i}", i) for i in range(300)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_numbers_of_unbroken_blocks_need_no_sort(spark):
+    """A block whose rows follow one another is numbered by its ids alone: only rows of broken blocks reach the window."""
+    rows = [("f", 0, 10 + i, f"u{i}") for i in range(5)] + [("f", 9, 100 + 2 * i, f"b{i}") for i in range(5)]
+    flat = spark.createDataFrame(rows, "place_file string, place_start long, place_row long, v string")
+    got = readers._numbered(flat)
+    assert {x.v: x.pos for x in got.collect()} == {f"u{i}": i for i in range(5)} | {f"b{i}": 5 + i for i in range(5)}
+    assert "UnionExec" in str(got._jdf.queryExecution().executedPlan().getClass()) or "Union" in got._jdf.queryExecution().optimizedPlan().toString()

@@ -35,13 +35,19 @@ def _counted_blocks(flat: DataFrame, *sums: Column) -> DataFrame:
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """``pos`` in place of ``place``: the rows of all earlier blocks, and the number within the block. Blocks are one row each."""
+    """``pos`` in place of ``place``: the rows of all earlier blocks, and the number within the block. Blocks are one row each.
+
+    A task gives the rows of its block ids that follow one another, so where none is left out the id tells the number, and rows
+    stay where they are; only those of other blocks are sorted by block.
+    """
     flat = df if "place" not in df.columns else _flat(df)
-    blocks = _counted_blocks(flat, F.count("*").alias("rows"))
-    earlier = blocks.select("place_file", "place_start", (F.sum("rows").over(Window.orderBy("place_file", "place_start")) - F.col("rows")).alias("earlier"))
-    within = F.row_number().over(Window.partitionBy("place_file", "place_start").orderBy("place_row")) - 1
-    met = flat.withColumn("within", within).join(earlier, ["place_file", "place_start"])
-    return met.withColumn("pos", (F.col("earlier") + F.col("within")).cast("long")).drop(*_PLACE, "earlier", "within")
+    blocks = _counted_blocks(flat, F.count("*").alias("rows"), F.min("place_row").alias("first"), F.max("place_row").alias("last"))
+    earlier = F.sum("rows").over(Window.orderBy("place_file", "place_start")) - F.col("rows")
+    blocks = materialise(blocks.select("place_file", "place_start", earlier.alias("earlier"), "first", (F.col("last") - F.col("first") + 1 == F.col("rows")).alias("unbroken")))
+    met = flat.join(F.broadcast(blocks), ["place_file", "place_start"])
+    sorted_ = F.row_number().over(Window.partitionBy("place_file", "place_start").orderBy("place_row")) - 1
+    parts = [met.where("unbroken").withColumn("within", F.col("place_row") - F.col("first")), met.where("NOT unbroken").withColumn("within", sorted_.cast("long"))]
+    return parts[0].unionByName(parts[1]).withColumn("pos", F.col("earlier") + F.col("within")).drop(*_PLACE, "earlier", "first", "unbroken", "within")
 
 
 def quoted_records(spark: SparkSession, path: str) -> DataFrame:
@@ -59,11 +65,16 @@ def quoted_records(spark: SparkSession, path: str) -> DataFrame:
     block, file = Window.partitionBy("place_file", "place_start").orderBy("place_row"), Window.partitionBy("place_file").orderBy("place_start")
     before = block.rowsBetween(Window.unboundedPreceding, -1)
     blocks = _counted_blocks(lines, F.sum("quotes").alias("own"))
-    opened = materialise(blocks.select("place_file", "place_start", (F.pmod(F.sum("own").over(file) - F.col("own"), F.lit(2)) == 1).alias("opened")))
+    opened = (F.pmod(F.sum("own").over(file) - F.col("own"), F.lit(2)) == 1).alias("opened")
+    opened = F.broadcast(materialise(blocks.select("place_file", "place_start", opened, "own")))  # one row per block
+    met = lines.join(opened, ["place_file", "place_start"])
+    # outside of quotes from the start, and none in the block: each line is a record
+    plain = ~F.col("opened") & (F.col("own") == 0)
     inside = F.pmod(F.coalesce(F.sum("quotes").over(before), F.lit(0)) + F.col("opened").cast("int"), F.lit(2)) == 1
-    known = materialise(lines.join(opened, ["place_file", "place_start"]).withColumn("inside", inside))
+    known = materialise(met.where(~plain).withColumn("inside", inside))
     odd = F.pmod("quotes", F.lit(2)) == 1
-    single = known.where(~F.col("inside") & ~odd).select(F.col("value").alias("record"), *_PLACE)
+    record = lambda df: df.select(F.col("value").alias("record"), *_PLACE)
+    single = record(met.where(plain)).unionByName(record(known.where(~F.col("inside") & ~odd)))
     # the first line of a longer record, in this block or the last one before that has any
     first = F.when(~F.col("inside") & odd, F.struct("place_start", "place_row"))
     last = _counted_blocks(known.withColumn("first", first), F.max("first").alias("last"))
@@ -72,8 +83,8 @@ def quoted_records(spark: SparkSession, path: str) -> DataFrame:
     pieces = pieces.withColumn("of", F.coalesce(F.max("first").over(block.rowsBetween(Window.unboundedPreceding, 0)), F.col("carried")))
     joined = pieces.groupBy("place_file", "of").agg(F.array_sort(F.collect_list(F.struct("place_start", "place_row", "value", "quotes"))).alias("lines"))
     even = F.pmod(F.aggregate("lines", F.lit(0), lambda n, x: n + x["quotes"]), F.lit(2)) == 0
-    record = F.when(even, F.array_join(F.transform("lines", lambda x: x["value"]), "\n")).otherwise(F.raise_error(F.concat(F.lit("a quote stays open in "), F.col("place_file"))))
-    return single.unionByName(joined.select(record.alias("record"), "place_file", F.col("of.place_start").alias("place_start"), F.col("of.place_row").alias("place_row")))
+    whole = F.when(even, F.array_join(F.transform("lines", lambda x: x["value"]), "\n")).otherwise(F.raise_error(F.concat(F.lit("a quote stays open in "), F.col("place_file"))))
+    return single.unionByName(joined.select(whole.alias("record"), "place_file", F.col("of.place_start").alias("place_start"), F.col("of.place_row").alias("place_row")))
 
 
 def _need(df: DataFrame, columns: set[str], what: str) -> None:
@@ -97,7 +108,7 @@ def read_statements_csv(spark: SparkSession, path: str, whole: bool = False) ->
         return _numbered(_with_place(raw.select(*[F.coalesce(c, F.lit("")).alias(c) for c in names], "_metadata")).drop("_metadata"))
     records = quoted_records(spark, path)
     first = records.groupBy("place_file").agg(F.min(F.struct("place_start", "place_row")).alias("top"))
-    body = records.join(first, "place_file").where(F.struct("place_start", "place_row") != F.col("top")).where(F.rtrim("record") != "")
+    body = records.join(F.broadcast(first), "place_file").where(F.struct("place_start", "place_row") != F.col("top")).where(F.rtrim("record") != "")
     cells = F.from_csv(F.regexp_replace("record", "\r$", ""), ", ".join(f"`{c}` string" for c in columns), {"escape": '"'})
     rows = body.select(cells.alias("cells"), *_PLACE).select(*[F.coalesce(F.col("cells")[c], F.lit("")).alias(c) for c in names], *_PLACE)
     return _numbered(rows)
