@@ -697,3 +697,24 @@ def test_numbers_of_unbroken_blocks_need_no_sort(spark):
     got = readers._numbered(flat)
     assert {x.v: x.pos for x in got.collect()} == {f"u{i}": i for i in range(5)} | {f"b{i}": 5 + i for i in range(5)}
     assert "UnionExec" in str(got._jdf.queryExecution().executedPlan().getClass()) or "Union" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("what", ["index", "bernoulli"])
+def test_relations_are_sent_to_their_triples(spark, what):
+    """Few relations hold most triples, so these are not dealt out by relation, even where Spark knows no sizes."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        if what == "index":
+            t = triples(spark, [("a", "p", "b"), ("c", "q", "a")])
+            out = vocab.index_triples(t, vocab.entity_vocab(t), vocab.relation_vocab(t))
+        else:
+            t = spark.range(50).select(F.col("id").alias("pos"), (F.col("id") % 7).alias("head_id"), (F.col("id") % 2).alias("relation_id"), (F.col("id") % 5).alias("tail_id"))
+            out = sample.bernoulli_negatives(t, 10)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        joins = [x for x in plan.split("\n") if "Join" in x]
+        # the last join above the triples; counts of distinct ids below may be joins as well
+        of_relations = [x for x in joins if "relation" in x]
+        assert "BroadcastHashJoin" in of_relations[0]
+        assert out.count() == {"index": 2, "bernoulli": 100}[what]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
