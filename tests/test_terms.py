@@ -45,3 +45,15 @@ def test_coarse_category(spark):
     df = spark.createDataFrame(rows, "e string, f string, p string, t array<string>, want string")
     got = df.select(T.coarse_category(F.col("e"), F.col("f"), F.col("p"), F.col("t")).alias("got"), "want")
     assert all(r.got == r.want for r in got.collect())
+
+
+def test_plain_uris_are_shortened_by_compiled_expressions(spark):
+    """Only terms that may lose white space go through a function of arrays; both ways give the same."""
+    column = T.compact_term(F.col("t"))
+    assert str(column._jc).replace("\n", " ").split(" ELSE ")[0].count("transform") == 0
+    ends = ["", " ", "\t", "\x85", " ", " ", "　", "é", "/", "//", "#", "~", "!"]
+    texts = [f"{a}{u}{b}" for u in ("http://x/y#z", "https://x/y/z", "http://purl.obolibrary.org/obo/A_1", "http://", "x y") for a in ("", " ", "　") for b in ends]
+    rows = spark.createDataFrame([(t,) for t in [*texts, *ends, None]], "t string")
+    stripped = F.regexp_replace("t", "(?U)^\\s+|\\s+$", "")
+    got = rows.select("t", column.alias("got"), T.compact_term(F.concat(F.lit(" "), stripped)).alias("want"))
+    assert [tuple(x) for x in got.where("NOT got <=> want").collect()] == []

@@ -30,15 +30,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def compact_term(value: Column, prefixes=C.PREFIXES) -> Column:
-    """Short form of a URI; anything else only loses white space at its ends."""
+    """Short form of a URI; anything else only loses white space at its ends.
+
+    A URI that ends in a printable ASCII character has no white space to lose, and goes through compiled expressions only.
+    """
+    web = lambda v: v.startswith("http://") | v.startswith("https://")
 
     def short(v: Column) -> Column:
         out = F.when(v.contains("#"), F.substring_index(v, "#", -1)).otherwise(F.substring_index(F.regexp_replace(v, "/+$", ""), "/", -1))
         for prefix, name in reversed(prefixes):
             out = F.when(v.startswith(prefix), F.concat(F.lit(name), F.substr(v, F.lit(len(prefix) + 1)))).otherwise(out)
-        return F.when(v.startswith("http://") | v.startswith("https://"), out).otherwise(v)
+        return out
 
-    return let(strip(value), short)
+    plain = web(value) & F.substring(value, -1, 1).between("!", "~")
+    return F.when(plain, short(value)).otherwise(let(strip(value), lambda v: F.when(web(v), short(v)).otherwise(v)))
 
 
 def after_colon(compact: Column) -> Column:
