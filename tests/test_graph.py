@@ -218,6 +218,42 @@ def test_city_distance_in_tiles(monkeypatch):
     assert R.distance_scorer(1) is R.city_distance and R.distance_scorer(2) is R.squared_distance
 
 
+@pytest.mark.parametrize("name", ["whole", "real", "long", "huge", "boxe"])
+@pytest.mark.parametrize("reach,p,tanh", [(0.5, 1, True), (4.0, 2, True), (30.0, 1, False)])
+def test_rough_scores_keep_their_bounds_and_counts_are_those_of_the_exact_ones(monkeypatch, name, reach, p, tanh):
+    monkeypatch.setattr(R, "STRIPE", (7, 50))
+    monkeypatch.setattr(R, "CHUNK", 40)
+    rng, n, m, dim = np.random.default_rng(8), 60, 90, 9
+    if name == "boxe":
+        kernel = R.boxe_kernel(p, tanh)
+        known = [rng.uniform(-reach, reach, (n, dim)) for _ in range(2)] + [rng.uniform(-0.5, 0.5, (n, k)) for k in (dim, dim, 1) * 2]
+        offered = [rng.uniform(-reach, reach, (m, dim)) for _ in range(2)]
+    else:
+        kernel, scale = R.city_distance.kernel, {"whole": 100, "real": 1.0, "long": 30_000, "huge": 1e300}[name]
+        known, offered = ([rng.normal(0, scale, (k, dim))] for k in (n, m))
+        if name in ("whole", "long"):
+            known, offered = [np.rint(known[0])], [np.rint(offered[0])]
+    offered = [np.concatenate([x, x[:20]]) for x in offered]  # copies are equal, and not better
+    ids, sought = np.arange(m + 20), rng.integers(0, m, n)
+    s, (rough, off) = kernel.score(known, offered), kernel.rough(known, offered)
+    own = kernel.rows(known, [x[sought] for x in offered])
+    assert (own == s[np.arange(n), sought]).all()
+    if name == "whole":
+        assert off is None and rough.dtype == np.int32 and (rough == s).all()
+    elif name == "huge":
+        assert np.isinf(off).all()
+    else:
+        assert (np.abs(rough - s) <= off[:, None]).all() and (off < 1e-2 * np.abs(s).mean()).all()
+    other = ids[None] != sought[:, None]
+    better, equal = kernel.compared(known, own, sought, offered, ids)
+    assert (better == ((s > own[:, None]) & other).sum(axis=1)).all() and (equal == ((s == own[:, None]) & other).sum(axis=1)).all() and equal.sum() > 0
+
+
+def test_cells_are_many_and_bounded():
+    assert R._sides(10_000, 10_000, None, None) == (10, 10)
+    assert R._sides(600_000, 600_000, None, None) == (30, 30) and R._sides(100, 1000, 7, 11) == (15, 91)
+
+
 @pytest.mark.parametrize("target,p,tanh", [("tail", 2, True), ("head", 1, True), ("tail", 1, False)])
 def test_boxe_ranks_against_scores_of_all_pairs(spark, monkeypatch, target, p, tanh):
     monkeypatch.setattr(R, "TILE", 5)
