@@ -1,3 +1,4 @@
+import hashlib
 from functools import reduce
 
 import numpy as np
@@ -45,6 +46,16 @@ def test_split_sizes(spark, n, want):
         sample.split_exact(spark.range(3).withColumnRenamed("id", "pos"), (0.9, 0.1), ("a", "b", "c"))
 
 
+@pytest.mark.parametrize("bits", [0, 3, 16])
+def test_split_orders_only_the_buckets_that_a_cut_goes_through(spark, monkeypatch, bits):
+    monkeypatch.setattr(sample, "BUCKET_BITS", bits)
+    rows = spark.range(200).select((F.col("id") % 190).alias("pos"), F.col("id").alias("draw"))  # places may be shared, and any name is free
+    parts = sample.split_exact(rows, (0.5, 0.23), ("a", "b", "c"))
+    got = sorted((int(hashlib.md5(f"split:42:{x.pos}".encode()).hexdigest()[:8], 16), x.pos, x.part) for x in parts.collect())
+    assert [x[2] for x in got] == ["a"] * 100 + ["b"] * 46 + ["c"] * 54 and parts.columns == ["pos", "draw", "part"]
+    assert sorted(x.draw for x in parts.collect()) == list(range(200))
+
+
 def test_negatives_never_keep_the_true_id(spark):
     t = spark.range(500).select(F.col("id").alias("pos"), (F.col("id") % 7).alias("head_id"), (F.col("id") % 3).alias("relation_id"), (F.col("id") % 5).alias("tail_id"))
     both = t.join(sample.uniform_negatives(t, 7, 3).toDF("pos", "h", "r", "t"), "pos").collect()
