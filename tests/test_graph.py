@@ -56,6 +56,17 @@ def test_split_orders_only_the_buckets_that_a_cut_goes_through(spark, monkeypatc
     assert sorted(x.draw for x in parts.collect()) == list(range(200))
 
 
+def test_parts_of_sums_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordinal, "PART_ROWS", 64)
+    t = spark.range(300).select(F.concat(F.lit("h"), F.col("id") % 90).alias("head"), F.lit("p").alias("relation"), F.concat(F.lit("t"), F.col("id") % 7).alias("tail"), F.col("id").alias("pos"), F.when(F.col("id") < 200, "train").otherwise("test").alias("split"))
+    found = profile.entity_mentions(t)
+    assert found.rdd.getNumPartitions() == 10 and {(x.split, x.entity): x.n for x in found.collect() if x.entity in ("h0", "t6")} == {("train", "h0"): 3, ("test", "h0"): 1, ("train", "t6"): 28, ("test", "t6"): 14}
+    assert {x.split: (x.triples, x.relations, x.entities) for x in profile.split_stats(t).collect()} == {"train": (200, 1, 97), "test": (100, 1, 97)}
+    edges = spark.createDataFrame([(i % 9, i % 2, None if i == 3 else i % 5) for i in range(300)], "head_id long, relation_id long, tail_id long")
+    got = {x.relation_id: (x.n, x.heads, x.tails) for x in sample.bernoulli_stats(edges).collect()}
+    assert got == {0: (150, 9, 5), 1: (150, 9, 5)}
+
+
 def test_negatives_never_keep_the_true_id(spark):
     t = spark.range(500).select(F.col("id").alias("pos"), (F.col("id") % 7).alias("head_id"), (F.col("id") % 3).alias("relation_id"), (F.col("id") % 5).alias("tail_id"))
     both = t.join(sample.uniform_negatives(t, 7, 3).toDF("pos", "h", "r", "t"), "pos").collect()

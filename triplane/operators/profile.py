@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 
 from triplane.functions import config as C
 from triplane.functions import terms as T
-from triplane.operators.ordinal import top_k
+from triplane.operators.ordinal import parted, parts_of, top_k
 from triplane.operators.vocab import mentions
 from triplane.shared import materialise
 
 TOP = 15
 
 
-def split_stats(triples: DataFrame) -> DataFrame:
-    """Per split: triples, entities, relations."""
-    ends = mentions(triples, "split").groupBy("split").agg(F.count_distinct("entity").alias("entities"))
+def split_stats(triples: DataFrame, rows: int | None = None) -> DataFrame:
+    """Per split: triples, entities, relations. ``rows``: about how many triples there are, where that is known."""
+    ends = entity_mentions(triples, rows).groupBy("split").agg(F.count("entity").alias("entities"))
     return triples.groupBy("split").agg(F.count("*").alias("triples"), F.count_distinct("relation").alias("relations")).join(ends, "split")
 
 
@@ -31,8 +31,10 @@ def relation_topk(triples: DataFrame, k: int = TOP) -> DataFrame:
     return top_k(counts, ["split"], F.col("n"), F.col("first"), k).select("split", "relation", "n", "rank")
 
 
-def entity_mentions(triples: DataFrame) -> DataFrame:
-    return mentions(triples, "split").groupBy("split", "entity").agg(F.count("*").alias("n"))
+def entity_mentions(triples: DataFrame, rows: int | None = None) -> DataFrame:
+    """``(split, entity, n)``. ``rows``: about how many triples there are, where that is known."""
+    rows = triples.count() if rows is None else rows
+    return parted(mentions(triples, "split").drop("place"), parts_of(2 * rows), "split", "entity").groupBy("split", "entity").agg(F.count("*").alias("n"))
 
 
 def entities_of(triples: DataFrame) -> DataFrame:
