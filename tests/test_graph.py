@@ -542,6 +542,24 @@ def test_sums_of_vectors(spark):
     assert summed_vectors(df.limit(0), ["k"]).count() == 0
 
 
+def test_runs_of_a_key_are_added_across_batches(spark):
+    rows = spark.range(600).select((F.col("id") % 3).cast("int").alias("trial"), F.when(F.col("id") % 2 == 0, "e").otherwise("r").alias("tbl"), (F.col("id") % 5).alias("id"), F.col("id").cast("double").alias("x"))
+    steps = rows.withColumn("grad", F.when(F.col("tbl") == "e", F.array("x", F.lit(1.0))).otherwise(F.array("x", F.lit(1.0), F.lit(2.0)))).select("trial", "tbl", "id", "grad").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        summed = train.summed(steps)
+        got = {(r.trial, r.tbl, r.id): r.grad for r in summed.collect()}
+        plan = summed._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for i in range(600):
+        of = want.setdefault((i % 3, "er"[i % 2], i % 5), [])
+        of.append(i)
+    assert got == {k: [float(sum(v)), float(len(v)), 2.0 * len(v)][: 2 if k[1] == "e" else 3] for k, v in want.items()}
+    assert "MapInPandas" in plan and "AggregateInPandas" not in plan  # no call of Python for each key
+
+
 def ring(spark, n=60, relations=1):
     """A cycle of entities."""
     return spark.range(n).select(F.col("id").alias("pos"), F.col("id").alias("head_id"), F.pmod("id", F.lit(relations)).alias("relation_id"), ((F.col("id") + 1) % n).alias("tail_id"))
