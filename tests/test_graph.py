@@ -5,9 +5,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from triplane import catalog
+from triplane.functions import terms as T
 from triplane.operators import ordinal, prior, profile, rgcn, sample, store, strata, train, vocab
 from triplane.operators import rank as R
 from triplane.operators.sums import summed_vectors
+from triplane.plans import fixtures as X
 from triplane.sources import readers, sinks
 from triplane.streaming import ingest
 
@@ -794,3 +797,32 @@ def test_relations_are_sent_to_their_triples(spark, what):
         assert out.count() == {"index": 2, "bernoulli": 100}[what]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_ends_and_relations_are_told_apart_without_triples(spark, tmp_path, monkeypatch):
+    rows = {
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(1, "FRANCE", 3), (2, "PERU", None)]),
+        "customer": ("c_custkey long, c_name string, c_nationkey int", [(7, "c7", 1), (10, "c10", 5)]),
+        "supplier": ("s_suppkey long, s_name string, s_nationkey int", []),
+        "orders": ("o_orderkey long, o_custkey long", [(1, 7), (2, 99)]),
+        "part": ("p_partkey long, p_name string, p_brand string, p_type string", [(4, " Order_1 ", "http://x.org/a/", "SMALL TIN"), (5, "Disease", None, "BIG TIN")]),
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long", [(1, 4, 8), (1, 4, 8), (3, 6, None)]),
+    }
+    for name, (schema, values) in rows.items():
+        spark.createDataFrame(values, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    sf, triples = str(tmp_path), X.compact_triples(spark, str(tmp_path))
+    listed = lambda df: sorted((r[0] for r in df.collect()), key=str)
+    assert listed(X.kg_entities(spark, sf)) == listed(profile.entities_of(triples))
+    assert listed(X.kg_relations(spark, sf)) == listed(profile.relations_of(triples))
+    want = profile.entity_dim(triples, profile.routed(X.kg_annotations(spark, sf), triples)).select("entity", "primary_type").collect()
+    monkeypatch.setattr(X, "kg_triples", None)  # no triple is derived for the types of entities
+    got = catalog.QUERIES["primary_type"](spark, sf).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+
+
+def test_terms_without_white_space_need_no_pattern(spark):
+    terms = ["a:b:c", ":", "", " x ", " y", "plain", "a\nb:c", "http://x.org/a#b:c", "https://x.org/p/q//", "\tz:1", None]
+    df = spark.createDataFrame([(t,) for t in terms], "t string")
+    got = [(r.c, r.n) for r in df.select(T.compact_term(F.col("t")).alias("c"), T.local_name(F.col("t")).alias("n")).collect()]
+    short = ["a:b:c", ":", "", "x", "y", "plain", "a\nb:c", "b:c", "q", "z:1", None]
+    assert got == [(s, s if s is None else s.partition(":")[2] if ":" in s else s) for s in short]

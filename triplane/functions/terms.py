@@ -32,7 +32,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def compact_term(value: Column, prefixes=C.PREFIXES) -> Column:
     """Short form of a URI; anything else only loses white space at its ends.
 
-    A URI that ends in a printable ASCII character has no white space to lose, and goes through compiled expressions only.
+    A term that begins and ends with a printable ASCII character has no white space to lose, and goes through compiled expressions only.
     """
     web = lambda v: v.startswith("http://") | v.startswith("https://")
 
@@ -42,13 +42,13 @@ def compact_term(value: Column, prefixes=C.PREFIXES) -> Column:
             out = F.when(v.startswith(prefix), F.concat(F.lit(name), F.substr(v, F.lit(len(prefix) + 1)))).otherwise(out)
         return out
 
-    plain = web(value) & F.substring(value, -1, 1).between("!", "~")
-    return F.when(plain, short(value)).otherwise(let(strip(value), lambda v: F.when(web(v), short(v)).otherwise(v)))
+    plain = F.substring(value, 1, 1).between("!", "~") & F.substring(value, -1, 1).between("!", "~")
+    return F.when(plain & web(value), short(value)).when(plain, value).otherwise(let(strip(value), lambda v: F.when(web(v), short(v)).otherwise(v)))
 
 
 def after_colon(compact: Column) -> Column:
     """What follows the first colon of a compact term."""
-    return let(compact, lambda c: F.when(c.contains(":"), F.substr(c, F.instr(c, ":") + 1)).otherwise(c))
+    return F.regexp_replace(compact, "^[^:]*:", "")
 
 
 def local_name(value: Column) -> Column:

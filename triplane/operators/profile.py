@@ -41,16 +41,26 @@ def entities_of(triples: DataFrame) -> DataFrame:
     return mentions(triples).select("entity").distinct()
 
 
+def relations_of(triples: DataFrame) -> DataFrame:
+    return triples.select("relation").distinct()
+
+
 def routed(annotations: DataFrame, triples: DataFrame) -> DataFrame:
+    """Annotations that matter; see :func:`routed_to`."""
+    return routed_to(annotations, entities_of(triples), relations_of(triples))
+
+
+def routed_to(annotations: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
     """Annotations that matter: ``(subject, what, value, pos, is_entity, is_relation)``; what: type, label or definition.
 
-    Types need a subject of the graph; labels and definitions may also be of well-known vocabularies.
+    Types need a subject of the graph; labels and definitions may also be of well-known vocabularies. ``entities``: entity,
+    ``relations``: relation, both distinct.
     """
     what = F.when(F.col("pred") == C.RDF_TYPE, "type").when(F.col("pred") == C.RDFS_LABEL, "label").when(F.col("pred") == C.SKOS_DEFINITION, "definition")
     value = F.when(F.col("pred") == C.SKOS_DEFINITION, F.col("obj")).otherwise(T.compact_term(F.col("obj")))
     rows = annotations.select(T.compact_term(F.col("sub")).alias("subject"), what.alias("what"), value.alias("value"), "pos").where("what IS NOT NULL")
-    rows = rows.join(entities_of(triples).select(F.col("entity").alias("subject"), F.lit(True).alias("is_entity")), "subject", "left")
-    rows = rows.join(triples.select(F.col("relation").alias("subject")).distinct().withColumn("is_relation", F.lit(True)), "subject", "left")
+    rows = rows.join(entities.select(F.col("entity").alias("subject"), F.lit(True).alias("is_entity")), "subject", "left")
+    rows = rows.join(relations.select(F.col("relation").alias("subject"), F.lit(True).alias("is_relation")), "subject", "left")
     known = F.col("is_entity").isNotNull() | F.col("is_relation").isNotNull()
     named = (F.col("what") != "type") & T.starts_with_any(F.col("subject"), C.LABELLED_PREFIXES)
     return rows.where(known | named)
@@ -82,8 +92,13 @@ def primary_types(entities: DataFrame, types: DataFrame, labels: DataFrame) -> D
 
 
 def entity_dim(triples: DataFrame, rows: DataFrame) -> DataFrame:
+    """:func:`dim_of` the entities of ``triples``."""
+    return dim_of(entities_of(triples), rows)
+
+
+def dim_of(entities: DataFrame, rows: DataFrame) -> DataFrame:
     """``(entity, family, types, primary_type, coarse_category)`` of every entity; ``rows``: :func:`routed`."""
-    typed = primary_types(entities_of(triples), type_sets(rows), latest(rows, "label"))
+    typed = primary_types(entities, type_sets(rows), latest(rows, "label"))
     return typed.withColumn("coarse_category", T.coarse_category(F.col("entity"), F.col("family"), F.col("primary_type"), F.col("types")))
 
 
