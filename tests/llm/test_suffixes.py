@@ -200,3 +200,26 @@ def test_of_nameless_copies_one_keeps_its_words(spark):
     docs = spark.createDataFrame([(None, t, "a"), (None, t, "b"), (None, t, "c"), (None, "short", "d")], "doc_id long, text string, row string")
     got = sorted(len((r.text or "").split()) for r in S.without_repeats(docs).collect())
     assert got == [0, 0, 1, 60]
+
+
+@pytest.mark.parametrize("slots", [1, 1 << 20])
+def test_only_texts_with_places_are_shuffled(spark, monkeypatch, slots):
+    """Whatever share of the slots is taken, the result is the same; texts of other slots stay out of the join."""
+    monkeypatch.setattr(S, "SLOTS", slots)
+    rng = random.Random(5)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared = words(70)
+    rows = [(i, words(80)) for i in range(20)] + [(50, f"{words(9)} {shared}"), (51, f"{shared} {words(9)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    given, joined = S._contexts, []
+
+    def seen(docs, places):
+        out = given(docs, places)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        joined.append("LeftSemi" in plan)
+        return out
+
+    monkeypatch.setattr(S, "_contexts", seen)
+    got = {(r.doc_id, r.first_word, r.n_words) for r in S.passages(docs).collect()}
+    assert got == {(50, 9, 70), (51, 0, 70)}
+    assert joined == [True]

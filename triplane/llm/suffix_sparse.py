@@ -242,10 +242,13 @@ CROWD = 5000
 
 def _contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
     """``(key, context, least, most, back, words)`` of each place, from one text that has it."""
-    wanted = places.groupBy("one.doc", "one.hash").agg(F.collect_list(F.struct("one.pos", "context", "key", "least", "most")).alias("places"))
+    wanted = materialise(places.groupBy("one.doc", "one.hash").agg(F.collect_list(F.struct("one.pos", "context", "key", "least", "most")).alias("places")))
+    # texts that share no slot with one that has places stay out of the shuffle; the join tells the others apart
+    slot = F.pmod("hash", F.lit(SLOTS)).alias("slot")
+    texts = docs.select("*", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi").drop("slot")
     # rows that repeat an id and a text list the same places
-    texts = docs.dropDuplicates(["doc", "hash"]) if _repeats(docs) else docs
-    met = texts.join(materialise(wanted).hint("merge"), ["doc", "hash"])
+    texts = texts.dropDuplicates(["doc", "hash"]) if _repeats(docs) else texts
+    met = texts.join(wanted.hint("merge"), ["doc", "hash"])
     place = F.get("places", F.col("i"))
     listed = met.select("places", F.inline(contexts_of(F.col("text"), F.col("places.pos"))))
     return listed.select(*[place[c].alias(c) for c in ("key", "context", "least", "most")], "back", "words")
@@ -278,7 +281,7 @@ def _stretches(docs: DataFrame) -> DataFrame:
     return found.select(F.when(~F.col("doc.last"), F.col("doc.id")).alias("doc_id"), "doc", other.alias("other"), "hash", "kept_in", first.alias("first"), last.alias("last"))
 
 
-#: Hashes of repeated texts without an id that are broadcast at most.
+#: Hashes of texts, or slots of these, that are broadcast at most.
 SLOTS = 1 << 20
 
 
