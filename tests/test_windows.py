@@ -1,10 +1,13 @@
 """Batches that a task takes one after the other, against a job for each of them."""
 
+import os
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from triplane.functions.draws import draw32, drawn_vector
-from triplane.operators import store, train
+from triplane import shared
+from triplane.operators import rank, store, train
 
 
 def ring(spark, n=60, relations=3):
@@ -47,6 +50,37 @@ def test_jobs_of_a_search_do_not_follow_its_batches(spark):
     assert abs(jobs[0] - jobs[1]) <= 2
 
 
+def stored(folder):
+    return [os.path.join(d, f) for d, _, files in os.walk(folder) for f in files if f.endswith(".parquet")]
+
+
+def test_a_search_keeps_only_what_later_steps_read(spark, monkeypatch, tmp_path):
+    """Rows of ended trials, ranked vectors, start vectors and shuffles all stayed on the disk."""
+    monkeypatch.setattr(train, "shared_dir", lambda _: str(tmp_path / "windows"))
+    monkeypatch.setattr(shared, "shared_dir", lambda _: str(tmp_path / "tables"))
+    monkeypatch.setattr(train, "RANKED", 1)  # a trial at a time
+    monkeypatch.setattr(train, "PASSED", 1)
+    seen, ranks = [], train.trial_ranks
+
+    def look(tests, entities, relations, settings):
+        tables = {os.path.dirname(f) for f in stored(tmp_path / "tables")}
+        kept = {f.split("next=")[1].split("/")[0] for f in stored(tmp_path / "windows")}
+        seen.append((entities.select("trial").distinct().count(), len(tables), len(kept), len(settings), spark.conf.get(shared._CLEAN)))
+        return ranks(tests, entities, relations, settings)
+
+    monkeypatch.setattr(train, "trial_ranks", look)
+    table = spark.createDataFrame([(i, m, 4, 2, 0.01, 24) for i, m in enumerate(("transe", "boxe", "transe", "boxe"))], "trial long, model string, dim long, p long, rate double, batch long")
+    assert train.search(ring(spark), spark.range(60), spark.range(3), table).count() == 4
+    # one trial's vectors, beside the split and the stored tables it came from; a folder for each trial that goes on
+    assert [(n, kept, live) for n, _, kept, live, _ in seen] == [(1, 4, 4)] * 4 + [(1, 2, 2)] * 2 and len({tables for _, tables, *_ in seen}) == 1
+    assert {clean for *_, clean in seen} == {"true"} and not stored(tmp_path / "windows") and spark.conf.get(shared._CLEAN) == "false"
+
+
+def test_ranks_of_a_trial_copy_less(spark):
+    assert rank.sides(1025, 10_256, cells=rank.OF_TRIAL) == rank.sides(1025, 10_256)
+    assert rank.sides(10_256, 102_560, cells=rank.OF_TRIAL) == (3, 26) and rank.sides(10_256, 102_560) == (6, 51)
+
+
 def test_windows_hold_what_they_may(monkeypatch):
     monkeypatch.setattr(train, "WINDOW", 64 << 20)
     s = train.Settings(n_batches=33, negatives="basic", k=1)
