@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 from functools import reduce
 
@@ -144,6 +145,19 @@ def test_files_are_numbered_in_order(spark, tmp_path):
     assert [(r["head"], r.tail, r.pos) for r in got] == [(f"h{i}", f"t{k}", 4 * i + k) for i in range(3) for k in range(4)]
 
 
+@pytest.mark.parametrize("fmt", ["csv", "tsv"])
+def test_compressed_files_are_bounded_and_read_in_order(spark, tmp_path, monkeypatch, fmt):
+    """Plain files of triples took ten times the disk."""
+    monkeypatch.setattr(sinks, "FILE_ROWS", 7)
+    rows = spark.range(200).select(F.concat(F.lit("http://x/h"), F.col("id").cast("string")).alias("head"), F.lit("p").alias("relation"), F.lit('a "b", c').alias("tail"), (F.col("id") * 3).alias("pos"))
+    sinks.write_triples(rows.repartition(5), str(tmp_path / "t"), fmt, "gzip")
+    files = list((tmp_path / "t").glob("part-*.gz"))
+    assert len(files) >= 200 / 7 and all(len(gzip.decompress(f.read_bytes()).splitlines()) <= 8 for f in files)
+    read = {"csv": readers.read_triples_csv, "tsv": readers.read_triples_tsv}[fmt](spark, str(tmp_path / "t"))
+    got = read.orderBy("pos").collect()
+    assert [(r["head"], r.tail, r.pos) for r in got] == [(f"http://x/h{i}", 'a "b", c', i) for i in range(200)]
+
+
 def test_literals_long_and_escaped(spark):
     cases = {
         r"tab\there": "tab\there", r"slash\\\\t": "slash\\\\t", r"\u00e9\U0001F600": "é😀", r"\b\f\r\n\'\"": "\b\f\r\n'\"", r"end\\": "end\\", "x" * 300_000: "x" * 300_000,

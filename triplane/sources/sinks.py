@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triplane.shared import shuffles_dropped
+
 
 def _save(writer, path: str, fmt: str) -> None:
     if fmt == "csv":
@@ -23,13 +25,24 @@ def write_indexed(triples: DataFrame, path: str, by_split: bool = False, fmt: st
     _save(writer.partitionBy("split") if by_split else writer, path, fmt)
 
 
-def write_triples(triples: DataFrame, path: str, fmt: str = "csv") -> None:
-    """``head, relation, tail`` in the order of ``pos``, then of the terms: CSV with the header sub, pred, obj, or TSV without one."""
-    rows = triples.orderBy("pos", "head", "relation", "tail")
+#: Rows of a compressed file at most: it is read by one task.
+FILE_ROWS = 1 << 21
+
+
+def write_triples(triples: DataFrame, path: str, fmt: str = "csv", compression: str = "none") -> None:
+    """``head, relation, tail`` in the order of ``pos``, then of the terms: CSV with the header sub, pred, obj, or TSV without one.
+
+    ``compression``: a codec that readers know by the files' names, like gzip; triples take a tenth of the disk then. Such files are
+    many rather than large. What the order has shuffled is deleted.
+    """
+    rows, limit = triples.orderBy("pos", "head", "relation", "tail"), 0 if compression == "none" else FILE_ROWS
     if fmt == "csv":
-        _save(rows.select(F.col("head").alias("sub"), F.col("relation").alias("pred"), F.col("tail").alias("obj")).write.mode("overwrite"), path, "csv")
+        rows = rows.select(F.col("head").alias("sub"), F.col("relation").alias("pred"), F.col("tail").alias("obj"))
     else:
-        rows.select(F.concat_ws("\t", "head", "relation", "tail").alias("value")).write.mode("overwrite").text(path)
+        rows = rows.select(F.concat_ws("\t", "head", "relation", "tail").alias("value"))
+    writer = rows.write.mode("overwrite").option("compression", compression).option("maxRecordsPerFile", limit)
+    with shuffles_dropped(triples.sparkSession):
+        _save(writer, path, "csv" if fmt == "csv" else "text")
 
 
 def write_tensors(parameters: DataFrame, path: str) -> None:
