@@ -158,6 +158,20 @@ def test_compressed_files_are_bounded_and_read_in_order(spark, tmp_path, monkeyp
     assert [(r["head"], r.tail, r.pos) for r in got] == [(f"http://x/h{i}", 'a "b", c', i) for i in range(200)]
 
 
+def test_splits_are_numbered_one_after_the_other(spark, tmp_path, monkeypatch):
+    """All rows of the splits went through one more shuffle, in which only blank lines made a difference."""
+    sorts, dense = [], readers.dense_numbers
+    monkeypatch.setattr(readers, "dense_numbers", lambda *a: sorts.append(1) or dense(*a))
+    for blank in ("", "\n"):
+        folder = tmp_path / f"blank{len(blank)}"
+        folder.mkdir()
+        for split, n in (("train", 5), ("valid", 0), ("test", 3)):
+            (folder / f"{split}.tsv").write_text(blank.join(f"{split}{k}\tp\tt\n" for k in range(n)))
+        got = [(r["head"], r.split, r.split_rank, r.pos) for r in readers.read_splits(spark, str(folder)).orderBy("pos").collect()]
+        assert got == [(f"{s}{k}", s, i, 5 * (i > 0) + k) for s, i, n in (("train", 0, 5), ("test", 2, 3)) for k in range(n)]
+        assert len(sorts) == len(blank)
+
+
 def test_literals_long_and_escaped(spark):
     cases = {
         r"tab\there": "tab\there", r"slash\\\\t": "slash\\\\t", r"\u00e9\U0001F600": "é😀", r"\b\f\r\n\'\"": "\b\f\r\n'\"", r"end\\": "end\\", "x" * 300_000: "x" * 300_000,

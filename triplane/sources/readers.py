@@ -143,9 +143,17 @@ def read_triples_tsv(spark: SparkSession, path: str, strict: bool = True) -> Dat
 
 
 def read_splits(spark: SparkSession, folder: str, names: tuple[str, ...] = SPLITS) -> DataFrame:
-    """``(head, relation, tail, pos, split, split_rank)`` of one TSV file per split; all of train come before all of valid."""
-    parts = union_splits({n: read_triples_tsv(spark, f"{folder}/{n}.tsv") for n in names})
-    return dense_numbers(parts.withColumnRenamed("pos", "own"), ["split_rank", "own"], "pos").drop("own")
+    """``(head, relation, tail, pos, split, split_rank)`` of one TSV file per split; all of train come before all of valid.
+
+    Without blank lines, which have a number of their own in their file, rows stay where they are: a split's numbers follow those
+    of the splits before it.
+    """
+    parts = union_splits({n: read_triples_tsv(spark, f"{folder}/{n}.tsv") for n in names}).withColumnRenamed("pos", "own")
+    sizes = {r["split_rank"]: r for r in parts.groupBy("split_rank").agg(F.count("*").alias("rows"), F.max("own").alias("last")).collect()}  # one row per split
+    if any(r["last"] + 1 != r["rows"] for r in sizes.values()):
+        return dense_numbers(parts, ["split_rank", "own"], "pos").drop("own")
+    before = [sum(sizes[j]["rows"] for j in range(i) if j in sizes) for i in range(len(names))]
+    return parts.withColumn("pos", F.col("own") + F.element_at(F.array(*[F.lit(n).cast("long") for n in before]), F.col("split_rank") + 1)).drop("own")
 
 
 def union_splits(parts: dict[str, DataFrame]) -> DataFrame:
