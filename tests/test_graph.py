@@ -470,6 +470,22 @@ def test_indexed_triples_under_clashes(spark, bits):
         vocab.index_triples(t, e.where("id > 0"), r, few).collect()
 
 
+@pytest.mark.parametrize("at_once", [1 << 25, 50])
+def test_triples_are_indexed_in_parts(spark, monkeypatch, at_once):
+    """All of them went through two joins at once, with four numbers for two terms."""
+    monkeypatch.setattr(vocab, "AT_ONCE", at_once)
+    seen, own = [], vocab._indexed
+    monkeypatch.setattr(vocab, "_indexed", lambda marked, *a: seen.append(marked) or own(marked, *a))
+    rng = np.random.default_rng(3)
+    rows = [(f"e{a}", f"p{a % 3}", f"e{b}") for a, b in rng.integers(0, 40, (120, 2))]
+    t = triples(spark, rows)
+    ids, names = ({x[0]: x.id for x in df.collect()} for df in (vocab.entity_vocab(t), vocab.relation_vocab(t)))
+    got, relations = vocab.index_by_own_ids(t, len(rows))
+    assert [tuple(x) for x in got.orderBy("pos").collect()] == [(i, ids[h], names[p], ids[w]) for i, (h, p, w) in enumerate(rows)]
+    assert {x[0]: x.id for x in relations.collect()} == names and sum(df.count() for df in seen) == len(rows)
+    assert len(seen) == max(1, -(-120 // at_once)) and all(df.where("h2 != 0 OR t2 != 0").isEmpty() for df in seen)
+
+
 def test_sequences_are_encoded_once_and_by_length(spark):
     lengths = np.array([1, 1, 2, 5, 5, 9, 40])
     cuts = prior.batches_by_length(lengths, 10)
