@@ -77,8 +77,8 @@ def test_a_search_keeps_only_what_later_steps_read(spark, monkeypatch, tmp_path)
 
 
 def test_ranks_of_a_trial_copy_less(spark):
-    assert rank.sides(1025, 10_256, cells=rank.OF_TRIAL) == rank.sides(1025, 10_256)
-    assert rank.sides(10_256, 102_560, cells=rank.OF_TRIAL) == (3, 26) and rank.sides(10_256, 102_560) == (6, 51)
+    assert rank.of_trial(1025, 10_256) == rank._sides(1025, 10_256, None, None) == (2, 11)
+    assert rank.of_trial(10_256, 102_560) == (3, 26) and rank._sides(10_256, 102_560, None, None) == (6, 51)
 
 
 def test_windows_hold_what_they_may(monkeypatch):
